@@ -4,21 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import quality, sharding
+from pyspark.sql import functions as F
+
+from jobloom.llm import decontamination, licences, lm_scoring, quality, sharding, simhash
 from jobloom.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "shard")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op8_quality": op8_quality}
+QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
+    "op6_licences": op6_licences,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
+}
 ORACLES = {"op4_sharding": sharding.oracle, "op8_quality": quality.oracle}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontamination, licences, lm_scoring, quality, sharding, simhash
+from jobloom.llm import decontamination, licences, line_dedup, lm_scoring, pieces, quality, sharding, simhash, suffix_dedup, toxicity
 from jobloom.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", F.col("n_lines_removed").cast("long").alias("n_lines_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "shard")
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.digest(licences.scan(table(spark, sf_dir, "documents")))
 
@@ -37,13 +46,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove(table(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_pieces": op5_pieces,
     "op6_licences": op6_licences,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op4_sharding": sharding.oracle, "op8_quality": quality.oracle}
 

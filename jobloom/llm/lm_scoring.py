@@ -20,10 +20,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, as_bytes, cut, small_batches, text_column
+from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_column
 
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
-CONTEXT_BITS, BUCKETS, BINS = 20, 24, 64
+CONTEXT_BITS, RANGES, BUCKETS, BINS = 20, 64, 24, 64
 #: Tokens of a shard, about; and the fewest shards.
 SHARD_TOKENS, LEAST_SHARDS = 4_000_000, 32
 ROUNDS, FLOOR = 200, 1e-7
@@ -95,26 +95,38 @@ def survey(docs: DataFrame, shards: int = LEAST_SHARDS) -> tuple[np.ndarray, np.
             words, n = np.unique(b[np.bincount(low, minlength=1 << 16)[low] >= least], return_counts=True)
             for w, c in zip(words[n >= least].tolist(), n[n >= least].tolist(), strict=True):
                 often[w] = often.get(w, 0) + c
-        rows = [("total", 0, total, 0)] + [("word", w - (1 << 64) if w >> 63 else w, c, 0) for w, c in often.items()]
-        seen = np.flatnonzero(counts[1])
+        rows = [("total", 0, total, None, None)] + [("word", w - (1 << 64) if w >> 63 else w, c, None, None) for w, c in often.items()]
+        for k in range(RANGES):
+            span = slice(k * (size // RANGES), (k + 1) * (size // RANGES))
+            if counts[1][span].any():
+                rows.append(("context", k, 0, pack(counts[0][span]), pack(counts[1][span])))
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows] + ["context"] * len(seen)),
-                pa.array(np.concatenate([np.array([r[1] for r in rows], np.int64), seen])),
-                pa.array(np.concatenate([np.array([r[2] for r in rows], np.int64), counts[0][seen]])),
-                pa.array(np.concatenate([np.array([r[3] for r in rows], np.int64), counts[1][seen]])),
-            ],
-            ["kind", "id", "kept", "trained"],
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
+            ["kind", "id", "n", "kept", "trained"],
         )
 
-    sums = docs.mapInArrow(each, "kind string, id long, kept long, trained long")
-    sums = cut(sums.groupBy("kind", "id").agg(F.sum("kept").alias("kept"), F.sum("trained").alias("trained")), "survey")
-    total = sums.where("kind = 'total'").agg(F.sum("kept")).first()[0] or 0
-    table = sums.where("kind = 'context'").select("id", "kept", "trained").toPandas()
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                now = [unpack(r[c], np.int64) for c in ("kept", "trained")]
+                sums[r["id"]] = [x + y for x, y in zip(sums[r["id"]], now, strict=True)] if r["id"] in sums else now
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), *[pa.array([pack(x[k]) for x in sums.values()], pa.binary()) for k in (0, 1)]], ["id", "kept", "trained"]
+        )
+
+    found = cut(docs.mapInArrow(each, "kind string, id long, n long, kept binary, trained binary"), "survey")
+    plain = found.groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    total = plain.where("kind = 'total'").agg(F.sum("n")).first()[0] or 0
+    ranges = found.where("kind = 'context'").select("id", "kept", "trained").repartition("id").mapInArrow(merged, "id long, kept binary, trained binary")
     kept, trained = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    kept[table["id"]], trained[table["id"]] = table["kept"], table["trained"]
+    for r in ranges.toLocalIterator():
+        at = r["id"] * (size // RANGES)
+        for to, of in ((kept, r["kept"]), (trained, r["trained"])):
+            to[at : at + size // RANGES] = unpack(of, np.int64)
     limit = total // (8 * shards_for(total))
-    often = sums.where("kind = 'word'").where(F.col("kept") >= limit).select("id").toPandas()["id"].to_numpy(np.int64)
+    often = plain.where("kind = 'word'").where(F.col("n") >= limit).select("id").toPandas()["id"].to_numpy(np.int64)
+    drop(found)
     return kept, trained, total, np.sort(often.view(np.uint64))
 
 

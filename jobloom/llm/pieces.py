@@ -64,7 +64,7 @@ class Trie:
         size = 1 << 18
         self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
         self.check[0] = 0
-        free, work = 1, [(0, 0, len(entries), 0)]
+        free, top, work = 257, 257, [(0, 0, len(entries), 0)]  # below, no child could stand at the first free slot
         while work:
             state, lo, hi, depth = work.pop()
             if lo < hi and len(entries[lo][0]) == depth:
@@ -78,16 +78,19 @@ class Trie:
                 while at < hi and entries[at][0][depth] == c:
                     at += 1
                 groups.append((c, start, at))
+            # An only child takes the first free slot; several take a near place of the first few tried, or new slots at the top.
             while self.check[free] >= 0:
                 free += 1
-            base = max(1, free - groups[0][0] - 1)
-            while True:
-                if base + 257 >= len(self.check):
-                    for x, fill in ((self.base, 0), (self.check, -1), (self.value, -1)):
-                        x.extend([fill] * len(x))
-                if all(self.check[base + c + 1] < 0 for c, _, _ in groups):
-                    break
-                base += 1
+            base = free - groups[0][0] - 1
+            tries = 1024 if len(groups) == 1 else 32
+            while tries and any(self.check[base + c + 1] >= 0 for c, _, _ in groups):
+                base, tries = base + 1, tries - 1
+            if not tries:
+                base = top - groups[0][0]
+            top = max(top, base + groups[-1][0] + 1)
+            if top + 600 > len(self.check):
+                for x, fill in ((self.base, 0), (self.check, -1), (self.value, -1)):
+                    x.extend([fill] * len(x))
             self.base[state] = base
             for c, _, _ in groups:
                 self.check[base + c + 1] = state

@@ -30,6 +30,8 @@ CHUNK, BATCH_BYTES, MANY = 1 << 20, 1 << 20, 1000
 #: Suffixes are compared to this depth, which is enough to bring equal strings together.
 DEPTH = LENGTH + 8
 FILTER_BITS = 24
+#: Bits for a place in a chunk, behind those of a hash.
+PLACE_BITS = 21
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -50,7 +52,13 @@ class Rolling:
         self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
         self.byte = np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def fits(self, n: int) -> None:
+        """Powers for texts of n bytes."""
+        if n > len(self.up):
+            self.up, self.down = powers(BASE, n), powers(pow(BASE, -1, 1 << 64), n)
+
     def sums(self, data: np.ndarray) -> np.ndarray:
+        self.fits(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.byte[data] * self.up[: len(data)], out=out[1:])
         return out
@@ -73,7 +81,9 @@ def anchors(data: np.ndarray, rolling: Rolling) -> Iterator[tuple[np.ndarray, np
         part = data[begin : begin + CHUNK + LENGTH - 1]
         sums = rolling.sums(part)
         at = np.arange(len(part) - GRAM + 1)
-        least = rolling.of(sums, at, at + GRAM)
+        gram = rolling.of(sums, at, at + GRAM)
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        least = gram & ~low | at.astype(np.uint64)  # of equal hashes the first is meant
         span = 1
         while span < WINDOW:
             step = min(span, WINDOW - span)
@@ -81,7 +91,7 @@ def anchors(data: np.ndarray, rolling: Rolling) -> Iterator[tuple[np.ndarray, np
             span += step
         first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         many = np.diff(np.concatenate([first, [len(least)]]))
-        yield least[first], rolling.of(sums, first, first + many + LENGTH - 1), first + begin, many
+        yield gram[least[first] & low], rolling.of(sums, first, first + many + LENGTH - 1), first + begin, many
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,7 +104,7 @@ def all_anchors(rows: DataFrame) -> DataFrame:
     """(d, k, a, s, p, n): a segment of n strings from byte p with anchor a and segment hash s."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling(CHUNK + LENGTH)
+        rolling = Rolling(1 << 16)
         for batch in small_batches(batches):
             found, which = [], []
             for i, t in enumerate(as_bytes(batch.column(2))):
@@ -228,7 +238,7 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     """The same for anchors with very many segments: strings are dealt out by two hashes, counted, and joined back."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Rolling(CHUNK + LENGTH), Rolling(CHUNK + LENGTH, 2)
+        one, two = Rolling(1 << 16), Rolling(1 << 16, 2)
         for batch in batches:
             for r in batch.to_pylist():
                 data = np.frombuffer(r["bytes"], np.uint8)

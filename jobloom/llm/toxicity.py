@@ -167,8 +167,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = {k: min(1.0, SAMPLE / n) for k, n in sizes.items()}
     of = lambda k: share.get(k, 0.0)
-    limit = F.when(F.col("toxic") == 1, F.lit(of(1))).otherwise(F.lit(of(0)))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < limit * (1 << 20)).withColumn("weight", 1 / limit)
+    pick = lambda f: F.when(F.col("toxic") == 1, F.lit(f(1))).otherwise(F.lit(f(0)))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < pick(of) * (1 << 20))
+    chosen = chosen.withColumn("weight", pick(lambda k: 1 / share.get(k, 1.0)))
     met = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight", F.xxhash64("text").alias("h"))
     return cut(met.dropDuplicates(["h"]).drop("h"), "labelled")
 

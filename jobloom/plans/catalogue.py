@@ -2,5 +2,462 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.functions import text as T
+from jobloom.operators import board, coverage, dedup, exchange, lifecycle, ranking
+from jobloom.plans import fixtures
+from jobloom.plans.standins import AS_OF, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
+from jobloom.sources import payloads
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def fold_sql(x: str) -> str:
+    return f"replace(translate(lower({x}), '{T.MARKED}', '{T.PLAIN}'), 'dj', 'd')"
+
+
+def d(column: str):
+    """A date as text, so that both sides hash alike."""
+    return F.col(column).cast("string").alias(column)
+
+
+def ds(column: str) -> str:
+    return f"CAST({column} AS VARCHAR) AS {column}"
+
+
+# --- board
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id, title, city, employer, {ds('deadline')} FROM jobs WHERE {VISIBLE} ORDER BY jobs.deadline ASC NULLS LAST, first_seen DESC, job_id DESC LIMIT 20")
+def board_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.page(board.visible(jobs(spark, sf_dir), AS_OF), board.by_deadline()).select("job_id", "title", "city", "employer", d("deadline"))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id, employer FROM jobs WHERE contains({fold_sql("title || ' ' || city || ' ' || employer")}, 'urgent') AND contains({fold_sql("title || ' ' || city || ' ' || employer")}, 'nation_1')")
+def board_search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.search(jobs(spark, sf_dir), "ÚRGENT  Nation_1").select("job_id", "employer")
+
+
+@query(f"WITH docs AS (SELECT doc_id, {fold_sql('text')} AS f FROM documents) SELECT doc_id, md5(f) AS folded FROM docs")
+def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"""WITH jobs AS (SELECT * FROM ({JOBS}) WHERE {VISIBLE})
+    SELECT facet, value, count(*) AS jobs FROM (SELECT 'city' AS facet, city AS value FROM jobs UNION ALL SELECT 'kind', kind FROM jobs UNION ALL SELECT 'education_level', education_level FROM jobs)
+    WHERE value <> '' GROUP BY facet, value""")
+def board_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.facet_values(board.visible(jobs(spark, sf_dir), AS_OF), ["city", "kind", "education_level"])
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT education_level, count(*) AS jobs FROM jobs WHERE education_level IN ('secondary', 'junior_college', 'bachelor') GROUP BY education_level")
+def facet_ordinal_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.up_to_level(jobs(spark, sf_dir), "bachelor").groupBy("education_level").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id, experience_years FROM jobs WHERE experience_years <= 3 AND NOT coalesce(deadline < DATE '{AS_OF}', false)")
+def facet_numeric_threshold_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.up_to_years(jobs(spark, sf_dir), 3).where(board.not_before("deadline", AS_OF)).select("job_id", "experience_years")
+
+
+@query("SELECT user_id, CAST(count(*) AS BIGINT) AS days FROM (SELECT user_id, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING list_contains(list(event_type), 'purchase')) GROUP BY user_id")
+def facet_array_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_set("event_type").alias("kinds"))
+    return kinds.where(F.array_contains("kinds", "purchase")).groupBy("user_id").agg(F.count(F.lit(1)).alias("days"))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT status, closed_reason, count(*) AS jobs FROM jobs WHERE status = 'published' OR status = 'closed' AND published_on IS NOT NULL AND closed_reason NOT IN ('manual', 'duplicate') GROUP BY ALL")
+def public_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.public_history(jobs(spark, sf_dir)).groupBy("status", "closed_reason").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query(f"""WITH jobs AS ({JOBS}), gone AS (SELECT * FROM jobs WHERE published_on IS NOT NULL AND (status = 'closed' AND closed_reason NOT IN ('manual', 'duplicate') OR status = 'published' AND deadline < DATE '{AS_OF}')
+      AND job_id NOT IN (SELECT job_id FROM jobs WHERE {VISIBLE}))
+    SELECT job_id, {ds('deadline')} FROM gone ORDER BY gone.deadline DESC NULLS LAST, published_on DESC NULLS LAST, first_seen DESC, job_id DESC LIMIT 20 OFFSET 20""")
+def past_jobs_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.desc_nulls_last("deadline"), F.desc_nulls_last("published_on"), F.desc("first_seen"), F.desc("job_id")]
+    return board.page(board.past(jobs(spark, sf_dir), AS_OF), order, 2).select("job_id", d("deadline"))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id, title, {ds('first_seen')}, 'tag:board,2001:job/' || CAST(job_id AS VARCHAR) AS guid FROM jobs WHERE {VISIBLE} ORDER BY jobs.first_seen DESC, job_id DESC LIMIT 50")
+def feed_newest_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    newest = board.page(board.visible(jobs(spark, sf_dir), AS_OF), board.newest(), size=board.FEED)
+    return newest.select("job_id", "title", d("first_seen"), F.concat(F.lit("tag:board,2001:job/"), F.col("job_id").cast("string")).alias("guid"))
+
+
+@query("SELECT lang, 'https://board.test/' || lang || path AS url FROM (SELECT '/org/' || CAST(s_suppkey AS VARCHAR) AS path FROM supplier UNION ALL SELECT p FROM (VALUES ('/'), ('/about'), ('/sources')) v(p)), (VALUES ('bs'), ('en')) l(lang)")
+def sitemap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    static = spark.createDataFrame([("/",), ("/about",), ("/sources",)], "path string")
+    paths = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/org/"), F.col("s_suppkey").cast("string")).alias("path")).unionByName(static)
+    return board.sitemap(paths, ["bs", "en"], "https://board.test")
+
+
+@query(f"""WITH jobs AS (SELECT * FROM ({JOBS}) WHERE {VISIBLE}), t AS (SELECT job_id, date_diff('day', DATE '{AS_OF}', deadline) AS days_left, first_seen >= DATE '{AS_OF}' - 3 AS is_new FROM jobs)
+    SELECT job_id, CAST(days_left AS INTEGER) AS days_left, is_new, CASE WHEN days_left IS NULL THEN 'undated' WHEN days_left < 0 THEN 'over' WHEN days_left = 0 THEN 'today' WHEN days_left <= 7 THEN 'soon' ELSE 'open' END AS deadline_state FROM t""")
+def card_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.annotated(board.visible(jobs(spark, sf_dir), AS_OF), AS_OF).select("job_id", "days_left", "is_new", "deadline_state")
+
+
+# --- sources and runs
+
+
+@query(f"""WITH jobs AS ({JOBS}), a AS (SELECT source_id, count(*) AS open_jobs FROM jobs WHERE {VISIBLE} GROUP BY 1),
+    b AS (SELECT source_id, count(*) AS review_jobs FROM jobs WHERE status = 'review' AND enabled AND (deadline >= DATE '{AS_OF}' OR deadline IS NULL AND first_seen >= DATE '{AS_OF}' - 60) GROUP BY 1)
+    SELECT source_id, coalesce(open_jobs, 0) AS open_jobs, coalesce(review_jobs, 0) AS review_jobs FROM a FULL JOIN b USING (source_id)""")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.source_counts(jobs(spark, sf_dir), AS_OF)
+
+
+COVERED = f"""SELECT *, CASE WHEN status IN ('blocked', 'failing') OR last_success IS NULL OR last_attempt > last_success OR enabled AND last_success < TIMESTAMP '{NOW}' - INTERVAL 48 HOUR THEN 'unavailable'
+      WHEN enabled AND status = 'verified' THEN CASE WHEN partial THEN 'partial' WHEN open_jobs > 0 THEN 'available' WHEN review_jobs > 0 THEN 'review' ELSE 'empty' END
+      WHEN audit = 'blocked' THEN 'unavailable' WHEN audit IN ('not_found', 'integration') THEN audit ELSE 'pending' END AS state FROM ({SOURCES})"""
+
+
+@query(f"SELECT source_id, state FROM ({COVERED})")
+def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage_status(sources(spark, sf_dir), NOW).select("source_id", "state")
+
+
+@query(f"SELECT s.state, count(source_id) AS n FROM (VALUES {', '.join(f'({x!r})' for x in coverage.STATES)}) s(state) LEFT JOIN ({COVERED}) c ON s.state = c.state GROUP BY s.state")
+def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.state_totals(coverage.coverage_status(sources(spark, sf_dir), NOW))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT (SELECT count(*) FROM jobs WHERE {VISIBLE}) AS open_jobs, CAST(max(ts) AS VARCHAR) AS checked FROM events WHERE event_type <> 'error'")
+def trust_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = runs(spark, sf_dir).where("success").agg(F.max("started_at").alias("at")).select(F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("checked"), F.lit(1).alias("one"))
+    checked = checked.withColumn("checked", F.regexp_replace("checked", "\\.?0+$", ""))
+    return board.visible(jobs(spark, sf_dir), AS_OF).agg(F.count(F.lit(1)).alias("open_jobs")).withColumn("one", F.lit(1)).join(checked, "one").select("open_jobs", "checked")
+
+
+@query(f"SELECT source_id, run_id, success, candidates FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn FROM ({RUNS})) WHERE rn = 1")
+def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.latest_runs(runs(spark, sf_dir)).select("source_id", "run_id", "success", "candidates")
+
+
+WAIT = "CASE WHEN failures > 0 THEN greatest(least_hours, least(24, CAST(pow(2, least(failures, 5)) AS INTEGER))) ELSE least_hours END"
+
+
+@query(f"SELECT source_id, failures, CAST(hours AS INTEGER) AS hours, last_attempt <= TIMESTAMP '{NOW}' - hours * INTERVAL 1 HOUR AS due FROM (SELECT *, {WAIT} AS hours FROM ({SOURCES}))")
+def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.due(sources(spark, sf_dir), NOW).select("source_id", "failures", "hours", "due")
+
+
+@query(f"""WITH r AS (SELECT *, sum(CAST(success AS INTEGER)) OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS island FROM ({RUNS}))
+    SELECT source_id, CAST(max(n) AS BIGINT) AS longest FROM (SELECT source_id, island, count(*) FILTER (WHERE NOT success) AS n FROM r GROUP BY ALL) GROUP BY source_id""")
+def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.streaks(runs(spark, sf_dir)).groupBy("source_id").agg(F.max("failures").alias("longest"))
+
+
+@query(f"""SELECT source_id, CASE WHEN has_adapter AND (last_success IS NULL OR last_success < TIMESTAMP '{NOW}' - INTERVAL 48 HOUR) THEN 'stale' ELSE 'failing' END AS problem
+    FROM ({SOURCES}) WHERE enabled AND (has_adapter AND (last_success IS NULL OR last_success < TIMESTAMP '{NOW}' - INTERVAL 48 HOUR) OR failures >= 3)""")
+def scrape_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.health(sources(spark, sf_dir), NOW)
+
+
+@query(f"""SELECT category, count(*) AS runs FROM (SELECT CASE WHEN lower(error) SIMILAR TO '.*(http 202|403|429).*' THEN 'upstream_block' WHEN contains(lower(error), 'redirect host') THEN 'redirect'
+      WHEN lower(error) SIMILAR TO '.*(timeout|timed out|connection|502|503|504).*' THEN 'upstream_transient' ELSE 'parse_or_validation' END AS category FROM ({RUNS}) WHERE NOT success) GROUP BY category""")
+def failure_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = runs(spark, sf_dir).where("not success")
+    return failed.groupBy(coverage.failure_category(F.col("error")).alias("category")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("""SELECT client, count(*) FILTER (WHERE before >= 5) AS limited, CAST(max(before) AS BIGINT) AS most FROM (SELECT user_id % 5 AS client,
+      count(*) OVER (PARTITION BY user_id % 5 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS before FROM events) GROUP BY client""")
+def rate_limit_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("client"), "ts")
+    return coverage.limited(reports).groupBy("client").agg(F.count_if("limited").alias("limited"), F.max("before").alias("most"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, CASE WHEN event_type <> 'view' THEN user_id END AS job_id, count(*) AS n FROM events GROUP BY ALL")
+def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), F.when(F.col("event_type") != "view", F.col("user_id")).alias("job_id"))
+    return coverage.daily_metrics(e).withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS live, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS restored, false AS equal")
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return lifecycle.reconciled(o, o.where("o_orderstatus != 'P'"))
+
+
+# --- lifecycle
+
+
+@query(f"SELECT page_id, scan, hash FROM (SELECT page_id, scan, sha256(text) AS hash, lag(sha256(text)) OVER (PARTITION BY page_id ORDER BY scan) AS before FROM ({SNAPSHOTS})) WHERE before IS NULL OR hash <> before")
+def snapshot_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.changed_snapshots(snapshots(spark, sf_dir)).select("page_id", "scan", "hash")
+
+
+@query("""WITH r AS (SELECT conv_id AS page_id, turn AS scan, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
+    p AS (SELECT page_id, max(scan) FILTER (WHERE rn = 1) AS scan, list_distinct(string_split(coalesce(max(text) FILTER (WHERE rn = 1), ''), ' ')) AS a, list_distinct(string_split(coalesce(max(text) FILTER (WHERE rn = 2), ''), ' ')) AS b FROM r GROUP BY page_id)
+    SELECT page_id, scan, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INTEGER) AS added, CAST(len(list_filter(b, lambda x: NOT list_contains(a, x))) AS INTEGER) AS removed FROM p""")
+def last_two_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_id"), F.col("turn").alias("scan"), "text")
+    return lifecycle.last_two(c)
+
+
+@query("""WITH s AS (SELECT user_id AS job_id, event_id AS scan, event_type <> 'error' AS seen FROM events), i AS (SELECT *, sum(CAST(seen AS INTEGER)) OVER (PARTITION BY job_id ORDER BY scan) AS island FROM s),
+    m AS (SELECT *, count(*) FILTER (WHERE NOT seen) OVER (PARTITION BY job_id, island ORDER BY scan) AS misses FROM i) SELECT job_id, min(scan) AS closed_at FROM m WHERE misses = 2 GROUP BY job_id""")
+def two_miss_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return lifecycle.missed_closures(e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("scan"), (F.col("event_type") != "error").alias("seen")))
+
+
+EXPIRED = f"""SELECT *, status IN ('published', 'review') AND coalesce(deadline < DATE '{AS_OF}', false) AS dead,
+      deadline IS NULL AND (status = 'published' AND greatest(first_seen, coalesce(last_reviewed, first_seen)) < DATE '{AS_OF}' - 30 OR status = 'review' AND first_seen < DATE '{AS_OF}' - 60) AS stale FROM ({JOBS})"""
+
+
+@query(f"SELECT s AS status, r AS closed_reason, count(*) AS jobs FROM (SELECT CASE WHEN dead OR stale THEN 'closed' ELSE status END AS s, CASE WHEN dead THEN 'deadline' WHEN stale THEN 'stale' ELSE closed_reason END AS r FROM ({EXPIRED})) GROUP BY ALL")
+def expire_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.expired(jobs(spark, sf_dir), AS_OF).groupBy("status", "closed_reason").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query(f"""WITH jobs AS ({JOBS}), old AS (SELECT job_id AS job_key, title, deadline, status, closed_reason, 'h' || CAST(job_id % 3 AS VARCHAR) AS hash, job_id % 10 = 0 AS locked, job_id % 14 = 3 AS ai, job_id % 6 = 1 AS reviewed, CAST(job_id % 2 AS INTEGER) AS misses FROM jobs WHERE job_id % 9 <> 0),
+    f AS (SELECT job_id AS job_key, title || ' again' AS nt, CASE WHEN job_id % 8 <> 0 THEN DATE '{AS_OF}' + CAST(job_id % 60 - 20 AS INTEGER) END AS nd, 'h' || CAST(job_id % 4 AS VARCHAR) AS nh, job_id % 5 <> 2 AS eligible, job_id % 7 <> 3 AS proven, job_id % 31 = 0 AS withdrawn FROM jobs WHERE job_id % 4 <> 1),
+    s0 AS (SELECT job_key, old.job_key IS NOT NULL AS known, f.job_key IS NOT NULL AS seen, CASE WHEN f.job_key IS NOT NULL AND NOT coalesce(locked, false) THEN nt ELSE title END AS title,
+      CASE WHEN f.job_key IS NOT NULL THEN nd ELSE deadline END AS deadline, coalesce(status, '') AS status, coalesce(closed_reason, '') AS cr, coalesce(locked, false) AS locked, coalesce(ai, false) AS ai, hash IS DISTINCT FROM nh AS changed,
+      coalesce(reviewed, false) AS reviewed, coalesce(misses, 0) AS misses, coalesce(eligible, false) AS eligible, coalesce(proven, false) AS proven, coalesce(withdrawn, false) AS withdrawn FROM old FULL JOIN f USING (job_key)),
+    s1 AS (SELECT *, known AND seen AS again, known AND seen AND ai AND changed AS aic, coalesce(deadline < DATE '{AS_OF}', false) AS expired FROM s0),
+    s2 AS (SELECT * REPLACE (CASE WHEN h THEN 'review' ELSE status END AS status, CASE WHEN h THEN '' ELSE cr END AS cr) FROM (SELECT *, again AND status = 'closed' AND cr IN ('deadline', 'missing') AND NOT expired AS h FROM s1)),
+    s3 AS (SELECT * REPLACE (CASE WHEN again AND aic AND status <> 'closed' THEN 'review' ELSE status END AS status) FROM s2),
+    s4 AS (SELECT * REPLACE (CASE WHEN again AND eligible AND proven AND status = 'review' AND NOT locked AND NOT aic THEN 'published' ELSE status END AS status) FROM s3),
+    s5 AS (SELECT * REPLACE (CASE WHEN again AND NOT proven AND status = 'published' AND NOT reviewed THEN 'review' ELSE status END AS status) FROM s4),
+    s6 AS (SELECT * REPLACE (CASE WHEN again AND NOT eligible AND status = 'published' AND (NOT reviewed OR changed) THEN 'review' ELSE status END AS status) FROM s5),
+    s7 AS (SELECT * REPLACE (CASE WHEN again AND expired AND status <> 'closed' THEN 'closed' ELSE status END AS status, CASE WHEN again AND expired AND status <> 'closed' THEN 'deadline' ELSE cr END AS cr) FROM s6),
+    s8 AS (SELECT * REPLACE (CASE WHEN again AND withdrawn AND status <> 'closed' THEN 'closed' ELSE status END AS status, CASE WHEN again AND withdrawn AND status <> 'closed' THEN 'withdrawn' ELSE cr END AS cr) FROM s7),
+    s9 AS (SELECT * REPLACE (CASE WHEN NOT known THEN CASE WHEN eligible AND proven THEN 'published' ELSE 'review' END ELSE status END AS status) FROM s8),
+    s10 AS (SELECT *, known AND NOT seen AND status IN ('published', 'review') AS absent FROM s9),
+    s11 AS (SELECT *, CASE WHEN seen THEN 0 WHEN absent THEN misses + 1 ELSE misses END AS m FROM s10)
+    SELECT job_key, title, CAST(deadline AS VARCHAR) AS deadline, CASE WHEN absent AND m >= 2 THEN 'closed' ELSE status END AS status, CASE WHEN absent AND m >= 2 THEN 'missing' ELSE cr END AS closed_reason, CAST(m AS INTEGER) AS misses FROM s11""")
+def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("job_id"), F.array().cast("array<string>")
+    rows = jobs(spark, sf_dir)
+    hash_ = lambda n: F.concat(F.lit("h"), (k % n).cast("string"))
+    old = rows.where(k % 9 != 0).select(
+        k.alias("job_key"), "title", "deadline", "status", "closed_reason", hash_(3).alias("hash"), F.lit("").alias("review_reason"),
+        F.when(k % 10 == 0, F.array(F.lit("title"))).otherwise(none).alias("protected"), F.when(k % 14 == 3, F.array(F.lit("summary"))).otherwise(none).alias("ai_fields"),
+        (k % 6 == 1).alias("reviewed"), (k % 2).cast("int").alias("misses"),
+    )
+    found = rows.where(k % 4 != 1).select(
+        k.alias("job_key"), F.concat("title", F.lit(" again")).alias("new_title"), F.when(k % 8 != 0, F.date_add(F.lit(AS_OF), (k % 60 - 20).cast("int"))).alias("new_deadline"), hash_(4).alias("new_hash"),
+        (k % 5 != 2).alias("eligible"), (k % 7 != 3).alias("proven"), (k % 31 == 0).alias("withdrawn"), F.lit("").alias("reason"),
+    )
+    out = lifecycle.upserted(old, found, AS_OF)
+    return out.select("job_key", "title", d("deadline"), "status", "closed_reason", "misses")
+
+
+@query(f"SELECT class, count(*) AS jobs FROM (SELECT CASE WHEN job_id % 37 = 0 THEN 'duplicate' WHEN deadline < DATE '{AS_OF}' THEN 'expired' WHEN NOT enabled THEN 'source_disabled' WHEN status = 'published' THEN 'already' ELSE 'published' END AS class FROM ({JOBS})) GROUP BY class")
+def bulk_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir).withColumn("duplicate", F.col("job_id") % 37 == 0)
+    return lifecycle.publish_classes(rows, AS_OF).groupBy("class").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query("SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) FROM events WHERE event_type = 'purchase'")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type")
+    return lifecycle.new_only(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase'"), ["user_id", "day"])
+
+
+# --- identity
+
+
+def _url_sql(keep: str) -> tuple[str, str, str]:
+    host = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+    path = "regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+    query_ = f"array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{keep}'))), '&')"
+    return host, path, query_
+
+
+H, P, Q = _url_sql("^(utm_[^=]*|fbclid|gclid)(=|$)")
+_, _, Q_ALL = _url_sql("^$")
+
+
+@query(f"""WITH u AS (SELECT page_id, url, regexp_replace({H}, '^www[.]', '') AS h, {P} AS p, {Q} AS q, {Q_ALL} AS qa, {H} AS hh FROM pages)
+    SELECT page_id, CASE WHEN lower(p) IN ('', '/jobs', '/careers', '/vacancies', '/search', '/en/jobs', '/en/careers') AND q = '' THEN '' ELSE h || p || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key,
+      regexp_extract(url, '^[a-z]+', 0) || '://' || hh || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN qa <> '' THEN '?' || qa ELSE '' END AS canonical, hh = 'example.com' OR ends_with(hh, '.example.com') AS trusted FROM u""")
+def url_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", T.url_key(url).alias("url_key"), T.canonical_url(url).alias("canonical"), T.under(T.host_of(url), "example.com").alias("trusted"))
+
+
+@query("SELECT sha256(text) AS hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def _vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of few employers, cities and dates, so that the same vacancy comes from several sources."""
+    k, seen = F.col("o_orderkey"), F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("job_id"), (k % 7).alias("source_id"), (k % 7 >= 5).alias("aggregator"), seen.alias("published_on"), seen.alias("first_seen"),
+        F.when(k % 50 == 0, F.concat(F.lit("https://ats.test/job?utm_source=x&id="), (k % 400).cast("string"))).otherwise("https://ats.test/careers").alias("canonical_url"),
+        F.concat(F.lit("mailto:"), k.cast("string")).alias("application_url"), F.concat(F.lit("Employer "), (F.col("o_custkey") % 40).cast("string")).alias("employer"),
+        F.concat(F.lit("City "), (F.col("o_custkey") % 3).cast("string")).alias("city"), F.when(k % 7 != 0, F.last_day(seen)).alias("deadline"), F.col("o_orderpriority").alias("title"),
+    )
+
+
+VACANCIES = """SELECT o_orderkey AS job_id, o_orderkey % 7 AS source_id, o_orderkey % 7 >= 5 AS aggregator, CAST(o_orderdate AS DATE) AS published_on, CASE WHEN o_orderkey % 50 = 0 THEN 'u' || CAST(o_orderkey % 400 AS VARCHAR) END AS u,
+      CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey % 40 AS VARCHAR) || '/' || CAST(o_custkey % 3 AS VARCHAR) || '/' || CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) || '/' || o_orderpriority END AS x FROM orders"""
+PAIRS = f"""SELECT l.job_id AS a, r.job_id AS b FROM v l JOIN v r ON l.x = r.x WHERE l.job_id < r.job_id AND l.source_id <> r.source_id AND abs(date_diff('day', l.published_on, r.published_on)) <= 45
+    UNION SELECT l.job_id, r.job_id FROM v l JOIN v r ON l.u = r.u WHERE l.job_id < r.job_id AND l.source_id <> r.source_id AND abs(date_diff('day', l.published_on, r.published_on)) <= 45"""
+
+
+@query(f"WITH v AS ({VACANCIES}) {PAIRS}")
+def same_vacancy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.same_vacancy(dedup.identity_keys(_vacancies(spark, sf_dir)))
+
+
+@query(f"WITH v AS ({VACANCIES}), p AS ({PAIRS}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) SELECT e.a AS job_id, min(e.b) AS duplicate_of FROM e JOIN v x ON x.job_id = e.a AND x.aggregator JOIN v y ON y.job_id = e.b AND NOT y.aggregator GROUP BY 1")
+def official_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vacancies(spark, sf_dir)
+    return dedup.official_duplicates(rows, dedup.same_vacancy(dedup.identity_keys(rows)))
+
+
+@query()
+def dedup_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vacancies(spark, sf_dir)
+    return dedup.winners(rows, dedup._cut(dedup.same_vacancy(dedup.identity_keys(rows))))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'unicef' WHEN n_nationkey % 5 = 1 THEN 'osce' ELSE lower(n_name) END AS employer_key, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    name = F.when(k % 5 == 0, "UNICEF - United Nations Children’s Fund").when(k % 5 == 1, "Misija OSCE-a u Bosni i Hercegovini").otherwise(F.col("n_name"))
+    r = table(spark, sf_dir, "region")
+    return table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", T.employer_key(name).alias("employer_key"), "r_name")
+
+
+# --- ranking
+
+
+STEM_SQL = f"list_distinct(list_transform(list_filter(regexp_extract_all({fold_sql('title')}, '[a-z]+'), lambda w: length(w) >= 3 AND NOT list_contains([{', '.join(repr(x) for x in T.NOISE)}], w)), lambda w: substr(w, 1, 6)))"
+ROLES_SQL = "[" + ", ".join(repr(x) for x in T.ROLE_STEMS) + "]"
+
+
+@query(f"""WITH p AS (SELECT *, {STEM_SQL} AS stems FROM ({PARTS})), w AS (SELECT job_id, employer_key, unnest(list_filter(stems, lambda s: NOT list_contains({ROLES_SQL}, s))) AS stem FROM p),
+    pairs AS (SELECT l.job_id, r.job_id AS other_id, count(*) AS content FROM w l JOIN w r USING (stem) WHERE l.job_id <> r.job_id AND l.employer_key <> r.employer_key GROUP BY ALL),
+    s AS (SELECT x.job_id, x.other_id, b.deadline, 3 * content + len(list_filter(list_intersect(a.stems, b.stems), lambda s: list_contains({ROLES_SQL}, s))) + 2 * least(len(list_intersect(a.fields, b.fields)), 2)
+      + CAST(a.opportunity_type = b.opportunity_type AS INTEGER) + CAST(a.education_level <> '' AND a.education_level = b.education_level AS INTEGER) AS score
+      FROM pairs x JOIN p a ON a.job_id = x.job_id JOIN p b ON b.job_id = x.other_id)
+    SELECT job_id, other_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, deadline ASC NULLS LAST, other_id DESC) AS rank FROM s WHERE score >= 4) WHERE rank <= 3""")
+def similar_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.similar(parts(spark, sf_dir))
+
+
+@query("""SELECT a.o_orderkey AS job_id, b.o_orderkey AS other_id, CAST(row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate DESC, b.o_orderkey DESC) AS INTEGER) AS rank
+    FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey QUALIFY rank <= 3""")
+def same_employer_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("employer_key"), F.col("o_orderdate").alias("first_seen"))
+    return ranking.same_employer(o)
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir).where("status = 'published'").select(
+        "job_id", "title", F.when(F.col("job_id") % 4 != 0, F.col("city")).otherwise("").alias("city"), F.col("kind").alias("opportunity_type"), "education_level", "experience_years", "first_seen",
+        F.when(F.col("job_id") % 6 == 0, "remote").alias("remote"), F.array(F.concat(F.lit("f"), (F.col("job_id") % 3).cast("string"))).alias("fields"),
+        F.when(F.col("job_id") % 2 == 0, F.array(F.lit("en"))).otherwise(F.array().cast("array<string>")).alias("languages"),
+    )
+    return ranking.matches(rows, fixtures.profiles(spark))
+
+
+MATCH_SQL = f"""WITH j AS (SELECT job_id, title, CASE WHEN job_id % 4 <> 0 THEN city ELSE '' END AS city, kind, education_level, experience_years, first_seen, job_id % 6 = 0 AS remote, 'f' || CAST(job_id % 3 AS VARCHAR) AS field, CASE WHEN job_id % 2 = 0 THEN ['en'] ELSE [] END AS langs,
+      CASE education_level WHEN 'secondary' THEN 1 WHEN 'junior_college' THEN 2 WHEN 'bachelor' THEN 3 WHEN 'master' THEN 4 WHEN 'phd' THEN 5 ELSE 0 END AS lv FROM ({JOBS}) WHERE status = 'published'),
+    a AS (SELECT 1 AS user_id, job_id, first_seen, title LIKE '%URGENT' AS role_met, city = 'NATION_1' OR remote AS place_met, city = '' AND NOT remote AS place_unknown, kind = 'BUILDING' AS type_met, field = 'f1' AS field_met, lv BETWEEN 1 AND 4 AS edu_met, lv = 0 AS edu_unknown, coalesce(experience_years <= 5, false) AS exp_met, experience_years IS NULL AS exp_unknown, len(langs) > 0 AS lang_met, len(langs) = 0 AS lang_unknown FROM j),
+    sa AS (SELECT user_id, job_id, first_seen, 4 * CAST(role_met AS INTEGER) + 3 * CAST(place_met AS INTEGER) + 2 * CAST(type_met AS INTEGER) + 2 * CAST(field_met AS INTEGER) + CAST(edu_met AS INTEGER) + CAST(exp_met AS INTEGER) + CAST(lang_met AS INTEGER) AS score,
+      CAST(NOT role_met AS INTEGER) + CAST(NOT place_met AND NOT place_unknown AS INTEGER) + CAST(NOT type_met AS INTEGER) + CAST(NOT field_met AS INTEGER) + CAST(NOT edu_met AND NOT edu_unknown AS INTEGER) + CAST(NOT exp_met AND NOT exp_unknown AS INTEGER) AS cautions,
+      CAST(place_unknown AS INTEGER) + CAST(edu_unknown AS INTEGER) + CAST(exp_unknown AS INTEGER) + CAST(lang_unknown AS INTEGER) AS unknowns FROM a),
+    sb AS (SELECT 2 AS user_id, job_id, first_seen, 3 + 2 * CAST(kind = 'MACHINERY' AS INTEGER) AS score, CAST(kind <> 'MACHINERY' AS INTEGER) AS cautions, 0 AS unknowns FROM j WHERE city = 'NATION_2'),
+    m AS (SELECT * FROM sa UNION ALL SELECT * FROM sb)"""
+
+
+@query(f"{MATCH_SQL} SELECT CAST(user_id AS BIGINT) AS user_id, job_id, CAST(score AS BIGINT) AS score, CAST(cautions AS INTEGER) AS cautions, CAST(unknowns AS INTEGER) AS unknowns, score >= 3 AND cautions = 0 AND unknowns = 0 AS strong FROM m")
+def match_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("user_id", "job_id", "score", F.size("cautions").alias("cautions"), F.size("unknowns").alias("unknowns"), "strong")
+
+
+@query(f"""{MATCH_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (score >= 3 AND cautions = 0 AND unknowns = 0) DESC, score DESC, first_seen DESC, job_id DESC) AS rank FROM m WHERE score >= 3 AND cautions = 0 AND job_id % 10 <> 0)
+    SELECT CAST(user_id AS BIGINT) AS user_id, array_to_string(list(CAST(job_id AS VARCHAR) ORDER BY rank), ',') AS job_ids FROM g WHERE rank <= 5 GROUP BY user_id""")
+def weekly_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _matches(spark, sf_dir)
+    sent = found.where(F.col("job_id") % 10 == 0)
+    return ranking.digest(found, sent).select("user_id", F.array_join(F.transform("job_ids", lambda x: x.cast("string")), ",").alias("job_ids"))
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE)::VARCHAR AS week_start, count(*) AS events FROM events GROUP BY 1")
+def week_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(ranking.monday(F.to_date("ts")).cast("string").alias("week_start")).agg(F.count(F.lit(1)).alias("events"))
+
+
+# --- text
+
+
+_HITS = ", ".join(f"len(list_filter(words, lambda w: list_contains([{', '.join(repr(x) for x in v.split())}], w))) AS h_{k}" for k, v in T.STOPWORDS.items())
+LANGUAGE = f"""SELECT doc_id, lang, CASE WHEN n >= 20 AND best >= 0.04 * n THEN CASE {' '.join(f"WHEN h_{k} = best THEN '{k}'" for k in T.STOPWORDS)} END ELSE '' END AS found
+    FROM (SELECT *, greatest({', '.join(f'h_{k}' for k in T.STOPWORDS)}) AS best FROM (SELECT doc_id, lang, len(words) AS n, {_HITS} FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '\\p{{L}}+') AS words FROM documents)))"""
+
+
+@query(f"SELECT doc_id, found FROM ({LANGUAGE})")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("found"))
+
+
+@query(f"SELECT lang, found, count(*) AS documents FROM ({LANGUAGE}) GROUP BY lang, found")
+def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang", T.language(F.col("text")).alias("found")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query()
+def requirements_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.functions.extract import requirements
+
+    return requirements(fixtures.adverts(spark))
+
+
+@query()
+def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.functions.extract import deadlines
+
+    return deadlines(fixtures.date_texts(spark))
+
+
+@query()
+def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.functions.extract import candidates
+
+    return candidates(fixtures.leads(spark), fixtures.TODAY, 2026)
+
+
+@query()
+def enrichment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exchange.checked(fixtures.proposals(spark), fixtures.stored(spark)).select("line", "id", "error")
+
+
+@query()
+def adapter_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.listings(fixtures.bronze(spark))
+
+
+@query()
+def adapter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payloads.complete(payloads.listings(fixtures.bronze(spark)), fixtures.stated(spark))

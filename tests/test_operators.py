@@ -1,0 +1,174 @@
+"""Lifecycle, coverage, identity, ranking, exchange and payload operators against stated cases."""
+
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from jobloom.operators import board, coverage, dedup, exchange, lifecycle, ranking
+from jobloom.plans import fixtures
+from jobloom.sources import payloads
+
+DAY = date(2026, 10, 2)
+
+
+def listing(spark, *rows):
+    """job_key, eligible, proven, withdrawn, deadline, hash of what a scan found."""
+    return spark.createDataFrame([(k, k, dl, h, e, p, w, "") for k, e, p, w, dl, h in rows], "job_key string, new_title string, new_deadline date, new_hash string, eligible boolean, proven boolean, withdrawn boolean, reason string")
+
+
+def stored(spark, *rows):
+    """job_key, status, closed_reason, deadline, hash, reviewed, misses, protected, ai_fields."""
+    return spark.createDataFrame(
+        [(k, k, dl, s, c, h, "", p, a, r, m) for k, s, c, dl, h, r, m, p, a in rows],
+        "job_key string, title string, deadline date, status string, closed_reason string, hash string, review_reason string, protected array<string>, ai_fields array<string>, reviewed boolean, misses int",
+    )
+
+
+OPEN, OVER = date(2026, 11, 1), date(2026, 9, 1)
+
+
+@pytest.mark.parametrize(
+    "old,found,want",
+    [
+        (None, ("a", True, True, False, OPEN, "h"), ("published", "", 0)),
+        (None, ("a", True, False, False, OPEN, "h"), ("review", "", 0)),
+        (("a", "published", "", OPEN, "h", False, 0, [], []), None, ("published", "", 1)),
+        (("a", "published", "", OPEN, "h", False, 1, [], []), None, ("closed", "missing", 2)),
+        (("a", "published", "", OPEN, "h", False, 1, [], []), ("a", True, True, False, OPEN, "h"), ("published", "", 0)),
+        (("a", "closed", "missing", OPEN, "h", False, 2, [], []), ("a", True, True, False, OPEN, "h"), ("published", "", 0)),
+        (("a", "closed", "manual", OPEN, "h", False, 0, [], []), ("a", True, True, False, OPEN, "h"), ("closed", "manual", 0)),
+        (("a", "closed", "deadline", OVER, "h", False, 0, [], []), ("a", True, True, False, OPEN, "h2"), ("published", "", 0)),
+        (("a", "published", "", OPEN, "h", False, 0, [], []), ("a", False, True, False, OVER, "h2"), ("closed", "deadline", 0)),
+        (("a", "published", "", OPEN, "h", True, 0, [], []), ("a", False, True, False, OPEN, "h"), ("published", "", 0)),
+        (("a", "published", "", OPEN, "h", True, 0, [], []), ("a", False, True, False, OPEN, "h2"), ("review", "", 0)),
+        (("a", "published", "", OPEN, "h", False, 0, [], ["city"]), ("a", True, True, False, OPEN, "h2"), ("review", "", 0)),
+        (("a", "review", "", OPEN, "h", False, 0, ["title"], []), ("a", True, True, False, OPEN, "h"), ("review", "", 0)),
+        (("a", "published", "", OPEN, "h", False, 0, [], []), ("a", True, True, True, OPEN, "h"), ("closed", "withdrawn", 0)),
+    ],
+)
+def test_upsert_rules(spark, old, found, want):
+    got = lifecycle.upserted(stored(spark, *([old] if old else [])), listing(spark, *([found] if found else [])), DAY).collect()
+    assert [(r.status, r.closed_reason, r.misses) for r in got] == [want]
+
+
+def test_snapshots_keep_returns(spark):
+    rows = [(1, k, t) for k, t in enumerate(["A", "A", "B", "A", None, None])]
+    got = lifecycle.changed_snapshots(spark.createDataFrame(rows, "page_id long, scan long, text string"))
+    assert [r.scan for r in got.orderBy("scan").collect()] == [0, 2, 3, 4]
+
+
+def test_misses_reset(spark):
+    rows = [(1, k, s) for k, s in enumerate([True, False, True, False, False, False])] + [(2, 0, False), (2, 1, True)]
+    got = lifecycle.missed_closures(spark.createDataFrame(rows, "job_id long, scan long, seen boolean")).collect()
+    assert [(r.job_id, r.closed_at) for r in got] == [(1, 4)]
+
+
+def test_winners_are_not_components(spark):
+    """A matches B and B matches C, but A does not match C: A and C show."""
+    rows = spark.createDataFrame([(1, False, date(2026, 1, 1)), (2, False, date(2026, 1, 2)), (3, False, date(2026, 1, 3)), (4, True, date(2025, 1, 1)), (5, True, date(2024, 1, 1))], "job_id long, aggregator boolean, first_seen date")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4)], "a long, b long")
+    assert sorted(r.job_id for r in dedup.winners(rows, pairs).collect()) == [1, 3, 5]
+    blocked = spark.createDataFrame([(5,)], "job_id long")
+    assert sorted(r.job_id for r in dedup.winners(rows, pairs, blocked).collect()) == [1, 3]
+
+
+def test_winners_equal_the_greedy_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.random() < 0.3, date(2026, 1, rng.randint(1, 9))) for k in range(60)]
+    pairs = list({tuple(sorted(rng.sample(range(60), 2))) for _ in range(120)})
+    kept: list[int] = []
+    for k, _, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if not any((min(k, x), max(k, x)) in pairs for x in kept):
+            kept.append(k)
+    got = dedup.winners(spark.createDataFrame(rows, "job_id long, aggregator boolean, first_seen date"), spark.createDataFrame(pairs, "a long, b long"))
+    assert sorted(r.job_id for r in got.collect()) == sorted(kept)
+
+
+def vacancy(i, source, published, url="", city="Sarajevo", employer="UNICEF", title="Project Officer", deadline=OPEN):
+    return (i, source, published, url, "", employer, city, deadline, title)
+
+
+@pytest.mark.parametrize(
+    "right,same",
+    [
+        (vacancy(2, 2, DAY), True),
+        (vacancy(2, 1, DAY), False),
+        (vacancy(2, 2, date(2026, 7, 1)), False),
+        (vacancy(2, 2, None), True),
+        (vacancy(2, 2, DAY, city="Mostar"), False),
+        (vacancy(2, 2, DAY, employer="UNICEF u Bosni i Hercegovini", title="PROJECT  officer"), True),
+        (vacancy(2, 2, DAY, deadline=None), False),
+        (vacancy(2, 2, DAY, url="https://e.test/job/42?utm_source=x", title="Other"), True),
+        (vacancy(2, 2, DAY, url="https://e.test/careers", title="Other"), False),
+    ],
+)
+def test_same_vacancy(spark, right, same):
+    schema = "job_id long, source_id long, published_on date, canonical_url string, application_url string, employer string, city string, deadline date, title string"
+    left = vacancy(1, 1, DAY, url="https://www.e.test/job/42" if "42" in right[3] else "https://e.test/careers")
+    got = dedup.same_vacancy(dedup.identity_keys(spark.createDataFrame([left, right], schema))).collect()
+    assert [(r.a, r.b) for r in got] == ([(1, 2)] if same else [])
+
+
+def test_streaks_and_waits(spark):
+    rows = [(k, 1, datetime(2026, 1, 1, k), s) for k, s in enumerate([True, False, False, True, False])] + [(9, 2, datetime(2026, 1, 1), False)]
+    runs = spark.createDataFrame(rows, "run_id long, source_id long, started_at timestamp_ntz, success boolean")
+    assert {r.source_id: r.failures for r in coverage.current_failures(runs).collect()} == {1: 1, 2: 1}
+    assert [r.failures for r in coverage.streaks(runs).where("source_id = 1").orderBy("run_id").collect()] == [0, 1, 2, 0, 1]
+    got = spark.createDataFrame([(0, 1), (1, 1), (3, 1), (9, 1), (2, 24)], "f long, h int").select(coverage.wait_hours(F.col("f"), F.col("h"))).collect()
+    assert [r[0] for r in got] == [1, 2, 8, 24, 24]
+
+
+def test_failure_category(spark):
+    rows = [("HTTP 403",), ("Redirect host x",), ("Read timed out",), ("response changed shape",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "e string").select(coverage.failure_category(F.col("e"))).collect()]
+    assert got == ["upstream_block", "redirect", "upstream_transient", "parse_or_validation", "parse_or_validation"]
+
+
+def test_visible_edges(spark):
+    rows = [
+        (1, "published", True, DAY, date(2026, 1, 1), None), (2, "published", True, date(2026, 10, 1), date(2026, 10, 1), None), (3, "published", True, None, date(2026, 9, 10), None),
+        (4, "published", True, None, date(2026, 1, 1), date(2026, 9, 20)), (5, "published", True, None, date(2026, 1, 1), None), (6, "published", False, OPEN, DAY, None), (7, "review", True, OPEN, DAY, None),
+    ]
+    df = spark.createDataFrame(rows, "job_id long, status string, enabled boolean, deadline date, first_seen date, last_reviewed date")
+    assert sorted(r.job_id for r in board.visible(df, DAY).collect()) == [1, 3, 4]
+    assert sorted(r.job_id for r in df.where(board.not_before("deadline", DAY)).collect()) == [1, 3, 4, 5, 6, 7]
+
+
+def test_matches_and_digest(spark):
+    jobs = spark.createDataFrame(
+        [(1, "Urgent Help", "NATION_1", "BUILDING", "bachelor", 3, date(2026, 1, 1), None, ["f1"], ["en"]), (2, "Other", "", "BUILDING", "", None, date(2026, 1, 2), None, [], [])],
+        "job_id long, title string, city string, opportunity_type string, education_level string, experience_years int, first_seen date, remote string, fields array<string>, languages array<string>",
+    )
+    got = {(r.user_id, r.job_id): r for r in ranking.matches(jobs, fixtures.profiles(spark)).collect()}
+    assert set(got) == {(1, 1), (1, 2)}
+    assert got[1, 1].score == 14 and got[1, 1].strong and got[1, 1].cautions == []
+    assert got[1, 2].cautions == ["role"] and set(got[1, 2].unknowns) == {"place", "field", "education", "experience", "languages"} and got[1, 2].score == 2
+    sent = spark.createDataFrame([], "user_id long, job_id long")
+    found = ranking.matches(jobs, fixtures.profiles(spark))
+    assert [(r.user_id, r.job_ids) for r in ranking.digest(found, sent).collect()] == [(1, [1])]
+    assert ranking.digest(found, spark.createDataFrame([(1, 1)], "user_id long, job_id long")).collect() == []
+
+
+def test_exchange_rules(spark):
+    got = {r.line: r.error for r in exchange.checked(fixtures.proposals(spark), fixtures.stored(spark)).collect()}
+    assert got == {1: None, 2: "city not in its evidence", 3: "deadline evidence not in text", 4: "stale source content", 5: "conflicting city", 6: "unknown job", 7: "unknown field", 8: "bad line"}
+
+
+def test_payload_parsers(spark):
+    rows = payloads.listings(fixtures.bronze(spark)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.source_id, []).append((r.url, r.title))
+    assert got[1] == [("https://a.test/jobs/1", "Officer"), ("https://a.test/jobs/2", "Driver")]
+    assert got[2] == [("https://b.test/n.pdf", "Clerk")] and got[3] == [("https://c.test/api/a", "A"), ("https://c.test/api/b", "B")]
+    assert got[4] == [("https://d.test/1", "Post")] and got[5] == [("https://e.test/vacancy-one", "vacancy one")] and len(got[6]) == 2 and got[7] == [("https://g.test/5", "Nurse")]
+    assert next(r.error for r in rows if r.source_id == 8).startswith("JSONDecodeError")
+    done = {r.source_id: r.complete for r in payloads.complete(payloads.listings(fixtures.bronze(spark)), fixtures.stated(spark)).collect()}
+    assert done == {1: False, 2: True, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False}
+
+
+def test_html_text():
+    assert payloads.html_text("<p>A&amp;B</p><script>x()</script><nav>n</nav> c<br>d") == "A&B c d" and payloads.html_text(None) == ""

@@ -9,7 +9,7 @@ offsets, and
 3. the segments of the other anchors meet by anchor, in batches of bounded size. Each batch is sorted in two stages: suffixes
    smaller than their successors directly, the others induced from them by bucket scans. Neighbours
    with a common prefix of LENGTH bytes are repeats;
-4. an anchor with very many segments is dealt out by the hashes of its strings instead.
+4. the segments of an anchor that has very many are dealt out by further anchors and by hashes instead.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ WINDOW = LENGTH - GRAM + 1
 CHUNK, BATCH_BYTES, MANY = 1 << 20, 1 << 20, 1000
 #: Suffixes are compared to this depth, which is enough to bring equal strings together.
 DEPTH = LENGTH + 8
-FILTER_BITS = 24
+FILTER_BITS, FURTHER = 24, 4
 #: Bits for a place in a chunk, behind those of a hash.
 PLACE_BITS = 21
 BASE = 0x9E3779B97F4A7C15
@@ -82,16 +82,10 @@ def anchors(data: np.ndarray, rolling: Rolling) -> Iterator[tuple[np.ndarray, np
         sums = rolling.sums(part)
         at = np.arange(len(part) - GRAM + 1)
         gram = rolling.of(sums, at, at + GRAM)
-        low = np.uint64((1 << PLACE_BITS) - 1)
-        least = gram & ~low | at.astype(np.uint64)  # of equal hashes the first is meant
-        span = 1
-        while span < WINDOW:
-            step = min(span, WINDOW - span)
-            least = np.minimum(least[:-step], least[step:])
-            span += step
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        many = np.diff(np.concatenate([first, [len(least)]]))
-        yield gram[least[first] & low], rolling.of(sums, first, first + many + LENGTH - 1), first + begin, many
+        place = least_places(gram)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        many = np.diff(np.concatenate([first, [len(place)]]))
+        yield gram[place[first]], rolling.of(sums, first, first + many + LENGTH - 1), first + begin, many
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -234,24 +228,92 @@ def compare(segments: DataFrame) -> DataFrame:
     return segments.repartition("a").sortWithinPartitions("a", "s").mapInArrow(each, SPAN)
 
 
-def compare_by_hash(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: strings are dealt out by two hashes, counted, and joined back."""
+def least_places(gram: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each run of `window` hashes, the place of the least; of equal ones the first."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = gram & ~low | np.arange(len(gram), dtype=np.uint64)
+    span = 1
+    while span < window:
+        step = min(span, window - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return (least & low).astype(np.int64)
+
+
+RUN = "t long, u long, x long, y long, c long, d long, k long, p long, n int, bytes binary"
+
+
+def runs(segments: DataFrame) -> DataFrame:
+    """Segments cut into runs of strings that agree in FURTHER more anchors, under other hashes.
+
+    (t, u) names the anchors, (x, y) the run's bytes. Strings that differ in an anchor differ, so that most of a large
+    group is settled by a few rows a segment.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Rolling(1 << 16), Rolling(1 << 16, 2)
         for batch in batches:
+            out: list[tuple] = []
             for r in batch.to_pylist():
                 data = np.frombuffer(r["bytes"], np.uint8)
-                at = np.arange(r["n"])
+                sums, other = one.sums(data), two.sums(data)
+                at = np.arange(len(data) - GRAM + 1)
+                gram = one.of(sums, at, at + GRAM)
+                names, cuts = [np.full(r["n"], r["a"], np.int64).view(np.uint64)], np.zeros(r["n"], bool)
+                cuts[0] = True
+                for j in range(FURTHER):
+                    seeded = mix(gram ^ np.uint64((BASE * (2 * j + 3)) % (1 << 64)))
+                    place = least_places(seeded)
+                    cuts[1:] |= place[1:] != place[:-1]
+                    names.append(gram[place])
+                first = np.flatnonzero(cuts)
+                many = np.diff(np.append(first, r["n"]))
+                t, u = np.zeros(len(first), np.uint64), np.ones(len(first), np.uint64)
+                for name in names:
+                    t, u = mix(t * np.uint64(BASE) ^ name[first]), mix(u * np.uint64(BASE + 2) ^ name[first])
+                end = first + many + LENGTH - 1
+                x, y = one.of(sums, first, end), two.of(other, first, end)
+                signed = [v.view(np.int64).tolist() for v in (t, u, x, y)]
+                for *key, f, m in zip(*signed, first.tolist(), many.tolist(), strict=True):
+                    out.append((*key, r["c"], r["d"], r["k"], r["p"] + f, m, r["bytes"][f : f + m + LENGTH - 1]))
+            columns = list(zip(*out, strict=True)) or [[]] * 10
+            kinds = [pa.int64()] * 8 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), z) for c, z in zip(columns, kinds, strict=True)], [c.split()[0] for c in RUN.split(", ")])
+
+    return segments.mapInArrow(each, RUN)
+
+
+def strings(kinds: DataFrame) -> DataFrame:
+    """(x, y, m, c, d, k, start): every string of the runs by two hashes."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = Rolling(1 << 16), Rolling(1 << 16, 2)
+        for batch in batches:
+            for r in batch.to_pylist():
+                data, at = np.frombuffer(r["bytes"], np.uint8), np.arange(r["n"])
                 x, y = (h.of(h.sums(data), at, at + LENGTH).view(np.int64) for h in (one, two))
-                same = lambda v: pa.array(np.full(len(at), v, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x), pa.array(y), same(r["s"]), same(r["c"]), same(r["d"]), same(r["k"]), pa.array(at + r["p"])], ["x", "y", "s", "c", "d", "k", "start"]
-                )
+                same = [pa.array(np.full(len(at), r[v], np.int64)) for v in ("m", "c", "d", "k")]
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *same, pa.array(at + r["p"])], ["x", "y", "m", "c", "d", "k", "start"])
+
+    return kinds.mapInArrow(each, "x long, y long, m long, c long, d long, k long, start long")
 
-    strings = segments.mapInArrow(each, "x long, y long, s long, c long, d long, k long, start long")
-    twice = strings.groupBy("x", "y").agg(F.min("s").alias("l"), F.max("s").alias("m")).where("l != m").select("x", "y")
-    return strings.where("c = 1").join(twice, ["x", "y"]).select("d", "k", "start", (F.col("start") + LENGTH).alias("end"))
+
+def compare_by_hash(segments: DataFrame) -> DataFrame:
+    """The same for anchors with very many segments, without bringing them together.
+
+    Runs alike in all anchors and bytes are repeats; runs that share their anchors with no other are unique; only of the others
+    are the single strings counted, once for each kind of run.
+    """
+    cuts = cut(runs(segments), "runs")
+    kinds = cuts.groupBy("t", "u", "x", "y").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d", "k", "p", "n", "c", "bytes")).alias("at"))
+    kinds = cut(kinds.select("t", "u", "x", "y", "m", "at.*"), "kinds")
+    whole = cuts.where("c = 1").join(kinds.where("m > 1").select("t", "u", "x", "y"), ["t", "u", "x", "y"], "left_semi")
+    whole = whole.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
+    mixed = kinds.groupBy("t", "u").count().where(F.col("count") > 1).select("t", "u")
+    single = strings(kinds.join(mixed, ["t", "u"], "left_semi").select("m", "c", "d", "k", "p", "n", "bytes"))
+    twice = single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("x", "y")
+    found = single.where("c = 1 and m = 1").join(twice, ["x", "y"], "left_semi")
+    return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))
 
 
 def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -296,7 +358,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     all_ = cut(all_anchors(rows), "anchors")
     # Partial counts at the map side keep an anchor of many copies down to a row a task.
     again = all_.groupBy("a").agg(F.count(F.lit(1)).alias("seen"), F.min("s").alias("low"), F.max("s").alias("high"))
-    again = again.where("seen > 1").select("a", (F.col("low") != F.col("high")).alias("mixed"))
+    again = cut(again.where("seen > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")), "repeated")
     found = cut(all_.join(again, "a"), "again")
     drop(all_)
     whole = found.where("not mixed").select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 def test_contract(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) > 40
-    assert entry.entry(spark).count() == 20
+    assert 0 < entry.entry(spark).count() <= 20
 
 
 def test_core_does_not_import_llm():

@@ -230,5 +230,22 @@ def digest(found: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
+
+
+def oracle() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS words FROM documents),
+    i AS (SELECT item_id, {words} AS words FROM benchmark),
+    w AS (SELECT DISTINCT item_id, list_slice(words, k, k + least(len(words), {WINDOW}) - 1) AS win
+      FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - {WINDOW - 2}, 2))) AS k FROM i WHERE len(words) > 0)),
+    m AS (SELECT DISTINCT len(win) AS size FROM w),
+    p AS (SELECT r, size, k, list_slice(words, k, k + size - 1) AS win FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM d, m)),
+    f AS (SELECT r, item_id, k, size FROM p JOIN w USING (win)),
+    hit AS (SELECT r, count(DISTINCT k + j) AS n FROM (SELECT r, k, unnest(range(size)) AS j FROM f) GROUP BY r),
+    items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM f) GROUP BY r)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+      coalesce(h.n, 0) > 0 AND {SHARE} * coalesce(h.n, 0) >= len(words) AS contaminated
+    FROM d LEFT JOIN hit h USING (r) LEFT JOIN items t USING (r)"""

@@ -67,7 +67,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op4_sharding": sharding.oracle, "op8_quality": quality.oracle}
+ORACLES = {"op4_sharding": sharding.oracle, "op7_decontamination": decontamination.oracle, "op8_quality": quality.oracle}
 
 
 def queries() -> dict:

@@ -27,7 +27,7 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 ADVERTS = [
     (1, "Legal Officer (S3)", "Education: university degree in law. A minimum of six years of relevant professional experience, including two years at senior level. Fluency in English is required. A driving licence is required."),
-    (2, "Programme Analyst", "Bachelor’s degree in social sciences, law or human rights. Minimum 2 years of experience. Fluency in English and B/C/S is required; German would be an asset."),
+    (2, "Programme Analyst", "Bachelor’s degree in social sciences, law or human rights. Minimum 2 years of experience. Fluency in English and B/C/S is required; knowledge of German would be an asset."),
     (3, "Savjetnik", "Visoko obrazovanje: pravni fakultet. Najmanje tri godine radnog iskustva. Obavezno poznavanje engleskog jezika; njemački je prednost. Puno radno vrijeme. Plata: 2.400 KM neto mjesečno. Trajanje: 12 mjeseci."),
     (4, "Assistant", "No prior experience is required. Secondary school education. Working from home is not possible. Part-time."),
     (5, "Nothing", None),

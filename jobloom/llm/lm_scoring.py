@@ -25,7 +25,7 @@ from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_c
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
 CONTEXT_BITS, RANGES, BUCKETS, BINS = 20, 64, 24, 64
 #: Tokens of a shard, about; and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 4_000_000, 32
+SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 56
 ROUNDS, FLOOR = 200, 1e-7
 #: Words that a worker's cache of hashes holds before it is emptied.
 CACHE = 500_000
@@ -181,22 +181,25 @@ def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
 
 
 class Shard:
-    """All occurrences of a shard's words, with what was counted of them."""
+    """All occurrences of a shard's words, with what was counted of them; in the order of the blobs they came in."""
 
     def __init__(self, rows: list[dict]):
-        words = [unpack(r["words"], np.uint64) for r in rows]
-        runs = [unpack(r["counts"], np.uint32) for r in rows]
-        self.words, code = np.unique(np.concatenate(words), return_inverse=True)
-        self.code = np.repeat(code, np.concatenate(runs))
-        self.context = np.concatenate([unpack(r["contexts"], np.uint32) for r in rows])
-        doc = [unpack(r["docs"], np.uint32) for r in rows]
-        self.part = np.concatenate(doc) & np.uint32(3)
-        self.row = np.concatenate([(np.int64(r["batch"]) << 20) + (d >> np.uint32(2)) for r, d in zip(rows, doc, strict=True)])
+        self.batches = [r["batch"] for r in rows]
+        words, inverse = np.unique(np.concatenate([unpack(r["words"], np.uint64) for r in rows]), return_inverse=True)
+        self.words = words
+        self.code = np.repeat(inverse.astype(np.int32), np.concatenate([unpack(r["counts"], np.uint32) for r in rows]))
+        context = [unpack(r["contexts"], np.uint32) for r in rows]
+        self.ends = np.cumsum([len(x) for x in context])
+        self.context = np.concatenate(context)
+        doc = np.concatenate([unpack(r["docs"], np.uint32) for r in rows])
+        self.part, self.doc = (doc & np.uint32(3)).astype(np.uint8), doc >> np.uint32(2)
         pair = (self.code.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | self.context
         order = np.argsort(pair)
-        new = np.concatenate([[True], pair[order[1:]] != pair[order[:-1]]])
-        self.pair = np.empty(len(order), np.int64)
-        self.pair[order] = np.cumsum(new) - 1
+        pair = pair[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
+        del pair
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
         self.pairs = int(new.sum())
 
     def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,24 +321,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         before = contexts.value[1]
         for shard in by_shard(batches):
             words, pairs = shard.counts(shard.part != TEST)
-            words = whole(shard, words, 2)[shard.code]
-            seen = before[shard.context]
-            weight = weights[bucket(seen)]
-            p = weight[:, 0] * pairs[shard.pair] / np.maximum(seen, 1)
-            p += weight[:, 1] * words / max(n_trained, 1)
-            p += weight[:, 2] / (vocabulary + 1)
-            rows, code = np.unique(shard.row, return_inverse=True)
-            add = lambda x: pa.array(np.bincount(code, x, minlength=len(rows)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows),
-                    pa.array(np.bincount(code, minlength=len(rows)).astype(np.int32)),
-                    pa.array(np.bincount(code[words > 0], minlength=len(rows)).astype(np.int32)),
-                    add(np.log10(words + 0.5)),
-                    add(np.log10(p)),
-                ],
-                ["row", "n", "known", "base", "model"],
-            )
+            words = whole(shard, words, 2)
+            start = 0
+            for number, end in zip(shard.batches, shard.ends.tolist(), strict=True):
+                here, start = slice(start, end), end
+                n, seen = words[shard.code[here]], before[shard.context[here]]
+                weight = weights[bucket(seen)]
+                p = weight[:, 0] * pairs[shard.pair[here]] / np.maximum(seen, 1) + weight[:, 1] * n / max(n_trained, 1) + weight[:, 2] / (vocabulary + 1)
+                doc = shard.doc[here]
+                count = np.bincount(doc)
+                rows = np.flatnonzero(count)
+                add = lambda x, d=doc, r=rows: pa.array(np.bincount(d, x)[r])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((np.int64(number) << 20) + rows),
+                        pa.array(count[rows].astype(np.int32)),
+                        pa.array(np.bincount(doc, n > 0)[rows].astype(np.int32)),
+                        add(np.log10(n + 0.5)),
+                        add(np.log10(p)),
+                    ],
+                    ["row", "n", "known", "base", "model"],
+                )
 
     sums = (
         dealt.where("shard >= 0")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import text as T
-from jobloom.operators import board, coverage, dedup, exchange, lifecycle, ranking
+from jobloom.operators import board, coverage, dedup, exchange, lifecycle, ranking, registry
 from jobloom.plans import fixtures
 from jobloom.plans.standins import AS_OF, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
 from jobloom.sources import payloads
@@ -343,6 +343,111 @@ def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", T.employer_key(name).alias("employer_key"), "r_name")
 
 
+# --- registry
+
+
+@query("""SELECT coalesce(r.n, l.n) AS name, coalesce(r.k, l.k) AS kind, coalesce(r.c, l.c) AS city, r.n IS NOT NULL AS curated
+    FROM (SELECT s_name AS n, 'office' AS k, CAST(s_nationkey AS VARCHAR) AS c FROM supplier) l FULL JOIN
+    (SELECT s_name AS n, 'embassy' AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'moved' END AS c FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'New one', 'igo', NULL) r ON l.n = r.n""")
+def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    inventory = s.select(F.col("s_name").alias("name"), F.lit("office").alias("kind"), F.col("s_nationkey").cast("string").alias("city"))
+    curated = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("name"), F.lit("embassy").alias("kind"), F.when(F.col("s_suppkey") % 2 == 0, "moved").alias("city"))
+    curated = curated.unionByName(spark.createDataFrame([("New one", "igo", None)], "name string, kind string, city string"))
+    return registry.merged(inventory, curated, ["kind", "city"])
+
+
+@query("""SELECT coalesce(l.org, r.org) AS org, coalesce(l.url, r.url) AS url, CASE WHEN coalesce(l.enabled OR r.adapter IS NULL, false) THEN l.adapter ELSE r.adapter END AS adapter, coalesce(l.enabled, false) AS enabled
+    FROM (SELECT s_nationkey AS org, s_name AS url, 'old' AS adapter, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 5 <> 0) l
+    FULL JOIN (SELECT s_nationkey AS org, s_name AS url, 'new' AS adapter FROM supplier WHERE s_suppkey % 4 <> 0) r ON l.org = r.org AND l.url = r.url""")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("org"), F.col("s_name").alias("url"), "s_suppkey")
+    old = s.where("s_suppkey % 5 != 0").select("org", "url", F.lit("old").alias("adapter"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
+    return registry.sources_upserted(old, s.where("s_suppkey % 4 != 0").select("org", "url", F.lit("new").alias("adapter")))
+
+
+@query("SELECT n_nationkey AS org, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS sources FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
+def organization_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("org"), F.col("s_suppkey").alias("source_id"))
+    return registry.with_sources(n, s).select("org", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
+
+
+@query("SELECT c_custkey AS job_id, count(event_id) AS open_reports FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'error' AND event_id % 5 <> 0 GROUP BY c_custkey")
+def open_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    reports = e.select(F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("job_id"), F.when(F.col("event_type") == "error", "new").otherwise("done").alias("status"))
+    return registry.open_reports(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), reports)
+
+
+@query("""SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'published' ELSE o_orderstatus END AS status,
+    CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'city,title' ELSE 'title' END AS protected, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'applied' ELSE 'stale' END END AS outcome FROM orders""")
+def editorial_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(k.alias("job_id"), F.col("o_orderstatus").alias("status"), F.lit("a").alias("hash"), F.array(F.lit("title")).alias("protected"))
+    made = o.where(k % 3 == 0).select(k.alias("job_id"), F.when(k % 4 == 0, "a").otherwise("b").alias("read_hash"), F.lit("published").alias("new_status"), F.array(F.lit("city")).alias("edited"))
+    return registry.decided(rows, made).withColumn("protected", F.array_join("protected", ","))
+
+
+@query("SELECT p_partkey AS job_id, CASE WHEN p_size % 2 = 0 THEN 'kind,size' ELSE 'size' END AS changed FROM part WHERE p_partkey % 6 <> 0 AND p_size IS NOT NULL")
+def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    kept = F.when(F.col("p_partkey") % 6 == 0, F.array(F.lit("kind"), F.lit("size"))).otherwise(F.array().cast("array<string>"))
+    old = p.select(F.col("p_partkey").alias("job_id"), F.col("p_type").alias("kind"), F.col("p_size").alias("size"), kept.alias("protected"))
+    new = p.select(F.col("p_partkey").alias("job_id"), F.when(F.col("p_size") % 2 != 0, F.col("p_type")).alias("kind"), (F.col("p_size") + 1).alias("size"))
+    return registry.changed_fields(old, new, ["kind", "size"]).withColumn("changed", F.array_join("changed", ","))
+
+
+@query("SELECT o_orderpriority AS role, o_orderkey AS place FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def newest_of_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("role"), F.col("o_orderdate").alias("day"), F.col("o_orderkey").alias("place"))
+    return registry.newest_of_role(o).select("role", "place")
+
+
+@query("SELECT url, CAST(min(l) AS INTEGER) AS list, min(pos) FILTER (WHERE l = m) AS pos FROM (SELECT *, min(l) OVER (PARTITION BY url) AS m FROM (SELECT url, 0 AS l, page_id AS pos FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages WHERE page_id % 3 = 0)) GROUP BY url")
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("pos"))
+    return registry.first_seen_union(p.where("pos % 2 = 0"), p.where("pos % 3 = 0"))
+
+
+@query("SELECT a.o_orderkey AS job_id, CAST(min(CASE WHEN a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus <> 'P' THEN CAST(b.o_orderdate AS DATE) END) AS VARCHAR) AS published_on FROM orders a LEFT JOIN orders b ON a.o_orderkey % 500 = b.o_orderkey % 500 AND b.o_orderkey % 7 = 1 WHERE a.o_orderkey % 9 = 2 GROUP BY 1")
+def proven_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("job_id"), (k % 500).alias("requisition"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("date").alias("deadline"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("published_on"))
+    return registry.proven_dates(o.where("job_id % 9 = 2"), o.where("job_id % 7 = 1")).withColumn("published_on", F.col("published_on").cast("string"))
+
+
+@query("SELECT s_suppkey, coalesce(r_name, 'code ' || CAST(s_suppkey % 7 AS VARCHAR)) AS employer FROM supplier LEFT JOIN region ON s_suppkey % 7 = r_regionkey")
+def agency_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("code "), (F.col("s_suppkey") % 7).cast("string")).alias("agency"))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("org_id"), F.concat(F.lit("CODE "), F.col("r_regionkey").cast("string")).alias("short_name"), F.col("r_name").alias("name"))
+    return registry.attributed(s, r).select("s_suppkey", "employer")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'SN' WHEN n_nationkey % 3 = 1 THEN 'ABC' ELSE 'FS' END AS monogram FROM nation")
+def monograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    name = F.when(k % 3 == 1, "Embassy of ABC in BIH").otherwise("Ambasada first second third")
+    return table(spark, sf_dir, "nation").select("n_nationkey", registry.monogram(name, F.when(k % 3 == 0, "SN")).alias("monogram"))
+
+
+@query(f"""WITH jobs AS (SELECT * FROM ({JOBS}) WHERE {VISIBLE}) SELECT job_id, '{{"@context":"https://schema.org/","@type":"JobPosting","title":"' || title || '","datePosted":"' || CAST(first_seen AS VARCHAR) || '",' ||
+    CASE WHEN deadline IS NULL THEN '' ELSE '"validThrough":"' || CAST(deadline AS VARCHAR) || '",' END || '"hiringOrganization":{{"@type":"Organization","name":"' || employer || '"}}}}' AS data FROM jobs""")
+def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.structured(board.visible(jobs(spark, sf_dir), AS_OF))
+
+
+@query("SELECT doc_id AS job_id, CASE WHEN doc_id % 11 = 0 THEN 'unknown field' WHEN doc_id % 7 = 0 THEN 'title length' WHEN doc_id % 5 = 0 THEN 'contact not in source' END AS error FROM documents")
+def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(
+        k.alias("job_id"), "text", F.when(k % 7 == 0, "").otherwise("Officer").alias("title"), F.when(k % 5 == 0, "write to nobody@nowhere.test").otherwise("A summary.").alias("summary"),
+        F.when(k % 11 == 0, F.array(F.lit("salary"))).otherwise(F.array().cast("array<string>")).alias("extra"),
+    )
+    return registry.translation_errors(rows)
+
+
 # --- ranking
 
 

@@ -27,6 +27,8 @@ CONTEXT_BITS, RANGES, BUCKETS, BINS = 20, 64, 24, 64
 #: Tokens of a shard, about; and the fewest shards.
 SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 56
 ROUNDS, FLOOR = 200, 1e-7
+#: One over the share of all tokens from which on a word is dealt out over the shards.
+FREQUENT = 20_000
 #: Words that a worker's cache of hashes holds before it is emptied.
 CACHE = 500_000
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,11 +76,12 @@ def tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray,
     return b, (mix(before) >> np.uint64(64 - CONTEXT_BITS)).astype(np.uint32), sizes
 
 
-def survey(docs: DataFrame, shards: int = LEAST_SHARDS) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+def survey(docs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     """Context counts of the kept folds and of all training folds, the number of tokens, and the frequent words.
 
-    A word that makes up 1/(4 shards) of the tokens is always among the frequent ones, of which there
-    are at most 8 * shards a batch; they only decide how the work is dealt out.
+    A batch names the words that make up 1/frequent of it, and those that it named for 1/frequent of all tokens are
+    frequent: at most so many, and every word that makes up 2/frequent of all tokens is one. They only
+    decide how the work is dealt out: what is left in one piece is below that share.
     """
     size = 1 << CONTEXT_BITS
 
@@ -90,7 +93,7 @@ def survey(docs: DataFrame, shards: int = LEAST_SHARDS) -> tuple[np.ndarray, np.
             for k, chosen in enumerate((part == KEPT, part != TEST)):
                 counts[k] += np.bincount(context[chosen], minlength=size)
             total += len(b)
-            least = max(1, len(b) // (8 * shards))
+            least = max(1, len(b) // frequent)
             low = (b & np.uint64(0xFFFF)).astype(np.int64)
             words, n = np.unique(b[np.bincount(low, minlength=1 << 16)[low] >= least], return_counts=True)
             for w, c in zip(words[n >= least].tolist(), n[n >= least].tolist(), strict=True):
@@ -124,7 +127,7 @@ def survey(docs: DataFrame, shards: int = LEAST_SHARDS) -> tuple[np.ndarray, np.
         at = r["id"] * (size // RANGES)
         for to, of in ((kept, r["kept"]), (trained, r["trained"])):
             to[at : at + size // RANGES] = unpack(of, np.int64)
-    limit = total // (8 * shards_for(total))
+    limit = total // frequent
     often = plain.where("kind = 'word'").where(F.col("n") >= limit).select("id").toPandas()["id"].to_numpy(np.int64)
     drop(found)
     return kept, trained, total, np.sort(often.view(np.uint64))
@@ -251,7 +254,7 @@ def learn(cells: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.array([fit(n[which == k], estimates[which == k], k > 0) if n[which == k].sum() >= 100 else pooled[k > 0] for k in range(BUCKETS)])
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null text is empty and has the end token only; a null id is a training document and is carried along; repeated rows
@@ -261,7 +264,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     fold = F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS, F.lit(0))
     part = F.when(fold == TEST_FOLD, TEST).when(fold == EM_FOLD, HELD).otherwise(KEPT).cast("int")
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), text_column(text).alias("text"))
-    kept, trained, total, often = survey(chosen)
+    kept, trained, total, often = survey(chosen, frequent)
     shards = shards_for(total)
     n_kept, n_trained = int(kept.sum()), int(trained.sum())
     contexts = spark.sparkContext.broadcast((kept, trained))

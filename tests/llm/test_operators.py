@@ -98,10 +98,11 @@ def test_lm_empty(empty):
     assert lm_scoring.score(empty).collect() == []
 
 
-def test_lm_hot_word(spark, monkeypatch):
-    """Frequent words are dealt out over the shards, and their counts still meet."""
+@pytest.mark.parametrize("frequent", [1, 8, 20_000])
+def test_lm_hot_word(spark, frequent):
+    """Frequent words (none, some or all) are dealt out over the shards, and their counts still meet."""
     many = [(k, "hot " * (k % 50) + f"w{k % 7}") for k in range(300)]
-    got = lm_scoring.score(spark.createDataFrame(many, "doc_id long, text string").repartition(4)).collect()
+    got = lm_scoring.score(spark.createDataFrame(many, "doc_id long, text string").repartition(4), frequent=frequent).collect()
     count = Counter()
     for i, t in many:
         if fold(i, 5) != 1:

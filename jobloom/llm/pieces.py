@@ -26,7 +26,10 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A stretch that no piece can leave: white space, and what follows it.
 STRETCH = re.compile(rb" *[^ ]+| +")
-CACHE = 300_000
+#: Stretches in a worker's cache before it is emptied; the longest that it takes; bytes of text that are cut up together.
+CACHE, SHORT, TOGETHER = 600_000, 48, 2 << 20
+#: Bytes of a character, by its first.
+CHARACTER = np.array([1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4 for c in range(256)])
 
 
 @lru_cache(4)
@@ -114,50 +117,121 @@ class Codec:
     def __init__(self, raw: list[bytes], scores: list[float], of_byte: list[int]):
         self.raw, self.scores, self.of_byte = raw, scores, of_byte
         self.trie = Trie([(x, i) for i, x in enumerate(raw) if scores[i] > -math.inf])
+        self.longest = max(len(x) for x, s in zip(raw, scores, strict=True) if s > -math.inf)
         self.unknown = min(s for s in scores if s > -math.inf) - UNKNOWN_PENALTY
         self.cache: dict[bytes, bytes] = {}
+        self.arrays = (*(np.array(x, np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)), np.array(scores))
 
     def best(self, text: bytes) -> list[int]:
         """The ids of highest total score; of equal ones, the one whose last piece is longest, and so on backwards."""
         n = len(text)
-        score, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
+        score, start, last = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0.0
-        scores, trie = self.scores, self.trie
+        scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         for at in range(n):
             here = score[at]
             if here == -math.inf:
                 continue
             lead = text[at]
-            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            covered = False
-            for end, piece in trie.prefixes(text, at):
-                covered |= end == at + size
-                if (s := here + scores[piece]) > score[end]:
-                    score[end], back[end] = s, (at, piece)
-            if not covered and (s := here + self.unknown) > score[at + size]:
-                score[at + size], back[at + size] = s, (at, -1)
+            after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            covered, state, end = False, 0, at
+            for c in text[at : at + self.longest]:
+                to = base[state] + c + 1
+                if check[to] != state:
+                    break
+                state = to
+                end += 1
+                if (piece := value[to]) >= 0:
+                    covered = covered or end == after
+                    if (s := here + scores[piece]) > score[end]:
+                        score[end], start[end], last[end] = s, at, piece
+            if not covered and (s := here + self.unknown) > score[after]:
+                score[after], start[after], last[after] = s, at, -1
         out: list[int] = []
         while n:
-            at, piece = back[n]
+            at, piece = start[n], last[n]
             out += [piece] if piece >= 0 else [self.of_byte[b] for b in reversed(text[at:n])]
             n = at
         return out[::-1]
 
+    def best_many(self, words: list[bytes]) -> list[bytes]:
+        """best() of many short words at once, as packed ids: each step takes the same position and depth of all words."""
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
+        score = np.full((len(words), width + 5), -np.inf)
+        start, last = np.zeros(score.shape, np.int16), np.full(score.shape, -1, np.int32)
+        score[:, 0] = 0
+        base, check, value, scores = self.arrays
+
+        def improve(rows: np.ndarray, end, s: np.ndarray, at: int, piece) -> None:
+            better = s > score[rows, end]
+            rows, end = rows[better], end[better] if isinstance(end, np.ndarray) else end
+            score[rows, end] = s[better]
+            start[rows, end] = at
+            last[rows, end] = piece[better] if isinstance(piece, np.ndarray) else piece
+
+        for at in range(width):
+            rows = np.flatnonzero((sizes > at) & (score[:, at] > -np.inf))
+            here, after = score[rows, at], at + CHARACTER[text[rows, at]]
+            covered, state, live = np.zeros(len(rows), bool), np.zeros(len(rows), np.int32), np.arange(len(rows))
+            for k in range(at, min(width, at + self.longest)):
+                inside = sizes[rows[live]] > k
+                live, state = live[inside], state[inside]
+                to = base[state] + text[rows[live], k] + 1
+                known = check[to] == state
+                live, state = live[known], to[known]
+                if not len(live):
+                    break
+                piece = value[state]
+                ends = piece >= 0
+                which, piece = live[ends], piece[ends]
+                improve(rows[which], k + 1, here[which] + scores[piece], at, piece)
+                covered[which] |= after[which] == k + 1
+            bare = ~covered
+            improve(rows[bare], after[bare], here[bare] + self.unknown, at, -1)
+        out, left, pos = np.zeros((len(words), width), np.int32), np.full(len(words), width), sizes.copy()
+        of_byte = np.array(self.of_byte, np.int32)
+        while len(rows := np.flatnonzero(pos > 0)):
+            begin, piece = start[rows, pos[rows]].astype(np.int64), last[rows, pos[rows]]
+            for j in range(4):  # a piece is one id, a character without one is an id a byte, from the last on
+                some = (piece < 0) & (pos[rows] - begin > j) | (piece >= 0) & (j == 0)
+                r = rows[some]
+                left[r] -= 1
+                out[r, left[r]] = np.where(piece[some] >= 0, piece[some], of_byte[text[r, pos[r] - 1 - j]])
+            pos[rows] = begin
+        packed, line = out.tobytes(), 4 * width
+        return [packed[i * line + 4 * x : (i + 1) * line] for i, x in enumerate(left.tolist())]
+
+    def learn(self, stretches: set[bytes]) -> None:
+        """Put stretches that are not in the cache there; long ones are left out."""
+        new = sorted((x for x in stretches if len(x) <= SHORT and x not in self.cache), key=len)
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = sorted((x for x in stretches if len(x) <= SHORT), key=len)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self.cache.update(zip(part, self.best_many(part), strict=True))
+
+    def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
+        """encode() of texts, a few at a time, so that their new stretches are worked out together."""
+        out, i = [], 0
+        while i < len(texts):
+            size, j = 0, i
+            while j < len(texts) and (j == i or size + len(texts[j]) <= TOGETHER):
+                size += len(texts[j])
+                j += 1
+            cut = [STRETCH.findall(b" " + t) if t else [] for t in texts[i:j]]
+            self.learn(set().union(*cut))
+            for stretches in cut:
+                parts = [self.cache.get(x) or np.array(self.best(x), np.int32).tobytes() for x in stretches]
+                out.append(np.frombuffer(b"".join(parts), np.int32))
+            i = j
+        return out
+
     def encode(self, text: bytes) -> np.ndarray:
         """Ids of a text; no ids for an empty one. A space is set before it, as the pieces expect of a word."""
-        if not text:
-            return np.empty(0, np.int32)
-        cache, parts = self.cache, []
-        for stretch in STRETCH.findall(b" " + text):
-            found = cache.get(stretch)
-            if found is None:
-                found = np.array(self.best(stretch), np.int32).tobytes()
-                if len(cache) >= CACHE:
-                    cache.clear()
-                if len(stretch) < 64:
-                    cache[stretch] = found
-            parts.append(found)
-        return np.frombuffer(b"".join(parts), np.int32)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids.tolist()))[1:]
@@ -186,7 +260,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> Data
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         use, valid = make(), texts.is_valid().to_numpy(zero_copy_only=False)
-        found = [use.encode(t) for t in as_bytes(texts)]
+        found = use.encode_many(as_bytes(texts))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
         flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
         return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), flat)

@@ -138,7 +138,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     named = docs.drop("n_lines_removed").withColumns(
         {"__d0": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__k0": F.xxhash64(text_column(text))}
     )
-    joined = named.join(runs, (F.col("__d0") == F.col("__d")) & (F.col("__k0") == F.col("__k")), "left")
+    # By shuffle at every size: what is removed grows with the corpus, and is never broadcast.
+    joined = named.join(runs.hint("merge"), (F.col("__d0") == F.col("__d")) & (F.col("__k0") == F.col("__k")), "left")
     has = F.col("__runs").isNotNull()
     # Only texts with runs go to Python; the others' cells are null there.
     joined = joined.withColumn("__new", cleaned(F.when(has, F.col(text)), F.col("__runs")))

@@ -31,7 +31,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     found = simhash.near_duplicates(docs)
     kept = found.where("doc_id is null and component_id is null or doc_id = component_id")
     ids = cut(kept.select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    named = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    # By shuffle at every size: the ids grow with the corpus, and are never broadcast.
+    named = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     order = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = f"row_number() over (partition by doc_id, xxhash64(text) order by {', '.join(f'`{c}`' for c in order) or '1'})"
     return named.withColumn("__n", F.expr(first)).where("__n = 1").select(*docs.columns)

@@ -310,7 +310,9 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     whole = cuts.where("c = 1").join(kinds.where("m > 1").select("t", "u", "x", "y"), ["t", "u", "x", "y"], "left_semi")
     whole = whole.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     mixed = kinds.groupBy("t", "u").count().where(F.col("count") > 1).select("t", "u")
-    single = strings(kinds.join(mixed, ["t", "u"], "left_semi").select("m", "c", "d", "k", "p", "n", "bytes"))
+    # Dealt out anew by place, as the runs of one large group came to one task.
+    open_ = kinds.join(mixed, ["t", "u"], "left_semi").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
+    single = strings(open_)
     twice = single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("x", "y")
     found = single.where("c = 1 and m = 1").join(twice, ["x", "y"], "left_semi")
     return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))

@@ -2,10 +2,10 @@
 
 A bigram model: P(b | a) mixes the maximum-likelihood estimates of the bigram and the word with a uniform one. The
 weights depend on how often the context was seen (buckets by its binary logarithm) and are learned by expectation
-maximisation on held-out counts: one fold of the training documents, scored with counts of the other folds. Contexts are
-the previous word's class, one of 2**CONTEXT_BITS, so that the table of context counts has a fixed size and can be
-broadcast; words themselves are never merged. Everything about one word is gathered in one shard, so neither
-the vocabulary nor the bigrams are ever held whole anywhere.
+maximisation on held-out counts: one fold of the training documents, scored with counts of the other folds. A context is
+the previous word itself; a document's first word has its end as context, so that a word is as often a context as it
+stands in the texts. Everything about one word is gathered in one shard, which asks the shards of its contexts for their
+counts; so neither the vocabulary nor the bigrams nor the contexts are ever held whole anywhere.
 """
 
 from __future__ import annotations
@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_column
 
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
-CONTEXT_BITS, RANGES, BUCKETS, BINS = 20, 64, 24, 64
+BUCKETS, BINS = 24, 64
 #: Tokens of a shard, about; and the fewest shards.
 SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 56
 ROUNDS, FLOOR = 200, 1e-7
+#: Among so many keys the rows that are no occurrences are dealt out.
+SIDES = 1 << 12
 #: One over the share of all tokens from which on a word is dealt out over the shards.
 FREQUENT = 20_000
 #: Words that a worker's cache of hashes holds before it is emptied.
 CACHE = 500_000
-END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+END = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a document's fold that the counts tell apart.
 KEPT, HELD, TEST = 0, 1, 2
 
@@ -61,6 +63,18 @@ def unpack(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+def pack_names(names: np.ndarray, often: np.ndarray) -> bytes:
+    """Sorted hashes: the frequent words among them as steps between their places, the others in full."""
+    known = np.isin(names, often)
+    places = pack(np.diff(np.searchsorted(often, names[known]), prepend=0).astype(np.uint32))
+    return len(places).to_bytes(4, "little") + places + pack(names[~known])
+
+
+def unpack_names(x: bytes, often: np.ndarray) -> np.ndarray:
+    end = 4 + int.from_bytes(x[:4], "little")
+    return np.sort(np.concatenate([often[np.cumsum(unpack(x[4:end], np.uint32))], unpack(x[end:], np.uint64)]))
+
+
 def tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens, of the context of each, and each text's number of tokens (its end included)."""
     words, sizes = [], np.empty(len(texts), np.int64)
@@ -70,65 +84,37 @@ def tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray,
         words.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
         words.append(np.array([END]))
     b = np.concatenate(words) if words else np.empty(0, np.uint64)
-    before = np.empty_like(b)
-    before[1:] = b[:-1]
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else []] = START
-    return b, (mix(before) >> np.uint64(64 - CONTEXT_BITS)).astype(np.uint32), sizes
+    return b, np.concatenate([[END], b[:-1]]) if len(b) else b, sizes
 
 
-def survey(docs: DataFrame, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-    """Context counts of the kept folds and of all training folds, the number of tokens, and the frequent words.
+def survey(docs: DataFrame, frequent: int = FREQUENT) -> tuple[int, int, int, np.ndarray]:
+    """The number of tokens of the kept folds, of all training folds and of all, and the frequent words.
 
     A batch names the words that make up 1/frequent of it, and those that it named for 1/frequent of all tokens are
     frequent: at most so many, and every word that makes up 2/frequent of all tokens is one. They only
     decide how the work is dealt out: what is left in one piece is below that share.
     """
-    size = 1 << CONTEXT_BITS
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, total, often = Hashes(), np.zeros((2, size), np.int64), 0, {}
+        hashes, sums, often = Hashes(), [0, 0, 0], {}
         for batch in small_batches(batches):
-            b, context, sizes = tokens(as_bytes(batch.column(2)), hashes)
-            part = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            for k, chosen in enumerate((part == KEPT, part != TEST)):
-                counts[k] += np.bincount(context[chosen], minlength=size)
-            total += len(b)
+            b, _, sizes = tokens(as_bytes(batch.column(2)), hashes)
+            part = batch.column(1).to_numpy(zero_copy_only=False)
+            for k, chosen in enumerate((part == KEPT, part != TEST, part >= 0)):
+                sums[k] += int(sizes[chosen].sum())
             least = max(1, len(b) // frequent)
             low = (b & np.uint64(0xFFFF)).astype(np.int64)
             words, n = np.unique(b[np.bincount(low, minlength=1 << 16)[low] >= least], return_counts=True)
             for w, c in zip(words[n >= least].tolist(), n[n >= least].tolist(), strict=True):
                 often[w] = often.get(w, 0) + c
-        rows = [("total", 0, total, None, None)] + [("word", w - (1 << 64) if w >> 63 else w, c, None, None) for w, c in often.items()]
-        for k in range(RANGES):
-            span = slice(k * (size // RANGES), (k + 1) * (size // RANGES))
-            if counts[1][span].any():
-                rows.append(("context", k, 0, pack(counts[0][span]), pack(counts[1][span])))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-            ["kind", "id", "n", "kept", "trained"],
-        )
+        rows = [("total", k, n) for k, n in enumerate(sums)] + [("word", w - (1 << 64) if w >> 63 else w, c) for w, c in often.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["kind", "id", "n"])
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                now = [unpack(r[c], np.int64) for c in ("kept", "trained")]
-                sums[r["id"]] = [x + y for x, y in zip(sums[r["id"]], now, strict=True)] if r["id"] in sums else now
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), *[pa.array([pack(x[k]) for x in sums.values()], pa.binary()) for k in (0, 1)]], ["id", "kept", "trained"]
-        )
-
-    found = cut(docs.mapInArrow(each, "kind string, id long, n long, kept binary, trained binary"), "survey")
+    found = cut(docs.mapInArrow(each, "kind string, id long, n long"), "survey")
     plain = found.groupBy("kind", "id").agg(F.sum("n").alias("n"))
-    total = plain.where("kind = 'total'").agg(F.sum("n")).first()[0] or 0
-    ranges = found.where("kind = 'context'").select("id", "kept", "trained").repartition("id").mapInArrow(merged, "id long, kept binary, trained binary")
-    kept, trained = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for r in ranges.toLocalIterator():
-        at = r["id"] * (size // RANGES)
-        for to, of in ((kept, r["kept"]), (trained, r["trained"])):
-            to[at : at + size // RANGES] = unpack(of, np.int64)
-    limit = total // frequent
-    often = plain.where("kind = 'word'").where(F.col("n") >= limit).select("id").toPandas()["id"].to_numpy(np.int64)
+    sums = {r["id"]: r["n"] for r in plain.where("kind = 'total'").collect()}
+    kept, trained, total = (sums.get(k, 0) for k in range(3))
+    often = plain.where("kind = 'word'").where(F.col("n") >= total // frequent).select("id").toPandas()["id"].to_numpy(np.int64)
     drop(found)
     return kept, trained, total, np.sort(often.view(np.uint64))
 
@@ -137,11 +123,11 @@ def shards_for(total: int) -> int:
     return max(LEAST_SHARDS, -(-total // SHARD_TOKENS))
 
 
-COLUMNS = "shard int, batch long, words binary, counts binary, contexts binary, docs binary"
+COLUMNS = "shard int, batch long, words binary, counts binary, contexts binary, codes binary, docs binary"
 
 
 def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
-    """Compressed occurrences by shard; shard -1 names the documents, shard -2 counts the frequent words."""
+    """Compressed occurrences by shard; shards -1 - 2k name the documents, shards -2 - 2k count the frequent words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -154,17 +140,17 @@ def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint32) * np.uint32(4) + part, sizes)
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            rows.append((-1, number, pack(ids), pack(known.astype(np.uint8)), b"", pack(part)))
+            rows.append((-1 - 2 * (number % SIDES), number, pack(ids), pack(known.astype(np.uint8)), b"", b"", pack(part)))
             words, code = np.unique(b, return_inverse=True)
             frequent = np.isin(words, often)
             shard = (mix(words) % np.uint64(shards))[code]
             salted = frequent[code]
-            shard[salted] = mix(words[code[salted]] ^ (context[salted].astype(np.uint64) << np.uint64(32))) % np.uint64(shards)
+            shard[salted] = mix(words[code[salted]] ^ mix(context[salted])) % np.uint64(shards)
             if frequent.any():
                 at = np.flatnonzero(frequent)
                 n = [np.bincount(code[salted & (np.repeat(part, sizes) != x)], minlength=len(words))[at].astype(np.int64) for x in (TEST,)]
                 k = np.bincount(code[salted & (np.repeat(part, sizes) == KEPT)], minlength=len(words))[at].astype(np.int64)
-                rows.append((-2, number, pack(words[at]), pack(k), pack(n[0]), b""))
+                rows.append((-2 - 2 * (number % SIDES), number, pack(words[at]), pack(k), pack(n[0]), b"", b""))
             order = np.argsort(shard << np.uint64(32) | code.astype(np.uint64))
             shard, code, context, doc = shard[order], code[order], context[order], doc[order]
             edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
@@ -173,30 +159,38 @@ def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
                 if x < y:
                     new = np.flatnonzero(np.concatenate([[True], code[x + 1 : y] != code[x : y - 1]]))
                     runs = np.diff(np.concatenate([new, [y - x]])).astype(np.uint32)
-                    rows.append((k, number, pack(words[code[x:y][new]]), pack(runs), pack(context[x:y]), pack(doc[x:y])))
+                    contexts, at = np.unique(context[x:y], return_inverse=True)
+                    rows.append((k, number, pack_names(words[code[x:y][new]], often), pack(runs), pack_names(contexts, often), pack(at.astype(np.uint32)), pack(doc[x:y])))
             number += 1
             columns = list(zip(*rows, strict=True))
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in COLUMNS.split(", ")])
 
-    target = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.hash("batch", "shard"))  # the side rows go anywhere
-    return docs.mapInArrow(each, COLUMNS).repartition(shards, target).sortWithinPartitions("shard")
+    return docs.mapInArrow(each, COLUMNS).repartition(shards, "shard").sortWithinPartitions("shard")
 
 
 class Shard:
     """All occurrences of a shard's words, with what was counted of them; in the order of the blobs they came in."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], often: np.ndarray, paired: bool = True):
         self.batches = [r["batch"] for r in rows]
-        words, inverse = np.unique(np.concatenate([unpack(r["words"], np.uint64) for r in rows]), return_inverse=True)
+        words, inverse = np.unique(np.concatenate([unpack_names(r["words"], often) for r in rows]), return_inverse=True)
         self.words = words
         self.code = np.repeat(inverse.astype(np.int32), np.concatenate([unpack(r["counts"], np.uint32) for r in rows]))
-        context = [unpack(r["contexts"], np.uint32) for r in rows]
+        named = [unpack_names(r["contexts"], often) for r in rows]
+        self.contexts, inverse = np.unique(np.concatenate(named), return_inverse=True)
+        inverse, at, context = inverse.astype(np.int32), 0, []
+        for r, x in zip(rows, named, strict=True):
+            context.append(inverse[at : at + len(x)][unpack(r["codes"], np.uint32)])
+            at += len(x)
         self.ends = np.cumsum([len(x) for x in context])
         self.context = np.concatenate(context)
+        del named, inverse, context
         doc = np.concatenate([unpack(r["docs"], np.uint32) for r in rows])
         self.part, self.doc = (doc & np.uint32(3)).astype(np.uint8), doc >> np.uint32(2)
-        pair = (self.code.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | self.context
+        if not paired:
+            return
+        pair = (self.code.astype(np.uint64) << np.uint64(32)) | self.context.astype(np.uint64)
         order = np.argsort(pair)
         pair = pair[order]
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
@@ -210,16 +204,77 @@ class Shard:
         return np.bincount(self.code[chosen], minlength=len(self.words)), np.bincount(self.pair[chosen], minlength=self.pairs)
 
 
-def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    def by_home(self, shards: int, often: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The contexts whose counts are asked for, those that are not frequent, as places in `contexts` by their shard."""
+        at = np.flatnonzero(~np.isin(self.contexts, often))
+        home = (mix(self.contexts[at]) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        edges = np.searchsorted(home[order], np.arange(shards + 1))
+        return [(k, at[order[edges[k] : edges[k + 1]]]) for k in range(shards) if edges[k] < edges[k + 1]]
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Runs of rows of the same key."""
     rows: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
-            if rows and rows[0]["shard"] != r["shard"]:
-                yield Shard(rows)
+            if rows and rows[0][key] != r[key]:
+                yield rows
                 rows = []
             rows.append(r)
     if rows:
-        yield Shard(rows)
+        yield rows
+
+
+def looked_up(names: np.ndarray, values: np.ndarray, asked: np.ndarray, other: np.ndarray | int = 0) -> np.ndarray:
+    """The value of each asked name in the sorted names, and `other` for those that are not there."""
+    if not len(names):
+        return np.zeros(len(asked), np.int64) + other
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return np.where(names[at] == asked, values[at], other)
+
+
+ANSWERS = "shard int, home int, kept binary, trained binary"
+
+
+def context_counts(dealt: DataFrame, shards: int, frequent) -> DataFrame:
+    """For each shard and shard of contexts: the contexts' counts, in the order in which by_home() names them.
+
+    Frequent contexts are not asked for; the broadcast `frequent` has their counts, summed beforehand.
+    """
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value[0]
+        for group in by_key(batches, "shard"):
+            shard = Shard(group, often, paired=False)
+            own = ~np.isin(shard.words, often)
+            kept, trained = (np.bincount(shard.code[shard.part == KEPT], minlength=len(own)), np.bincount(shard.code[shard.part != TEST], minlength=len(own)))
+            rows = [(group[0]["shard"], -1, pack(shard.words[own]), pack(kept[own]), pack(trained[own]))] if own.any() else []
+            rows += [(k, group[0]["shard"], pack(shard.contexts[at]), None, None) for k, at in shard.by_home(shards, often)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["home", "shard", "words", "kept", "trained"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = kept = trained = np.empty(0, np.int64)
+        home = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["home"] != home:
+                    home, names, kept, trained = r["home"], np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+                words = unpack(r["words"], np.uint64)
+                if r["shard"] < 0:
+                    names, kept, trained = words, unpack(r["kept"], np.int64), unpack(r["trained"], np.int64)
+                else:
+                    rows.append((r["shard"], home, pack(looked_up(names, kept, words)), pack(looked_up(names, trained, words))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "home", "kept", "trained"]
+            )
+
+    questions = dealt.where("shard >= 0").mapInArrow(asked, "home int, shard int, words binary, kept binary, trained binary")
+    return cut(questions.repartition(shards, "home").sortWithinPartitions("home", "shard").mapInArrow(answered, ANSWERS), "contexts")
 
 
 def level(x: np.ndarray, least: float = 1e-12) -> np.ndarray:
@@ -264,10 +319,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     fold = F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS, F.lit(0))
     part = F.when(fold == TEST_FOLD, TEST).when(fold == EM_FOLD, HELD).otherwise(KEPT).cast("int")
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), text_column(text).alias("text"))
-    kept, trained, total, often = survey(chosen, frequent)
+    n_kept, n_trained, total, often = survey(chosen, frequent)
     shards = shards_for(total)
-    n_kept, n_trained = int(kept.sum()), int(trained.sum())
-    contexts = spark.sparkContext.broadcast((kept, trained))
     dealt = deal(chosen, shards, often).persist(StorageLevel.DISK_ONLY)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,66 +329,76 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
                 k, n = unpack(r["counts"], np.int64), unpack(r["contexts"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(r["words"], np.uint64).view(np.int64)), pa.array(k), pa.array(n)], ["word", "kept", "trained"])
 
-    counted = dealt.where("shard = -2").mapInArrow(named, "word long, kept long, trained long").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("trained").alias("trained")).toPandas()
+    counted = dealt.where("shard < 0 and shard % 2 = 0").mapInArrow(named, "word long, kept long, trained long").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("trained").alias("trained")).toPandas()
     order = np.argsort(counted["word"].to_numpy(np.int64).view(np.uint64))
-    frequent = spark.sparkContext.broadcast(
-        (counted["word"].to_numpy(np.int64).view(np.uint64)[order], counted["kept"].to_numpy(np.int64)[order], counted["trained"].to_numpy(np.int64)[order])
-    )
+    names, *sums = counted["word"].to_numpy(np.int64).view(np.uint64)[order], counted["kept"].to_numpy(np.int64)[order], counted["trained"].to_numpy(np.int64)[order]
+    frequent = spark.sparkContext.broadcast((often, *[looked_up(names, x, often) for x in sums]))
+    answers = context_counts(dealt, shards, frequent)
+    asking = dealt.where("shard >= 0").groupBy("shard")
 
     def whole(shard: Shard, n: np.ndarray, which: int) -> np.ndarray:
         """A shard's word counts, those of frequent words taken from all shards."""
-        names = frequent.value[0]
-        if len(names):
-            at = np.minimum(np.searchsorted(names, shard.words), len(names) - 1)
-            return np.where(names[at] == shard.words, frequent.value[which][at], n)
+        return looked_up(frequent.value[0], frequent.value[which], shard.words, n)
+
+    def before(shard: Shard, found: pa.Table, which: int) -> np.ndarray:
+        """The counts of a shard's contexts."""
+        told = dict(zip(found["home"].to_pylist(), found["kept" if which == 1 else "trained"].to_pylist(), strict=True))
+        n = looked_up(frequent.value[0], frequent.value[which], shard.contexts)
+        for k, at in shard.by_home(shards, frequent.value[0]):
+            n[at] = unpack(told[k], np.int64)
         return n
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = contexts.value[0]
-        for shard in by_shard(batches):
-            words, pairs = shard.counts(shard.part == KEPT)
-            words = whole(shard, words, 1)
-            here = np.flatnonzero(shard.part == HELD)
-            seen = before[shard.context[here]]
-            two = pairs[shard.pair[here]] / np.maximum(seen, 1)
-            one = words[shard.code[here]] / max(n_kept, 1)
-            cell = (bucket(seen) * BINS + level(two)) * BINS + level(one)
-            cells, code = np.unique(cell, return_inverse=True)
-            trained_words = shard.counts(shard.part != TEST)[0]
-            new = int(((trained_words > 0) & ~np.isin(shard.words, frequent.value[0])).sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.append(cells, -1)),
-                    pa.array(np.append(np.bincount(code, minlength=len(cells)), new).astype(np.int64)),
-                    pa.array(np.append(np.bincount(code, two, minlength=len(cells)), 0.0)),
-                    pa.array(np.append(np.bincount(code, one, minlength=len(cells)), 0.0)),
-                ],
-                ["cell", "n", "two", "one"],
-            )
+    def held(occurrences: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(occurrences):
+            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "two": pa.array([], pa.float64()), "one": pa.array([], pa.float64())})
+        shard = Shard(occurrences.to_pylist(), frequent.value[0])
+        words, pairs = shard.counts(shard.part == KEPT)
+        words = whole(shard, words, 1)
+        here = np.flatnonzero(shard.part == HELD)
+        seen = before(shard, found, 1)[shard.context[here]]
+        two = pairs[shard.pair[here]] / np.maximum(seen, 1)
+        one = words[shard.code[here]] / max(n_kept, 1)
+        cell = (bucket(seen) * BINS + level(two)) * BINS + level(one)
+        cells, code = np.unique(cell, return_inverse=True)
+        trained_words = shard.counts(shard.part != TEST)[0]
+        new = int(((trained_words > 0) & ~np.isin(shard.words, frequent.value[0])).sum())
+        return pa.Table.from_arrays(
+            [
+                pa.array(np.append(cells, -1)),
+                pa.array(np.append(np.bincount(code, minlength=len(cells)), new).astype(np.int64)),
+                pa.array(np.append(np.bincount(code, two, minlength=len(cells)), 0.0)),
+                pa.array(np.append(np.bincount(code, one, minlength=len(cells)), 0.0)),
+            ],
+            ["cell", "n", "two", "one"],
+        )
 
-    statistics = dealt.where("shard >= 0").mapInArrow(held, "cell long, n long, two double, one double")
+    statistics = asking.cogroup(answers.groupBy("shard")).applyInArrow(held, "cell long, n long, two double, one double")
     found = statistics.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()
     vocabulary = int(found.loc[found["cell"] < 0, "n"].sum()) + int((frequent.value[2] > 0).sum())
     found = found[found["cell"] >= 0]
     cells = np.column_stack([found["cell"] // (BINS * BINS), found["n"], found["two"] / found["n"], found["one"] / found["n"]]).astype(float)
     weights = learn(cells, vocabulary)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = contexts.value[1]
-        for shard in by_shard(batches):
-            words, pairs = shard.counts(shard.part != TEST)
-            words = whole(shard, words, 2)
-            start = 0
-            for number, end in zip(shard.batches, shard.ends.tolist(), strict=True):
-                here, start = slice(start, end), end
-                n, seen = words[shard.code[here]], before[shard.context[here]]
-                weight = weights[bucket(seen)]
-                p = weight[:, 0] * pairs[shard.pair[here]] / np.maximum(seen, 1) + weight[:, 1] * n / max(n_trained, 1) + weight[:, 2] / (vocabulary + 1)
-                doc = shard.doc[here]
-                count = np.bincount(doc)
-                rows = np.flatnonzero(count)
-                add = lambda x, d=doc, r=rows: pa.array(np.bincount(d, x)[r])
-                yield pa.RecordBatch.from_arrays(
+    def scored(occurrences: pa.Table, found: pa.Table) -> pa.Table:
+        kinds = pa.schema({"row": pa.int64(), "n": pa.int32(), "known": pa.int32(), "base": pa.float64(), "model": pa.float64()})
+        if not len(occurrences):
+            return kinds.empty_table()
+        shard = Shard(occurrences.to_pylist(), frequent.value[0])
+        words, pairs = shard.counts(shard.part != TEST)
+        words = whole(shard, words, 2)
+        often_before = before(shard, found, 2)
+        start, out = 0, []
+        for number, end in zip(shard.batches, shard.ends.tolist(), strict=True):
+            here, start = slice(start, end), end
+            n, seen = words[shard.code[here]], often_before[shard.context[here]]
+            weight = weights[bucket(seen)]
+            p = weight[:, 0] * pairs[shard.pair[here]] / np.maximum(seen, 1) + weight[:, 1] * n / max(n_trained, 1) + weight[:, 2] / (vocabulary + 1)
+            doc = shard.doc[here]
+            count = np.bincount(doc)
+            rows = np.flatnonzero(count)
+            add = lambda x, d=doc, r=rows: pa.array(np.bincount(d, x)[r])
+            out.append(
+                pa.RecordBatch.from_arrays(
                     [
                         pa.array((np.int64(number) << 20) + rows),
                         pa.array(count[rows].astype(np.int32)),
@@ -343,12 +406,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
                         add(np.log10(n + 0.5)),
                         add(np.log10(p)),
                     ],
-                    ["row", "n", "known", "base", "model"],
+                    schema=kinds,
                 )
+            )
+        return pa.Table.from_batches(out, kinds)
 
     sums = (
-        dealt.where("shard >= 0")
-        .mapInArrow(scored, "row long, n int, known int, base double, model double")
+        asking.cogroup(answers.groupBy("shard"))
+        .applyInArrow(scored, "row long, n int, known int, base double, model double")
         .groupBy("row")
         .agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
     )
@@ -366,7 +431,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
                     ["row", "doc_id", "held_out"],
                 )
 
-    rows = dealt.where("shard = -1").mapInArrow(identity, "row long, doc_id long, held_out boolean")
+    rows = dealt.where("shard < 0 and shard % 2 != 0").mapInArrow(identity, "row long, doc_id long, held_out boolean")
     total_log = float(np.log10(n_trained + 0.5 * (vocabulary + 1)))
     out = cut(
         rows.join(sums, "row").select(
@@ -381,4 +446,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
         "scores",
     )
     dealt.unpersist()
+    drop(answers)
     return out

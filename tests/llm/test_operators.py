@@ -112,6 +112,37 @@ def test_lm_hot_word(spark, frequent):
     assert len(got) == 300 and all(abs(want[r.doc_id] - r.base_score) < 1e-6 for r in got)
 
 
+@pytest.mark.parametrize("frequent", [1, 500])
+def test_lm_contexts_are_words(spark, frequent):
+    """Scores with the counts of the previous words themselves, of so many words that classes of them would collide."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(21)
+    many = [(k, " ".join(f"w{min(rng.randrange(20_000), rng.randrange(20_000))}" for _ in range(rng.randint(0, 90)))) for k in range(800)]
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(many, "doc_id long, text string").repartition(4), frequent=frequent).collect()}
+    texts = {i: ["</s>", *t.split(), "</s>"] for i, t in many}
+
+    def counts(folds):
+        chosen = [t for i, t in texts.items() if fold(i, 5) in folds]
+        return Counter(w for t in chosen for w in t[1:]), Counter(w for t in chosen for w in t[:-1]), Counter(p for t in chosen for p in zip(t, t[1:], strict=False))
+
+    words, contexts, pairs = counts({0, 3, 4})
+    sums = defaultdict(lambda: np.zeros(3))
+    for i, t in texts.items():
+        for a, b in zip(t, t[1:], strict=False) if fold(i, 5) == 2 else ():
+            two, one = pairs[a, b] / max(contexts[a], 1), words[b] / sum(words.values())
+            key = tuple(int(f(np.array([v]))[0]) for f, v in ((lm_scoring.bucket, contexts[a]), (lm_scoring.level, two), (lm_scoring.level, one)))
+            sums[key] += [1, two, one]
+    words, contexts, pairs = counts({0, 2, 3, 4})
+    weights = lm_scoring.learn(np.array([[k[0], n, two / n, one / n] for k, (n, two, one) in sums.items()]), len(words))
+    for i, t in texts.items():
+        p = [w[0] * pairs[a, b] / max(contexts[a], 1) + w[1] * words[b] / sum(words.values()) + w[2] / (len(words) + 1)
+             for a, b in zip(t, t[1:], strict=False) for w in [weights[int(lm_scoring.bucket(np.array([contexts[a]]))[0])]]]
+        assert abs(got[i] - sum(map(math.log10, p))) < 1e-6, i
+
+
 # --- operator 3
 
 

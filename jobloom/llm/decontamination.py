@@ -2,7 +2,8 @@
 
 Of each 13-word window of a benchmark item the term that is rarest in the documents is its anchor. Only anchors
 are indexed: a posting is a document, a position and the words around it. Postings meet the anchors of their term,
-offsets are lined up, and the lists around both are intersected outwards from the anchor.
+offsets are lined up, and the lists around both are intersected outwards from the anchor. For nearness a window has as
+many anchors, its rarest terms that occur, that NEAR_PERCENT of its terms cannot stand anywhere without one of them.
 """
 
 from __future__ import annotations
@@ -78,8 +79,27 @@ def anchors_of(words: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, i
             start = s
 
 
+def near_anchors_of(words: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, int, int, int, int, list[int], int]]:
+    """(word, position, first and last window start, window's length, surrounding terms, least terms needed) of an item's anchors for nearness."""
+    n, size = len(words), min(WINDOW, len(words))
+    terms = [OUTSIDE_ITEM] * SIDE + [term(w) for w in words] + [OUTSIDE_ITEM] * SIDE
+    found: dict[int, list[tuple[int, int]]] = {}
+    for s in range(n - size + 1 if n else 0):
+        known = dict(zip(words[s : s + size], counts[s : s + size], strict=True))
+        needed = -(-NEAR_PERCENT * len(known) // 100)
+        occurring = sorted((c, w) for w, c in known.items() if c)
+        for _, w in occurring[: max(0, len(occurring) - needed + 1)]:
+            found.setdefault(words.index(w, s), []).append((s, needed))
+    for q, at in found.items():
+        start = 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or at[k][0] != at[k - 1][0] + 1:
+                yield words[q], q, at[start][0], at[k - 1][0], size, terms[q : q + WINDOW + SIDE], min(x for _, x in at[start:k])
+                start = k
+
+
 def item_anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, word, item_id, q, s0, s1, size, around) of all items' anchors."""
+    """(term, word, item_id, q, s0, s1, size, around, needed) of all items' anchors; needed is null for those of exact matches."""
     kind = items.schema["item_id"].dataType.simpleString()
     keyed = items.withColumn("row", F.monotonically_increasing_id())
     spread = keyed.select("row", "item_id", F.posexplode("words").alias("pos", "word")).join(counts, "word", "left")
@@ -89,15 +109,16 @@ def item_anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for item, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out += [(item, term(a[0]), *a) for a in anchors_of([x["word"] for x in at], [x["n"] for x in at])]
-            columns = list(zip(*out, strict=True)) or [[]] * 8
+                words, n = [x["word"] for x in at], [x["n"] for x in at]
+                out += [(item, term(a[0]), *a, None) for a in anchors_of(words, n)] + [(item, term(a[0]), *a) for a in near_anchors_of(words, n)]
+            columns = list(zip(*out, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)],
-                ["item_id", "term", "word", "q", "s0", "s1", "size", "around"],
+                [pa.array(list(c), t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()), strict=True)],
+                ["item_id", "term", "word", "q", "s0", "s1", "size", "around", "needed"],
             )
 
     return gathered.select("item_id", "at").mapInArrow(
-        each, f"item_id {kind}, term long, word binary, q int, s0 int, s1 int, size int, around array<long>"
+        each, f"item_id {kind}, term long, word binary, q int, s0 int, s1 int, size int, around array<long>, needed int"
     )
 
 
@@ -154,12 +175,18 @@ def block_matches(docs: DataFrame, items: DataFrame, kind: str) -> tuple[DataFra
     met = met.withColumns(
         {"lo": F.greatest("s0", F.col("q") - F.col("left")), "hi": F.least("s1", F.col("q") + F.col("right") - F.col("size") + 1)}
     )
-    phrase = F.slice("item_around", SIDE - F.col("q") + F.col("s0") + 1, F.col("size"))
-    near = 100 * F.size(F.array_intersect(phrase, F.col("around"))) >= NEAR_PERCENT * F.size(F.array_distinct(phrase))
+    common = F.array_intersect("item_around", "around")
+
+    def stands(s):
+        phrase = F.slice("item_around", SIDE - F.col("q") + s + 1, F.col("size"))
+        return 100 * F.size(F.array_intersect(phrase, F.col("around"))) >= NEAR_PERCENT * F.size(F.array_distinct(phrase))
+
+    # Most places fail for all windows of the anchor at once.
+    near = F.when(F.col("needed").isNotNull() & (F.size(common) >= F.col("needed")), F.exists(F.sequence("s0", "s1"), stands)).otherwise(False)
     found = met.select(
         "row",
         "item_id",
-        (F.col("lo") <= F.col("hi")).alias("exact"),
+        (F.col("needed").isNull() & (F.col("lo") <= F.col("hi"))).alias("exact"),
         near.alias("near"),
         (F.col("pos") - F.col("q") + F.col("lo")).alias("start"),
         (F.col("pos") - F.col("q") + F.col("hi") + F.col("size")).alias("end"),
@@ -171,7 +198,7 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
     """(row, doc_id, n_words, spans, items, near_items) for each row of docs.
 
     spans: array of (start, end) word runs in which benchmark windows stand, merged; items: the items of those windows;
-    near_items: items of which a window's terms stand, at least NEAR_PERCENT of them, within 12 words of its anchor.
+    near_items: items of which a window's terms stand, at least NEAR_PERCENT of them, within 12 words of one of its anchors.
     An item of fewer than 13 words is one window; an item without words is none. Null texts have no words; null
     ids are carried along; repeated rows are each matched; empty tables give no rows or no matches.
     """

@@ -307,6 +307,29 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert {r.n_hit for r in decontamination.digest(decontamination.search(docs, bench.where("false"))).collect()} == {0}
 
 
+def test_near_items(spark):
+    """Near items against brute force: any 13 words with enough of a window's terms are found, in whichever window and whatever was substituted."""
+    import random
+
+    rng = random.Random(8)
+    items = [(k, [f"q{rng.randrange(60)}" for _ in range(rng.randint(5, 40))] + ["absent"] * (k % 2)) for k in range(30)]
+    docs = []
+    for k in range(150):
+        words = list(rng.choice(items)[1])
+        a = rng.randrange(len(words))
+        words = [w if rng.random() < 0.85 and w != "absent" else f"x{rng.randrange(9)}" for w in words[a : a + rng.randint(5, 20)]]
+        docs.append((k, [f"y{rng.randrange(9)}" for _ in range(rng.randint(0, 15))] + words + [f"z{rng.randrange(9)}" for _ in range(rng.randint(0, 15))]))
+    found = decontamination.search(
+        spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    )
+    got = {r.doc_id: set(r.near_items) for r in found.collect()}
+    windows = [(str(i), set(w[k : k + 13])) for i, w in items for k in range(max(1, len(w) - 12))]
+    for k, words in docs:
+        near = lambda spans: {i for i, w in windows if any(100 * len(w & x) >= 75 * len(w) for x in spans)}  # noqa: E731, B023
+        assert near([set(words[j : j + 13]) for j in range(len(words))]) <= got[k] <= near([set(words[max(0, j - 12) : j + 13]) for j in range(len(words))]), k
+    assert sum(map(bool, got.values())) > 20
+
+
 # --- operator 8
 
 

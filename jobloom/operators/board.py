@@ -8,20 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import all_words, employer_key
+from jobloom.operators import dedup
 
 UNDATED_DAYS, NEW_DAYS, PAGE, FEED = 30, 3, 20, 50
 HIDDEN_REASONS = ("manual", "duplicate")
+#: What tells the same vacancy of several sources; without these columns there is nothing to tell it by. URLs may be missing.
+IDENTITY = {"source_id", "aggregator", "published_on", "employer", "city", "title"}
 LEVELS = ["secondary", "junior_college", "bachelor", "master", "phd"]
 
 
 def visible(jobs: DataFrame, as_of: date) -> DataFrame:
-    """Published jobs of enabled sources that are open: by deadline, or without one if seen or reviewed lately."""
+    """Published jobs of enabled sources that are open, each vacancy once: by deadline, or without one if seen or reviewed lately."""
     today = F.lit(as_of)
     lately = F.date_sub(today, UNDATED_DAYS)
     dated = F.col("deadline").isNotNull()
     open_ = dated & (F.col("deadline") >= today)
     undated = ~dated & ((F.col("first_seen") >= lately) | F.coalesce(F.col("last_reviewed") >= lately, F.lit(False)))
-    return jobs.where((F.col("status") == "published") & F.col("enabled") & (open_ | undated))
+    return unique(jobs, (F.col("status") == "published") & F.col("enabled") & (open_ | undated))
+
+
+def unique(jobs: DataFrame, shown: Column) -> DataFrame:
+    """The shown jobs without copies from other sources, and without aggregator copies of official records that are not shown."""
+    found = jobs.where(shown)
+    if not set(jobs.columns) >= IDENTITY:
+        return found
+    rows = jobs.withColumns({c: F.lit(None).cast("string") for c in ("canonical_url", "application_url") if c not in jobs.columns})
+    rows = rows.withColumn("shown", F.coalesce(shown, F.lit(False))).where("shown or not aggregator")
+    pairs = dedup._cut(dedup.same_vacancy(dedup.identity_keys(rows)))
+    blocked = dedup.official_duplicates(rows.where("aggregator or not shown"), pairs)
+    return found.join(dedup.winners(rows.where("shown"), pairs, blocked), "job_id", "left_semi")
 
 
 def public_history(jobs: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def test_visible_edges(spark):
     assert sorted(r.job_id for r in df.where(board.not_before("deadline", DAY)).collect()) == [1, 3, 4, 5, 6, 7]
 
 
+def test_visible_shows_a_vacancy_once(spark):
+    """Copies of shown and of withdrawn official records, and repeats of other sources, do not show."""
+    rows = [(1, 1, False, "published", "Role"), (2, 2, True, "published", "role"), (3, 3, False, "published", "Role"), (4, 1, False, "review", "Withdrawn"), (5, 2, True, "published", "Withdrawn"),
+            (6, 2, True, "published", "Alone"), (7, 1, False, "published", "Role")]
+    df = spark.createDataFrame(
+        [(i, s, a, st, True, OPEN, DAY, None, DAY, "Employer", "City", t) for i, s, a, st, t in rows],
+        "job_id long, source_id long, aggregator boolean, status string, enabled boolean, deadline date, first_seen date, last_reviewed date, published_on date, employer string, city string, title string",
+    )
+    assert sorted(r.job_id for r in board.visible(df, DAY).collect()) == [1, 6, 7]
+
+
 def test_matches_and_digest(spark):
     jobs = spark.createDataFrame(
         [(1, "Urgent Help", "NATION_1", "BUILDING", "bachelor", 3, date(2026, 1, 1), None, ["f1"], ["en"]), (2, "Other", "", "BUILDING", "", None, date(2026, 1, 2), None, [], [])],

@@ -546,6 +546,22 @@ def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadlines(fixtures.date_texts(spark))
 
 
+@query()
+def document_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of all texts: the advert rules at scale."""
+    from jobloom.functions.extract import requirements
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text")
+    return requirements(docs, "doc_id").select("doc_id", "level", "years", "fields", "required", "licence", "work_time", "salary", "duration")
+
+
+@query()
+def document_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from jobloom.functions.extract import deadlines
+
+    return deadlines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", d("deadline"), d("published"))
+
+
 @query()
 def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from jobloom.functions.extract import candidates

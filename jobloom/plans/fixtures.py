@@ -25,12 +25,40 @@ def profiles(spark: SparkSession) -> DataFrame:
     )
 
 
+#: Adverts whose facts are stated in the tests.
 ADVERTS = [
-    (1, "Legal Officer (S3)", "Education: university degree in law. A minimum of six years of relevant professional experience, including two years at senior level. Fluency in English is required. A driving licence is required."),
-    (2, "Programme Analyst", "Bachelor’s degree in social sciences, law or human rights. Minimum 2 years of experience. Fluency in English and B/C/S is required; knowledge of German would be an asset."),
-    (3, "Savjetnik", "Visoko obrazovanje: pravni fakultet. Najmanje tri godine radnog iskustva. Obavezno poznavanje engleskog jezika; njemački je prednost. Puno radno vrijeme. Plata: 2.400 KM neto mjesečno. Trajanje: 12 mjeseci."),
-    (4, "Assistant", "No prior experience is required. Secondary school education. Working from home is not possible. Part-time."),
-    (5, "Nothing", None),
+    (1, "Chief, General Services (S3)", "Level of Professional Competence Requirements Furthermore, this level of responsibility requires the following: Education: Second-level university degree degree; "
+     "Certified training course in a relevant field desirable. A first-level university degree in combination with two years of additional qualifying experience may be "
+     "accepted in lieu of the second-level university degree. Experience: Minimum 6 years (8 years with a relevant first-level degree) of relevant, diversified and "
+     "progressively responsible professional experience including at least 3 years at the management level relevant to the actual position. Professional fluency in English "
+     "with excellent communication skills; Holding a valid driving license. Desirable: Field experience with the OSCE."),
+    (2, "Project Coordinator", "Required Skills and Experience Education: Advanced university degree (Master's degree or equivalent) in Law, Social Sciences, International Relations, Human Rights "
+     "or any other related field is required; OR A first-level university degree (bachelor's degree) in the areas mentioned above, in combination with an additional two "
+     "years of qualifying work experience, will be given due consideration in lieu of the advanced university degree. Experience: Minimum two years (with Master´s degree) or "
+     "four years (with Bachelor´s degree) of proven project management experience. Languages: Fluency in English and any official languages of Bosnia and Herzegovina "
+     "(Bosnian/Croatian or Serbian) is required."),
+    (3, "Electrical Engineer Supervisor", "Qualifications: Experience : Non-supervisory: Must have a minimum of five (5) years’ experience working as a project engineer at a manufacturing plant, hospital, or a "
+     "large university/school system. Supervisory: Must have a minimum of one year experience managing/supervising at least 5 subordinates. Education Requirements: The "
+     "completion of a 4-year Bachelor of Science degree, or equivalent, in Electrical Engineering from an accredited university."),
+    (4, "Administrativni asistent", "Uslovi: VSS – završen pravni ili ekonomski fakultet; najmanje 3 godine radnog iskustva na sličnim poslovima; odlično poznavanje engleskog jezika; "
+     "poznavanje njemačkog jezika je prednost; vozačka dozvola B kategorije. Ugovor na period od 12 mjeseci, puno radno vrijeme. Plata: 2.400 KM neto mjesečno."),
+    (5, "Field Consultant", "Minimum requirements: Education: Secondary education, preferably supplemented by relevant training, or university degree in social sciences; Work Experience: Minimum five years of relevant professional experience in social protection."),
+    (6, "GEF8-Flora Expert", "Introduction Country: Bosnia and Herzegovina Assignment Duration: October 2026 - December 2026 Proposal should be submitted directly in the portal no later than indicated deadline. Documents must be submitted in English."),
+    (7, "Expert", "Experience in at least three relevant processes in the last five years. The roster is valid for three years. Salary: Not Specified."),
+    (8, "Assistant", "Languages: Fluency in English is required and German would be an advantage."),
+    (9, "Purchasing Administrator", "A. ESSENTIAL QUALIFICATIONS: 1. Professional Experience: Minimum 4 years progressively responsible experience in procurement. "
+     "2. Education / Training: Junior college education in Economy or Finance. B. DESIRABLE QUALIFICATIONS: 1. Professional Experience: "
+     "Previous experience with SAP. 2. Education / Training: University degree up to 3 years, in Finance or Economics."),
+    (10, "Administrator", "Education: Junior college education in Economy or Finance."),
+    (11, "Administrator", "Uslovi: VŠS ekonomskog smjera."),
+    (12, "Administrator", "Uslovi: viša stručna sprema ili VI stepen."),
+    (13, "Administrator", "Obrazovanje: završena viša škola."),
+    (14, "Administrator", "Education: associate degree in accounting."),
+    (15, "Administrator", "Uslovi: SSS ili VŠS ekonomskog smjera."),
+    (16, "Analyst", "Education: VSS, fakultet ekonomskog smjera."),
+    (17, "Assistant", "Ima više školskih projekata i vi stepenujete prioritete."),
+    (18, "Head of Communications", "GENERAL CONDITIONS Citizenship – Citizen of a Member State of the European Union (EU) and enjoying full rights as a citizen. Language Skills – The candidates must be fully fluent in written and oral English language. Language - Proficiency in local language(s) will be considered an advantage."),
+    (19, "Nothing", None),
 ]
 
 
@@ -38,17 +66,47 @@ def adverts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ADVERTS, "id long, title string, text string")
 
 
+#: Texts and their deadlines.
 DATE_TEXTS = [
+    ("najkasnije do 17. septembra 2026.", date(2026, 9, 17)),
+    ("Deadline: August 25, 2026", date(2026, 8, 25)),
+    ("deadline AUGUST 25,2026", date(2026, 8, 25)),
+    ("Closing date 2026-10-15", date(2026, 10, 15)),
+    ("Interested candidates should by 28.03.2025 submit their CV", date(2025, 3, 28)),
+    ("Široki Brijeg, 01.03.2026. Deadline: 15.10.2026", date(2026, 10, 15)),
+    ("Closing date: Sept 30, 2026", date(2026, 9, 30)),
+    ("Rok za prijavu: 15. 10. 2026.", date(2026, 10, 15)),
+    ("Deadline: 15th October 2026", date(2026, 10, 15)),
+    ("Deadline: 15 October, 2026", date(2026, 10, 15)),
+    ("Deadline 2026/10/15", date(2026, 10, 15)),
+    ("Deadline to apply 15-Oct-2026", date(2026, 10, 15)),
+    ("Rok za prijavu je 15. listopada 2026.", date(2026, 10, 15)),
     ("Deadline: October 15 2026 (extended to 30 October 2026)", date(2026, 10, 30)),
     ("Deadline: 99.99.2026, corrected deadline: 20.10.2026", date(2026, 10, 20)),
-    ("Rok za prijavu je 15. listopada 2026.", date(2026, 10, 15)),
+    ("Rok za prijavu: 5. oktobar 2026.", date(2026, 10, 5)),
     ("Deadline for applications: 15 October 2026. Initial contract of one year, may be extended until 31 December 2027.", date(2026, 10, 15)),
+    ("Rok za prijave: 30.09.2026. Ugovor se može produžiti do 31.12.2027.", date(2026, 9, 30)),
     ("Deadline 20.12.2026, extended until 15.01.2027.", date(2027, 1, 15)),
+    ("The deadline for applications has been extended to 20 October 2026.", date(2026, 10, 20)),
+    ("Rok za prijavu je produžen do 25.10.2026.", date(2026, 10, 25)),
+    ("Extended deadline: 5 November 2026", date(2026, 11, 5)),
+    ("Deadline: 15 October 2026. Only shortlisted applications will be contacted. Contract may be extended until 31.12.2027", date(2026, 10, 15)),
+    ("Vacancy: Driver. Fixed-term, may be extended until 31 December 2027. Deadline 15 October 2026", date(2026, 10, 15)),
+    ("Oglas za posao. Ugovor može biti produžen do 31.12.2027. Rok 15.10.2026.", date(2026, 10, 15)),
     ("The position remains open until filled. Expected start: 1 January 2027", None),
+    ("Applications received by email only. Published 1.10.2026", None),
+    ("Applications will be accepted until 20 October 2026.", date(2026, 10, 20)),
     ("Deadline: 16:00 UTC+1 15/10/2026", date(2026, 10, 15)),
+    ("Closing date: 12:00 PM (UTC+1), 15 October 2026", date(2026, 10, 15)),
+    ("Deadline: 5 p.m., 15 March 2026", date(2026, 3, 15)),
+    ("Closing date: 12:00 CET, 1 November 2026", date(2026, 11, 1)),
     ("Rok za prijavu: 15 dana od objave, najkasnije do 20.10.2026.", date(2026, 10, 20)),
+    ("Deadline: 17:00 h, 15.03.2026", date(2026, 3, 15)),
     ("Candidates should submit the form by 7 December 2026.", date(2026, 12, 7)),
     ("Applications are received until Friday, 9 October 2026.", date(2026, 10, 9)),
+    ("Apply by June 5, 2026", date(2026, 6, 5)),
+    ("Deadline: July 1, 2026", date(2026, 7, 1)),
+    ("Rok 15.10.2026. (produžen do 20.10.2026.)", date(2026, 10, 20)),
     ("", None),
 ]
 
@@ -63,6 +121,8 @@ LEADS = [
     (3, "https://a.test/job", "National Consultant (NOB)", "Job. Published: 1 September 2026. Duty station: Banja Luka. Deadline: 1 October 2026."),
     (4, "https://a.test/job", "Officer (P3 / NOC)", "Position in Belgrade, Serbia and Sarajevo. Apply by 30.10.2026"),
     (5, "https://a.test/job", "News", None),
+    (6, "https://a.test/job", "Job", "Job in Tuzla. Recruitment year: 2026"),
+    (7, "https://a.test/2025/10/job", "Job", "Job in Tuzla. Deadline: 15 October 2026"),
 ]
 
 

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_c
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
 BUCKETS, BINS = 24, 64
 #: Tokens of a shard, about; and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 56
+SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 16
 ROUNDS, FLOOR = 200, 1e-7
 #: Among so many keys the rows that are no occurrences are dealt out.
 SIDES = 1 << 12
@@ -87,6 +86,12 @@ def tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray,
     return b, np.concatenate([[END], b[:-1]]) if len(b) else b, sizes
 
 
+def stretches(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys; only keys that occur, however many there could be."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist() if len(keys) else []
+    return list(zip(edges, edges[1:], strict=False))
+
+
 def survey(docs: DataFrame, frequent: int = FREQUENT) -> tuple[int, int, int, np.ndarray]:
     """The number of tokens of the kept folds, of all training folds and of all, and the frequent words.
 
@@ -153,14 +158,11 @@ def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
                 rows.append((-2 - 2 * (number % SIDES), number, pack(words[at]), pack(k), pack(n[0]), b"", b""))
             order = np.argsort(shard << np.uint64(32) | code.astype(np.uint64))
             shard, code, context, doc = shard[order], code[order], context[order], doc[order]
-            edges = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            for k in range(shards):
-                x, y = int(edges[k]), int(edges[k + 1])
-                if x < y:
-                    new = np.flatnonzero(np.concatenate([[True], code[x + 1 : y] != code[x : y - 1]]))
-                    runs = np.diff(np.concatenate([new, [y - x]])).astype(np.uint32)
-                    contexts, at = np.unique(context[x:y], return_inverse=True)
-                    rows.append((k, number, pack_names(words[code[x:y][new]], often), pack(runs), pack_names(contexts, often), pack(at.astype(np.uint32)), pack(doc[x:y])))
+            for x, y in stretches(shard):
+                new = np.flatnonzero(np.concatenate([[True], code[x + 1 : y] != code[x : y - 1]]))
+                runs = np.diff(np.concatenate([new, [y - x]])).astype(np.uint32)
+                contexts, at = np.unique(context[x:y], return_inverse=True)
+                rows.append((int(shard[x]), number, pack_names(words[code[x:y][new]], often), pack(runs), pack_names(contexts, often), pack(at.astype(np.uint32)), pack(doc[x:y])))
             number += 1
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -203,14 +205,12 @@ class Shard:
         """Among the chosen occurrences: of each word, and of each pair."""
         return np.bincount(self.code[chosen], minlength=len(self.words)), np.bincount(self.pair[chosen], minlength=self.pairs)
 
-
     def by_home(self, shards: int, often: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """The contexts whose counts are asked for, those that are not frequent, as places in `contexts` by their shard."""
         at = np.flatnonzero(~np.isin(self.contexts, often))
         home = (mix(self.contexts[at]) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        edges = np.searchsorted(home[order], np.arange(shards + 1))
-        return [(k, at[order[edges[k] : edges[k + 1]]]) for k in range(shards) if edges[k] < edges[k + 1]]
+        return [(int(home[order[x]]), at[order[x:y]]) for x, y in stretches(home[order])]
 
 
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -321,7 +321,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), text_column(text).alias("text"))
     n_kept, n_trained, total, often = survey(chosen, frequent)
     shards = shards_for(total)
-    dealt = deal(chosen, shards, often).persist(StorageLevel.DISK_ONLY)
+    # One shuffle serves all that follows: its files are found again by every job on this RDD, and made again where they are lost.
+    dealt = spark.createDataFrame(deal(chosen, shards, often).rdd, COLUMNS, verifySchema=False)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -445,6 +446,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
         ),
         "scores",
     )
-    dealt.unpersist()
     drop(answers)
     return out

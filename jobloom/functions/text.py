@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,20 +133,30 @@ def slug(text: Column) -> Column:
     return F.trim(F.substring(dashed, 1, 80), F.lit("-"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def language(text: Column) -> Column:
     """The language with the largest share of marker words, the first of equals; empty if that is too small or the text too short."""
     greek = F.length(F.regexp_replace(text, "[^Ͱ-Ͽ]", ""))
     cyrillic = F.length(F.regexp_replace(text, "[^Ѐ-ӿ]", ""))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    n = F.size(words)
-    among = lambda known: lambda w: w.isin(*known)
-    hits = [F.size(F.filter(words, among(v.split()))) for v in STOPWORDS.values()]
-    best = F.greatest(*hits)
-    first = F.coalesce(*[F.when(h == best, code) for code, h in zip(STOPWORDS, hits, strict=True)])
+    codes = F.array(*[F.lit(code) for code in STOPWORDS])
+
+    def hits(found: Column) -> Column:
+        among = lambda known: lambda w: w.isin(*known.split())
+        return F.array(*[F.size(F.filter(found, among(known))) for known in STOPWORDS.values()])
+
+    def best(n: Column) -> Callable[[Column], Column]:
+        most = F.array_max
+        return lambda h: F.when(most(h) >= LEAST_SHARE * n, F.element_at(codes, F.array_position(h, most(h)).cast("int"))).otherwise("")
+
+    marked = bound(words, lambda found: F.when(F.size(found) >= LEAST_WORDS, bound(hits(found), best(F.size(found)))).otherwise(""))
     return (
         F.when(text.isNull(), "")
         .when(greek > 50, "el")
         .when(cyrillic > 50, F.when(text.rlike("[ђћџјљњЂЋЏЈЉЊ]"), "bs").otherwise("ru"))
-        .when((n >= LEAST_WORDS) & (best >= LEAST_SHARE * n), first)
-        .otherwise("")
+        .otherwise(marked)
     )

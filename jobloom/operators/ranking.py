@@ -11,6 +11,8 @@ from jobloom.functions.text import ROLE_STEMS, stems
 from jobloom.operators.board import LEVELS
 
 CONTENT, ROLE, FIELD, LEAST, TOP, DIGEST, PROFILES = 3, 1, 2, 4, 3, 5, 10_000
+#: Stems, roles or fields of a job up to which all their subsets are keys.
+NARROW = 5
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -18,33 +20,74 @@ def top(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def subsets(items: Column, most: int | None = None) -> Column:
+    """Of an array the subsets (of at most so many items), each as its items and their number; items keep their order."""
+    none = F.array(F.struct(F.lit("").alias("names"), F.lit(0).alias("n")))
+    more = lambda x, item: F.struct(F.concat(x["names"], F.lit("\x1f"), item).alias("names"), (x["n"] + 1).alias("n"))
+    room = (lambda sets: F.filter(sets, lambda x: x["n"] < most)) if most else (lambda sets: sets)
+    return F.aggregate(items, none, lambda sets, item: F.concat(sets, F.transform(room(sets), lambda x: more(x, item))))
+
+
+def common_keys(rows: DataFrame) -> DataFrame:
+    """(job_id, employer_key, deadline, key, score) for all that a job may have in common with another: some stems, fields, type, level."""
+    out = rows.withColumns({"content": subsets(F.col("content")), "roles": subsets(F.col("roles")), "fields": subsets(F.col("fields"), 2)})
+    for part in ("content", "roles", "fields"):
+        out = out.withColumn(part, F.explode(part))
+        if part == "content":
+            out = out.where("content.n > 0")
+    stated = lambda c: F.explode(F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array(F.lit(""))).otherwise(F.array(F.lit(""), F.col(c))))
+    out = out.withColumn("level", stated("education_level"))
+    out = out.withColumn("kind", F.explode(F.when(F.col("opportunity_type").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit(None), "opportunity_type"))))
+    score = CONTENT * F.col("content.n") + ROLE * F.col("roles.n") + FIELD * F.col("fields.n") + F.col("kind").isNotNull().cast("int") + (F.col("level") != "").cast("int")
+    key = F.concat_ws("\x1e", "content.names", "roles.names", "fields.names", "level", F.concat(F.lit("="), "kind"))
+    return out.select("job_id", "employer_key", "deadline", key.alias("key"), score.cast("long").alias("score")).where(F.col("score") >= LEAST)
+
+
 def similar(jobs: DataFrame, n: int = TOP) -> DataFrame:
     """(job_id, other_id, score, rank): jobs of other employers with related work.
 
-    A common stem about the work is required, so jobs only meet by such stems; what follows is counted per pair.
+    A common stem about the work is required. Whatever two jobs have in common is a key of both, worth its score; of the jobs with a
+    key only the first 2n count, n of one employer: any other with just that in common comes behind n better ones. So the work grows
+    with the number of jobs and not of pairs. Titles of many stems have too many keys: their pairs (with any job) meet by stem.
     jobs: job_id, title, employer_key, fields (array), opportunity_type, education_level, deadline.
     """
-    rows = jobs.withColumn("stems", stems(F.col("title")))
-    words = rows.select("job_id", "employer_key", F.explode(F.array_except("stems", F.array(*[F.lit(s) for s in ROLE_STEMS]))).alias("stem"))
-    left, right = words.alias("l"), words.alias("r")
-    pairs = (
-        left.join(right, F.col("l.stem") == F.col("r.stem"))
-        .where((F.col("l.job_id") != F.col("r.job_id")) & (F.col("l.employer_key") != F.col("r.employer_key")))
-        .groupBy(F.col("l.job_id").alias("job_id"), F.col("r.job_id").alias("other_id"))
-        .agg(F.count(F.lit(1)).alias("content"))
+    roles = F.array(*[F.lit(s) for s in ROLE_STEMS])
+    rows = jobs.withColumn("stems", F.array_sort(stems(F.col("title")))).withColumns(
+        {
+            "content": F.array_except("stems", roles),
+            "roles": F.array_intersect("stems", roles),
+            "fields": F.array_sort(F.array_distinct(F.coalesce("fields", F.array().cast("array<string>")))),
+        }
     )
-    facts = ["stems", "fields", "opportunity_type", "education_level", "deadline"]
-    mine = rows.select("job_id", *[F.col(c).alias(f"my_{c}") for c in facts])
-    theirs = rows.select(F.col("job_id").alias("other_id"), *facts)
-    both = pairs.join(mine, "job_id").join(theirs, "other_id")
-    roles = F.size(F.array_intersect(F.array_intersect("my_stems", "stems"), F.array(*[F.lit(s) for s in ROLE_STEMS])))
-    fields = F.size(F.array_intersect("my_fields", "fields"))
-    level = (F.col("my_education_level") != "") & (F.col("my_education_level") == F.col("education_level"))
-    score = CONTENT * F.col("content") + ROLE * roles + FIELD * F.least(fields, F.lit(2))
-    score += (F.col("my_opportunity_type") == F.col("opportunity_type")).cast("int") + F.coalesce(level, F.lit(False)).cast("int")
-    scored = both.withColumn("score", score.cast("long")).where(F.col("score") >= LEAST)
-    order = [F.desc("score"), F.asc_nulls_last("deadline"), F.desc("other_id")]
-    return top(scored, ["job_id"], order, n).select("job_id", "other_id", "score", "rank")
+    wide = (F.size("content") > NARROW) | (F.size("roles") > NARROW) | (F.size("fields") > NARROW)
+    order = [F.asc_nulls_last("deadline"), F.desc("job_id")]
+    keyed = common_keys(rows.where(~wide))
+    first = top(top(keyed, ["key", "employer_key"], order, n).drop("rank"), ["key"], order, 2 * n)
+    first = first.select("key", F.col("job_id").alias("other_id"), F.col("employer_key").alias("other_employer"), F.col("deadline").alias("other_deadline"))
+    met = keyed.join(first, "key").where((F.col("job_id") != F.col("other_id")) & (F.col("employer_key") != F.col("other_employer")))
+    met = met.select("job_id", "other_id", "score", "other_deadline").unionByName(wide_pairs(rows.withColumn("wide", wide)))
+    scored = met.groupBy("job_id", "other_id").agg(F.max("score").alias("score"), F.first("other_deadline").alias("deadline"))
+    best = [F.desc("score"), F.asc_nulls_last("deadline"), F.desc("other_id")]
+    return top(scored, ["job_id"], best, n).select("job_id", "other_id", "score", "rank")
+
+
+def wide_pairs(rows: DataFrame) -> DataFrame:
+    """(job_id, other_id, score, other_deadline) of pairs with a title of many stems on either side."""
+    facts = ["employer_key", "roles", "fields", "opportunity_type", "education_level", "deadline", "wide"]
+    words = rows.select("job_id", "wide", F.explode("content").alias("stem"))
+    ids = words.where("wide").alias("l").join(words.alias("r"), F.col("l.stem") == F.col("r.stem")).where("l.job_id != r.job_id")
+    ids = ids.groupBy(F.col("l.job_id").alias("a"), F.col("r.job_id").alias("b"), F.col("r.wide").alias("both")).agg(F.count(F.lit(1)).alias("content"))
+    turned = ids.where("not both").select(F.col("b").alias("a"), F.col("a").alias("b"), "content")
+    pairs = ids.select("a", "b", "content").unionByName(turned)
+    mine = rows.select(F.col("job_id").alias("a"), *[F.col(c).alias(f"my_{c}") for c in facts])
+    theirs = rows.select(F.col("job_id").alias("b"), *facts)
+    both = pairs.join(mine, "a").join(theirs, "b").where("my_employer_key != employer_key")
+    common = lambda c: F.size(F.array_intersect(f"my_{c}", c))
+    score = CONTENT * F.col("content") + ROLE * common("roles") + FIELD * F.least(common("fields"), F.lit(2))
+    score += F.coalesce(F.col("my_opportunity_type") == F.col("opportunity_type"), F.lit(False)).cast("int")
+    score += F.coalesce((F.col("my_education_level") != "") & (F.col("my_education_level") == F.col("education_level")), F.lit(False)).cast("int")
+    out = both.select(F.col("a").alias("job_id"), F.col("b").alias("other_id"), score.cast("long").alias("score"), F.col("deadline").alias("other_deadline"))
+    return out.where(F.col("score") >= LEAST)
 
 
 def same_employer(jobs: DataFrame, n: int = TOP) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,16 @@ WORD_OR_SPACE = bytes(
 )
 
 
+#: Keys of one join that may be broadcast, being frequent; bits of a filter, as a power of two.
+HOT_KEYS, FILTER_BITS = 2048, 24
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (in tests only) a new local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local one, if there is but one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +53,37 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def meet(rows: DataFrame, found: DataFrame, keys: list[str], count: str = "c") -> DataFrame:
+    """Inner join of rows with a table of one row a key that has the number of rows of each.
+
+    A key that would fill a task is met by broadcast: those of at least 1/HOT_KEYS of all rows, so at most HOT_KEYS of them. The
+    others meet by shuffle. The keys must not be null.
+    """
+    total = found.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.col(count) >= max(2, total // HOT_KEYS + 1)
+    few = F.broadcast(found.where(hot))
+    often = rows.join(few, keys)
+    rest = rows.join(F.broadcast(found.where(hot).select(*keys)), keys, "left_anti").join(found.where(~hot).hint("merge"), keys)
+    return often.unionByName(rest)
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, names: tuple[str, ...] = ("d", "k")) -> DataFrame:
+    """rows with a column `maybe`: whether they may be among the keys. The filter has a fixed size, and lets too many rows through at worst."""
+    place = lambda: F.pmod(F.xxhash64(*names), F.lit(1 << FILTER_BITS))
+    at = keys.select(place().alias("at"))
+    words = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    bits = rows.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
+
+    @F.arrow_udf("boolean")
+    def set_(places: pa.Array) -> pa.Array:
+        x = places.to_numpy(zero_copy_only=False)
+        return pa.array((bits.value[x >> 5] >> (x & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    return rows.withColumn("maybe", set_(place()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,8 +2,8 @@
 
 A window is the shortest run of non-blank lines from a given line that has at least WORDS words. Its fingerprint is the least
 hash of its lines, so that any repeated run of a window's length is certain to share a fingerprint. Only fingerprints
-are shuffled; where one is seen again the windows it was chosen by meet by content, each later one is extended along the
-earliest (before its start by the windows that begin there, past its end line by line), and the run is deleted.
+are shuffled; where one is seen again the windows it was chosen by meet by content, each later one is extended as far as any
+earlier run goes on alike (before its start by the windows that begin there, past its end by further lines), and deleted.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, small_batches, text_column
+from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column
 
 WORDS = 30
 SEEDS = (11, 29)
@@ -90,20 +90,37 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     return rows.select("d", "k", "text").mapInArrow(each, f"d long, k long, fp long, windows array<{WINDOW}>")
 
 
+PLACE = ("d", "k", "start")
+
+
+def prefixes(lines):
+    """Hashes of the first line, of the first two, and so on."""
+    return F.aggregate(lines, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.xxhash64(F.element_at(F.concat(F.array(F.lit(0).cast("long")), acc), -1), x))))
+
+
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(d, k, start, end): runs of non-blank lines, counted from 0, that repeat an earlier run."""
     chosen = cut(fingerprints(rows), "fingerprints")
-    again = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max(F.size("windows")).alias("many")).where("c > 1 or many > 1").select("fp")
-    met = cut(chosen.join(again, "fp").select("d", "k", F.explode("windows").alias("w")).select("d", "k", "w.*"), "windows")
-    place = F.struct("d", "k", "start")
-    first = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "start", "next")).alias("first")).where("c > 1")
-    later = met.join(first.select("x", "y", "first"), ["x", "y"]).where(
-        place != F.struct(F.col("first.d").alias("d"), F.col("first.k").alias("k"), F.col("first.start").alias("start"))
-    )
-    alike = F.zip_with("next", "first.next", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    stop = F.array_position(alike, False)
-    more = F.when(stop > 0, stop - 1).otherwise(F.size(alike))
-    return later.select("d", "k", "start", (F.col("end") + more).alias("end"))
+    again = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max(F.size("windows")).alias("many"))
+    again = cut(again.where("c > 1 or many > 1").select("fp", "c"), "again")
+    met = cut(meet(chosen, again, ["fp"]).select("d", "k", F.explode("windows").alias("w")).select("d", "k", "w.*"), "windows")
+    drop(chosen)
+    drop(again)
+    first = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("first"))
+    first = cut(first.where("c > 1"), "first")
+    both = cut(meet(met, first, ["x", "y"]).drop("c"), "twice")
+    drop(met)
+    later = both.where(F.struct(*PLACE) != F.col("first"))
+    # What a window and the next one go on with is found at the next: only the last of windows that begin line by line goes on by itself.
+    order = Window.partitionBy("d", "k").orderBy("start")
+    last = later.withColumn("after", F.lead("start").over(order)).where("after is null or after > start + 1")
+    # A window with its following lines, one, two and so on, meets the earliest run that has them too.
+    longer = lambda df: df.select("x", "y", *PLACE, "end", F.posexplode(prefixes(F.col("next"))).alias("n", "h"))
+    keys = ["x", "y", "n", "h"]
+    met_on = longer(both).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("first"))
+    met_on = cut(met_on.where("c > 1"), "longer")
+    gone_on = meet(longer(last), met_on, keys).where(F.struct(*PLACE) > F.col("first")).groupBy(*PLACE, "end").agg(F.max("n").alias("n"))
+    return later.select(*PLACE, "end").unionByName(gone_on.select(*PLACE, (F.col("end") + F.col("n") + 1).alias("end")))
 
 
 def without(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
@@ -116,10 +133,11 @@ def without(text: bytes, runs: list[dict]) -> tuple[bytes, int]:
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` without repeated runs, and a column n_lines_removed (replaced if it exists).
 
-    Every window that equals an earlier one goes, with what follows it as long as it follows the earliest one too.
-    Earlier means a smaller id, then a smaller line; a null id comes before all. Rows alike in id and text are one document
+    Every window that equals an earlier one goes, with what follows it as long as it follows any earlier one too (of words, up to
+    those of one more window). Earlier means a smaller id, then a smaller line; a null id comes before all, and of different texts
+    under one id that of smaller hash. Rows alike in id and text are one document
     twice, and are treated alike; copies under different ids lose their lines to the first, and are left empty. Null texts stay
-    null; a text without repeats is left as it is; an empty table gives no rows.
+    null; a text without repeats is left as it is; an empty table gives no rows. Ids must be integers.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("d"), text_column(text).alias("text"))
     rows = rows.withColumn("k", F.xxhash64("text"))
@@ -136,12 +154,13 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
 
     named = docs.drop("n_lines_removed").withColumns(
-        {"__d0": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__k0": F.xxhash64(text_column(text))}
+        {"__d": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__k": F.xxhash64(text_column(text))}
     )
-    # By shuffle at every size: what is removed grows with the corpus, and is never broadcast.
-    joined = named.join(runs.hint("merge"), (F.col("__d0") == F.col("__d")) & (F.col("__k0") == F.col("__k")), "left")
+    # Only texts that may have runs are shuffled and go to Python; what is removed grows with the corpus, and is never broadcast.
+    split = maybe_among(named, runs, ("__d", "__k"))
+    joined = split.where("maybe").join(runs.hint("merge"), ["__d", "__k"], "left")
     has = F.col("__runs").isNotNull()
-    # Only texts with runs go to Python; the others' cells are null there.
     joined = joined.withColumn("__new", cleaned(F.when(has, F.col(text)), F.col("__runs")))
     joined = joined.withColumns({text: F.when(has, F.col("__new.text")).otherwise(F.col(text)), "n_lines_removed": F.when(has, F.col("__new.n")).otherwise(0)})
-    return joined.select(*[c for c in docs.columns if c != "n_lines_removed"], "n_lines_removed")
+    columns = [*[c for c in docs.columns if c != "n_lines_removed"], "n_lines_removed"]
+    return joined.select(*columns).unionByName(split.where("not maybe").withColumn("n_lines_removed", F.lit(0)).select(*columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, drop, small_batches, text_column
+from jobloom.llm.common import as_bytes, cut, drop, maybe_among, small_batches, text_column
 
 LENGTH, GRAM = 200, 40
 WINDOW = LENGTH - GRAM + 1
@@ -29,7 +29,7 @@ WINDOW = LENGTH - GRAM + 1
 CHUNK, BATCH_BYTES, MANY = 1 << 20, 1 << 20, 1000
 #: Suffixes are compared to this depth, which is enough to bring equal strings together.
 DEPTH = LENGTH + 8
-FILTER_BITS, FURTHER = 24, 4
+FURTHER = 4
 #: Bits for a place in a chunk, behind those of a hash.
 PLACE_BITS = 21
 BASE = 0x9E3779B97F4A7C15
@@ -318,28 +318,10 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))
 
 
-def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose (d, k) may be among the keys; the filter has a fixed size, and lets too many rows through at worst."""
-    place = F.pmod(F.xxhash64("d", "k"), F.lit(1 << FILTER_BITS)).cast("int")
-    found = keys.select(place.alias("at")).distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[found] = True
-    bits = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def maybe(at):
-        import pandas as pd
-
-        x = at.to_numpy()
-        return pd.Series((bits.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
-
-    return rows.withColumn("maybe", maybe(place))
-
-
 def with_bytes(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """segments with their bytes, read from the texts."""
     wanted = segments.groupBy("d", "k").agg(F.collect_list(F.struct("a", "s", "c", "p", "n")).alias("want"))
-    texts = only(rows.select("d", "k", "text"), segments.select("d", "k")).where("maybe").drop("maybe").join(wanted, ["d", "k"])
+    texts = maybe_among(rows.select("d", "k", "text"), segments).where("maybe").drop("maybe").join(wanted, ["d", "k"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -388,7 +370,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     rows = keyed(docs, key, text)
     spans = repeated_spans(rows).groupBy("d", "k").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     spans = cut(spans, "spans")
-    split = only(rows, spans)
+    split = maybe_among(rows, spans)
     touched = split.where("maybe").drop("maybe").join(spans, ["d", "k"], "left").select("doc_id", "text", "found")
     kind = docs.schema[key].dataType.simpleString()
     run = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

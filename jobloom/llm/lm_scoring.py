@@ -5,7 +5,8 @@ weights depend on how often the context was seen (buckets by its binary logarith
 maximisation on held-out counts: one fold of the training documents, scored with counts of the other folds. A context is
 the previous word itself; a document's first word has its end as context, so that a word is as often a context as it
 stands in the texts. Everything about one word is gathered in one shard, which asks the shards of its contexts for their
-counts; so neither the vocabulary nor the bigrams nor the contexts are ever held whole anywhere.
+counts; so neither the vocabulary nor the bigrams nor the contexts are ever held whole anywhere. After a first look at the words
+all is one query, whose steps share one shuffle of the occurrences.
 """
 
 from __future__ import annotations
@@ -238,14 +239,13 @@ ANSWERS = "shard int, home int, kept binary, trained binary"
 
 
 def context_counts(dealt: DataFrame, shards: int, frequent) -> DataFrame:
-    """For each shard and shard of contexts: the contexts' counts, in the order in which by_home() names them.
-
-    Frequent contexts are not asked for; the broadcast `frequent` has their counts, summed beforehand.
-    """
+    """For each shard and shard of contexts: the contexts' counts, in the order in which by_home() names them. Frequent contexts are not asked for."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value[0]
+        often = frequent.value
         for group in by_key(batches, "shard"):
+            if group[0]["shard"] < 0:
+                continue
             shard = Shard(group, often, paired=False)
             own = ~np.isin(shard.words, often)
             kept, trained = (np.bincount(shard.code[shard.part == KEPT], minlength=len(own)), np.bincount(shard.code[shard.part != TEST], minlength=len(own)))
@@ -273,8 +273,29 @@ def context_counts(dealt: DataFrame, shards: int, frequent) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "home", "kept", "trained"]
             )
 
-    questions = dealt.where("shard >= 0").mapInArrow(asked, "home int, shard int, words binary, kept binary, trained binary")
-    return cut(questions.repartition(shards, "home").sortWithinPartitions("home", "shard").mapInArrow(answered, ANSWERS), "contexts")
+    questions = dealt.mapInArrow(asked, "home int, shard int, words binary, kept binary, trained binary")
+    return questions.repartition(shards, "home").sortWithinPartitions("home", "shard").mapInArrow(answered, ANSWERS)
+
+
+def frequent_counts(dealt: DataFrame, frequent) -> DataFrame:
+    """One row: the counts of all frequent words, packed in their order."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["shard"] < 0 and r["shard"] % 2 == 0:
+                    columns = unpack(r["words"], np.uint64).view(np.int64), unpack(r["counts"], np.int64), unpack(r["contexts"], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "kept", "trained"])
+
+    def together(found: pa.Table) -> pa.Table:
+        names = found["word"].to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        packed = [pack(looked_up(names[order], found[c].to_numpy()[order], frequent.value)) for c in ("kept", "trained")]
+        return pa.table({"f": pa.array([{"kept": packed[0], "trained": packed[1]}], pa.struct([("kept", pa.binary()), ("trained", pa.binary())]))})
+
+    sums = dealt.mapInArrow(named, "word long, kept long, trained long").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("trained").alias("trained"))
+    none = dealt.sparkSession.createDataFrame([(0, 0, 0)], "word long, kept long, trained long")
+    return sums.unionByName(none).groupBy(F.lit("all")).applyInArrow(together, "f struct<kept:binary,trained:binary>")
 
 
 def level(x: np.ndarray, least: float = 1e-12) -> np.ndarray:
@@ -309,6 +330,32 @@ def learn(cells: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.array([fit(n[which == k], estimates[which == k], k > 0) if n[which == k].sum() >= 100 else pooled[k > 0] for k in range(BUCKETS)])
 
 
+class Answers:
+    """What a shard is told: the frequent words' counts, those of its contexts by their shards, and (when scoring) the model."""
+
+    def __init__(self, found: pa.Table, often: np.ndarray):
+        self.often, self.told, self.counts, self.model = often, {}, {}, None
+        for r in found.to_pylist():
+            if r["home"] < 0:
+                self.counts = {c: unpack(r[c], np.int64) for c in ("kept", "trained")}
+                self.model = r.get("model")
+            else:
+                self.told[r["home"]] = r
+
+    def words(self, shard: Shard, n: np.ndarray, which: str) -> np.ndarray:
+        """A shard's word counts, those of frequent words taken from all shards."""
+        return looked_up(self.often, self.counts[which], shard.words, n)
+
+    def contexts(self, shard: Shard, shards: int, which: str) -> np.ndarray:
+        n = looked_up(self.often, self.counts[which], shard.contexts)
+        for k, at in shard.by_home(shards, self.often):
+            n[at] = unpack(self.told[k][which], np.int64)
+        return n
+
+
+MODEL = "struct<weights:array<double>,vocabulary:long>"
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -321,73 +368,59 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), part.alias("part"), text_column(text).alias("text"))
     n_kept, n_trained, total, often = survey(chosen, frequent)
     shards = shards_for(total)
-    # One shuffle serves all that follows: its files are found again by every job on this RDD, and made again where they are lost.
-    dealt = spark.createDataFrame(deal(chosen, shards, often).rdd, COLUMNS, verifySchema=False)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                k, n = unpack(r["counts"], np.int64), unpack(r["contexts"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(r["words"], np.uint64).view(np.int64)), pa.array(k), pa.array(n)], ["word", "kept", "trained"])
-
-    counted = dealt.where("shard < 0 and shard % 2 = 0").mapInArrow(named, "word long, kept long, trained long").groupBy("word").agg(F.sum("kept").alias("kept"), F.sum("trained").alias("trained")).toPandas()
-    order = np.argsort(counted["word"].to_numpy(np.int64).view(np.uint64))
-    names, *sums = counted["word"].to_numpy(np.int64).view(np.uint64)[order], counted["kept"].to_numpy(np.int64)[order], counted["trained"].to_numpy(np.int64)[order]
-    frequent = spark.sparkContext.broadcast((often, *[looked_up(names, x, often) for x in sums]))
+    # All uses of `dealt` take it whole, without a filter or projection of their own, so that the query has its shuffle once.
+    dealt = deal(chosen, shards, often)
+    frequent = spark.sparkContext.broadcast(often)
     answers = context_counts(dealt, shards, frequent)
-    asking = dealt.where("shard >= 0").groupBy("shard")
-
-    def whole(shard: Shard, n: np.ndarray, which: int) -> np.ndarray:
-        """A shard's word counts, those of frequent words taken from all shards."""
-        return looked_up(frequent.value[0], frequent.value[which], shard.words, n)
-
-    def before(shard: Shard, found: pa.Table, which: int) -> np.ndarray:
-        """The counts of a shard's contexts."""
-        told = dict(zip(found["home"].to_pylist(), found["kept" if which == 1 else "trained"].to_pylist(), strict=True))
-        n = looked_up(frequent.value[0], frequent.value[which], shard.contexts)
-        for k, at in shard.by_home(shards, frequent.value[0]):
-            n[at] = unpack(told[k], np.int64)
-        return n
+    counted = frequent_counts(dealt, frequent).scalar()
+    each_shard = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(-1).alias("home"), counted.alias("f"))
+    each_shard = each_shard.select("shard", "home", "f.kept", "f.trained")
 
     def held(occurrences: pa.Table, found: pa.Table) -> pa.Table:
-        if not len(occurrences):
-            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "two": pa.array([], pa.float64()), "one": pa.array([], pa.float64())})
-        shard = Shard(occurrences.to_pylist(), frequent.value[0])
+        kinds = pa.schema({"cell": pa.int64(), "n": pa.int64(), "two": pa.float64(), "one": pa.float64()})
+        told = Answers(found, frequent.value) if len(found) else None
+        new = int((told.counts["trained"] > 0).sum()) if told and found["shard"][0].as_py() == 0 else 0
+        if told is None or not len(occurrences):
+            return pa.Table.from_pydict({"cell": [-1], "n": [new], "two": [0.0], "one": [0.0]}, kinds)
+        shard = Shard(occurrences.to_pylist(), frequent.value)
         words, pairs = shard.counts(shard.part == KEPT)
-        words = whole(shard, words, 1)
+        words = told.words(shard, words, "kept")
         here = np.flatnonzero(shard.part == HELD)
-        seen = before(shard, found, 1)[shard.context[here]]
+        seen = told.contexts(shard, shards, "kept")[shard.context[here]]
         two = pairs[shard.pair[here]] / np.maximum(seen, 1)
         one = words[shard.code[here]] / max(n_kept, 1)
         cell = (bucket(seen) * BINS + level(two)) * BINS + level(one)
         cells, code = np.unique(cell, return_inverse=True)
         trained_words = shard.counts(shard.part != TEST)[0]
-        new = int(((trained_words > 0) & ~np.isin(shard.words, frequent.value[0])).sum())
-        return pa.Table.from_arrays(
-            [
-                pa.array(np.append(cells, -1)),
-                pa.array(np.append(np.bincount(code, minlength=len(cells)), new).astype(np.int64)),
-                pa.array(np.append(np.bincount(code, two, minlength=len(cells)), 0.0)),
-                pa.array(np.append(np.bincount(code, one, minlength=len(cells)), 0.0)),
-            ],
-            ["cell", "n", "two", "one"],
-        )
-
-    statistics = asking.cogroup(answers.groupBy("shard")).applyInArrow(held, "cell long, n long, two double, one double")
-    found = statistics.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one")).toPandas()
-    vocabulary = int(found.loc[found["cell"] < 0, "n"].sum()) + int((frequent.value[2] > 0).sum())
-    found = found[found["cell"] >= 0]
-    cells = np.column_stack([found["cell"] // (BINS * BINS), found["n"], found["two"] / found["n"], found["one"] / found["n"]]).astype(float)
-    weights = learn(cells, vocabulary)
+        new += int(((trained_words > 0) & ~np.isin(shard.words, frequent.value)).sum())
+        sums = [np.bincount(code, x, minlength=len(cells)) for x in (None, two, one)]
+        columns = [np.append(cells, -1), np.append(sums[0], new).astype(np.int64), np.append(sums[1], 0.0), np.append(sums[2], 0.0)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=kinds)
+
+    def learned(found: pa.Table) -> pa.Table:
+        """The weights and the number of distinct training words from the sums of all cells, of which there is a fixed number."""
+        cell, n, two, one = (found[c].to_numpy() for c in ("cell", "n", "two", "one"))
+        vocabulary, real = int(n[cell < 0].sum()), cell >= 0
+        cells = np.column_stack([cell[real] // (BINS * BINS), n[real], two[real] / n[real], one[real] / n[real]]).astype(float)
+        kind = pa.struct([("weights", pa.list_(pa.float64())), ("vocabulary", pa.int64())])
+        return pa.table({"model": pa.array([{"weights": learn(cells, vocabulary).ravel().tolist(), "vocabulary": vocabulary}], kind)})
+
+    asking = dealt.groupBy("shard")
+    statistics = asking.cogroup(answers.unionByName(each_shard).groupBy("shard")).applyInArrow(held, "cell long, n long, two double, one double")
+    sums = statistics.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("two").alias("two"), F.sum("one").alias("one"))
+    model = sums.groupBy(F.lit("all")).applyInArrow(learned, f"model {MODEL}").scalar()
+    told = answers.withColumn("model", F.lit(None).cast(MODEL)).unionByName(each_shard.withColumn("model", model))
 
     def scored(occurrences: pa.Table, found: pa.Table) -> pa.Table:
         kinds = pa.schema({"row": pa.int64(), "n": pa.int32(), "known": pa.int32(), "base": pa.float64(), "model": pa.float64()})
-        if not len(occurrences):
+        if not len(occurrences) or not len(found):
             return kinds.empty_table()
-        shard = Shard(occurrences.to_pylist(), frequent.value[0])
+        answer, shard = Answers(found, frequent.value), Shard(occurrences.to_pylist(), frequent.value)
+        weights, vocabulary = np.array(answer.model["weights"]).reshape(BUCKETS, 3), answer.model["vocabulary"]
+        floor = np.log10(n_trained + 0.5 * (vocabulary + 1))
         words, pairs = shard.counts(shard.part != TEST)
-        words = whole(shard, words, 2)
-        often_before = before(shard, found, 2)
+        words = answer.words(shard, words, "trained")
+        often_before = answer.contexts(shard, shards, "trained")
         start, out = 0, []
         for number, end in zip(shard.batches, shard.ends.tolist(), strict=True):
             here, start = slice(start, end), end
@@ -404,7 +437,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
                         pa.array((np.int64(number) << 20) + rows),
                         pa.array(count[rows].astype(np.int32)),
                         pa.array(np.bincount(doc, n > 0)[rows].astype(np.int32)),
-                        add(np.log10(n + 0.5)),
+                        add(np.log10(n + 0.5) - floor),
                         add(np.log10(p)),
                     ],
                     schema=kinds,
@@ -412,8 +445,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
             )
         return pa.Table.from_batches(out, kinds)
 
-    sums = (
-        asking.cogroup(answers.groupBy("shard"))
+    totals = (
+        asking.cogroup(told.groupBy("shard"))
         .applyInArrow(scored, "row long, n int, known int, base double, model double")
         .groupBy("row")
         .agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
@@ -422,29 +455,21 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     def identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids, known = unpack(r["words"], np.int64), unpack(r["counts"], np.uint8).astype(bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((np.int64(r["batch"]) << 20) + np.arange(len(ids))),
-                        pa.array(ids, mask=~known),
-                        pa.array(unpack(r["docs"], np.uint32) == TEST),
-                    ],
-                    ["row", "doc_id", "held_out"],
-                )
-
-    rows = dealt.where("shard < 0 and shard % 2 != 0").mapInArrow(identity, "row long, doc_id long, held_out boolean")
-    total_log = float(np.log10(n_trained + 0.5 * (vocabulary + 1)))
-    out = cut(
-        rows.join(sums, "row").select(
+                if r["shard"] < 0 and r["shard"] % 2:
+                    ids, known = unpack(r["words"], np.int64), unpack(r["counts"], np.uint8).astype(bool)
+                    row = (np.int64(r["batch"]) << 20) + np.arange(len(ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids, mask=~known), pa.array(unpack(r["docs"], np.uint32) == TEST)], ["row", "doc_id", "held_out"])
+
+    rows = dealt.mapInArrow(identity, "row long, doc_id long, held_out boolean")
+    return cut(
+        rows.join(totals, "row").select(
             "doc_id",
             "held_out",
             F.col("n").alias("n_tokens"),
             F.col("known").alias("n_known"),
             F.lit(n_trained).cast("long").alias("train_tokens"),
-            (F.col("base") - F.col("n") * F.lit(total_log)).alias("base_score"),
+            F.col("base").alias("base_score"),
             F.col("model").alias("score"),
         ),
         "scores",
     )
-    drop(answers)
-    return out

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import WORD_OR_SPACE, as_bytes, cut, small_batches
+from jobloom.llm.common import WORD_OR_SPACE, as_bytes, cut, small_batches, text_column
 
 WINDOW, NEAR_PERCENT, SHARE = 13, 75, 20
 SIDE = WINDOW - 1
@@ -25,6 +25,8 @@ SIDE = WINDOW - 1
 BLOCK_BYTES = 16 << 20
 #: Anchor rows of at most this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Postings of one term that one task may get where the anchors are joined by shuffle.
+POSTINGS = 1_000_000
 #: Stands for what lies outside a document and outside an item: never equal.
 OUTSIDE_DOC, OUTSIDE_ITEM = 0, 1
 
@@ -123,14 +125,14 @@ def item_anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, kind: str, anchors) -> DataFrame:
-    """(doc_id, n_words, postings) for each row; a posting is an anchor's term, its position and the terms around it."""
-    posting = pa.struct([("term", pa.int64()), ("pos", pa.int64()), ("around", pa.list_(pa.int64()))])
+    """(doc_id, d, k, n_words, postings) for each row; a posting is an anchor's term, its part of those, its position and the terms around it."""
+    posting = pa.struct([("term", pa.int64()), ("part", pa.int32()), ("pos", pa.int64()), ("around", pa.list_(pa.int64()))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = anchors.value
         for batch in small_batches(batches):
             sizes, lists = [], []
-            for t in as_bytes(batch.column(1)):
+            for t, k in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
                 words = words_of(t)
                 sizes.append(len(words))
                 found = [i for i, w in enumerate(words) if w in known]
@@ -141,13 +143,13 @@ def postings(docs: DataFrame, kind: str, anchors) -> DataFrame:
                     around = [hashes[w] if w in hashes else hashes.setdefault(w, term(w)) for w in near]
                     lead = max(0, SIDE - i)
                     around = [OUTSIDE_DOC] * lead + around + [OUTSIDE_DOC] * (WINDOW + SIDE - lead - len(around))
-                    here.append({"term": around[SIDE], "pos": i, "around": around})
+                    here.append({"term": around[SIDE], "part": (k + i) % known[words[i]], "pos": i, "around": around})
                 lists.append(here)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "n_words", "postings"]
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "d", "k", "n_words", "postings"]
             )
 
-    return docs.mapInArrow(each, f"doc_id {kind}, n_words long, postings array<struct<term:long,pos:long,around:array<long>>>")
+    return docs.mapInArrow(each, f"doc_id {kind}, d long, k long, n_words long, postings array<struct<term:long,part:int,pos:long,around:array<long>>>")
 
 
 def run_length(step: int):
@@ -161,16 +163,22 @@ def run_length(step: int):
 
 
 def block_matches(docs: DataFrame, items: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """The documents' rows with row numbers, and their matches with one block of items."""
+    """The documents' rows, and the matches of their texts with one block of items."""
     context = docs.sparkSession.sparkContext
     vocabulary = context.broadcast({bytes(r[0]) for r in items.select(F.explode("words")).distinct().toLocalIterator()})
     counts = cut(term_counts(docs, vocabulary), "terms")
     anchors = cut(item_anchors(items, counts), "anchors")
-    rare = context.broadcast({bytes(r[0]) for r in anchors.select("word").distinct().toLocalIterator()})
-    index = cut(postings(docs, kind, rare).withColumn("row", F.monotonically_increasing_id()), "postings")
-    side = anchors.drop("word").withColumnRenamed("around", "item_around")
-    side = F.broadcast(side) if anchors.count() <= BROADCAST_ROWS else side
-    met = index.select("row", F.explode("postings").alias("p")).select("row", "p.*").join(side, "term")
+    side = anchors.withColumnRenamed("around", "item_around")
+    # A frequent term's postings are dealt out in parts where they are shuffled; its anchors go to each part.
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / POSTINGS)).cast("int")
+    if anchors.count() <= BROADCAST_ROWS:
+        named, side = anchors.select("word").distinct().withColumn("parts", F.lit(1)), F.broadcast(side.drop("word").withColumn("part", F.lit(0)))
+    else:
+        named = anchors.select("word").distinct().join(counts, "word", "left").select("word", parts.alias("parts"))
+        side = side.join(named, "word").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("word", "parts")
+    rare = context.broadcast({bytes(r[0]): r[1] for r in named.toLocalIterator()})
+    index = cut(postings(docs, kind, rare), "postings")
+    met = index.select("d", "k", F.explode("postings").alias("p")).select("d", "k", "p.*").join(side, ["term", "part"])
     met = met.withColumns({"left": run_length(-1), "right": run_length(1)})
     met = met.withColumns(
         {"lo": F.greatest("s0", F.col("q") - F.col("left")), "hi": F.least("s1", F.col("q") + F.col("right") - F.col("size") + 1)}
@@ -184,26 +192,29 @@ def block_matches(docs: DataFrame, items: DataFrame, kind: str) -> tuple[DataFra
     # Most places fail for all windows of the anchor at once.
     near = F.when(F.col("needed").isNotNull() & (F.size(common) >= F.col("needed")), F.exists(F.sequence("s0", "s1"), stands)).otherwise(False)
     found = met.select(
-        "row",
+        "d",
+        "k",
         "item_id",
         (F.col("needed").isNull() & (F.col("lo") <= F.col("hi"))).alias("exact"),
         near.alias("near"),
         (F.col("pos") - F.col("q") + F.col("lo")).alias("start"),
         (F.col("pos") - F.col("q") + F.col("hi") + F.col("size")).alias("end"),
     )
-    return index.select("row", "doc_id", "n_words"), found.where("exact or near")
+    return index.select("doc_id", "d", "k", "n_words"), found.where("exact or near")
 
 
 def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, spans, items, near_items) for each row of docs.
+    """(doc_id, d, k, n_words, spans, items, near_items) for each row of docs; d and k are the hashes of its id and text.
 
     spans: array of (start, end) word runs in which benchmark windows stand, merged; items: the items of those windows;
     near_items: items of which a window's terms stand, at least NEAR_PERCENT of them, within 12 words of one of its anchors.
-    An item of fewer than 13 words is one window; an item without words is none. Null texts have no words; null
-    ids are carried along; repeated rows are each matched; empty tables give no rows or no matches.
+    An item of fewer than 13 words is one window; an item without words is none; one without an id covers words, but is not
+    named. Null texts have no words; null ids are carried along; rows alike in id and text are matched alike; empty tables
+    give no rows or no matches.
     """
     kind = docs.schema[key].dataType.simpleString()
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    chosen = chosen.withColumns({"d": F.xxhash64("doc_id"), "k": F.xxhash64(text_column("text"))})
     size = bench.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
     items = cut(item_words(bench, item, item_text), "items")
@@ -212,13 +223,13 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k) if blocks > 1 else items
         now, found = block_matches(chosen, part, kind)
-        if blocks > 1:  # rows keep their numbers only within a block's table: the number is the same as long as the files are
+        if blocks > 1:
             found = cut(found, "matches")
         rows, out = rows or now, found if out is None else out.unionByName(found)
-    spans = out.where("exact").select("row", "start", "end").distinct().groupBy("row").agg(
+    spans = out.where("exact").select("d", "k", "start", "end").distinct().groupBy("d", "k").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
     )
-    names = out.select("row", "item_id", "exact", "near").groupBy("row").agg(
+    names = out.select("d", "k", "item_id", "exact", "near").groupBy("d", "k").agg(
         F.collect_set(F.when(F.col("exact"), F.col("item_id").cast("string"))).alias("items"),
         F.collect_set(F.when(F.col("near"), F.col("item_id").cast("string"))).alias("near_items"),
     )
@@ -235,10 +246,12 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
     )
     none = F.array().cast("array<string>")
     return (
-        rows.join(spans, "row", "left")
-        .join(names, "row", "left")
+        rows.join(spans, ["d", "k"], "left")
+        .join(names, ["d", "k"], "left")
         .select(
             "doc_id",
+            "d",
+            "k",
             "n_words",
             F.coalesce(merged, F.array().cast("array<struct<start:long,end:long>>")).alias("spans"),
             F.coalesce("items", none).alias("items"),
@@ -248,10 +261,12 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """One row per searched document: how many of its words benchmark windows cover, and whether that contaminates it."""
+    """One row per searched document, with the hashes of its id and text: how many of its words benchmark windows cover, and whether that contaminates it."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return found.select("*", hit.alias("n_hit")).select(
         "doc_id",
+        "d",
+        "k",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),

@@ -37,7 +37,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.digest(decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontamination.digest(decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("d", "k")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, as_bytes, components, cut, small_batches
+from jobloom.llm.common import LOWER, as_bytes, components, cut, small_batches, text_column
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Segments (of two bits each) of the blocks; one block more than DISTANCE must agree besides the first.
@@ -61,15 +61,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs; null texts have no words."""
+    """(doc_id, k, fp) for each row of docs, k being the text's hash; null texts have no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "k", "fp"])
 
-    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(each, f"doc_id {docs.schema[key].dataType.simpleString()}, fp long")
+    chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("k", F.xxhash64(text_column("text")))
+    return chosen.mapInArrow(each, f"doc_id {docs.schema[key].dataType.simpleString()}, k long, fp long")
 
 
 def unary(fp):
@@ -185,7 +185,9 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs: the smallest doc_id linked with it, directly or through others.
+    """(doc_id, k, fp, root, component_id) for each row of docs: the smallest doc_id linked with it, directly or through others.
+
+    k is the text's hash, root the smallest fingerprint of the group, which names it where ids are missing or repeated.
 
     Equal texts share a fingerprint and are linked through it, so copies are never expanded into pairs. Null and empty
     texts have fingerprint zero and are linked like any other; repeated rows stay; a null doc_id gets its group's
@@ -196,5 +198,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = cut(components(links(first.select("fp"))), "roots")
     grouped = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.select("fp", "root").join(least, "root")
+    return prints.join(named, "fp").select("doc_id", "k", "fp", "root", "component_id")

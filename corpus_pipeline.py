@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontamination, line_dedup, pieces, simhash, toxicity
-from jobloom.llm.common import cut, table
+from jobloom.llm.common import cut, maybe_among, table, text_column
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,26 +23,34 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return cleaned.select(*docs.columns)
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with the hashes of id and text: what an operator found is joined back by both, since ids may be missing or repeated."""
+    return docs.withColumns({"__d": F.xxhash64("doc_id"), "__k": F.xxhash64(text_column("text"))})
+
+
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, and once where its row is repeated.
-
-    Rows without an id stay if no document of their group has one.
-    """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id is null and component_id is null or doc_id = component_id")
-    ids = cut(kept.select(F.col("doc_id").alias("__id")).distinct(), "kept")
-    # By shuffle at every size: the ids grow with the corpus, and are never broadcast.
-    named = docs.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near copies, once: of smallest id, then of smallest text hash; without an id only if none has one."""
+    found = simhash.near_duplicates(docs).select(F.xxhash64("doc_id").alias("__d"), F.col("k").alias("__k"), "doc_id", "root")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__k")
+    rows = cut(found.groupBy("root", "__d", "__k").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n")), "groups")
+    best = rows.groupBy("root").agg(F.min("rank").alias("best"))
+    # Groups of one row need no look; what is judged grows with the corpus, and is never broadcast.
+    judged = rows.join(best.hint("merge"), "root").select("__d", "__k", (F.col("rank") == F.col("best")).alias("__kept"), "n")
+    judged = cut(judged.where("not __kept or n > 1").select("__d", "__k", "__kept"), "judged")
+    split = maybe_among(row_keys(docs), judged, ("__d", "__k"))
+    looked_at = split.where("maybe").join(judged.hint("merge"), ["__d", "__k"], "left").where("coalesce(__kept, true)")
     order = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = f"row_number() over (partition by doc_id, xxhash64(text) order by {', '.join(f'`{c}`' for c in order) or '1'})"
-    return named.withColumn("__n", F.expr(first)).where("__n = 1").select(*docs.columns)
+    first = f"row_number() over (partition by __d, __k order by {', '.join(f'`{c}`' for c in order) or '1'})"
+    return split.where("not maybe").select(*docs.columns).unionByName(looked_at.withColumn("__n", F.expr(first)).where("__n = 1").select(*docs.columns))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 7 does not call contaminated."""
     found = decontamination.digest(decontamination.search(docs, table(spark, sf_dir, "benchmark")))
-    bad = cut(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = cut(found.where("contaminated").select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "contaminated")
+    split = maybe_among(row_keys(docs), bad, ("__d", "__k"))
+    left = split.where("maybe").join(bad.hint("merge"), ["__d", "__k"], "left_anti")
+    return split.where("not maybe").unionByName(left).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

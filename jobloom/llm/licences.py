@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +39,10 @@ RESTRICTS = {
 }
 UNKNOWN = 0.5
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(rb"[a-z0-9][a-z0-9.+-]*|[()]")
-#: An expression ends with its line; tags are found wherever they stand.
-LINE = re.compile(rb"[^\r\n]*")
+#: What an expression is made of, on one line, and all it may go on over: reading ends where neither follows.
+TOKEN = re.compile(rb"[^\r\na-z0-9()]*([a-z0-9][a-z0-9.+-]*|[()])")
+#: Bytes that belong to words.
+IN_WORD = np.array([c != 0x20 for c in WORD_OR_SPACE])
 
 
 def family(identifier: str) -> str:
@@ -48,7 +50,7 @@ def family(identifier: str) -> str:
     return next((f for f in FAMILIES if identifier == f or identifier.startswith(f + "-") or identifier.startswith(f + "+")), identifier)
 
 
-def expression(tokens: list[str]) -> list[tuple[str, float]] | None:
+def expression(tokens: Iterable[str]) -> list[tuple[str, float]] | None:
     """Evaluate a licence expression with two stacks: (label, restriction) of what must be kept to, None if malformed.
 
     `or` leaves the choice to the user, so the less restrictive side holds; `and` joins both; `with` keeps
@@ -88,36 +90,49 @@ def expression(tokens: list[str]) -> list[tuple[str, float]] | None:
     return values[0]
 
 
-@lru_cache(1)
-def automaton() -> ahocorasick.Automaton:
-    """Finds phrases between word boundaries; each phrase is set in single spaces."""
+@lru_cache(2)
+def automaton(tags: bool) -> ahocorasick.Automaton:
+    """Finds identifier tags in lower-cased text, or phrases between word boundaries, each set in single spaces."""
     found = ahocorasick.Automaton()
-    for kind, phrases in ((0, BASE), (1, NOTICES)):
-        for phrase, label in phrases.items():
-            found.add_word(f" {phrase} ", (kind, label, len(phrase) + 2, phrase.count(" ") + 1))
+    if tags:
+        found.add_word(TAG, len(TAG))
+    else:
+        for kind, phrases in (("base", BASE), ("notice", NOTICES)):
+            for phrase, label in phrases.items():
+                found.add_word(f" {phrase} ", (kind, label, len(phrase) + 2, phrase.count(" ") + 1))
     found.make_automaton()
     return found
 
 
+def line_tokens(text: bytes, at: int) -> Iterator[str]:
+    """What an expression may be made of from a place on, as far as it is asked for: to the end of the line or another tag."""
+    while (m := TOKEN.match(text, at)) and (token := m[1].decode()) != TAG[:-1]:
+        yield token
+        at = m.end()
+
+
 def scan_text(text: bytes) -> tuple[int, list[tuple[str, str, int, int]], float]:
-    """Number of words; (kind, label, first word, words) of each hit; the score. kind: base, notice or tag."""
+    """Number of words; (kind, label, first word, words) of each hit; the score. kind: base, notice or tag.
+
+    A tag's words are counted up to its expression. Each byte is looked at a fixed number of times, however many tags there are.
+    """
     words = text.translate(WORD_OR_SPACE).split()
     joined = f" {b' '.join(words).decode('latin-1')} "
     hits, at, index = [], 0, 0
-    found = sorted((end - size + 1, kind, label, n) for end, (kind, label, size, n) in automaton().iter(joined))
+    found = sorted((end - size + 1, kind, label, n) for end, (kind, label, size, n) in automaton(False).iter(joined))
     for start, kind, label, n in found:
         index, at = index + joined.count(" ", at, start), start
-        hits.append((("base", "notice")[kind], label, index, n))
+        hits.append((kind, label, index, n))
     score = max((RESTRICTS[label] for _, label, _, _ in hits), default=0.0)
     lower = text.translate(LOWER)
-    at = lower.find(TAG.encode())
-    while at >= 0:
-        at += len(TAG)
-        found_here = expression([t.decode() for t in TOKEN.findall(LINE.match(lower, at)[0])])
-        for label, weight in found_here or ():
-            hits.append(("tag", label, len(lower[:at].translate(WORD_OR_SPACE).split()), 1))
-            score = max(score, weight)
-        at = lower.find(TAG.encode(), at)
+    tags = [end + 1 for end, _ in automaton(True).iter(lower.decode("latin-1"))]
+    if tags:
+        inside = IN_WORD[np.frombuffer(text, np.uint8)]
+        begun = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]]))
+        for end in tags:
+            for label, weight in expression(line_tokens(lower, end)) or ():
+                hits.append(("tag", label, int(begun[end - 1]), 1))
+                score = max(score, weight)
     return len(words), hits, score
 
 

@@ -33,10 +33,14 @@ LOOKS = {
 }
 #: Costs, in natural logarithms: of a look-alike, of dropping it, of a letter held down, of reading through a separator or keeping it.
 LOOK_COST, DROP_COST, HELD_COST, THROUGH_COST, APART_COST = 0.5, 6.0, 0.7, 0.5, 3.0
+#: Runs of equal characters of a stretch that are read together.
+PIECE = 512
 
 #: Letters stay, all else is a word's end. Look-alikes and separators are only read within suspicious stretches.
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-MIXED = re.compile(rb"[0-9@$!|+]+")
+LOOK_ALIKE = re.compile(rb"[0-9@$!|+]")
+MIXED = re.compile(rb"(?=[0-9@$!|+]*[a-z\x80-\xff])(?=[a-z\x80-\xff]*[0-9@$!|+])[a-z0-9@$!|+\x80-\xff]+")
+TRAILING = re.compile(rb"[@$!|+]+$")
 HELD_DOWN = re.compile(rb"([a-z])\1\1")
 SPELLED = re.compile(rb"(?<![a-z0-9@$!|+\x80-\xff])(?:[a-z0-9@$!|+][ ._*-]){3,}[a-z0-9@$!|+](?![a-z0-9@$!|+\x80-\xff])")
 TOKEN = re.compile(rb"[a-z0-9@$!|+\x80-\xff]+")
@@ -90,9 +94,32 @@ def lattice(token: bytes) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: bytes, model: np.ndarray) -> str:
-    """The most likely reading of a stretch, by Viterbi over its lattice; states are the last two letters."""
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for step in lattice(token):
+    """The most likely reading of a stretch, by Viterbi over its lattice; states are the last two letters.
+
+    A stretch longer than any word (PIECE runs) is read in pieces, each going on from the letters before it, so that memory stays bounded.
+    """
+    steps, states, out = lattice(token), {(0, 0): (0.0, ())}, []
+    for start in range(0, len(steps), PIECE):
+        states = read(steps[start : start + PIECE], states, model)
+        if start + PIECE < len(steps):
+            (a, b), (_, path) = max(states.items(), key=lambda s: s[1][0])
+            out.append(spelled(path))
+            states = {(a, b): (0.0, ())}
+    _, path = max(((p + model[a][b][0], path) for (a, b), (p, path) in states.items()), key=lambda s: s[0])
+    return "".join([*out, spelled(path)])
+
+
+def spelled(path: tuple) -> str:
+    out = []
+    while path:
+        path, text = path
+        out.append(text)
+    return "".join(reversed(out))
+
+
+def read(steps: list[list[tuple[str, float]]], states: dict, model: np.ndarray) -> dict:
+    """For each state after the steps, the likelihood of the best way there and the way."""
+    for step in steps:
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (p, path) in states.items():
             for text, cost in step:
@@ -104,30 +131,30 @@ def decode(token: bytes, model: np.ndarray) -> str:
                 if (x, y) not in new or q > new[x, y][0]:
                     new[x, y] = (q, (path, text))
         states = new
-    _, path = max(((p + model[a][b][0], path) for (a, b), (p, path) in states.items()), key=lambda s: s[0])
-    out = []
-    while path:
-        path, text = path
-        out.append(text)
-    return "".join(reversed(out))
+    return states
 
 
 def suspicious(text: bytes) -> list[bytes]:
-    """Stretches of a lower-cased text that may hide a word."""
+    """Stretches of a lower-cased text that may hide a word: letters mixed with look-alikes, letters held down, words spelled out.
+
+    Symbols at a stretch's end may as well be punctuation, so without them it is a stretch of its own.
+    """
     found = []
-    for pattern in (MIXED, HELD_DOWN):
+    for pattern in (LOOK_ALIKE, HELD_DOWN):
         end = 0
         for m in pattern.finditer(text):
-            if m.start() < end:
-                continue
-            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-            if pattern is MIXED and not (after.isalpha() and (before.isalpha() or not before or before.isspace())):
+            if (start := m.start()) < end:
                 continue
-            start = m.start()
             while start and TOKEN.match(text, start - 1, start):
                 start -= 1
             end = TOKEN.match(text, start).end()
-            found.append(text[start:end])
+            token = text[start:end]
+            if pattern is LOOK_ALIKE and not MIXED.fullmatch(token):
+                continue
+            found.append(token)
+            bare = TRAILING.sub(b"", token)
+            if bare != token and (MIXED.fullmatch(bare) or HELD_DOWN.search(bare)):
+                found.append(bare)
     found += [m[0] for m in SPELLED.finditer(text)]
     return found
 
@@ -160,7 +187,10 @@ def features(text: str) -> set[str]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct labelled training texts (text, toxic, weight), about SAMPLE of a class; weight: documents each stands for."""
+    """Distinct labelled training texts (text, toxic, weight), about SAMPLE of a class; weight: documents each stands for.
+
+    A document, or a text, labelled both ways is toxic.
+    """
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS, F.lit(0))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(fold != TEST_FOLD).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -171,7 +201,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < pick(of) * (1 << 20))
     chosen = chosen.withColumn("weight", pick(lambda k: 1 / share.get(k, 1.0)))
     met = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight", F.xxhash64("text").alias("h"))
-    return cut(met.dropDuplicates(["h"]).drop("h"), "labelled")
+    # Of texts alike, one counts, and is toxic if any of them is.
+    one = met.groupBy("h").agg(F.max(F.struct("toxic", "weight", "text")).alias("m"))
+    return cut(one.select("m.text", "m.toxic", "m.weight"), "labelled")
 
 
 def learn(labelled: DataFrame, restore_model: np.ndarray) -> dict[str, float]:

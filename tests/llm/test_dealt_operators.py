@@ -214,11 +214,28 @@ def test_near_duplicates_empty(empty):
 # --- operator 4
 
 
+def plain_fill(names, slots):
+    """Each shard's whole order written down; by turns each takes the first slot of its order that is free."""
+    orders = []
+    for name in names:
+        digest = hashlib.sha256(name.encode()).hexdigest()
+        offset, step = int(digest[:16], 16) % slots, int(digest[16:32], 16) % (slots - 1) + 1
+        orders.append(iter([(offset + k * step) % slots for k in range(slots)]))
+        assert len({(offset + k * step) % slots for k in range(slots)}) == slots
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        slot = next(s for s in orders[turn % len(names)] if s not in owner)
+        owner[slot], turn = turn % len(names), turn + 1
+    return [owner[s] for s in range(slots)]
+
+
 def test_sharding(docs, empty):
     got = sharding.place(docs)
     assert len(got.collect()) == len(ROWS) and set(docs.columns) < set(got.columns)
     assert sharding.place(empty).collect() == []
     owner = sharding.fill([f"s{k}" for k in range(7)], 1021)
+    assert owner == plain_fill([f"s{k}" for k in range(7)], 1021)
+    assert sharding.fill([f"shard-{k}" for k in range(sharding.SHARDS)]) == plain_fill([f"shard-{k}" for k in range(sharding.SHARDS)], sharding.SLOTS)
     sizes = Counter(owner)
     assert len(sizes) == 7 and max(sizes.values()) - min(sizes.values()) <= 1
     fewer = sharding.fill([f"s{k}" for k in range(6)], 1021)
@@ -249,6 +266,31 @@ def test_licences(docs, empty):
     assert licences.scan(empty).collect() == []
 
 
+def test_licence_hits_by_brute_force():
+    """All hits and scores of random texts of phrases, parts of phrases and tags, in words and by hand."""
+    import random
+
+    rng = random.Random(15)
+    parts = [*licences.BASE, *licences.NOTICES, "cc", "by", "general public", "license", "mit", "x", "SPDX-License-Identifier: MIT", "spdx-license-identifier: gpl-3.0-only OR isc\n", "(c)", "-", "\n"]
+    tags = {"SPDX-License-Identifier: MIT": [("mit", 0.1)], "spdx-license-identifier: gpl-3.0-only OR isc\n": [("isc", 0.1)]}
+    for _ in range(300):
+        chosen = [rng.choice(parts) for _ in range(rng.randint(0, 12))]
+        chosen = [c + "\n" if c in tags else c for c in chosen]
+        text = " ".join(chosen)
+        words = TERM.findall(lower(text))
+        want = {(kind, label, k, len(p.split())) for kind, named in (("base", licences.BASE), ("notice", licences.NOTICES)) for p, label in named.items()
+                for k in range(len(words)) if words[k : k + len(p.split())] == p.split()}
+        want_tags, at = [], ""
+        for c in chosen:
+            if (c.rstrip("\n") in tags) or c in tags or c[:-1] in tags:
+                found = tags.get(c) or tags.get(c[:-1]) or tags.get(c.rstrip("\n"))
+                want_tags += [("tag", label, len(TERM.findall(lower(at))) + 3, 1) for label, _ in found]
+            at += c + " "
+        n, hits, score = licences.scan_text(text.encode())
+        assert n == len(words) and {h for h in hits if h[0] != "tag"} == want and [h for h in hits if h[0] == "tag"] == want_tags, text
+        assert score == max([licences.RESTRICTS[x] for _, x, _, _ in want] + [0.1 for _ in want_tags], default=0.0)
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
@@ -298,10 +340,11 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     want = sorted(brute_contamination([(r[0], r[1]) for r in ROWS], items), key=repr)
     for size in (1 << 24, 200):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
-        got = decontamination.digest(decontamination.search(docs, bench))
+        got = decontamination.digest(decontamination.search(docs, bench)).drop("d", "k")
         assert sorted(map(tuple, got.collect()), key=repr) == want
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
-    got = decontamination.digest(decontamination.search(docs, bench))
+    monkeypatch.setattr(decontamination, "POSTINGS", 3)
+    got = decontamination.digest(decontamination.search(docs, bench)).drop("d", "k")
     assert sorted(map(tuple, got.collect()), key=repr) == want
     assert decontamination.search(empty, bench).collect() == []
     assert {r.n_hit for r in decontamination.digest(decontamination.search(docs, bench.where("false"))).collect()} == {0}

@@ -138,6 +138,17 @@ def test_viterbi_is_optimal():
         assert abs(total - brute(data)) < 1e-9
 
 
+def test_words_together_and_alone_alike(spark):
+    """best_many() gives what best() gives, whatever words are decoded together; encode() joins them."""
+    rng = random.Random(6)
+    use = pieces.codec(spark)()
+    words = [(" " + "".join(rng.choice("abcdeéü漢\U0001f600stnro") for _ in range(rng.randint(1, 11)))).encode() for _ in range(400)]
+    words = [w for w in words if len(w) <= pieces.SHORT]
+    assert [np.frombuffer(x, np.int32).tolist() for x in use.best_many(words)] == [use.best(w) for w in words]
+    text = b"".join(words[:50])[1:]
+    assert use.encode(text).tolist() == [i for w in words[:50] for i in use.best(w)]
+
+
 def test_trie_finds_all_pieces():
     rng = random.Random(4)
     entries = {bytes(rng.randrange(256) for _ in range(rng.randint(1, 5))) for _ in range(3000)}
@@ -227,6 +238,52 @@ def test_toxicity(spark):
     assert [got[k].predicted for k in (5002, 5003, 5004, 5005, 5006)] == [1] * 5 and got[5000].predicted == got[5001].predicted == 0
 
 
+def test_readings_are_the_best():
+    """Viterbi against all paths through the lattice, for stretches of look-alikes, letters held down and words spelled out."""
+    rng = random.Random(12)
+    counts = np.array([[[rng.randint(0, 9) for _ in range(28)] for _ in range(28)] for _ in range(28)], np.int64)
+    model = toxicity.letter_model(counts)
+    assert np.allclose(np.exp(model).sum(axis=2), 1, atol=0.05)
+
+    def brute(token):
+        best = (-np.inf, None)
+        paths = [("", 0.0)]
+        for step in toxicity.lattice(token):
+            paths = [(text + x, cost + c) for text, cost in paths for x, c in step]
+        for text, cost in paths:
+            letters = [0, 0, *(int(toxicity.CLASS[ord(c)]) for c in text), 0]
+            p = sum(model[a][b][c] for a, b, c in zip(letters, letters[1:], letters[2:], strict=False)) - cost
+            best = max(best, (p, text))
+        return best
+
+    def score(token, text):
+        paths = {"": 0.0}
+        for step in toxicity.lattice(token):
+            new = {}
+            for t, cost in paths.items():
+                for x, c in step:
+                    if text.startswith(t + x):
+                        new[t + x] = min(new.get(t + x, np.inf), cost + c)
+            paths = new
+        letters = [0, 0, *(int(toxicity.CLASS[ord(c)]) for c in text), 0]
+        return sum(model[a][b][c] for a, b, c in zip(letters, letters[1:], letters[2:], strict=False)) - paths[text]
+
+    for _ in range(150):
+        token = "".join(rng.choice(["a", "b", "c", "1", "0", "$", "!!", "|", "aaa", "e", "s"]) for _ in range(rng.randint(1, 6))).encode()
+        got = toxicity.decode(token, model.tolist())
+        assert abs(score(token, got) - brute(token)[0]) < 1e-9, (token, got)
+    assert set(toxicity.suspicious(b"a$$ worthle55 (5hit hello 2024 10:30 soooo i d i o t")) == {b"a$$", b"worthle55", b"5hit", b"soooo", b"i d i o t"}
+    long_ = toxicity.decode(b"a1" * 200_000, model.tolist())
+    assert len(long_) >= 200_000
+
+
+def test_conflicting_labels_are_toxic(spark):
+    rows = [(k, "same text here", k % 2) for k in range(1, 40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert [(r.text, r.toxic) for r in toxicity.sample(docs, labels).collect()] == [("same text here", 1)]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ROWS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -245,11 +302,18 @@ def test_pipeline(spark, tmp_path):
     rows += [(2000, clean, "en", "s", len(clean)), (2001, clean, "en", "s", len(clean)), (2001, clean, "en", "s", len(clean)), (2002, None, None, None, None), (2003, "", "en", "s", 0)]
     bench = " ".join(f"question{k}" for k in range(20))
     rows += [(2004, f"some words before {bench} and after", "en", "s", 0), (2005, "scumbag idiot " + clean, "en", "s", 0)]
+    # Missing and repeated ids: what happens to one row does not happen to its namesake.
+    own = [" ".join(f"own{j}word{k}" for k in range(40)) for j in range(6)]
+    rows += [(None, own[0], "en", "s", 1), (None, f"{bench} and more", "en", "s", 1), (2004, own[1], "en", "s", 1), (2000, own[2], "en", "s", 1)]
+    rows += [(2010, own[3], "en", "s", 1), (2010, own[4], "en", "s", 1), (2011, own[4].upper(), "en", "s", 1), (None, own[4].title(), "en", "t", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, y) for i, _, y in toxic_rows(random.Random(11))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {r.doc_id: r for r in out}
-    assert all(r.restored for r in out) and kept[2000].text == clean and 2004 not in kept and 2005 not in kept
-    assert len(out) == len(kept) and sum(1 for r in out if not r.text) == 1
+    kept = {(r.doc_id, r.text) for r in out}
+    assert all(r.restored for r in out) and len(kept) == len(out) and sum(1 for r in out if not r.text) == 1
+    assert (2000, clean) in kept and (2000, own[2]) in kept and (2004, own[1]) in kept and (None, own[0]) in kept and (2010, own[3]) in kept
+    assert not [t for _, t in kept if t and (bench in t or "scumbag" in t)]
+    near = [(i, t) for i, t in kept if t and t.lower() == own[4]]
+    assert near == [(2010, own[4])]
     assert os.path.exists(tmp_path)

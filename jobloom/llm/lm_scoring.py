@@ -25,14 +25,16 @@ from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_c
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
 BUCKETS, BINS = 24, 64
 #: Tokens of a shard, about; and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 1_000_000, 16
+SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 12
 ROUNDS, FLOOR = 200, 1e-7
 #: Among so many keys the rows that are no occurrences are dealt out.
 SIDES = 1 << 12
 #: One over the share of all tokens from which on a word is dealt out over the shards.
 FREQUENT = 20_000
 #: Words that a worker's cache of hashes holds before it is emptied.
-CACHE = 500_000
+CACHE = 250_000
+#: Bytes of text that are dealt out together.
+BATCH_BYTES = 10 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a document's fold that the counts tell apart.
 KEPT, HELD, TEST = 0, 1, 2
@@ -103,7 +105,7 @@ def survey(docs: DataFrame, frequent: int = FREQUENT) -> tuple[int, int, int, np
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sums, often = Hashes(), [0, 0, 0], {}
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             b, _, sizes = tokens(as_bytes(batch.column(2)), hashes)
             part = batch.column(1).to_numpy(zero_copy_only=False)
             for k, chosen in enumerate((part == KEPT, part != TEST, part >= 0)):
@@ -139,7 +141,7 @@ def deal(docs: DataFrame, shards: int, often: np.ndarray) -> DataFrame:
         from pyspark import TaskContext
 
         hashes, number = Hashes(), TaskContext.get().partitionId() << 20
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             rows = []
             b, context, sizes = tokens(as_bytes(batch.column(2)), hashes)
             part = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import all_words, employer_key
+from jobloom.functions.text import all_words, employer_key, fold
 from jobloom.operators import dedup
 
 UNDATED_DAYS, NEW_DAYS, PAGE, FEED = 30, 3, 20, 50
@@ -17,14 +17,16 @@ IDENTITY = {"source_id", "aggregator", "published_on", "employer", "city", "titl
 LEVELS = ["secondary", "junior_college", "bachelor", "master", "phd"]
 
 
+def is_open(as_of: date) -> Column:
+    """Whether a job may show: published by an enabled source, and open by deadline, or without one if seen or reviewed lately."""
+    lately = F.date_sub(F.lit(as_of), UNDATED_DAYS)
+    undated = F.col("deadline").isNull() & ((F.col("first_seen") >= lately) | F.coalesce(F.col("last_reviewed") >= lately, F.lit(False)))
+    return F.coalesce((F.col("status") == "published") & F.col("enabled") & (F.coalesce(F.col("deadline") >= F.lit(as_of), F.lit(False)) | undated), F.lit(False))
+
+
 def visible(jobs: DataFrame, as_of: date) -> DataFrame:
-    """Published jobs of enabled sources that are open, each vacancy once: by deadline, or without one if seen or reviewed lately."""
-    today = F.lit(as_of)
-    lately = F.date_sub(today, UNDATED_DAYS)
-    dated = F.col("deadline").isNotNull()
-    open_ = dated & (F.col("deadline") >= today)
-    undated = ~dated & ((F.col("first_seen") >= lately) | F.coalesce(F.col("last_reviewed") >= lately, F.lit(False)))
-    return unique(jobs, (F.col("status") == "published") & F.col("enabled") & (open_ | undated))
+    """Open jobs, each vacancy once."""
+    return unique(jobs, is_open(as_of))
 
 
 def unique(jobs: DataFrame, shown: Column) -> DataFrame:
@@ -46,10 +48,15 @@ def public_history(jobs: DataFrame) -> DataFrame:
 
 
 def past(jobs: DataFrame, as_of: date) -> DataFrame:
-    """Public jobs that are over, without those still visible."""
+    """Public jobs that are over. What is open is told by the row itself, so no other row is looked up."""
     over = (F.col("status") == "closed") & ~F.col("closed_reason").isin(*HIDDEN_REASONS)
     expired = (F.col("status") == "published") & F.coalesce(F.col("deadline") < F.lit(as_of), F.lit(False))
-    return jobs.where(F.col("published_on").isNotNull() & (over | expired)).join(visible(jobs, as_of).select("job_id"), "job_id", "left_anti")
+    return jobs.where(F.col("published_on").isNotNull() & (over | expired) & ~is_open(as_of))
+
+
+def by_name(rows: DataFrame, column: str = "name") -> DataFrame:
+    """In the order of folded names, whatever their case and marks."""
+    return rows.orderBy(fold(F.col(column)), column)
 
 
 def search(jobs: DataFrame, query: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.operators.board import visible
 
-STALE_HOURS, REVIEW_DAYS, FAILING, PER_HOUR = 48, 60, 3, 5
+STALE_HOURS, REVIEW_DAYS, FAILING, PER_HOUR, RECHECK_DAYS = 48, 60, 3, 5, 90
 STATES = ["available", "partial", "review", "empty", "unavailable", "not_found", "integration", "pending"]
 
 
@@ -21,8 +21,31 @@ def source_counts(jobs: DataFrame, as_of: date) -> DataFrame:
     return open_.join(review, "source_id", "full").select("source_id", F.coalesce("open_jobs", F.lit(0)).alias("open_jobs"), F.coalesce("review_jobs", F.lit(0)).alias("review_jobs"))
 
 
+def audit_current(now: datetime) -> Column:
+    """Whether an organization's audit still counts: dated within RECHECK_DAYS, with evidence and notes."""
+    day = F.to_date(F.lit(now))
+    stated = (F.coalesce("evidence_url", F.lit("")) != "") & (F.coalesce("notes", F.lit("")) != "")
+    return F.coalesce(F.col("checked_on").between(F.date_sub(day, RECHECK_DAYS), day), F.lit(False)) & stated
+
+
+def without_superseded(sources: DataFrame) -> DataFrame:
+    """sources without disabled ones that name an active source of their organization as what replaced them.
+
+    sources: organization_id, url, enabled, has_adapter, superseded_by.
+    """
+    active = sources.where("enabled and has_adapter").select(F.col("organization_id").alias("__org"), F.col("url").alias("__url")).distinct()
+    gone = ~F.col("enabled") & F.col("superseded_by").isNotNull()
+    replaced = sources.where(gone).join(active, (F.col("organization_id") == F.col("__org")) & (F.col("superseded_by") == F.col("__url")), "left_anti")
+    return sources.where(~gone).unionByName(replaced)
+
+
 def coverage_status(sources: DataFrame, now: datetime) -> DataFrame:
-    """sources with their state, the first rule that holds. Columns used: status, enabled, last_attempt, last_success, partial, open_jobs, review_jobs, audit."""
+    """sources with their state, the first rule that holds. Columns used: status, enabled, last_attempt, last_success, partial, open_jobs, review_jobs, audit.
+
+    An audit's finding counts only while it is current, where its date, evidence and notes are given.
+    """
+    dated = {"checked_on", "evidence_url", "notes"} <= set(sources.columns)
+    audit = F.when(audit_current(now), F.col("audit")) if dated else F.col("audit")
     failed = F.col("last_attempt").isNotNull() & (F.col("last_success").isNull() | (F.col("last_attempt") > F.col("last_success")))
     stale = F.col("enabled") & (F.col("last_success") < F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {STALE_HOURS} hours"))
     healthy = F.col("enabled") & (F.col("status") == "verified") & F.col("last_success").isNotNull()
@@ -32,8 +55,8 @@ def coverage_status(sources: DataFrame, now: datetime) -> DataFrame:
         .when(healthy & (F.col("open_jobs") > 0), "available")
         .when(healthy & (F.col("review_jobs") > 0), "review")
         .when(healthy, "empty")
-        .when(F.col("audit") == "blocked", "unavailable")
-        .when(F.col("audit").isin("not_found", "integration"), F.col("audit"))
+        .when(audit == "blocked", "unavailable")
+        .when(audit.isin("not_found", "integration"), audit)
         .otherwise("pending")
     )
     return sources.withColumn("state", state)
@@ -102,10 +125,17 @@ def failure_category(error: Column) -> Column:
 
 
 def limited(reports: DataFrame) -> DataFrame:
-    """Stored reports with how many the client had in the hour before, and whether that was the limit."""
+    """Stored reports with how many the client had in the hour before, and whether that was the limit.
+
+    A client's reports are dealt out by the hour, each hour with the one before it, so that a client of very many reports is
+    no single task's. Reports of one second do not count for each other.
+    """
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    before = Window.partitionBy("client").orderBy(seconds).rangeBetween(-3600, -1)
-    return reports.withColumn("before", F.count(F.lit(1)).over(before)).withColumn("limited", F.col("before") >= PER_HOUR)
+    hour = F.floor(F.col("__at") / 3600)
+    both = reports.withColumn("__at", seconds).withColumn("__hour", F.explode(F.array(hour, hour + 1)))
+    before = Window.partitionBy("client", "__hour").orderBy("__at").rangeBetween(-3600, -1)
+    counted = both.withColumn("before", F.count(F.lit(1)).over(before)).where(F.col("__hour") == hour)
+    return counted.drop("__at", "__hour").withColumn("limited", F.col("before") >= PER_HOUR)
 
 
 def daily_metrics(events: DataFrame) -> DataFrame:

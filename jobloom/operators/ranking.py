@@ -105,6 +105,12 @@ def rank_of(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), level)
 
 
+def titles_of(jobs: DataFrame) -> Column:
+    """A job's title and, where given, its current translations' (array translated_titles)."""
+    own = F.array("title")
+    return F.concat(own, F.coalesce("translated_titles", F.array().cast("array<string>"))) if "translated_titles" in jobs.columns else own
+
+
 def matches(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(user_id, job_id, score, reasons, cautions, unknowns, strong) of every job that no hard wish of a profile rules out.
 
@@ -121,7 +127,7 @@ def _matched(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     both = jobs.withColumn("__one", F.lit(1)).join(F.broadcast(profiles.withColumn("__one", F.lit(1))), "__one").drop("__one")
     want = lambda c: F.coalesce(F.col(f"want_{c}"), F.lit("")) != ""
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    role = F.arrays_overlap(stems(F.col("want_role")), stems(F.col("title")))
+    role = F.arrays_overlap(stems(F.col("want_role")), F.flatten(F.transform(titles_of(jobs), stems)))
     remote_job = F.coalesce(F.col("remote"), F.lit("")) == "remote"
     city = want("city") & (F.coalesce("city", F.lit("")) != "") & (F.lower("want_city") == F.lower("city"))
     far = yes("want_remote") & remote_job
@@ -142,6 +148,10 @@ def _matched(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         ("experience", F.col("want_experience").isNotNull(), F.coalesce(years, F.lit(False)), F.col("experience_years").isNull(), 1),
         ("languages", has_langs, (F.size(langs) > 0) & (F.size(F.array_except(langs, spoken)) == 0), F.size(langs) == 0, 1),
     ]
+    # A citizenship rule is always to be checked by the reader; without one, those who said that they may not work in the country are told.
+    citizen = F.coalesce(F.col("citizenship"), F.lit("")) != "" if "citizenship" in jobs.columns else F.lit(False)
+    barred = F.coalesce(F.col("want_work") == "no", F.lit(False)) if "want_work" in profiles.columns else F.lit(False)
+    notes = [F.when(citizen, "citizenship"), F.when(~citizen & barred, "right to work")]
     out = yes("must_city") & want("city") & ~city | yes("must_remote") & yes("want_remote") & ~far | yes("must_type") & want("type") & ~F.coalesce(kinds, F.lit(False))
     score = reduce(lambda a, b: a + b, [F.when(wish & met, points).otherwise(0) for _, wish, met, _, points in rules])
     names = lambda pick: F.array_compact(F.array(*[F.when(pick(*r[1:4]), r[0]) for r in rules]))
@@ -151,7 +161,7 @@ def _matched(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         "first_seen",
         score.cast("long").alias("score"),
         names(lambda wish, met, _: wish & met).alias("reasons"),
-        names(lambda wish, met, unknown: wish & ~met & ~unknown).alias("cautions"),
+        F.concat(names(lambda wish, met, unknown: wish & ~met & ~unknown), F.array_compact(F.array(*notes))).alias("cautions"),
         names(lambda wish, met, unknown: wish & ~met & unknown).alias("unknowns"),
     )
     return found.withColumn("strong", (F.col("score") >= 3) & (F.size("cautions") == 0) & (F.size("unknowns") == 0))

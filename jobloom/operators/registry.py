@@ -116,21 +116,5 @@ def structured(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", safe.alias("data"))
 
 
-def translation_errors(rows: DataFrame) -> DataFrame:
-    """(job_id, error): what a proposed version breaks: unknown fields, lengths, or contacts that the source does not have.
-
-    rows: job_id, text, title, summary, extra (array of other field names). Null: it can be stored.
-    """
-    contacts = F.regexp_extract_all(F.concat_ws(" ", "title", "summary"), F.lit(r"[\w.+-]+@[\w-]+\.[\w.]+|https?://\S+"), F.lit(0))
-    foreign = F.size(F.filter(contacts, lambda c: ~F.contains(F.lower("text"), F.lower(c)))) > 0
-    error = (
-        F.when(F.size("extra") > 0, "unknown field")
-        .when((F.length("title") < 1) | (F.length("title") > 200), "title length")
-        .when((F.length("summary") < 1) | (F.length("summary") > 2000), "summary length")
-        .when(foreign, "contact not in source")
-    )
-    return rows.select("job_id", error.alias("error"))
-
-
 def seconds_to_next_hour(now: Column) -> Column:
     return F.lit(3600) - F.pmod(F.unix_seconds(now), F.lit(3600))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobloom.functions import display
 from jobloom.functions import text as T
-from jobloom.operators import board, coverage, dedup, exchange, lifecycle, ranking, registry
+from jobloom.operators import admission, board, coverage, dedup, editing, exchange, lifecycle, ranking, registry
 from jobloom.plans import fixtures
 from jobloom.plans.standins import AS_OF, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
 from jobloom.sources import payloads
@@ -177,10 +178,10 @@ def failure_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return failed.groupBy(coverage.failure_category(F.col("error")).alias("category")).agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("""SELECT client, count(*) FILTER (WHERE before >= 5) AS limited, CAST(max(before) AS BIGINT) AS most FROM (SELECT user_id % 5 AS client,
-      count(*) OVER (PARTITION BY user_id % 5 ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS before FROM events) GROUP BY client""")
+@query("""SELECT client, count(*) FILTER (WHERE before >= 5) AS limited, CAST(max(before) AS BIGINT) AS most FROM (SELECT user_id AS client,
+      count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS before FROM events) GROUP BY client""")
 def rate_limit_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("client"), "ts")
+    reports = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts")
     return coverage.limited(reports).groupBy("client").agg(F.count_if("limited").alias("limited"), F.max("before").alias("most"))
 
 
@@ -405,17 +406,26 @@ def newest_of_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.newest_of_role(o).select("role", "place")
 
 
-@query("SELECT url, CAST(min(l) AS INTEGER) AS list, min(pos) FILTER (WHERE l = m) AS pos FROM (SELECT *, min(l) OVER (PARTITION BY url) AS m FROM (SELECT url, 0 AS l, page_id AS pos FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages WHERE page_id % 3 = 0)) GROUP BY url")
+@query("""SELECT url, CAST(min(l) AS INTEGER) AS list, min(pos) FILTER (WHERE l = m) AS pos FROM (SELECT *, min(l) OVER (PARTITION BY url) AS m FROM (
+    SELECT url, 0 AS l, page_id AS pos FROM pages
+    UNION ALL SELECT url, 1, page_id FROM pages UNION ALL SELECT 'https://pages.test/' || CAST(user_id AS VARCHAR), 1, event_id FROM events)) GROUP BY url""")
 def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as found, then all pages and the events' users' pages as known."""
     p = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("pos"))
-    return registry.first_seen_union(p.where("pos % 2 = 0"), p.where("pos % 3 = 0"))
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("https://pages.test/"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("pos"))
+    return registry.first_seen_union(p, p.unionByName(e))
 
 
-@query("SELECT a.o_orderkey AS job_id, CAST(min(CASE WHEN a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus <> 'P' THEN CAST(b.o_orderdate AS DATE) END) AS VARCHAR) AS published_on FROM orders a LEFT JOIN orders b ON a.o_orderkey % 500 = b.o_orderkey % 500 AND b.o_orderkey % 7 = 1 WHERE a.o_orderkey % 9 = 2 GROUP BY 1")
+@query("""SELECT a.o_orderkey AS job_id, CAST(min(CASE WHEN a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus <> 'P' THEN CAST(b.o_orderdate AS DATE) END) AS VARCHAR) AS published_on
+    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_custkey % 53 % 9 <> 0 AND a.o_orderdate = b.o_orderdate WHERE a.o_custkey % 53 % 9 = 0 OR a.o_orderstatus = 'P' GROUP BY 1""")
 def proven_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select(k.alias("job_id"), (k % 500).alias("requisition"), F.col("o_orderpriority").alias("title"), F.lit(None).cast("date").alias("deadline"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("published_on"))
-    return registry.proven_dates(o.where("job_id % 9 = 2"), o.where("job_id % 7 = 1")).withColumn("published_on", F.col("published_on").cast("string"))
+    """Orders of aggregators, and those without a date of their own, against all employers' own records of the customer and day."""
+    c = F.col("o_custkey")
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.concat_ws("/", c.cast("string"), F.col("o_orderdate").cast("string")).alias("requisition"), F.col("o_orderpriority").alias("title"),
+        F.lit(None).cast("date").alias("deadline"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("published_on"), (c % 53 % 9 == 0).alias("aggregator"), "o_orderstatus",
+    )
+    return registry.proven_dates(o.where("aggregator or o_orderstatus = 'P'"), o.where("not aggregator")).withColumn("published_on", F.col("published_on").cast("string"))
 
 
 @query("SELECT s_suppkey, coalesce(r_name, 'code ' || CAST(s_suppkey % 7 AS VARCHAR)) AS employer FROM supplier LEFT JOIN region ON s_suppkey % 7 = r_regionkey")
@@ -438,14 +448,183 @@ def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.structured(board.visible(jobs(spark, sf_dir), AS_OF))
 
 
-@query("SELECT doc_id AS job_id, CASE WHEN doc_id % 11 = 0 THEN 'unknown field' WHEN doc_id % 7 = 0 THEN 'title length' WHEN doc_id % 5 = 0 THEN 'contact not in source' END AS error FROM documents")
+@query("""SELECT doc_id AS job_id, CASE WHEN doc_id % 17 = 0 THEN 'translation is disabled' WHEN doc_id % 13 = 0 THEN 'text changed after export' WHEN doc_id % 11 = 0 THEN 'unknown field' WHEN doc_id % 7 = 0 THEN 'empty title'
+    WHEN doc_id % 5 = 0 THEN 'contact not in source' END AS error FROM documents""")
 def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
+    none = F.array().cast("array<string>")
     rows = table(spark, sf_dir, "documents").select(
-        k.alias("job_id"), "text", F.when(k % 7 == 0, "").otherwise("Officer").alias("title"), F.when(k % 5 == 0, "write to nobody@nowhere.test").otherwise("A summary.").alias("summary"),
-        F.when(k % 11 == 0, F.array(F.lit("salary"))).otherwise(F.array().cast("array<string>")).alias("extra"),
+        k.alias("job_id"), "text", F.md5("text").alias("content_hash"), (k % 17 == 0).alias("disabled"), F.when(k % 13 == 0, "old").otherwise(F.md5("text")).alias("exported_hash"),
+        F.when(k % 7 == 0, " ").otherwise("Officer").alias("title"), F.lit("A summary.").alias("summary"), F.lit(None).cast("string").alias("how_to_apply"), none.alias("responsibilities"),
+        F.when(k % 5 == 0, F.array(F.lit("write to nobody@nowhere.test."))).otherwise(none).alias("requirements"), F.when(k % 11 == 0, F.array(F.lit("salary"))).otherwise(none).alias("extra"),
     )
-    return registry.translation_errors(rows)
+    return editing.translation_errors(rows)
+
+
+@query("SELECT doc_id AS job_id FROM documents WHERE doc_id % 9 <> 0 AND NOT (doc_id % 4 = 0)")
+def translations_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(k.alias("job_id"), F.md5("text").alias("content_hash"), F.when(k % 4 == 0, F.md5("text")).when(k % 3 == 0, "old").alias("translated_hash"), F.when(k % 9 == 0, True).alias("disabled"))
+    return editing.pending_translations(rows).select("job_id")
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id FROM jobs WHERE education_level = '' OR experience_years IS NULL OR job_id % 8 = 0")
+def facts_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.when(F.col("job_id") % 8 != 0, F.array(F.lit("law"))).otherwise(F.array().cast("array<string>"))
+    return editing.lacking(jobs(spark, sf_dir).withColumn("fields", fields)).select("job_id")
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT 'open' AS state, count(*) AS jobs FROM jobs WHERE deadline >= DATE '{AS_OF}' UNION ALL SELECT 'past', count(*) FROM jobs WHERE deadline < DATE '{AS_OF}' UNION ALL SELECT 'none', count(*) FROM jobs WHERE deadline IS NULL")
+def admin_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir)
+    found = [editing.by_deadline_state(rows, s, AS_OF).agg(F.lit(s).alias("state"), F.count(F.lit(1)).alias("jobs")) for s in ("open", "past", "none")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+#: Copies as aggregators have them: the next order of the same customer stands for the official record.
+_COPIES = f"WITH jobs AS ({JOBS}), copies AS (SELECT job_id, lead(job_id) OVER (PARTITION BY o_custkey ORDER BY job_id) AS duplicate_of FROM jobs WHERE job_id % 6 = 0 OR job_id % 10 = 0)"
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("job_id")
+    return rows.where("job_id % 6 = 0 or job_id % 10 = 0").select("job_id", F.lead("job_id").over(order).alias("duplicate_of")).where("duplicate_of is not null")
+
+
+@query(f"{_COPIES} SELECT job_id FROM jobs WHERE status = 'review' AND job_id NOT IN (SELECT job_id FROM copies WHERE duplicate_of IS NOT NULL)")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir)
+    return editing.review_queue(rows, _copies(rows)).select("job_id")
+
+
+@query(f"""{_COPIES} SELECT j.job_id, CASE WHEN status <> 'published' THEN NULL WHEN NOT enabled THEN 'source is disabled' WHEN deadline < DATE '{AS_OF}' THEN 'deadline has passed' WHEN duplicate_of IS NOT NULL THEN 'copy of an official record' END AS error
+    FROM jobs j LEFT JOIN copies c USING (job_id)""")
+def publish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir)
+    return editing.publish_errors(rows, _copies(rows), AS_OF).select("job_id", "error")
+
+
+@query(f"""WITH jobs AS ({JOBS}) SELECT CASE WHEN experience_years = 3 THEN 'closed' ELSE status END AS status, CASE WHEN experience_years = 3 AND status <> 'closed' THEN 'manual' ELSE closed_reason END AS closed_reason, count(*) AS jobs,
+    count(*) FILTER (WHERE experience_years = 3 AND status <> 'closed') AS logged FROM jobs GROUP BY 1, 2""")
+def bulk_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir)
+    after, log = editing.bulk(rows, rows.where("experience_years = 3").select("job_id"), "close", NOW)
+    both = after.select("job_id", "status", "closed_reason").join(log.select("job_id", F.lit(1).alias("one")), "job_id", "left")
+    return both.groupBy("status", "closed_reason").agg(F.count(F.lit(1)).alias("jobs"), F.count("one").alias("logged"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN event_id % 4 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) ELSE '2024-01-31' END AS resolved FROM events")
+def report_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "click", "open").otherwise("resolved")
+    stamp = editing.resolved_at(status, F.when(F.col("event_id") % 4 == 0, F.col("ts").cast("timestamp_ntz")), NOW)
+    return e.select("event_id", F.to_date(stamp).cast("string").alias("resolved"))
+
+
+# --- admission
+
+
+@query(f"""WITH found AS (SELECT page_id % 12 AS source_id, page_id AS pos, CASE WHEN page_id % 5 = 0 THEN 'https://a.test/2025/03/job-' WHEN page_id % 5 = 1 THEN 'https://a.test/2026/3/job-' WHEN page_id % 29 = 2 THEN 'https://a.test/' || repeat('x', 1000) ELSE 'https://a.test/job-' END || CAST(page_id % 700 AS VARCHAR) AS url FROM pages),
+    kept AS (SELECT source_id, url, min(pos) AS pos FROM found WHERE NOT contains(url, '/2025/03/') AND length(url) <= 1000 GROUP BY ALL),
+    known AS (SELECT DISTINCT p_partkey % 12 AS source_id, 'https://a.test/job-' || CAST(p_partkey % 900 AS VARCHAR) AS url FROM part WHERE p_type <> 'LARGE')
+    SELECT source_id, url, pos, false AS known_only FROM kept UNION ALL SELECT source_id, url, NULL, true FROM known k WHERE source_id % 3 = 0 AND source_id IN (SELECT source_id FROM found) AND NOT EXISTS (SELECT 1 FROM kept WHERE kept.source_id = k.source_id AND kept.url = k.url)""")
+def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    head = F.when(k % 5 == 0, "https://a.test/2025/03/job-").when(k % 5 == 1, "https://a.test/2026/3/job-").when(k % 29 == 2, "https://a.test/" + "x" * 1000).otherwise("https://a.test/job-")
+    found = table(spark, sf_dir, "pages").select((k % 12).alias("source_id"), F.concat(head, (k % 700).cast("string")).alias("url"), F.lit("Officer").alias("title"), k.alias("pos"), (k % 12 % 3 == 0).alias("partial"))
+    p = F.col("p_partkey")
+    known = table(spark, sf_dir, "part").where("p_type != 'LARGE'").select((p % 12).alias("source_id"), F.concat(F.lit("https://a.test/job-"), (p % 900).cast("string")).alias("url"), F.lit("Officer").alias("title"))
+    return admission.links(found, known, 2026).drop("title")
+
+
+@query("SELECT user_id AS source_id, count(DISTINCT event_type || CAST(floor(value) AS VARCHAR)) AS links, CASE WHEN count(DISTINCT event_type || CAST(floor(value) AS VARCHAR)) > 100 THEN 'More than 100 possible links: ' || CAST(count(DISTINCT event_type || CAST(floor(value) AS VARCHAR)) AS VARCHAR) END AS error FROM events GROUP BY 1")
+def links_over_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), F.concat("event_type", F.floor("value").cast("string")).alias("url")).distinct()
+    return admission.over_limit(e)
+
+
+@query(f"""WITH j AS (SELECT *, first_seen >= DATE '1998-01-01' AS in_scope, closed_reason = 'manual' AS excluded, closed_reason = 'missing' AS withdrawn FROM ({JOBS}))
+    SELECT job_id, status = 'published' AS is_known FROM j WHERE status = 'published' OR in_scope AND NOT (excluded OR withdrawn OR coalesce(deadline < DATE '{AS_OF}', false))""")
+def candidate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir)
+    return admission.admitted(rows, rows.where("status = 'published'"), AS_OF).select("job_id", "is_known")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.col("closed_reason")
+    return jobs(spark, sf_dir).withColumns(
+        {"url": F.concat(F.lit("https://a.test/"), F.col("job_id").cast("string")), "in_scope_year": F.col("first_seen") >= "1998-01-01", "excluded": reason == "manual", "withdrawn": reason == "missing",
+         "qualified": F.col("education_level") != "", "year_proven": F.col("published_on").isNotNull()}
+    )
+
+
+@query(f"""WITH j AS (SELECT * FROM ({JOBS}) WHERE first_seen >= DATE '1998-01-01' AND (closed_reason = 'missing' OR deadline < DATE '{AS_OF}') AND closed_reason <> 'manual' AND status <> 'published')
+    SELECT source_id, count(*) AS created, count(*) FILTER (WHERE education_level <> '' AND published_on IS NOT NULL) AS public FROM j GROUP BY 1""")
+def archive_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir)
+    return admission.backfill_summary(admission.backfill(rows, rows.where("status = 'published'"), AS_OF))
+
+
+@query(f"""WITH jobs AS ({JOBS}), ran AS (SELECT DISTINCT source_id FROM jobs WHERE status = 'review' AND source_id % 4 <> 0)
+    SELECT job_id, source_id, CASE WHEN source_id IN (SELECT source_id FROM ran) THEN 'run' ELSE 'stored' END AS state FROM jobs WHERE source_id NOT IN (SELECT source_id FROM ran) OR status = 'review'""")
+def write_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jobs(spark, sf_dir).select("job_id", "source_id", "status")
+    stored, run = (rows.select("job_id", "source_id", F.lit(state).alias("state"), "status") for state in ("stored", "run"))
+    failed = rows.where("source_id % 4 = 0").select("source_id")
+    return admission.written(stored.drop("status"), run.where("status = 'review'").drop("status"), failed)
+
+
+@query("SELECT c_custkey, n_name AS mission, CASE WHEN n_name IS NULL THEN 'no mission for ' || CAST(c_nationkey + c_custkey % 3 * 10 AS VARCHAR) END AS error FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey + c_custkey % 3 * 10")
+def jobs_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") + F.col("c_custkey") % 3 * 10).cast("string").alias("symbol"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("symbol"), F.col("n_name").alias("mission"))
+    return admission.with_missions(c, n).select("c_custkey", "mission", "error")
+
+
+@query("SELECT event_id, CAST(CASE WHEN hour(ts) < 12 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS VARCHAR) AS day, CAST(CAST(ts AS DATE) AS VARCHAR) AS us FROM events")
+def portal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", admission.local_day(F.col("ts"), 12).cast("string").alias("day"), admission.us_date(F.date_format("ts", "M/d/yyyy")).cast("string").alias("us"))
+
+
+@query("SELECT page_id, page_id % 4 = 3 AS safe FROM pages")
+def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, "ftp://a.test/x").when(k % 4 == 1, "https://user:word@a.test/").when(k % 4 == 2, "https://a.test/" + "y" * 1000).otherwise("https://a.test/x?y=1")
+    return table(spark, sf_dir, "pages").select("page_id", admission.safe_url(url).alias("safe"))
+
+
+# --- display
+
+
+@query(f"""SELECT job_id, array_to_string(list_filter([CASE WHEN education_level <> '' THEN education_level END, CASE WHEN experience_years = 0 THEN 'no experience' WHEN experience_years > 0 THEN CAST(experience_years AS VARCHAR) || '+ years' END, 'law',
+    CASE WHEN job_id % 2 = 0 THEN 'driving licence' END, CASE WHEN job_id % 6 = 0 THEN 'remote' END], lambda x: x IS NOT NULL), ', ') AS tags FROM ({JOBS})""")
+def job_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("job_id")
+    rows = jobs(spark, sf_dir).withColumns({"fields": F.array(F.lit("law")), "licence": F.when(k % 2 == 0, "required").otherwise("asset"), "remote": F.when(k % 6 == 0, "remote")})
+    return rows.select("job_id", F.array_join(display.tags(), ", ").alias("tags"))
+
+
+@query()
+def advert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page shows of the stated adverts: rows of requirements and of terms."""
+    from jobloom.functions.extract import requirements
+
+    return requirements(fixtures.adverts(spark)).select("id", display.requirement_rows().alias("requirements"), display.term_rows().alias("terms"))
+
+
+@query(f"""WITH s AS (SELECT *, source_id % 10 AS organization_id, 'https://s.test/' || CAST(source_id AS VARCHAR) AS url, CASE WHEN NOT enabled THEN 'https://s.test/' || CAST(source_id + 10 AS VARCHAR) END AS superseded_by FROM ({SOURCES}))
+    SELECT source_id FROM s WHERE enabled OR NOT EXISTS (SELECT 1 FROM s t WHERE t.organization_id = s.organization_id AND t.url = s.superseded_by AND t.enabled AND t.has_adapter)""")
+def superseded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = lambda k: F.concat(F.lit("https://s.test/"), k.cast("string"))
+    s = sources(spark, sf_dir).withColumns({"organization_id": F.col("source_id") % 10, "url": url(F.col("source_id")), "superseded_by": F.when(~F.col("enabled"), url(F.col("source_id") + 10))})
+    return coverage.without_superseded(s).select("source_id")
+
+
+@query("SELECT n_nationkey, CAST(row_number() OVER (ORDER BY lower(n_name), n_name) AS INTEGER) AS place FROM nation")
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("name"))
+    order = Window.orderBy(T.fold(F.col("name")), "name")
+    return board.by_name(rows).withColumn("place", F.row_number().over(order)).select("n_nationkey", "place")
 
 
 # --- ranking

@@ -15,9 +15,10 @@ def failure_streaks(runs: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, last = state.get if state.exists else (0, None)
-        for batch in batches:
-            for started, success in batch.sort_values("started_at")[["started_at", "success"]].itertuples(index=False):
-                failures, last = 0 if success else failures + 1, started
+        # A key's rows of one batch may come in several chunks, in any order between them.
+        rows = pd.concat([batch[["started_at", "success"]] for batch in batches])
+        for started, success in rows.sort_values("started_at", kind="stable").itertuples(index=False):
+            failures, last = 0 if success else failures + 1, started
         state.update((failures, last))
         yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "last_started": [last]})
 
@@ -30,16 +31,15 @@ def changed_pages(snapshots: DataFrame) -> DataFrame:
     """(page_id, scan, hash) of snapshots that differ from the page's last one: A, B, A gives three. snapshots: page_id, scan, text."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            out = []
-            for scan, digest in batch.sort_values("scan")[["scan", "hash"]].itertuples(index=False):
-                if digest != last:
-                    out.append((key[0], scan, digest))
-                    last = digest
-            if out:
-                yield pd.DataFrame(out, columns=["page_id", "scan", "hash"])
+        last, out = state.get[0] if state.exists else None, []
+        rows = pd.concat([batch[["scan", "hash"]] for batch in batches])
+        for scan, digest in rows.sort_values("scan", kind="stable").itertuples(index=False):
+            if digest != last:
+                out.append((key[0], scan, digest))
+                last = digest
         state.update((last,))
+        if out:
+            yield pd.DataFrame(out, columns=["page_id", "scan", "hash"])
 
     hashed = snapshots.select("page_id", "scan", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
     return hashed.groupBy("page_id").applyInPandasWithState(step, "page_id long, scan long, hash string", "hash string", "append", GroupStateTimeout.NoTimeout)

@@ -126,10 +126,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        large = meet(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(small_m, "u")
@@ -141,6 +139,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = cut(small, "edges")
         changed = new.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(new, ["u", "v"], "left_anti").limit(1).count()
         drop(now)
+        drop(least)
         now = new
         if not changed:
             break

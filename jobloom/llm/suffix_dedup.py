@@ -8,7 +8,7 @@ offsets, and
 2. an anchor seen once settles its strings as unique, a segment seen twice settles them as repeated;
 3. the segments of the other anchors meet by anchor, in batches of bounded size. Each batch is sorted in two stages: suffixes
    smaller than their successors directly, the others induced from them by bucket scans. Neighbours
-   with a common prefix of LENGTH bytes are repeats;
+   whose common prefix, which is computed then, has LENGTH bytes are repeats;
 4. the segments of an anchor that has very many are dealt out by further anchors and by hashes instead.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, drop, maybe_among, small_batches, text_column
+from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column
 
 LENGTH, GRAM = 200, 40
 WINDOW = LENGTH - GRAM + 1
@@ -168,12 +168,29 @@ def suffix_array(text: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+def common_prefixes(text: bytes, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
+    """For each place of an order but the first, how many bytes (up to `most`) it has in common with the place before it; eight are compared at once."""
+    t = np.frombuffer(text + bytes(most + 8), np.uint8).astype(np.uint64)
+    eight = t[: len(text) + most].copy()
+    for k in range(1, 8):
+        eight |= t[k : k + len(eight)] << np.uint64(8 * k)
+    low, high = order[:-1], order[1:]
+    out, live = np.full(len(low), most, np.int64), np.arange(len(low))
+    for k in range(0, most, 8):
+        x = eight[low[live] + k] ^ eight[high[live] + k]
+        differ = x != 0
+        out[live[differ]] = k + (np.bitwise_count((x[differ] & -x[differ]) - np.uint64(1)).astype(np.int64) >> 3)
+        live = live[~differ]
+        if not len(live):
+            break
+    return np.minimum(np.minimum(out, most), len(text) - np.maximum(low, high))
+
+
 def repeated_starts(text: bytes, chosen: np.ndarray) -> np.ndarray:
     """Of the chosen starts, marked as booleans over the text, those whose LENGTH bytes stand at another chosen start too."""
     order = suffix_array(text)
     order = order[chosen[order]]
-    strings = [text[i : i + LENGTH] for i in order.tolist()]
-    alike = np.fromiter((x == y for x, y in zip(strings, strings[1:], strict=False)), bool, max(0, len(strings) - 1))
+    alike = common_prefixes(text, order) >= LENGTH
     found = np.zeros(len(text), bool)
     found[order[:-1][alike]] = True
     found[order[1:][alike]] = True
@@ -307,14 +324,14 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     cuts = cut(runs(segments), "runs")
     kinds = cuts.groupBy("t", "u", "x", "y").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d", "k", "p", "n", "c", "bytes")).alias("at"))
     kinds = cut(kinds.select("t", "u", "x", "y", "m", "at.*"), "kinds")
-    whole = cuts.where("c = 1").join(kinds.where("m > 1").select("t", "u", "x", "y"), ["t", "u", "x", "y"], "left_semi")
+    whole = meet(cuts.where("c = 1"), kinds.where("m > 1").select("t", "u", "x", "y", "m"), ["t", "u", "x", "y"], "m")
     whole = whole.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
-    mixed = kinds.groupBy("t", "u").count().where(F.col("count") > 1).select("t", "u")
+    mixed = cut(kinds.groupBy("t", "u").agg(F.count(F.lit(1)).alias("among")).where("among > 1"), "mixed")
     # Dealt out anew by place, as the runs of one large group came to one task.
-    open_ = kinds.join(mixed, ["t", "u"], "left_semi").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
+    open_ = meet(kinds, mixed, ["t", "u"], "among").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
     single = strings(open_)
-    twice = single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("x", "y")
-    found = single.where("c = 1 and m = 1").join(twice, ["x", "y"], "left_semi")
+    twice = cut(single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "strings")
+    found = meet(single.where("c = 1 and m = 1"), twice, ["x", "y"], "seen")
     return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))
 
 
@@ -342,14 +359,14 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     all_ = cut(all_anchors(rows), "anchors")
     # Partial counts at the map side keep an anchor of many copies down to a row a task.
     again = all_.groupBy("a").agg(F.count(F.lit(1)).alias("seen"), F.min("s").alias("low"), F.max("s").alias("high"))
-    again = cut(again.where("seen > 1").select("a", (F.col("low") != F.col("high")).alias("mixed")), "repeated")
-    found = cut(all_.join(again, "a"), "again")
+    again = cut(again.where("seen > 1").select("a", "seen", (F.col("low") != F.col("high")).alias("mixed")), "repeated")
+    found = cut(meet(all_, again, ["a"], "seen").drop("seen"), "again")
     drop(all_)
     whole = found.where("not mixed").select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     unsure = found.where("mixed")
     classes = unsure.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "p", "n")).alias("at"))
     classes = cut(classes.select("a", "s", "c", "at.*"), "classes")
-    twice = unsure.join(classes.where("c > 1").select("a", "s"), ["a", "s"], "left_semi")
+    twice = meet(unsure, classes.where("c > 1").select("a", "s", "c"), ["a", "s"])
     twice = twice.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     segments = cut(with_bytes(rows, classes), "segments")
     many = cut(classes.groupBy("a").count().where(F.col("count") > MANY).select("a"), "many")

@@ -209,6 +209,20 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_common_prefixes():
+    rng = random.Random(6)
+    for _ in range(200):
+        t = bytes(97 + rng.randrange(rng.choice([1, 2])) for _ in range(rng.randint(0, 90))) + b"\0" * rng.randint(0, 3)
+        order = suffix_dedup.suffix_array(t)
+        want = []
+        for i, j in zip(order.tolist(), order[1:].tolist(), strict=False):
+            n = 0
+            while n < 20 and max(i, j) + n < len(t) and t[i + n] == t[j + n]:
+                n += 1
+            want.append(n)
+        assert suffix_dedup.common_prefixes(t, order, 20).tolist() == want
+
+
 # --- operator 10
 
 

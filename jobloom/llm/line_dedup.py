@@ -164,3 +164,18 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     joined = joined.withColumns({text: F.when(has, F.col("__new.text")).otherwise(F.col(text)), "n_lines_removed": F.when(has, F.col("__new.n")).otherwise(0)})
     columns = [*[c for c in docs.columns if c != "n_lines_removed"], "n_lines_removed"]
     return joined.select(*columns).unionByName(split.where("not maybe").withColumn("n_lines_removed", F.lit(0)).select(*columns))
+
+
+def oracle() -> str:
+    """Each window and each of its continuations by content: what stands earlier too is gone. For ids that are not repeated."""
+    return f"""
+    WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS raw, x, len(regexp_extract_all(x, '[^ \\t-\\r]+')) AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    b AS (SELECT doc_id, raw, regexp_replace(regexp_replace(x, '^[ \\t-\\r]+', ''), '[ \\t-\\r]+$', '') AS x, row_number() OVER o - 1 AS k, sum(w) OVER o AS upto, w FROM l WHERE w > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY raw)),
+    s AS (SELECT doc_id, list(x ORDER BY k) AS xs, list(upto ORDER BY k) AS u FROM b GROUP BY doc_id),
+    st AS (SELECT doc_id, k, xs, u, (SELECT min(e) FROM unnest(range(k + 1, len(xs) + 1)) t(e) WHERE u[e] - before >= {WORDS}) AS e FROM (SELECT doc_id, xs, u, k, CASE WHEN k = 0 THEN 0 ELSE u[k] END AS before FROM (SELECT doc_id, xs, u, unnest(range(0, len(xs))) AS k FROM s))),
+    w AS (SELECT doc_id, k, xs, e, unnest(range(e, coalesce((SELECT min(f) FROM unnest(range(e, len(xs) + 1)) t(f) WHERE u[f] - u[e] >= {WORDS}), len(xs)) + 1)) AS f FROM st WHERE e IS NOT NULL),
+    m AS (SELECT doc_id, k, f, min((doc_id, k)) OVER (PARTITION BY e - k, md5(array_to_string(xs[k + 1:f], chr(10)))) AS first FROM w),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(k, f)) AS k FROM m WHERE (doc_id, k) <> first)
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents d LEFT JOIN (
+      SELECT l.doc_id, count(g.k) AS n, string_agg(l.x, chr(10) ORDER BY l.raw) FILTER (WHERE g.k IS NULL) AS t
+      FROM l LEFT JOIN b ON l.doc_id = b.doc_id AND l.raw = b.raw LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.k = b.k GROUP BY l.doc_id) USING (doc_id)"""

@@ -67,7 +67,13 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op4_sharding": sharding.oracle, "op7_decontamination": decontamination.oracle, "op8_quality": quality.oracle}
+ORACLES = {
+    "op2_line_dedup": line_dedup.oracle,
+    "op4_sharding": sharding.oracle,
+    "op7_decontamination": decontamination.oracle,
+    "op8_quality": quality.oracle,
+    "op9_suffix_dedup": suffix_dedup.oracle,
+}
 
 
 def queries() -> dict:

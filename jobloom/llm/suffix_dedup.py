@@ -430,3 +430,19 @@ def digest(removed: DataFrame) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def oracle() -> str:
+    """Every string of a text by its bytes in hexadecimal digits; what two share is covered, and joined to spans where it meets."""
+    return f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    p AS (SELECT r, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM (SELECT r, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH})),
+    t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM p) WHERE c > 1),
+    o AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM t),
+    g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM o),
+    span AS (SELECT r, g, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY r, g),
+    sums AS (SELECT r, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY r),
+    edges AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM span),
+    kept AS (SELECT e.r, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN next IS NULL THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS k FROM edges e JOIN d USING (r) GROUP BY e.r)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+    FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     path = f"{found.rstrip('/')}/rounds-{uuid.uuid4().hex}"
@@ -42,17 +45,18 @@ def identity_keys(jobs: DataFrame) -> DataFrame:
 def same_vacancy(keys: DataFrame) -> DataFrame:
     """(a, b), a < b: jobs of different sources that share a key and were not published far apart.
 
-    Two equi-joins in one, since every key says what kind it is; the pairwise test is never made between jobs without a common key.
+    Jobs with a date meet by key and span of ROUND_DAYS days, one side in its own and both spans next to it, so that a key that comes
+    again and again is met in pieces; those without a date meet all of their key. Every key says what kind it is.
     """
-    left, right = keys.alias("l"), keys.alias("r")
-    gap = F.abs(F.datediff("l.published_on", "r.published_on"))
-    near = F.coalesce(gap <= ROUND_DAYS, F.lit(True))
-    return (
-        left.join(right, F.col("l.key") == F.col("r.key"))
-        .where((F.col("l.job_id") < F.col("r.job_id")) & (F.col("l.source_id") != F.col("r.source_id")) & near)
-        .select(F.col("l.job_id").alias("a"), F.col("r.job_id").alias("b"))
-        .distinct()
-    )
+    span = F.floor(F.datediff("published_on", F.lit("1970-01-01")) / ROUND_DAYS)
+    dated, undated = keys.where("published_on is not null"), keys.where("published_on is null")
+    left = dated.withColumn("span", span).alias("l")
+    right = dated.withColumn("span", F.explode(F.array(span - 1, span, span + 1))).alias("r")
+    near = F.abs(F.datediff("l.published_on", "r.published_on")) <= ROUND_DAYS
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.span") == F.col("r.span"))).where(near & (F.col("l.job_id") < F.col("r.job_id")))
+    without = undated.alias("l").join(keys.alias("r"), F.col("l.key") == F.col("r.key")).where("l.job_id != r.job_id")
+    ids = [F.least("l.job_id", "r.job_id").alias("a"), F.greatest("l.job_id", "r.job_id").alias("b")]
+    return met.where("l.source_id != r.source_id").select(*ids).unionByName(without.where("l.source_id != r.source_id").select(*ids)).distinct()
 
 
 def official_duplicates(jobs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -68,8 +72,8 @@ def winners(jobs: DataFrame, pairs: DataFrame, blocked: DataFrame | None = None)
     """job_ids that show: in order of precedence each job unless it matches one that shows already.
 
     Matching is not transitive, so a job that matches only losers shows. jobs: job_id, aggregator, first_seen; official records come
-    first, then older ones, then smaller ids. blocked: aggregator copies to leave out before. Each round settles the jobs whose
-    earlier matches are settled: a winner has no earlier match that won or is open, a loser has one that won.
+    first, then older ones, then smaller ids. blocked: aggregator copies to leave out before. In each round those without an open
+    earlier match win, what matches them loses, and both leave with their matches; at last all that is left wins.
     """
     if blocked is not None:
         jobs = jobs.join(blocked.select("job_id"), "job_id", "left_anti")
@@ -78,14 +82,14 @@ def winners(jobs: DataFrame, pairs: DataFrame, blocked: DataFrame | None = None)
     two = pairs.join(ranked.select(F.col("job_id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("job_id").alias("b"), F.col("rank").alias("rb")), "b")
     earlier = F.when(F.col("ra") < F.col("rb"), F.struct(F.col("b").alias("job_id"), F.col("a").alias("before"))).otherwise(F.struct(F.col("a").alias("job_id"), F.col("b").alias("before")))
     edges = _cut(two.select(earlier.alias("e")).select("e.*").distinct())
-    state = _cut(ranked.select("job_id").withColumn("won", F.lit(None).cast("boolean")))
-    while True:
-        before = edges.join(state.select(F.col("job_id").alias("before"), F.col("won").alias("before_won")), "before")
-        seen = before.groupBy("job_id").agg(F.max(F.coalesce("before_won", F.lit(False))).alias("lost"), F.max(F.col("before_won").isNull()).alias("open"))
-        settled = F.when(F.coalesce("lost", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = _cut(state.join(seen, "job_id", "left").select("job_id", F.coalesce("won", settled).alias("won")))
-        if not state.where("won is null").limit(1).count():
-            return state.where("won").select("job_id")
+    left, won = ranked.select("job_id"), []
+    while edges.limit(1).count():
+        now = _cut(left.join(edges, "job_id", "left_anti"))
+        lost = _cut(edges.join(now.withColumnRenamed("job_id", "before"), "before", "left_semi").select("job_id").distinct())
+        won.append(now)
+        left = _cut(left.join(now, "job_id", "left_anti").join(lost, "job_id", "left_anti"))
+        edges = _cut(edges.join(lost, "job_id", "left_anti").join(lost.withColumnRenamed("job_id", "before"), "before", "left_anti").select("job_id", "before"))
+    return reduce(DataFrame.unionByName, won, left)
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:

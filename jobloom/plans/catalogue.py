@@ -330,7 +330,15 @@ def official_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.official_duplicates(rows, dedup.same_vacancy(dedup.identity_keys(rows)))
 
 
-@query()
+#: One vacancy after the other in order of precedence: it shows unless one that shows already matches it.
+WINNERS = f"""WITH RECURSIVE v AS ({VACANCIES}), p AS ({PAIRS}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    n AS (SELECT a AS id, list(b) AS near, row_number() OVER (ORDER BY any_value(aggregator), any_value(published_on), a) AS i FROM e JOIN v ON v.job_id = e.a GROUP BY a),
+    step AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS won UNION ALL
+      SELECT n.i, CASE WHEN list_has_any(won, near) THEN won ELSE list_append(won, id) END FROM step JOIN n ON n.i = step.i + 1)
+    SELECT job_id FROM v WHERE job_id NOT IN (SELECT id FROM n) UNION ALL SELECT unnest(won) FROM step WHERE i = (SELECT max(i) FROM step)"""
+
+
+@query(WINNERS)
 def dedup_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vacancies(spark, sf_dir)
     return dedup.winners(rows, dedup._cut(dedup.same_vacancy(dedup.identity_keys(rows))))
@@ -748,7 +756,21 @@ def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(fixtures.leads(spark), fixtures.TODAY, 2026)
 
 
-@query()
+_VALUE, _QUOTE = "json_extract_string(value, '$.proposed.{0}')", "json_extract_string(value, '$.evidence.{0}')"
+_RULES = " ".join(
+    f"WHEN {_VALUE.format(f)} IS NOT NULL AND NOT coalesce(contains(lower(text), lower({_QUOTE.format(f)})), false) THEN '{f} evidence not in text' "
+    f"WHEN {_VALUE.format(f)} IS NOT NULL AND NOT coalesce(contains(lower({_QUOTE.format(f)}), lower({_VALUE.format(f)})), false) THEN '{f} not in its evidence'" for f in exchange.FIELDS
+)
+_CONFLICTS = " ".join(f"WHEN {_VALUE.format(f)} IS NOT NULL AND coalesce({f}, '') <> '' AND {f} <> {_VALUE.format(f)} THEN 'conflicting {f}'" for f in ("city", "title"))
+
+
+@query(f"""WITH l(line, value) AS (VALUES {", ".join(f"({k}, '{x.replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(fixtures.PROPOSALS, 1))}),
+    j(id, content_hash, text, city, title) AS (VALUES {", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in fixtures.STORED)}),
+    p AS (SELECT line, CASE WHEN json_valid(value) THEN value END AS value FROM l), b AS (SELECT line, CAST(json_extract(value, '$.id') AS BIGINT) AS id, value FROM p)
+    SELECT CAST(line AS BIGINT) AS line, b.id, CASE WHEN b.id IS NULL OR json_extract(value, '$.proposed') IS NULL THEN 'bad line' WHEN j.id IS NULL THEN 'unknown job'
+      WHEN content_hash <> json_extract_string(value, '$.content_hash') THEN 'stale source content' {_RULES} {_CONFLICTS}
+      WHEN len(list_filter(json_keys(value, '$.proposed'), lambda k: NOT list_contains({list(exchange.FIELDS)}, k))) > 0 THEN 'unknown field' END AS error
+    FROM b LEFT JOIN j ON j.id = b.id""")
 def enrichment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.checked(fixtures.proposals(spark), fixtures.stored(spark)).select("line", "id", "error")
 

@@ -130,23 +130,33 @@ def leads(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LEADS, "id long, url string, title string, text string")
 
 
+STORED = [(1, HASH, TEXT, "", "Project Officer"), (2, HASH, TEXT, "Mostar", "")]
+
+
 def stored(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, HASH, TEXT, "", "Project Officer"), (2, HASH, TEXT, "Mostar", "")], "id long, content_hash string, text string, city string, title string")
+    return spark.createDataFrame(STORED, "id long, content_hash string, text string, city string, title string")
+
+
+def _proposal(job: int, proposed: dict, evidence: dict, content_hash: str = HASH) -> str:
+    return json.dumps({"id": job, "content_hash": content_hash, "proposed": proposed, "evidence": evidence})
+
+
+PROPOSALS = [
+    _proposal(1, {"city": "Sarajevo"}, {"city": "Officer in Sarajevo"}),
+    _proposal(1, {"city": "Tuzla"}, {"city": "Officer in Sarajevo"}),
+    _proposal(1, {"deadline": "20 October 2026"}, {"deadline": "not in the text 20 October 2026"}),
+    _proposal(1, {"city": "Sarajevo"}, {"city": "in Sarajevo"}, "old"),
+    _proposal(2, {"city": "Sarajevo"}, {"city": "in Sarajevo"}),
+    _proposal(9, {"city": "Sarajevo"}, {"city": "in Sarajevo"}),
+    _proposal(1, {"colour": "red"}, {}),
+    _proposal(1, {"title": "Officer"}, {"title": "Project Officer in"}),
+    _proposal(1, {"deadline": "20 October 2026"}, {"deadline": "by 20 October 2026"}),
+    "{not json",
+]
 
 
 def proposals(spark: SparkSession) -> DataFrame:
-    one = lambda i, p, e, h=HASH: json.dumps({"id": i, "content_hash": h, "proposed": p, "evidence": e})
-    lines = [
-        one(1, {"city": "Sarajevo"}, {"city": "Officer in Sarajevo"}),
-        one(1, {"city": "Tuzla"}, {"city": "Officer in Sarajevo"}),
-        one(1, {"deadline": "20 October 2026"}, {"deadline": "not in the text 20 October 2026"}),
-        one(1, {"city": "Sarajevo"}, {"city": "in Sarajevo"}, "old"),
-        one(2, {"city": "Sarajevo"}, {"city": "in Sarajevo"}),
-        one(9, {"city": "Sarajevo"}, {"city": "in Sarajevo"}),
-        one(1, {"colour": "red"}, {}),
-        "{not json",
-    ]
-    return spark.createDataFrame([(k + 1, x) for k, x in enumerate(lines)], "line long, value string")
+    return spark.createDataFrame(list(enumerate(PROPOSALS, 1)), "line long, value string")
 
 
 BRONZE = [

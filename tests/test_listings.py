@@ -165,7 +165,7 @@ def test_matches_and_digest(spark):
 
 def test_exchange_rules(spark):
     got = {r.line: r.error for r in exchange.checked(fixtures.proposals(spark), fixtures.stored(spark)).collect()}
-    assert got == {1: None, 2: "city not in its evidence", 3: "deadline evidence not in text", 4: "stale source content", 5: "conflicting city", 6: "unknown job", 7: "unknown field", 8: "bad line"}
+    assert got == {1: None, 2: "city not in its evidence", 3: "deadline evidence not in text", 4: "stale source content", 5: "conflicting city", 6: "unknown job", 7: "unknown field", 8: "conflicting title", 9: None, 10: "bad line"}
 
 
 def test_payload_parsers(spark):
@@ -183,3 +183,55 @@ def test_payload_parsers(spark):
 
 def test_html_text():
     assert payloads.html_text("<p>A&amp;B</p><script>x()</script><nav>n</nav> c<br>d") == "A&B c d" and payloads.html_text(None) == ""
+
+
+def brute_similar(rows, n=3):
+    """The best of all pairs, one by one."""
+    import re
+
+    from jobloom.functions.text import NOISE, ROLE_STEMS
+
+    def stems(title):
+        return {w[:6] for w in re.findall("[a-z]+", title.lower()) if len(w) >= 3 and w not in NOISE}
+
+    out = set()
+    for a in rows:
+        found = []
+        for b in rows:
+            common = stems(a["title"]) & stems(b["title"])
+            if a["job_id"] == b["job_id"] or a["employer_key"] == b["employer_key"] or not common - set(ROLE_STEMS):
+                continue
+            score = 3 * len(common - set(ROLE_STEMS)) + len(common & set(ROLE_STEMS)) + 2 * min(2, len(set(a["fields"]) & set(b["fields"])))
+            score += (a["opportunity_type"] == b["opportunity_type"]) + (a["education_level"] != "" and a["education_level"] == b["education_level"])
+            if score >= 4:
+                found.append((-score, b["deadline"] is None, b["deadline"] or date(1, 1, 1), -b["job_id"]))
+        out |= {(a["job_id"], -x[3], -x[0], k) for k, x in enumerate(sorted(found)[:n], 1)}
+    return out
+
+
+def test_similar_by_brute_force(spark):
+    """Many jobs of one employer, titles alike, and titles of more stems than have keys."""
+    import random
+
+    from jobloom.operators import ranking
+
+    rng = random.Random(5)
+    words = ["driver", "nurse", "budget", "water", "forest", "engine", "school", "market", "senior", "officer", "manager", "assistant"]
+    rows = []
+    for k in range(120):
+        title = " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 2, 3, 4, 11])))
+        rows.append({"job_id": k, "title": title, "employer_key": rng.choice(["a", "a", "a", "b", "c"]), "fields": sorted(set(rng.choices(["f", "g", "h"], k=rng.randint(0, 3)))),
+                     "opportunity_type": rng.choice(["x", "y"]), "education_level": rng.choice(["", "bachelor", "master"]), "deadline": rng.choice([None, date(2026, 1, 1), date(2026, 2, 1)])})
+    schema = "job_id long, title string, employer_key string, fields array<string>, opportunity_type string, education_level string, deadline date"
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    assert max(len(set(r["title"].split())) for r in rows) > ranking.NARROW + 2
+    assert {tuple(r) for r in ranking.similar(df).collect()} == brute_similar(rows)
+    assert ranking.similar(df.where("false")).collect() == []
+
+
+def test_small_filters(spark):
+    jobs = spark.createDataFrame([(1, "UNICEF u Bosni i Hercegovini", "Tuzla"), (2, "Other", "Mostar")], "job_id long, employer string, city string")
+    assert [r.job_id for r in board.of_employer(jobs, "unicef").collect()] == [1]
+    assert board.facet(jobs, "city", "Tuzla", ["Tuzla"]).count() == 1 and board.facet(jobs, "city", "Paris", ["Tuzla"]).count() == 2
+    seen = spark.createDataFrame([(1, date(2026, 9, 2)), (2, date(2026, 9, 1)), (3, None)], "job_id long, day date")
+    assert [r.job_id for r in lifecycle.retained(seen, "day", 30, DAY).collect()] == [1]

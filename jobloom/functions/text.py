@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to (d with stroke has no decomposition).
-MARKED = "áàâäãåāăąçćčĉďéèêëēėęěíìîïīįľĺłñńňóòôöõōőŕřšśşșťţțúùûüūůűýÿžźżđ"
-PLAIN = "aaaaaaaaaccccdeeeeeeeeiiiiiilllnnnooooooorrsssstttuuuuuuuyyzzzd"
+
+
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to one letter or figure, those in the same order, and letters that fold to several, by compatibility decomposition."""
+    one, several = {"đ": "d"}, {}
+    for x in map(chr, [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)]):
+        base = "".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c))
+        if x == x.lower() and x not in one and base != x and base.isascii() and base.isalnum():
+            (one if len(base) == 1 else several)[x] = base
+    return "".join(one), "".join(one.values()), several
+
+
+#: Combining marks have no counterpart, and so fall away.
+MARKED, PLAIN, SEVERAL = _folding()
+MARKED += "".join(map(chr, range(0x300, 0x370)))
 #: Words of each language that mark a text as written in it.
 STOPWORDS = {
     "en": "the and of to in for with is are will be this that or an on as by from have has should",
@@ -44,8 +57,11 @@ SHARED_PATHS = ("", "/jobs", "/careers", "/vacancies", "/search", "/en/jobs", "/
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks; dj and d with stroke both become d."""
-    return F.replace(F.translate(F.lower(text), MARKED, PLAIN), F.lit("dj"), F.lit("d"))
+    """Lower case without marks, letters of several in full; dj and d with stroke both become d."""
+    plain = F.translate(F.lower(text), MARKED, PLAIN)
+    for x, base in SEVERAL.items():
+        plain = F.replace(plain, F.lit(x), F.lit(base))
+    return F.replace(plain, F.lit("dj"), F.lit("d"))
 
 
 def normalized(text: Column) -> Column:

@@ -29,7 +29,10 @@ def query(sql: str | None = None):
 
 
 def fold_sql(x: str) -> str:
-    return f"replace(translate(lower({x}), '{T.MARKED}', '{T.PLAIN}'), 'dj', 'd')"
+    plain = f"translate(lower({x}), '{T.MARKED}', '{T.PLAIN}')"
+    for c, base in T.SEVERAL.items():
+        plain = f"replace({plain}, '{c}', '{base}')"
+    return f"replace({plain}, 'dj', 'd')"
 
 
 def d(column: str):

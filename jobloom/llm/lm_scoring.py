@@ -25,16 +25,16 @@ from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_c
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
 BUCKETS, BINS = 24, 64
 #: Tokens of a shard, about; and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 2_500_000, 12
+SHARD_TOKENS, LEAST_SHARDS = 1_500_000, 12
 ROUNDS, FLOOR = 200, 1e-7
 #: Among so many keys the rows that are no occurrences are dealt out.
 SIDES = 1 << 12
 #: One over the share of all tokens from which on a word is dealt out over the shards.
 FREQUENT = 20_000
 #: Words that a worker's cache of hashes holds before it is emptied.
-CACHE = 250_000
+CACHE = 150_000
 #: Bytes of text that are dealt out together.
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 6 << 20
 END = np.uint64(0x9E3779B97F4A7C15)
 #: Parts of a document's fold that the counts tell apart.
 KEPT, HELD, TEST = 0, 1, 2
@@ -196,7 +196,7 @@ class Shard:
         if not paired:
             return
         pair = (self.code.astype(np.uint64) << np.uint64(32)) | self.context.astype(np.uint64)
-        order = np.argsort(pair)
+        order = np.argsort(pair).astype(np.int32)
         pair = pair[order]
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         del pair

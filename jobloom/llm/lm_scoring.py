@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -216,6 +217,11 @@ class Shard:
         return [(int(home[order[x]]), at[order[x:y]]) for x, y in stretches(home[order])]
 
 
+def names_and_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that are no occurrences."""
+    return batch.filter(pc.less(batch.column(0), 0))
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Runs of rows of the same key."""
     rows: list[dict] = []
@@ -283,9 +289,9 @@ def frequent_counts(dealt: DataFrame, frequent) -> DataFrame:
     """One row: the counts of all frequent words, packed in their order."""
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(names_and_counts, batches):
             for r in batch.to_pylist():
-                if r["shard"] < 0 and r["shard"] % 2 == 0:
+                if r["shard"] % 2 == 0:
                     columns = unpack(r["words"], np.uint64).view(np.int64), unpack(r["counts"], np.int64), unpack(r["contexts"], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "kept", "trained"])
 
@@ -455,9 +461,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     )
 
     def identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(names_and_counts, batches):
             for r in batch.to_pylist():
-                if r["shard"] < 0 and r["shard"] % 2:
+                if r["shard"] % 2:
                     ids, known = unpack(r["words"], np.int64), unpack(r["counts"], np.uint8).astype(bool)
                     row = (np.int64(r["batch"]) << 20) + np.arange(len(ids))
                     yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids, mask=~known), pa.array(unpack(r["docs"], np.uint32) == TEST)], ["row", "doc_id", "held_out"])

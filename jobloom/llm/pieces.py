@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -125,7 +126,7 @@ class Codec:
     def best(self, text: bytes) -> list[int]:
         """The ids of highest total score; of equal ones, the one whose last piece is longest, and so on backwards."""
         n = len(text)
-        score, start, last = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score, start, last = array("d", [-math.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         score[0] = 0.0
         scores, base, check, value = self.scores, self.trie.base, self.trie.check, self.trie.value
         for at in range(n):

@@ -15,22 +15,20 @@ RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_size")
 WINDOW = 5
 
 
-def repeated_words(words: Column, size: Column) -> Column:
-    """Words inside WINDOW-word windows that occur at least twice in the text.
+def window_hashes(words: Column, size: Column) -> Column:
+    """A hash of each WINDOW-word window, in order.
 
-    Windows are compared by a 64-bit hash chained over their words: only within one text, where a chance
-    collision is out of the question. Sorting is only done where some window repeats.
+    Hashes of 64 bits, chained over the words, are only compared within one text, where a chance collision is out of the question.
     """
-    windows = F.when(
+    return F.when(
         size >= WINDOW,
         F.transform(F.sequence(F.lit(0), size - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<long>"))
-    return windows
 
 
-def covered(windows: Column) -> Column:
-    ordered = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    return ordered
+def with_places(windows: Column) -> Column:
+    """Hashes with their places, equal ones next to each other."""
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def features(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
@@ -54,10 +52,10 @@ def features(docs: DataFrame, key: str = "doc_id", host: str = "source", text: s
         "n_symbols",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words"), F.col("n")).alias("windows"),
+        window_hashes(F.col("words"), F.col("n")).alias("windows"),
     )
     step = step.withColumn(
-        "ordered", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), covered(F.col("windows")))
+        "ordered", F.when(F.size(F.array_distinct("windows")) < F.size("windows"), with_places(F.col("windows")))
     )
     again = F.filter(
         "ordered",

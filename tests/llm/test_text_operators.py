@@ -305,6 +305,31 @@ def test_toxicity_without_labels(spark):
     assert toxicity.judged(docs.where("false"), none).collect() == []
 
 
+# --- all operators
+
+
+def test_very_long_texts(spark):
+    """Unbroken stretches, one long line and many short ones, of a size that is rare; each operator gives a row a document, and what can be told of it."""
+    from jobloom.llm import decontamination, licences, lm_scoring, quality, sharding, simhash
+
+    unbroken, line = "a1" * 100_000, " ".join(f"w{k % 5000}" for k in range(60_000))
+    many = "\n".join(f"line {k % 700} of many" for k in range(20_000))
+    rows = [(1, unbroken, "a"), (2, line, "a"), (3, many, "b"), (4, "SPDX-License-Identifier: mit " * 5000, "b"), (5, line + " end", "b")]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in lm_scoring.score(docs).collect()} == {i: len(t.split()) + 1 for i, t, _ in rows}
+    assert {r.doc_id for r in line_dedup.remove(docs).where("doc_id = 3 and n_lines_removed > 19000").collect()} == {3}
+    assert len({r.component_id for r in simhash.near_duplicates(docs).where("doc_id in (2, 5)").collect()}) == 1
+    assert sharding.place(docs).count() == 5
+    assert all(r.restored for r in pieces.digest(pieces.decoded(pieces.encoded(docs))).collect())
+    assert {r.doc_id: (r.n_base, r.labels) for r in licences.digest(licences.scan(docs)).collect()}[4] == (0, "mit")
+    assert {r.doc_id: r.n_hit for r in decontamination.digest(decontamination.search(docs, bench)).collect()} == {1: 0, 2: 40 * 12, 3: 0, 4: 0, 5: 40 * 12}
+    assert {r.doc_id: r.n_words for r in quality.judge(docs).collect()} == {i: len(t.split()) for i, t, _ in rows}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digest(suffix_dedup.remove(docs)).collect()} == {i: n for (i, _, _), (_, n, _, _) in zip(rows, brute_removed([t.encode() for _, t, _ in rows], 200), strict=True)}
+    assert toxicity.judged(docs, labels).count() == 5
+
+
 # --- the pipeline
 
 

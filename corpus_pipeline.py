@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontamination, line_dedup, pieces, simhash, toxicity
-from jobloom.llm.common import cut, maybe_among, table, text_column
+from jobloom.llm.common import cut, drop, maybe_among, scratch, table, text_column
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,12 +75,18 @@ STAGES = [
     ("pieces", encoded),
 ]
 
-#: The stages are trained models, graph components and a tokenizer, which SQL does not state; tests check each by brute force.
+#: The stages are trained models, graph components and a tokenizer, which SQL does not state; tests check planted cases, and each operator by itself.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote on its way is deleted when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:
+            new = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(new)
+        if docs is not new and hasattr(docs, "cut_path"):
+            drop(docs)
+        docs = new
     return docs

@@ -141,3 +141,12 @@ def limited(reports: DataFrame) -> DataFrame:
 def daily_metrics(events: DataFrame) -> DataFrame:
     """(day, kind, job_id, n); events without a job are counted under a null one."""
     return events.groupBy(F.to_date("ts").alias("day"), "kind", "job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_summary(runs: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: sources whose last run succeeded, failed (by category of the error) or that were not tried. sources: source_id, enabled, has_adapter."""
+    last = runs.groupBy("source_id").agg(F.max(F.struct("started_at", "run_id", "success", "error")).alias("last")).select("source_id", "last.*")
+    both = sources.where("enabled and has_adapter").select("source_id").join(last, "source_id", "left")
+    failed = F.col("success").isNotNull() & ~F.col("success")
+    kinds = {k: F.count_if(failed & (failure_category(F.coalesce("error", F.lit(""))) == k)).alias(k) for k in ("upstream_block", "redirect", "upstream_transient", "parse_or_validation")}
+    return both.agg(F.count_if("success").alias("succeeded"), F.count_if(failed).alias("failed"), F.count_if(F.col("success").isNull()).alias("skipped"), *kinds.values())

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import employer_key, normalized, url_key
@@ -14,18 +14,22 @@ from jobloom.functions.text import employer_key, normalized, url_key
 ROUND_DAYS = 45
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the session's shared folder and read again, so that rounds do not pile up lineage."""
-    spark = df.sparkSession
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share. Where that is unset, a local one, if there is but one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, so that rounds do not pile up lineage."""
+    path = _shared(df.sparkSession, "rounds")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def identity_keys(jobs: DataFrame) -> DataFrame:

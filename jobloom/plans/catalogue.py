@@ -786,3 +786,19 @@ def adapter_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def adapter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.complete(payloads.listings(fixtures.bronze(spark)), fixtures.stated(spark))
+
+
+@query(f"WITH jobs AS ({JOBS}) SELECT job_id, title, md5(title) AS hash FROM jobs ORDER BY first_seen DESC, job_id DESC LIMIT 200")
+def exchange_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest jobs written as JSON lines and read again."""
+    path = dedup._shared(spark, "lines")
+    payloads.write_lines(payloads.exchange_lines(jobs(spark, sf_dir).withColumn("hash", F.md5("title")), 200), path)
+    return payloads.read_lines(spark, path, "job_id long, title string, hash string").select("record.*")
+
+
+@query(f"""WITH l AS (SELECT source_id, max((started_at, run_id, success, error)) AS m FROM ({RUNS}) GROUP BY 1), b AS (SELECT s.source_id, m[3] AS ok, lower(coalesce(m[4], '')) AS e FROM ({SOURCES}) s LEFT JOIN l USING (source_id) WHERE enabled AND has_adapter),
+    k AS (SELECT ok, CASE WHEN regexp_matches(e, 'http 202|403|429') THEN 'b' WHEN contains(e, 'redirect host') THEN 'r' WHEN regexp_matches(e, 'timeout|timed out|connection|502|503|504') THEN 't' ELSE 'p' END AS c FROM b)
+    SELECT count(*) FILTER (WHERE ok) AS succeeded, count(*) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok IS NULL) AS skipped, count(*) FILTER (WHERE NOT ok AND c = 'b') AS upstream_block, count(*) FILTER (WHERE NOT ok AND c = 'r') AS redirect,
+      count(*) FILTER (WHERE NOT ok AND c = 't') AS upstream_transient, count(*) FILTER (WHERE NOT ok AND c = 'p') AS parse_or_validation FROM k""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.run_summary(runs(spark, sf_dir), sources(spark, sf_dir))

@@ -14,9 +14,13 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobloom.functions import vocabulary as V
+from jobloom.functions.extract import says
+from jobloom.operators.admission import same_host
+
 MOST_LINKS = 100
 SKIPPED = {"script", "style", "noscript", "nav", "footer"}
 Row = tuple[str, str, str]
@@ -164,6 +168,23 @@ def listings(bronze: DataFrame) -> DataFrame:
     )
 
 
+def configured(found: DataFrame, config: DataFrame) -> DataFrame:
+    """Listings that their source's configuration takes; rows with an error stay, so that a failed scan is seen.
+
+    config: source_id, and what links must have: words of adverts in the title (need_words), the page's host (own_host), a pattern in the
+    URL (pattern), a number in the URL of at least least_id. Null or false asks for nothing; a source without configuration takes all.
+    """
+    number = F.try_to_number(F.nullif(F.regexp_extract("url", r"(\d{1,18})(?!.*\d)", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    both = found.join(F.broadcast(config), "source_id", "left")
+    keep = (
+        (~F.coalesce("need_words", F.lit(False)) | says(F.coalesce("title", F.lit("")), V.ADVERT))
+        & (~F.coalesce("own_host", F.lit(False)) | same_host(F.col("url"), F.col("page")))
+        & (F.col("pattern").isNull() | F.coalesce(F.expr("url rlike pattern"), F.lit(False)))
+        & (F.col("least_id").isNull() | F.coalesce(number >= F.col("least_id"), F.lit(False)))
+    )
+    return both.where(F.col("error").isNotNull() | keep).select(*found.columns)
+
+
 def complete(found: DataFrame, stated: DataFrame) -> DataFrame:
     """(source_id, listed, total, complete): a scan counts only if every page was read, the total is right, and not over the limit."""
     listed = found.groupBy("source_id").agg(F.count_distinct("url").alias("listed"), F.count_if(F.col("error").isNotNull()).alias("failed"))
@@ -184,3 +205,13 @@ def page_texts(pages: DataFrame) -> DataFrame:
 def exchange_lines(jobs: DataFrame, limit: int) -> DataFrame:
     """One JSON line for each of the newest jobs, for review elsewhere; the limit is the batch's size, 500 at most."""
     return jobs.orderBy(F.desc("first_seen"), F.desc("job_id")).limit(max(0, min(500, limit))).select(F.to_json(F.struct("job_id", "title", "hash")).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """The lines (column value) as files of text, one record a line."""
+    lines.write.mode("error").text(path)
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(value, record) of each line of files of JSON lines: a line that is no record has a null one and stays, so that it can be told."""
+    return spark.read.text(path).where("trim(value) != ''").withColumn("record", F.from_json("value", schema, {"mode": "PERMISSIVE"}))

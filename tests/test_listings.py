@@ -235,3 +235,21 @@ def test_small_filters(spark):
     assert board.facet(jobs, "city", "Tuzla", ["Tuzla"]).count() == 1 and board.facet(jobs, "city", "Paris", ["Tuzla"]).count() == 2
     seen = spark.createDataFrame([(1, date(2026, 9, 2)), (2, date(2026, 9, 1)), (3, None)], "job_id long, day date")
     assert [r.job_id for r in lifecycle.retained(seen, "day", 30, DAY).collect()] == [1]
+
+
+def test_configured_sources(spark):
+    found = spark.createDataFrame(
+        [(1, "https://a.test/jobs", "https://a.test/job/7", "Officer", "", None), (1, "https://a.test/jobs", "https://b.test/job/9", "Officer", "", None), (1, "https://a.test/jobs", "https://a.test/job/3", "Officer", "", None),
+         (1, "https://a.test/jobs", "https://a.test/job/8", "Contact", "", None), (1, "https://a.test/jobs", None, None, None, "ValueError: x"), (2, "https://c.test/", "https://d.test/x", "Any", "", None)],
+        "source_id long, page string, url string, title string, evidence string, error string",
+    )
+    config = spark.createDataFrame([(1, True, True, "/job/", 5)], "source_id long, need_words boolean, own_host boolean, pattern string, least_id long")
+    got = payloads.configured(found, config)
+    assert got.columns == found.columns and {r.url for r in got.collect()} == {"https://a.test/job/7", None, "https://d.test/x"}
+
+
+def test_lines_written_and_read(spark, tmp_path):
+    jobs = spark.createDataFrame([(1, "a", "h", DAY), (2, "b", "g", date(2026, 1, 1))], "job_id long, title string, hash string, first_seen date")
+    payloads.write_lines(payloads.exchange_lines(jobs, 1).unionByName(spark.createDataFrame([("{bad",), ("",)], "value string")), str(tmp_path / "lines"))
+    got = payloads.read_lines(spark, str(tmp_path / "lines"), "job_id long, title string, hash string")
+    assert {(r.record and r.record.job_id) for r in got.collect()} == {1, None} and got.count() == 2

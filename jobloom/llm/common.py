@@ -21,7 +21,7 @@ WORD_OR_SPACE = bytes(
 )
 
 
-#: Keys of one join that may be broadcast, being frequent; bits of a filter, as a power of two.
+#: Frequent keys of one join, of which a part of the rows goes to each task; bits of a filter, as a power of two.
 HOT_KEYS, FILTER_BITS = 2048, 24
 
 
@@ -72,18 +72,20 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def meet(rows: DataFrame, found: DataFrame, keys: list[str], count: str = "c") -> DataFrame:
+def meet(rows: DataFrame, found: DataFrame, keys: list[str], by: list[str], count: str = "c") -> DataFrame:
     """Inner join of rows with a table of one row a key that has the number of rows of each.
 
-    A key that would fill a task is met by broadcast: those of at least 1/HOT_KEYS of all rows, so at most HOT_KEYS of them. The
-    others meet by shuffle. The keys must not be null.
+    A key of at least 1/HOT_KEYS of all rows, of which there are at most HOT_KEYS, would fill a task: its rows are dealt out in parts by
+    the columns `by`, and its row of `found` goes to each part. The keys must not be null.
     """
     total = found.agg(F.sum(count).alias("n")).first()["n"] or 0
-    hot = F.col(count) >= max(2, total // HOT_KEYS + 1)
-    few = F.broadcast(found.where(hot))
-    often = rows.join(few, keys)
-    rest = rows.join(F.broadcast(found.where(hot).select(*keys)), keys, "left_anti").join(found.where(~hot).hint("merge"), keys)
-    return often.unionByName(rest)
+    least = max(2, total // HOT_KEYS + 1)
+    hot = found.where(F.col(count) >= least).select(*keys, F.ceil(F.col(count) / least).cast("int").alias("__parts"))
+    if not hot.limit(1).count():
+        return rows.join(found, keys)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("__parts"))).cast("int"))
+    parts = F.when(F.col(count) >= least, F.sequence(F.lit(0), F.ceil(F.col(count) / least).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.drop("__parts").join(found.withColumn("__part", F.explode(parts)), [*keys, "__part"]).drop("__part")
 
 
 def maybe_among(rows: DataFrame, keys: DataFrame, names: tuple[str, ...] = ("d", "k")) -> DataFrame:
@@ -146,7 +148,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("c")), "least")
-        large = meet(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = meet(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(small_m, "u")

@@ -103,12 +103,12 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     chosen = cut(fingerprints(rows), "fingerprints")
     again = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.max(F.size("windows")).alias("many"))
     again = cut(again.where("c > 1 or many > 1").select("fp", "c"), "again")
-    met = cut(meet(chosen, again, ["fp"]).select("d", "k", F.explode("windows").alias("w")).select("d", "k", "w.*"), "windows")
+    met = cut(meet(chosen, again, ["fp"], ["d", "k"]).select("d", "k", F.explode("windows").alias("w")).select("d", "k", "w.*"), "windows")
     drop(chosen)
     drop(again)
     first = met.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("first"))
     first = cut(first.where("c > 1"), "first")
-    both = cut(meet(met, first, ["x", "y"]).drop("c"), "twice")
+    both = cut(meet(met, first, ["x", "y"], [*PLACE]).drop("c"), "twice")
     drop(met)
     later = both.where(F.struct(*PLACE) != F.col("first"))
     # What a window and the next one go on with is found at the next: only the last of windows that begin line by line goes on by itself.
@@ -119,7 +119,7 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     keys = ["x", "y", "n", "h"]
     met_on = longer(both).groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*PLACE)).alias("first"))
     met_on = cut(met_on.where("c > 1"), "longer")
-    gone_on = meet(longer(last), met_on, keys).where(F.struct(*PLACE) > F.col("first")).groupBy(*PLACE, "end").agg(F.max("n").alias("n"))
+    gone_on = meet(longer(last), met_on, keys, [*PLACE]).where(F.struct(*PLACE) > F.col("first")).groupBy(*PLACE, "end").agg(F.max("n").alias("n"))
     return later.select(*PLACE, "end").unionByName(gone_on.select(*PLACE, (F.col("end") + F.col("n") + 1).alias("end")))
 
 

@@ -324,14 +324,14 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     cuts = cut(runs(segments), "runs")
     kinds = cuts.groupBy("t", "u", "x", "y").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d", "k", "p", "n", "c", "bytes")).alias("at"))
     kinds = cut(kinds.select("t", "u", "x", "y", "m", "at.*"), "kinds")
-    whole = meet(cuts.where("c = 1"), kinds.where("m > 1").select("t", "u", "x", "y", "m"), ["t", "u", "x", "y"], "m")
+    whole = meet(cuts.where("c = 1"), kinds.where("m > 1").select("t", "u", "x", "y", "m"), ["t", "u", "x", "y"], ["d", "k", "p"], "m")
     whole = whole.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     mixed = cut(kinds.groupBy("t", "u").agg(F.count(F.lit(1)).alias("among")).where("among > 1"), "mixed")
     # Dealt out anew by place, as the runs of one large group came to one task.
-    open_ = meet(kinds, mixed, ["t", "u"], "among").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
+    open_ = meet(kinds, mixed, ["t", "u"], ["d", "k", "p"], "among").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
     single = strings(open_)
     twice = cut(single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "strings")
-    found = meet(single.where("c = 1 and m = 1"), twice, ["x", "y"], "seen")
+    found = meet(single.where("c = 1 and m = 1"), twice, ["x", "y"], ["d", "k", "start"], "seen")
     return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))
 
 
@@ -360,13 +360,13 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     # Partial counts at the map side keep an anchor of many copies down to a row a task.
     again = all_.groupBy("a").agg(F.count(F.lit(1)).alias("seen"), F.min("s").alias("low"), F.max("s").alias("high"))
     again = cut(again.where("seen > 1").select("a", "seen", (F.col("low") != F.col("high")).alias("mixed")), "repeated")
-    found = cut(meet(all_, again, ["a"], "seen").drop("seen"), "again")
+    found = cut(meet(all_, again, ["a"], ["d", "k", "p"], "seen").drop("seen"), "again")
     drop(all_)
     whole = found.where("not mixed").select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     unsure = found.where("mixed")
     classes = unsure.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "k", "p", "n")).alias("at"))
     classes = cut(classes.select("a", "s", "c", "at.*"), "classes")
-    twice = meet(unsure, classes.where("c > 1").select("a", "s", "c"), ["a", "s"])
+    twice = meet(unsure, classes.where("c > 1").select("a", "s", "c"), ["a", "s"], ["d", "k", "p"])
     twice = twice.select("d", "k", F.col("p").alias("start"), (F.col("p") + F.col("n") + LENGTH - 1).alias("end"))
     segments = cut(with_bytes(rows, classes), "segments")
     many = cut(classes.groupBy("a").count().where(F.col("count") > MANY).select("a"), "many")

@@ -30,8 +30,10 @@ def translation_errors(rows: DataFrame) -> DataFrame:
     """
     done = cleaned(rows)
     whole = F.concat_ws(" ", *TEXT_FIELDS, *LIST_FIELDS)
-    contacts = F.regexp_extract_all(whole, F.lit(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://[^\s)\]>\"']+"), F.lit(0))
-    foreign = F.exists(contacts, lambda c: ~F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lower(F.rtrim(c, F.lit(".,;:")))))
+    stretches = F.split(F.lower(whole), r"[\s()\[\]<>\"']+")
+    is_contact = lambda x: x.startswith("http://") | x.startswith("https://") | F.contains(F.substring_index(x, "@", -1), F.lit(".")) & F.contains(x, F.lit("@"))
+    contacts = F.filter(F.transform(stretches, lambda x: F.trim(x, F.lit(".,;:"))), is_contact)
+    foreign = F.exists(contacts, lambda c: ~F.contains(F.lower(F.coalesce("text", F.lit(""))), c))
     error = (
         F.when(F.col("disabled"), "translation is disabled")
         .when(~F.col("exported_hash").eqNullSafe(F.col("content_hash")), "text changed after export")

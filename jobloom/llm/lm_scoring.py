@@ -26,7 +26,7 @@ from jobloom.llm.common import LOWER, as_bytes, cut, drop, small_batches, text_c
 FOLDS, TEST_FOLD, EM_FOLD = 5, 1, 2
 BUCKETS, BINS = 24, 64
 #: Tokens of a shard, about; and the fewest shards.
-SHARD_TOKENS, LEAST_SHARDS = 1_500_000, 12
+SHARD_TOKENS, LEAST_SHARDS = 2_000_000, 12
 ROUNDS, FLOOR = 200, 1e-7
 #: Among so many keys the rows that are no occurrences are dealt out.
 SIDES = 1 << 12
@@ -420,7 +420,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
     told = answers.withColumn("model", F.lit(None).cast(MODEL)).unionByName(each_shard.withColumn("model", model))
 
     def scored(occurrences: pa.Table, found: pa.Table) -> pa.Table:
-        kinds = pa.schema({"row": pa.int64(), "n": pa.int32(), "known": pa.int32(), "base": pa.float64(), "model": pa.float64()})
+        """A shard's sums for the documents of each batch, packed."""
+        kinds = pa.schema([("batch", pa.int64()), *((c, pa.binary()) for c in ("docs", "n", "known", "base", "model"))])
         if not len(occurrences) or not len(found):
             return kinds.empty_table()
         answer, shard = Answers(found, frequent.value), Shard(occurrences.to_pylist(), frequent.value)
@@ -438,46 +439,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", frequent: in
             doc = shard.doc[here]
             count = np.bincount(doc)
             rows = np.flatnonzero(count)
-            add = lambda x, d=doc, r=rows: pa.array(np.bincount(d, x)[r])
-            out.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((np.int64(number) << 20) + rows),
-                        pa.array(count[rows].astype(np.int32)),
-                        pa.array(np.bincount(doc, n > 0)[rows].astype(np.int32)),
-                        add(np.log10(n + 0.5) - floor),
-                        add(np.log10(p)),
-                    ],
-                    schema=kinds,
-                )
-            )
-        return pa.Table.from_batches(out, kinds)
-
-    totals = (
-        asking.cogroup(told.groupBy("shard"))
-        .applyInArrow(scored, "row long, n int, known int, base double, model double")
-        .groupBy("row")
-        .agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("model").alias("model"))
-    )
+            sums = [np.bincount(doc, x)[rows] for x in (n > 0, np.log10(n + 0.5) - floor, np.log10(p))]
+            out.append((number, pack(rows.astype(np.uint32)), pack(count[rows].astype(np.int32)), pack(sums[0].astype(np.int32)), pack(sums[1]), pack(sums[2])))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    def identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(names_and_counts, batches):
-            for r in batch.to_pylist():
-                if r["shard"] % 2:
-                    ids, known = unpack(r["words"], np.int64), unpack(r["counts"], np.uint8).astype(bool)
-                    row = (np.int64(r["batch"]) << 20) + np.arange(len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids, mask=~known), pa.array(unpack(r["docs"], np.uint32) == TEST)], ["row", "doc_id", "held_out"])
-
-    rows = dealt.mapInArrow(identity, "row long, doc_id long, held_out boolean")
-    return cut(
-        rows.join(totals, "row").select(
-            "doc_id",
-            "held_out",
-            F.col("n").alias("n_tokens"),
-            F.col("known").alias("n_known"),
-            F.lit(n_trained).cast("long").alias("train_tokens"),
-            F.col("base").alias("base_score"),
-            F.col("model").alias("score"),
-        ),
-        "scores",
-    )
+            chosen = batch.filter(pc.equal(pc.bit_wise_and(batch.column(0), 1), 1))
+            yield pa.RecordBatch.from_arrays([chosen.column(k) for k in (1, 2, 3, 6)], ["batch", "ids", "known", "parts"])
+
+    def summed(names: pa.Table, sums: pa.Table) -> pa.Table:
+        """The documents of a batch, each with the sums of all shards."""
+        kinds = pa.schema({"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()})
+        if not len(names):
+            return kinds.empty_table()
+        name = names.to_pylist()[0]
+        ids, missing = unpack(name["ids"], np.int64), unpack(name["known"], np.uint8) == 0
+        n, known, base, model = (np.zeros(len(ids), t) for t in (np.int64, np.int64, np.float64, np.float64))
+        for r in sums.to_pylist():
+            at = unpack(r["docs"], np.uint32)
+            for to, c, t in ((n, "n", np.int32), (known, "known", np.int32), (base, "base", np.float64), (model, "model", np.float64)):
+                to[at] += unpack(r[c], t)
+        held = unpack(name["parts"], np.uint32) == TEST
+        return pa.Table.from_arrays([pa.array(ids, mask=missing), pa.array(held), *map(pa.array, (n, known, base, model))], schema=kinds)
+
+    sums = asking.cogroup(told.groupBy("shard")).applyInArrow(scored, "batch long, docs binary, n binary, known binary, base binary, model binary")
+    names = dealt.mapInArrow(named, "batch long, ids binary, known binary, parts binary")
+    found = names.groupBy("batch").cogroup(sums.groupBy("batch")).applyInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    train = F.lit(n_trained).cast("long").alias("train_tokens")
+    return cut(found.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score"), "scores")

@@ -27,6 +27,8 @@ BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 100_000
 #: Postings of one term that one task may get where the anchors are joined by shuffle.
 POSTINGS = 1_000_000
+#: Bytes of text whose postings are made together; words that a worker's cache of terms holds before it is emptied.
+POSTING_BYTES, CACHE = 4 << 20, 200_000
 #: Stands for what lies outside a document and outside an item: never equal.
 OUTSIDE_DOC, OUTSIDE_ITEM = 0, 1
 
@@ -124,30 +126,39 @@ def item_anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+class Terms(dict):
+    """Word to its term, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = term(word)
+        return found
+
+
 def postings(docs: DataFrame, kind: str, anchors) -> DataFrame:
     """(doc_id, d, k, n_words, postings) for each row; a posting is an anchor's term, its part of those, its position and the terms around it."""
-    posting = pa.struct([("term", pa.int64()), ("part", pa.int32()), ("pos", pa.int64()), ("around", pa.list_(pa.int64()))])
+    width = WINDOW + SIDE
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = anchors.value
-        for batch in small_batches(batches):
-            sizes, lists = [], []
+        known, terms, sides = anchors.value, Terms(), np.full(SIDE, OUTSIDE_DOC, np.int64)
+        for batch in small_batches(batches, most=POSTING_BYTES):
+            sizes, ends, places, parts, around = [], [0], [np.empty(0, np.int64)], [], [np.empty((0, width), np.int64)]
             for t, k in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
                 words = words_of(t)
                 sizes.append(len(words))
                 found = [i for i, w in enumerate(words) if w in known]
-                hashes: dict[bytes, int] = {}
-                here = []
-                for i in found:
-                    near = words[max(0, i - SIDE) : i + WINDOW]
-                    around = [hashes[w] if w in hashes else hashes.setdefault(w, term(w)) for w in near]
-                    lead = max(0, SIDE - i)
-                    around = [OUTSIDE_DOC] * lead + around + [OUTSIDE_DOC] * (WINDOW + SIDE - lead - len(around))
-                    here.append({"term": around[SIDE], "part": (k + i) % known[words[i]], "pos": i, "around": around})
-                lists.append(here)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(posting))], ["doc_id", "d", "k", "n_words", "postings"]
-            )
+                ends.append(ends[-1] + len(found))
+                if found:
+                    padded = np.concatenate([sides, np.fromiter(map(terms.__getitem__, words), np.int64, len(words)), sides])
+                    places.append(np.array(found))
+                    around.append(np.lib.stride_tricks.sliding_window_view(padded, width)[found])
+                    parts += [(k + i) % known[words[i]] for i in found]
+            near, at = np.concatenate(around), np.concatenate(places)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, width), pa.int32()), pa.array(near.ravel()))
+            columns = [pa.array(np.ascontiguousarray(near[:, SIDE])), pa.array(parts, pa.int32()), pa.array(at), lists]
+            held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["term", "part", "pos", "around"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), held], ["doc_id", "d", "k", "n_words", "postings"])
 
     return docs.mapInArrow(each, f"doc_id {kind}, d long, k long, n_words long, postings array<struct<term:long,part:int,pos:long,around:array<long>>>")
 

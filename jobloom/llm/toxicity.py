@@ -33,8 +33,8 @@ LOOKS = {
 }
 #: Costs, in natural logarithms: of a look-alike, of dropping it, of a letter held down, of reading through a separator or keeping it.
 LOOK_COST, DROP_COST, HELD_COST, THROUGH_COST, APART_COST = 0.5, 6.0, 0.7, 0.5, 3.0
-#: Runs of equal characters of a stretch that are read together.
-PIECE = 512
+#: Runs of equal characters of a stretch that are read together; bytes of text taken together; readings that a worker keeps before it forgets them.
+PIECE, BATCH_BYTES, CACHE = 512, 4 << 20, 30_000
 
 #: Letters stay, all else is a word's end. Look-alikes and separators are only read within suspicious stretches.
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -54,7 +54,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             for t in as_bytes(batch.column(0)):
                 x = CLASS[np.frombuffer(b"  " + t.translate(LETTERS) + b" ", np.uint8)]
                 total += np.bincount((x[:-2] * SIZE + x[1:-1]) * SIZE + x[2:], minlength=SIZE**3) if len(t) > 1 << 14 else 0
@@ -170,7 +170,7 @@ class Restorer:
         readings = []
         for token in suspicious(lower):
             if token not in self.cache:
-                if len(self.cache) > 100_000:
+                if len(self.cache) > CACHE:
                     self.cache.clear()
                 self.cache[token] = decode(token, self.model)
             readings.append(self.cache[token])
@@ -211,7 +211,7 @@ def learn(labelled: DataFrame, restore_model: np.ndarray) -> dict[str, float]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, seen = Restorer(restore_model), (Counter(), Counter())
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             for t, toxic in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(features(restore(t)))
         names = list(seen[1] | seen[0])
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, found = Restorer(letters), matcher(weights)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, most=BATCH_BYTES):
             x = [evidence(restore(t), found) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1), batch.column(2)], ["x", "toxic", "weight"])
 
@@ -302,8 +302,9 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     @F.arrow_udf("double")
     def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.value.scorer()
-        for texts in arrays:
-            yield pa.array([of(t) for t in as_bytes(texts)], pa.float64())
+        for texts in arrays:  # a few texts at a time become bytes
+            found = [of(t) for i in range(0, len(texts), 500) for t in as_bytes(texts.slice(i, 500))]
+            yield pa.array(found, pa.float64())
 
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == TEST_FOLD, F.lit(False))
     out = docs.withColumns({"held_out": held, "score": score(F.col(text))})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from jobloom.llm import decontamination, licences, line_dedup, lm_scoring, pieces, quality, sharding, simhash, suffix_dedup, toxicity
+from jobloom.llm import decontamination, fill_in_middle, licences, line_dedup, lm_scoring, mixing, pieces, quality, sharding, simhash, suffix_dedup, toxicity, vector_codes
 from jobloom.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_line_dedup": op2_line_dedup,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_mixing": op12_mixing,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {
     "op2_line_dedup": line_dedup.oracle,
@@ -73,6 +88,9 @@ ORACLES = {
     "op7_decontamination": decontamination.oracle,
     "op8_quality": quality.oracle,
     "op9_suffix_dedup": suffix_dedup.oracle,
+    "op11_fill_in_middle": fill_in_middle.oracle,
+    "op12_mixing": mixing.oracle,
+    "op13_vector_codes": vector_codes.oracle,
 }
 
 

@@ -9,25 +9,10 @@ from jobloom.functions import display
 from jobloom.functions import text as T
 from jobloom.operators import admission, board, coverage, dedup, editing, exchange, lifecycle, ranking, registry
 from jobloom.plans import fixtures
+from jobloom.plans.registered import ORACLES, QUERIES, query  # noqa: F401
 from jobloom.plans.standins import AS_OF, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
 from jobloom.sources import payloads
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 def fold_sql(x: str) -> str:
     plain = f"translate(lower({x}), '{T.MARKED}', '{T.PLAIN}')"
     for c, base in T.SEVERAL.items():

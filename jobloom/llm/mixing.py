@@ -64,7 +64,8 @@ def running(rows: DataFrame, key: str, bucket: str, order: list[str], value: Col
     earlier = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(key, bucket, F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(sums, [key, bucket]).withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    # By shuffle, which the window needs too: rows made by explode are many more than Spark thinks, and would be broadcast.
+    out = rows.join(sums.hint("merge"), [key, bucket]).withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return out.drop("__before")
 
 
@@ -132,7 +133,7 @@ def mix(stream: DataFrame, shares: DataFrame, block: int = BLOCK, passes: int =
         (start - F.col("__from")).alias("first_word"),
         (F.least(F.col("__to"), (F.col("rank") + 1) * words) - start).alias("n_words"),
     )
-    return spans.join(slots, ["s", "rank"]).select("slot", "s", "at", "doc_id", "size", "round", "first_word", "n_words")
+    return spans.join(slots.hint("merge"), ["s", "rank"]).select("slot", "s", "at", "doc_id", "size", "round", "first_word", "n_words")
 
 
 def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.operators import revisions
 from jobloom.plans.registered import query
 from jobloom.plans.standins import table
+from jobloom.sources import sections
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,3 +50,74 @@ def revision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def revision_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.hunks(revisions.with_edits(revisions.last_two(talks(spark, sf_dir))))
+
+
+# --- sections
+
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def title_of(text: str) -> str:
+    """SQL that both sides know: the beginning of a text as a title."""
+    return f"trim(regexp_replace(substr(coalesce({text}, ''), 1, 60), '[^A-Za-z0-9&<]+', ' ', 'g'))"
+
+
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of vacancies, eight to a page: a heading a language, with a table or words that there is none; some pages break the rule."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    plain = F.expr(title_of("text").replace(", 'g'", ""))
+    safe = F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page, k = F.expr("doc_id div 8"), F.col("doc_id")
+    cells = [
+        F.concat(F.lit("<td><a href='/job/"), k, F.lit("'><b>"), safe, F.lit("</b></a>")),
+        F.concat(F.lit("<td>"), F.coalesce("source", F.lit("")), F.lit("</td>")),
+        F.when(page % 9 == 4, "").otherwise(F.concat(F.lit("<td>"), k % 12 + 1, F.lit("/"), k % 28 + 1, F.lit("/2026</td>"))),
+    ]
+    row = F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    lists = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("lang") == x, F.struct(k.alias("k"), row.alias("row"))))), lambda r: r["row"]), "").alias(x) for x in LANGUAGES]
+    per = d.groupBy(page.alias("page_id")).agg(*lists)
+    head = F.lit("<table><thead><tr><th>Title<th>Place<th>Closing</tr></thead><tbody>")
+    none = F.when(F.col("page_id") % 7 == 3, "<p>Soon.").otherwise("<p>There is <i>no active</i> vacancy.")
+    parts = [F.concat(F.lit(f"<div><h4>Section {x} &amp; more</h4></div>"), F.when(F.col(x) == "", none).otherwise(F.concat(head, F.col(x), F.lit("</table>")))) for x in LANGUAGES]
+    html = F.concat(F.lit("<html><nav><h4>Menu</h4><p>x</nav><main><h1>Vacancies</h1>"), *parts, F.lit("</main><footer><table><tr><td>a</table></footer>"))
+    return per.select("page_id", F.lit("https://jobs.example.org/list/").alias("url"), html.alias("html"))
+
+
+SECTIONED = f"""
+    SELECT doc_id, doc_id // 8 AS page_id, lang, {title_of('text')} AS title, coalesce(source, '') AS place, (doc_id // 8) % 9 = 4 AS short,
+      make_date(2026, CAST(doc_id % 12 + 1 AS INTEGER), CAST(doc_id % 28 + 1 AS INTEGER)) AS closing
+    FROM documents WHERE doc_id IS NOT NULL"""
+
+
+@query(f"""
+    SELECT page_id, 'Section ' || lang || ' & more' AS section, title, place, CASE WHEN NOT short THEN CAST(closing AS VARCHAR) END AS closing,
+      'https://jobs.example.org/job/' || doc_id AS url, CASE WHEN short THEN 'row changed shape' END AS error
+    FROM ({SECTIONED}) WHERE lang IN {LANGUAGES}""")
+def section_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.rows(sections.blocks(section_pages(spark, sf_dir)))
+    return found.select("page_id", "section", "title", "place", F.col("closing").cast("string").alias("closing"), "url", "error")
+
+
+@query(f"""
+    WITH s AS ({SECTIONED}),
+    p AS (SELECT DISTINCT page_id, short FROM s),
+    l AS (SELECT page_id, short, unnest({list(LANGUAGES)}) AS lang, unnest([1, 2, 3, 4]) AS k FROM p),
+    n AS (SELECT l.page_id, l.short, l.lang, l.k, count(s.doc_id) AS n FROM l LEFT JOIN s ON s.page_id = l.page_id AND s.lang = l.lang GROUP BY ALL)
+    SELECT page_id, CAST(4 AS BIGINT) AS sections, CAST(sum(n) AS BIGINT) AS rows,
+      coalesce(CASE WHEN short AND sum(n) > 0 THEN 'row changed shape' END,
+        CASE WHEN page_id % 7 = 3 THEN 'section without table: Section ' || min(lang) FILTER (WHERE n = 0) || ' & more' END) AS error
+    FROM n GROUP BY page_id, short""")
+def section_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.listings(sections.blocks(section_pages(spark, sf_dir)))
+
+
+@query(r"""
+    SELECT page_id, CAST(count(*) AS BIGINT) AS texts, any_value(h) AS heading, CAST(1 AS BIGINT) AS headings, CAST(0 AS BIGINT) AS links FROM (
+      SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS h,
+        unnest(list_filter(string_split(regexp_extract(html, '<article>.*?</h1>(.*)</article>', 1, 's'), '<p>'), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> '')) AS p
+      FROM pages) GROUP BY page_id""")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands under the heading of each page as it is: navigation, footers and what comes before the heading are not it."""
+    found = sections.blocks(table(spark, sf_dir, "pages")).where("section > 0")
+    kind = lambda x: F.count_if(F.col("kind") == x)
+    return found.groupBy("page_id").agg(kind("text").alias("texts"), F.max(F.get("path", F.lit(0))).alias("heading"), kind("heading").alias("headings"), F.sum(F.size("links")).alias("links"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobloom.operators import revisions
 from jobloom.plans.registered import query
 from jobloom.plans.standins import table
-from jobloom.sources import sections
+from jobloom.sources import paging, sections
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,3 +121,58 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sections.blocks(table(spark, sf_dir, "pages")).where("section > 0")
     kind = lambda x: F.count_if(F.col("kind") == x)
     return found.groupBy("page_id").agg(kind("text").alias("texts"), F.max(F.get("path", F.lit(0))).alias("heading"), kind("heading").alias("headings"), F.sum(F.size("links")).alias("links"))
+
+
+# --- paging
+
+
+def page_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages as recorded listings, sixteen to a source, and the sources' first pages. Lengths, ends and totals follow the source's number; the links are those of the pages' navigation."""
+    p = table(spark, sf_dir, "pages")
+    s, k = F.expr("page_id div 16"), F.col("page_id") % 16
+    long = s % 13 + 1
+    base = F.concat(F.lit("https://s"), s, F.lit(".example.org/jobs"))
+    page = lambda n: F.when(n == 0, base).otherwise(F.concat(base, F.lit("/page-"), n))
+    last = F.when(s % 4 == 1, page(F.lit(0))).when(s % 4 == 2, F.lit("https://other.example.org/jobs/page-2")).when(s % 4 == 3, F.concat(base, F.lit("/gone")))
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = p.select(
+        s.alias("source_id"), page(k).alias("url"), F.when(k + 1 < long, page(k + 1)).when(k + 1 == long, last).alias("next_url"),
+        F.when(s % 3 == 0, 5 * long + F.when((s % 5 == 1) & (k == 2), 1).otherwise(0)).alias("total"),
+        F.when((s % 6 == 5) & (k == 3), F.array(F.lit("/The"))).otherwise(links).alias("items"), ((s % 7 == 2) & (k == 2)).alias("older"),
+    )
+    return rows, rows.select("source_id", F.regexp_extract("url", "^[^/]+//[^/]+/jobs", 0).alias("url")).distinct()
+
+
+GRAPH = """
+    SELECT s AS source_id, k, length, CASE WHEN s % 3 = 0 THEN 5 * length + CASE WHEN s % 5 = 1 AND k = 2 THEN 1 ELSE 0 END END AS total,
+      CASE WHEN s % 6 = 5 AND k = 3 THEN ['/The'] ELSE regexp_extract_all(html, '<a href="([^"]*)"', 1) END AS items, s % 7 = 2 AND k = 2 AS older,
+      CASE WHEN k + 1 < length THEN k + 1 WHEN k + 1 = length THEN [NULL, -1, -2, -3][s % 4 + 1] END AS next
+    FROM (SELECT page_id // 16 AS s, page_id % 16 AS k, (page_id // 16) % 13 + 1 AS length, html FROM pages)"""
+
+
+@query(f"""
+    WITH RECURSIVE g AS MATERIALIZED ({GRAPH}),
+    there AS (SELECT source_id, k, any_value(length) AS length, any_value(total) AS total, any_value(items) AS items, bool_or(older) AS older, any_value(next) AS next FROM g GROUP BY ALL),
+    w AS (
+      SELECT DISTINCT source_id, 0 AS k, 0 AS pages, CAST([] AS VARCHAR[]) AS links, CAST(NULL AS BIGINT) AS stated, 0 AS n0, CAST(NULL AS VARCHAR) AS verdict, false AS ok FROM g
+      UNION ALL
+      SELECT source_id, next, pages + 1, all_links, total, len(all_links),
+        CASE WHEN missing THEN 'page missing'
+          WHEN pages > 0 AND total IS DISTINCT FROM stated THEN 'total changed between pages'
+          WHEN len(all_links) > 100 OR total > 100 THEN 'too many links'
+          WHEN len(all_links) > total THEN 'more links than stated'
+          WHEN len(all_links) = total THEN 'total met'
+          WHEN total IS NULL AND older THEN 'older page'
+          WHEN total IS NULL AND pages > 0 AND len(all_links) = n0 THEN 'repeated items'
+          WHEN total IS NULL AND next IS NULL THEN 'last page'
+          WHEN next IS NULL OR (pages > 0 AND len(all_links) = n0) THEN 'total not met'
+          WHEN next IN (-1, -2) THEN 'next link repeats or leaves'
+          WHEN pages + 1 >= 10 THEN 'too many pages' END,
+        NOT missing
+      FROM (
+        SELECT w.source_id, w.pages, w.stated, w.n0, t.total, t.older, t.next, t.k IS NULL AS missing, list_distinct(w.links || coalesce(t.items, [])) AS all_links
+        FROM w LEFT JOIN there t ON t.source_id = w.source_id AND t.k = w.k WHERE w.verdict IS NULL))
+    SELECT source_id, CAST(pages AS INTEGER) AS pages, CAST(CASE WHEN good THEN len(links) ELSE 0 END AS INTEGER) AS links, CASE WHEN good THEN verdict END AS end, CASE WHEN NOT good THEN verdict END AS error
+    FROM (SELECT *, verdict IN ('total met', 'older page', 'repeated items', 'last page') AS good FROM w WHERE verdict IS NOT NULL)""")
+def paged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.followed(*page_graph(spark, sf_dir)).withColumn("links", F.size("links"))

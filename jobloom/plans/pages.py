@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import revisions
 from jobloom.plans.registered import query
-from jobloom.plans.standins import table
-from jobloom.sources import paging, sections
+from jobloom.plans.standins import JOBS, jobs, table
+from jobloom.operators.dedup import _shared
+from jobloom.sources import paging, sections, store
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,3 +177,24 @@ GRAPH = """
     FROM (SELECT *, verdict IN ('total met', 'older page', 'repeated items', 'last page') AS good FROM w WHERE verdict IS NOT NULL)""")
 def paged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paging.followed(*page_graph(spark, sf_dir)).withColumn("links", F.size("links"))
+
+
+# --- runs as files
+
+FIRST_RUN = f"SELECT source_id, '/job/' || job_id AS url, title, CAST(1 AS INTEGER) AS run FROM ({JOBS})"
+
+
+@query(f"""
+    WITH a AS ({FIRST_RUN}), b AS (SELECT source_id, url, title || ' again' AS title, CAST(2 AS INTEGER) AS run FROM a WHERE source_id % 7 <> 3 AND source_id % 11 <> 2)
+    SELECT * FROM a WHERE source_id % 5 = 0 OR source_id % 7 = 3 AND source_id % 11 <> 2 OR source_id % 13 = 6 AND source_id % 11 <> 2
+    UNION ALL SELECT * FROM b WHERE NOT (source_id % 5 = 0 OR source_id % 13 = 6)""")
+def source_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored after two runs. In the second, every fifth source fails, others are suddenly or rightly empty, and some have a URL twice."""
+    path = _shared(spark, "stored")
+    found = jobs(spark, sf_dir).select("source_id", F.concat(F.lit("/job/"), "job_id").alias("url"), "title", F.lit(1).alias("run"))
+    s = F.col("source_id")
+    ran = found.select("source_id").distinct().withColumns({"error": F.when(s % 5 == 0, "HTTP 503"), "may_be_empty": s % 11 == 2})
+    store.write(found, ran.withColumn("error", F.lit(None).cast("string")), path, most_links=1 << 40)
+    again = found.where((s % 7 != 3) & (s % 11 != 2)).withColumns({"title": F.concat("title", F.lit(" again")), "run": F.lit(2)})
+    store.write(again.unionByName(again.where(s % 13 == 6)), ran, path, most_links=1 << 40)
+    return store.stored(spark, path, found.schema)

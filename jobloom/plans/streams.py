@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.operators.dedup import _shared
 from jobloom.plans.registered import query
 from jobloom.plans.standins import NOW, table
-from jobloom.streaming import lives
+from jobloom.streaming import lives, outbox
 
 #: Slices of the replay, and the days after which its listings are stale: the events span thirty days.
 SLICES, PUBLISHED_DAYS, REVIEW_DAYS = 3, 2, 9
@@ -72,3 +74,19 @@ def listing_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = stream.withColumn("at", F.when(F.col("job_id") == -1, F.col("at") + F.expr(f"INTERVAL '{late.split()[0]}' SECOND")).otherwise(F.col("at")))
     lives.run_available(spark, lives.endings(moved, late, PUBLISHED_DAYS, REVIEW_DAYS), out, state)
     return spark.read.schema("job_id long, at timestamp, reason string").parquet(out).select("job_id", F.unix_micros("at").alias("at_us"), "reason")
+
+
+@query("""
+    SELECT user_id, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, count(*) AS events, arg_max(event_id, (coalesce(value, '-inf'::DOUBLE), -event_id)) AS best
+    FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2""")
+def weekly_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest for each user and week of the events, as a stream stores them when each week is over."""
+    path, out, state = (_shared(spark, f"outbox-{x}") for x in ("in", "out", "state"))
+    e = table(spark, sf_dir, "events")
+    rows = e.select("user_id", F.col("ts").cast("timestamp").alias("at"), "event_id", "value")
+    replay(spark, rows, path, "at", SLICES)
+    # A last row of no user moves the watermark past the last week; its own week is not over. (A null user would be filtered before the watermark sees it.)
+    spark.createDataFrame([(-1, NOW + timedelta(days=60), 0, 0.0)], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-spark.read.parquet(path).select(F.col("_metadata.file_path")).distinct().count() // SLICES))).parquet(path)
+    outbox.run_available(outbox.weekly(stream, f"{30 // SLICES + 1} days"), out, state)
+    return spark.read.schema("user_id long, events long, best long, week date, epoch long").parquet(out).select("user_id", F.col("week").cast("string").alias("week"), "events", "best")

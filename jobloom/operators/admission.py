@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 LONGEST_URL, MOST_LINKS = 1000, 100
 
 
-def in_scope(url: Column, year: int) -> Column:
-    """Whether a link is in no archive of another year: a year and a month next to each other in its path; undated ones stay leads."""
+def path_year(url: Column) -> Column:
+    """The year of a link's archive: of a year and a month next to each other in its path; null where there is none."""
     parts = F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/")
     month = lambda x: F.coalesce(x.rlike("^[0-9]{1,2}$") & x.try_cast("int").between(1, 12), F.lit(False))
     dated = F.transform(parts, lambda x, i: F.when(x.rlike("^20[0-9]{2}$") & month(F.get(parts, i + 1)), x))
-    first = F.get(F.array_compact(dated), 0)
-    return first.isNull() | (first == str(year))
+    return F.get(F.array_compact(dated), 0).cast("int")
+
+
+def in_scope(url: Column, year: int) -> Column:
+    """Whether a link is in no archive of another year; undated ones stay leads."""
+    first = path_year(url)
+    return first.isNull() | (first == year)
 
 
 def same_host(url: Column, listing: Column) -> Column:

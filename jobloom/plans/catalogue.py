@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobloom.functions import display
+from jobloom.functions import display, hashing
 from jobloom.functions import text as T
 from jobloom.operators import admission, board, coverage, dedup, editing, exchange, lifecycle, ranking, registry
 from jobloom.plans import fixtures
@@ -173,6 +173,20 @@ def rate_limit_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.limited(reports).groupBy("client").agg(F.count_if("limited").alias("limited"), F.max("before").alias("most"))
 
 
+SECRET = b"not the secret of any installation"
+INNER, OUTER = ("".join(f"\\x{b:02X}" for b in p) for p in hashing.pads(SECRET))
+
+
+@query(f"""SELECT client, count(*) FILTER (WHERE before >= 5) AS limited, count(*) AS reports FROM (
+      SELECT sha256('{OUTER}'::BLOB || unhex(sha256('{INNER}'::BLOB || encode('report:10.0.' || user_id)))) AS client,
+        count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS before FROM events) GROUP BY client""")
+def limited_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly limit by what clients are stored as: keyed hashes of their addresses, which are in no result."""
+    address = F.concat(F.lit("10.0."), F.col("user_id").cast("string"))
+    reports = table(spark, sf_dir, "events").select(hashing.client_hash(SECRET, "report", address).alias("client"), "ts")
+    return coverage.limited(reports).groupBy("client").agg(F.count_if("limited").alias("limited"), F.count(F.lit(1)).alias("reports"))
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, CASE WHEN event_type <> 'view' THEN user_id END AS job_id, count(*) AS n FROM events GROUP BY ALL")
 def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("kind"), F.when(F.col("event_type") != "view", F.col("user_id")).alias("job_id"))

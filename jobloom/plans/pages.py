@@ -9,7 +9,7 @@ from jobloom.operators import revisions
 from jobloom.plans.registered import query
 from jobloom.plans.standins import JOBS, jobs, table
 from jobloom.operators.dedup import _shared
-from jobloom.sources import paging, sections, store
+from jobloom.sources import paging, recorded, sections, store
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,3 +198,39 @@ def source_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = found.where((s % 7 != 3) & (s % 11 != 2)).withColumns({"title": F.concat("title", F.lit(" again")), "run": F.lit(2)})
     store.write(again.unionByName(again.where(s % 13 == 6)), ran, path, most_links=1 << 40)
     return store.stored(spark, path, found.schema)
+
+
+@query(f"SELECT job_id, year(first_seen) + 20 AS seen FROM ({JOBS}) WHERE job_id % 3 = 0 OR year(first_seen) = 2001")
+def links_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored links of one year and undated ones, read back without opening other years' files."""
+    path = _shared(spark, "links")
+    j = jobs(spark, sf_dir).select("job_id", "first_seen")
+    year = F.year("first_seen") + 20
+    dated = F.concat(F.lit("/"), year, F.lit("/"), F.month("first_seen"))
+    url = F.concat(F.lit("https://x.org"), F.when(F.col("job_id") % 3 == 0, "/jobs").otherwise(dated), F.lit("/"), "job_id")
+    store.write_links(j.select("job_id", url.alias("url"), year.alias("seen")), path)
+    return store.links_of(spark, path, 2021).select("job_id", "seen")
+
+
+# --- recorded responses
+
+
+@query(r"""
+    SELECT page_id AS source_id, url, CAST(CASE WHEN page_id % 11 = 3 THEN 503 ELSE 200 END AS INTEGER) AS status, CAST(strlen(coalesce(html, '')) AS BIGINT) AS size,
+      CASE WHEN page_id % 5 <> 0 THEN '2026-03-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') END AS last_modified,
+      CASE WHEN page_id % 11 = 3 THEN 'HTTP 503' WHEN page_id % 7 = 1 THEN 'redirected to another host' WHEN page_id % 13 = 2 THEN 'unusable content' WHEN strlen(coalesce(html, '')) > 8000 THEN 'larger than 8000 bytes' END AS error,
+      CASE WHEN NOT (page_id % 11 = 3 OR page_id % 7 = 1 OR page_id % 13 = 2 OR strlen(coalesce(html, '')) > 8000) THEN sha256(coalesce(html, '')) END AS payload_sha256
+    FROM pages WHERE url IS NOT NULL""")
+def recorded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as recorded responses: written as JSON lines, read through the source of the library, with the guards' reasons."""
+    path = _shared(spark, "recorded")
+    k = F.col("page_id")
+    p = table(spark, sf_dir, "pages").where("url is not null")
+    p.select(
+        k.alias("source_id"), "url", F.when(k % 11 == 3, 503).otherwise(200).alias("status"), F.when(k % 13 == 2, "image/png").otherwise("Text/HTML; charset=utf-8").alias("content_type"),
+        F.when(k % 7 == 1, "https://elsewhere.test/").when(k % 7 == 2, "/moved").alias("final_url"),
+        F.when(k % 5 != 0, F.concat(F.lit("Sun, "), k % 28 + 1, F.lit(" Mar 2026 10:00:00 GMT"))).alias("last_modified"), F.col("html").alias("body"),
+    ).write.json(path)
+    recorded.register(spark)
+    found = spark.read.format("recorded").option("largest", 8000).load(path)
+    return found.select("source_id", "url", "status", "size", F.col("last_modified").cast("string").alias("last_modified"), "error", F.sha2("payload", 256).alias("payload_sha256"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jobloom.operators.admission import path_year
 from jobloom.operators.dedup import _cut
 from jobloom.sources.paging import MOST_LINKS
 
@@ -63,3 +64,13 @@ def write(run: DataFrame, ran: DataFrame, path: str, most_links: int = MOST_LINK
     rows = kept.unionByName(good.where("rows = 0").select(*blank)).hint("rebalance", "source_id")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
     return verdicts
+
+
+def write_links(links: DataFrame, path: str) -> None:
+    """Stores links by the year of their archive, those without one apart, so that a run of one year reads no other."""
+    links.withColumn("year", path_year(F.col("url"))).hint("rebalance", "year").write.mode("append").partitionBy("year").parquet(path)
+
+
+def links_of(spark: SparkSession, path: str, year: int) -> DataFrame:
+    """The stored links in scope of a year: its own and undated ones. Other years' folders are not opened."""
+    return spark.read.parquet(path).where((F.col("year") == year) | F.col("year").isNull()).drop("year")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of a name that its initials leave out.
@@ -18,19 +18,87 @@ def merged(inventory: DataFrame, curated: DataFrame, columns: list[str], key: st
     return both.select(F.coalesce(f"r.{key}", f"l.{key}").alias(key), *[F.coalesce(f"r.{c}", f"l.{c}").alias(c) for c in columns], F.col(f"r.{key}").isNotNull().alias("curated"))
 
 
+#: Fields of an organization that an import replaces, and those of its audit, which it only replaces where it states them.
+FACTS = ["name_en", "short_name", "kind", "country", "city", "website", "evidence_url", "verified_at", "notes"]
+AUDIT = ["recruitment_status", "recruitment_checked_at", "recruitment_evidence_url", "recruitment_notes"]
+#: What an audit may have found.
+AUDITS = ("not_found", "integration", "blocked")
+ENTRY = "url string, adapter string, status string, enabled boolean, adapter_config string, notes string"
+ITEM = f"name string, previous_name string, {', '.join(f'{c} string' for c in FACTS + AUDIT)}, sources array<struct<{', '.join(x.replace(' ', ':') for x in ENTRY.split(', '))}>>"
+
+
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The items of a registry file, a JSON array of organizations or one a line, with `pos`, their order. An absent key and a null one are the same; settings are JSON in its shortest form."""
+    items = spark.read.schema(ITEM).option("multiLine", not lines).json(path).withColumn("pos", F.monotonically_increasing_id())
+    short = lambda x: F.to_json(F.try_parse_json(x["adapter_config"]))
+    return items.withColumn("sources", F.transform("sources", lambda x: x.withField("adapter_config", short(x))))
+
+
+def refused(items: DataFrame, audits: tuple[str, ...] = AUDITS) -> DataFrame:
+    """(name, reason) of items that an import must not take: without a name, or with an audit that is unknown or lacks its day, its address or its notes."""
+    stated = F.coalesce("recruitment_status", F.lit("")) != ""
+    lacks = [F.coalesce(c, F.lit("")) == "" for c in AUDIT[1:]]
+    reason = F.when(F.coalesce("name", F.lit("")) == "", "no name").when(stated & (~F.col("recruitment_status").isin(*audits) | lacks[0] | lacks[1] | lacks[2]), "incomplete audit")
+    return items.select("name", reason.alias("reason")).where("reason is not null")
+
+
+def imported(organizations: DataFrame, sources: DataFrame, items: DataFrame, audits: tuple[str, ...] = AUDITS) -> tuple[DataFrame, DataFrame]:
+    """Organizations and sources after an import; nothing is imported if any item is refused.
+
+    organizations: name, FACTS, AUDIT; sources: org (name), url, adapter, adapter_config, notes, status, enabled; items as read_registry gives them.
+    An item with previous_name renames that organization, unless its own name is there already. Of items of one name the last counts.
+    """
+    bad = refused(items, audits).limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['reason']}: {r['name']}" for r in bad))
+    had = organizations.select(F.col("name").alias("had"))
+    fresh = items.join(had, items["name"] == F.col("had"), "left_anti").where("coalesce(previous_name, '') != ''")
+    renames = fresh.groupBy("previous_name").agg(F.min_by("name", "pos").alias("renamed"))
+    # Two names for one: the first takes it. One name for two: the item that comes first.
+    renames = renames.join(organizations.select(F.col("name").alias("previous_name")), "previous_name", "left_semi").groupBy("renamed").agg(F.min("previous_name").alias("previous_name"))
+    now = F.coalesce("renamed", "name").alias("name")
+    old = organizations.join(renames, F.col("name") == F.col("previous_name"), "left").select(now, *FACTS, *AUDIT)
+    last = items.groupBy("name").agg(
+        F.max_by(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in FACTS]), "pos").alias("facts"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in AUDIT],
+    )
+    both = old.alias("l").join(last.alias("r"), "name", "full")
+    facts = [F.when(F.col("facts").isNotNull(), F.col(f"facts.{c}")).otherwise(F.col(f"l.{c}")).alias(c) for c in FACTS]
+    after = both.select("name", *facts, *[F.coalesce(f"r.{c}", f"l.{c}", F.lit("")).alias(c) for c in AUDIT])
+    held = sources.join(renames, F.col("org") == F.col("previous_name"), "left").withColumn("org", F.coalesce("renamed", "org")).select(*sources.columns)
+    entries = items.select(F.col("name").alias("org"), F.col("pos").alias("item"), F.posexplode("sources").alias("k", "e")).select("org", "item", "k", "e.*")
+    return after, sources_upserted(held, entries)
+
+
 def sources_upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sources after a registry import: new facts replace stored ones, but an enabled source keeps its adapter; others stay.
+    """Sources after a registry import. A URL is one source, even if the registry has it under another organization than before.
 
-    old, new: org, url, adapter, and old also enabled. A new source is not enabled.
+    old: org, url, adapter, adapter_config, notes, status, enabled; new, the entries: the same, and item and k, their order; null is not stated. A source that is there
+    moves to the entry's organization and takes its notes; it is never enabled or given a status. Its adapter and settings change too, but not while it is enabled and
+    the entry names another adapter: new settings would mislead the running one. A new source is as its entry says, by default without an adapter and disabled.
+    Entries of one URL count one after the other; others stay.
     """
-    both = old.alias("l").join(new.alias("r"), (F.col("l.org") == F.col("r.org")) & (F.col("l.url") == F.col("r.url")), "full")
-    keep = F.col("l.enabled") | F.col("r.adapter").isNull()
-    return both.select(
-        F.coalesce("l.org", "r.org").alias("org"),
-        F.coalesce("l.url", "r.url").alias("url"),
-        F.when(F.coalesce(keep, F.lit(False)), F.col("l.adapter")).otherwise(F.col("r.adapter")).alias("adapter"),
-        F.coalesce("l.enabled", F.lit(False)).alias("enabled"),
+    order = F.struct("item", "k")
+    last = lambda c, when=None: F.max_by(c, F.when(F.col(c).isNotNull() & (F.lit(True) if when is None else when), order))
+    base = new.where("url is not null").join(old.select("url", F.col("adapter").alias("had"), F.col("enabled").alias("on")), "url", "left")
+    first = F.row_number().over(Window.partitionBy("url").orderBy("item", "k")) == 1
+    base = base.withColumn("first", first & F.col("on").isNull())
+    made = base.groupBy("url").agg(
+        F.max_by("org", order).alias("org"),
+        F.max_by(F.struct(F.coalesce("adapter", F.lit("none")).alias("adapter"), F.coalesce("adapter_config", F.lit("{}")).alias("adapter_config"), F.coalesce("notes", F.lit("")).alias("notes"), F.coalesce("status", F.lit("discovered")).alias("status"), F.coalesce("enabled", F.lit(False)).alias("enabled")), F.when(F.col("first"), order)).alias("made"),
+        last("notes", ~F.col("first")).alias("notes"),
+        last("adapter", ~F.col("first")).alias("adapter"),
+        F.array_sort(F.collect_list(F.when(~F.col("first") & F.col("adapter_config").isNotNull(), F.struct("item", "k", "adapter", "adapter_config")))).alias("settings"),
     )
+    both = old.alias("l").join(made.alias("r"), "url", "full")
+    had = lambda c: F.coalesce(f"l.{c}", f"made.{c}")
+    running = F.coalesce(had("enabled"), F.lit(False))
+    # While a source runs, only settings that come with its own adapter, or with none, are for it.
+    own = F.filter("settings", lambda e: ~running | e["adapter"].isNull() | (e["adapter"] == had("adapter")))
+    return both.select(
+        F.coalesce("r.org", "l.org").alias("org"), "url", F.when(running, had("adapter")).otherwise(F.coalesce("r.adapter", had("adapter"))).alias("adapter"),
+        F.coalesce(F.try_element_at(own, F.lit(-1))["adapter_config"], had("adapter_config")).alias("adapter_config"), F.coalesce("r.notes", had("notes")).alias("notes"), had("status").alias("status"), running.alias("enabled"),
+    )
 
 
 def with_sources(organizations: DataFrame, sources: DataFrame) -> DataFrame:

@@ -368,13 +368,30 @@ def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.merged(inventory, curated, ["kind", "city"])
 
 
-@query("""SELECT coalesce(l.org, r.org) AS org, coalesce(l.url, r.url) AS url, CASE WHEN coalesce(l.enabled OR r.adapter IS NULL, false) THEN l.adapter ELSE r.adapter END AS adapter, coalesce(l.enabled, false) AS enabled
-    FROM (SELECT s_nationkey AS org, s_name AS url, 'old' AS adapter, s_suppkey % 2 = 0 AS enabled FROM supplier WHERE s_suppkey % 5 <> 0) l
-    FULL JOIN (SELECT s_nationkey AS org, s_name AS url, 'new' AS adapter FROM supplier WHERE s_suppkey % 4 <> 0) r ON l.org = r.org AND l.url = r.url""")
+STORED_SOURCES = """SELECT 'Org ' || s_nationkey AS org, s_name AS url, 'old' AS adapter, '{"a":1}' AS adapter_config, 'kept' AS notes, 'verified' AS status, s_suppkey % 2 = 0 AS enabled, s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 0"""
+ENTRIES = """SELECT 'Org ' || ((s_nationkey + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) % 25) AS org, s_name AS url, CASE s_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'old' ELSE 'new' END AS adapter,
+      CASE WHEN s_suppkey % 6 <> 0 THEN '{"b":2}' END AS adapter_config, CASE WHEN s_suppkey % 8 <> 1 THEN 'moved' END AS notes, CASE WHEN s_suppkey % 9 = 0 THEN true END AS enabled FROM supplier WHERE s_suppkey % 4 <> 0"""
+
+
+@query(f"""SELECT coalesce(r.org, l.org) AS org, coalesce(l.url, r.url) AS url, coalesce(r.notes, l.notes, '') AS notes, coalesce(l.status, 'discovered') AS status,
+      CASE WHEN l.url IS NULL THEN coalesce(r.adapter, 'none') WHEN r.url IS NULL OR (l.enabled AND coalesce(r.adapter, 'old') <> 'old') THEN l.adapter ELSE coalesce(r.adapter, l.adapter) END AS adapter,
+      CASE WHEN l.url IS NULL THEN coalesce(r.adapter_config, '{{}}') WHEN r.url IS NULL OR (l.enabled AND coalesce(r.adapter, 'old') <> 'old') THEN l.adapter_config ELSE coalesce(r.adapter_config, l.adapter_config) END AS adapter_config,
+      coalesce(l.enabled, r.enabled, false) AS enabled FROM ({STORED_SOURCES}) l FULL JOIN ({ENTRIES}) r ON l.url = r.url""")
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("org"), F.col("s_name").alias("url"), "s_suppkey")
-    old = s.where("s_suppkey % 5 != 0").select("org", "url", F.lit("old").alias("adapter"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
-    return registry.sources_upserted(old, s.where("s_suppkey % 4 != 0").select("org", "url", F.lit("new").alias("adapter")))
+    """Suppliers as sources, after the import of a registry file that moves some of them to other organizations."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    org = lambda n: F.concat(F.lit("Org "), n.cast("string"))
+    old = s.where("s_suppkey % 5 != 0").select(
+        org(F.col("s_nationkey")).alias("org"), F.col("s_name").alias("url"), F.lit("old").alias("adapter"), F.lit('{"a":1}').alias("adapter_config"), F.lit("kept").alias("notes"), F.lit("verified").alias("status"), (k % 2 == 0).alias("enabled")
+    )
+    entry = F.struct(
+        F.col("s_name").alias("url"), F.when(k % 7 == 1, "old").when(k % 7 != 0, "new").alias("adapter"), F.when(k % 9 == 0, True).alias("enabled"), F.when(k % 6 != 0, F.named_struct(F.lit("b"), F.lit(2))).alias("adapter_config"), F.when(k % 8 != 1, "moved").alias("notes")
+    )
+    # An item a source and organization, so that no organization of very many sources is one line.
+    path = dedup._shared(spark, "registry")
+    s.where("s_suppkey % 4 != 0").select(org((F.col("s_nationkey") + F.when(k % 3 == 0, 1).otherwise(0)) % 25).alias("name"), F.array(entry).alias("sources")).write.json(path)
+    organizations = s.select(org(F.col("s_nationkey")).alias("name")).distinct().select("name", *[F.lit("").alias(c) for c in registry.FACTS + registry.AUDIT])
+    return registry.imported(organizations, old, registry.read_registry(spark, path, lines=True))[1]
 
 
 @query("SELECT n_nationkey AS org, coalesce(string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey), '') AS sources FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")

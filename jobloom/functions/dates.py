@@ -132,10 +132,13 @@ def deadline(value: str) -> date | None:
     if found := extension(text, hits):
         return found
     stated = [(i, after_words(text, j, NEAR, BEHIND_TIME)) for i, j, _ in hits["announced"]]
-    stated += [(i, right_after(text, j)) for i, j, _ in hits["direct"]]
+    ends = {i: j for i, j, _ in hits["until"]}
+    stated += [(i, right_after(text, ends[j])) for i, j, _ in hits["taken"] if j in ends and text.joined(j - 1)]
+    stated += [(i, right_after(text, j)) for i, j, _ in hits["runs_out"]]
     verbs = {i for i, _, _ in hits["verb"]}
-    for i, j, _ in hits["should"]:
-        if (found := right_after(text, j)) and j + 3 < text.n and j + 3 in verbs:
+    for i, j, _ in hits["people"]:
+        # "Candidates should by <date> send": the date has three words.
+        if text.low[j : j + 2] == ["should", "by"] and (found := right_after(text, j + 2)) and j + 5 in verbs:
             stated.append((i, found))
     for i, j, _ in hits["verb"]:
         for k in range(j, text.reach(j, SUBMIT)):

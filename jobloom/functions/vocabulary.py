@@ -24,13 +24,14 @@ COUNTS = {
     "jedna": 1, "jednu": 1, "jedne": 1, "dvije": 2, "dve": 2, "dva": 2, "tri": 3, "četiri": 4, "pet": 5, "šest": 6, "sedam": 7, "osam": 8, "devet": 9, "deset": 10,
 }
 
-#: Dates: what announces a deadline somewhere after it, right after it, and its extension; verbs of "submit by"; what announces a publication.
+#: Dates: what announces a deadline somewhere after it; what is taken, and until; who should apply; verbs of "submit by"; extensions; what announces a publication.
 DATES = {
     "announced": "deadline, closing date, closing for application, closing for applications, posting end date, apply by, rok, rok za prijavu, prijave do, "
     "application deadline, najkasnije do, no later than, scad, scad presentazione domande",
-    "direct": "accepted until, accepted till, accepted through, accepted by, received until, received till, received through, received by, "
-    "open until, open till, open through, open by, primaju do, application documents by, application by, applications by, ističe",
-    "should": "candidate should by, candidates should by, applicant should by, applicants should by",
+    "taken": "accepted, received, open, primaju, application, applications, documents",
+    "until": "until, till, through, by, do",
+    "runs_out": "ističe",
+    "people": "candidate, candidates, applicant, applicants",
     "verb": "submit*, send, apply",
     "call": "deadline, closing date, rok*, prijav*, application, applications, vacancy, natječaj*, natjecaj*, konkurs*, oglas*",
     "longer": "extended, prolonged, produžen*, produljen*",
@@ -90,45 +91,42 @@ SPEECH = {
     "paper": "application, cv, curriculum, cover letter, motivation letter, document, documents, form, translation, translations, prijav*, dokument*",
     "in_english": "in english, in the english, na engleskom, in engleskom, na english",
 }
-#: Words that make what stands before them an asset, or a duty; headings of what is wished, and of what is asked for.
+#: Words that make what stands before them an asset, or a duty; words of headings about what is wished, what is needed, and other things.
 WEIGHT = {
     "asset": "asset, advantage, desirable, desired, preferred, preferably, plus, optional, would be, an added, prednost*, poželjn*",
     "duty": "required, mandatory, must, essential, obavez*, neophod*, potreb*",
-    "wished": "desirable qualifications, desirable requirements, desirable skills, desired qualifications, desired requirements, desired skills, preferred qualifications, "
-    "preferred requirements, preferred skills, additional qualifications, additional requirements, additional skills, poželjn* kvalifikacij*, poželjn* uslov*, poželjn* uvjet*",
+    "wish": "desirable, desired, preferred, additional, poželjn*",
+    "need": "essential, required, minimum, mandatory, obavezn*",
+    "headed": "qualifications, requirements, skills, kvalifikacij*, uslov*, uvjet*",
+    "other_heading": "attributes, competencies, remarks, employment conditions, duties, responsibilities",
     "wished_label": "desirable, desirables, asset, assets, poželjno, prednost*",
-    "asked": "essential qualifications, essential requirements, essential skills, required qualifications, required requirements, required skills, minimum qualifications, "
-    "minimum requirements, minimum skills, mandatory qualifications, mandatory requirements, mandatory skills, attributes, competencies, remarks, employment conditions, duties, "
-    "responsibilities, obavezn* kvalifikacij*, obavezn* uslov*, obavezn* uvjet*",
     "asked_label": "mandatory, requirements, qualifications",
 }
-#: Experience: words for it and for years; what stands before a number of years that is no total, and after one that is a part.
+#: Experience: words for it and for years; words of rank.
 WORK = {
     "worked": "experience*, iskustv*, staž*",
     "years": "year, years, year s, years s, yr, yrs, godin*",
     "unneeded": "bez iskustva, bez radnog iskustva, nije potrebno iskustvo, nije potrebno radno iskustvo",
-    "no_total": "last, past, valid for, period of, maximum, up to, within, duration, including, of which, od čega, uključujući, in combination with, plus, additional, posljednjih, under, "
-    "over the, for a period of, every, once in",
-    "part": "additional, of additional, management level, managerial level, senior level, supervisory level, at management, at managerial, at senior, at supervisory, at the management, "
-    "at the managerial, at the senior, at the supervisory, of management experience, of managerial experience, of supervisory experience, as a manager, as a supervisor, in a manager, "
-    "in a supervisor, as a position similar, in a position similar, managing, supervising, na rukovodn*",
+    "rank": "management, managerial, manager, supervisory, supervisor, senior",
+    "ranking": "managing, supervising, rukovodn*",
 }
+#: Words of a span, a limit, a term or a share: years counted from them are no total. And words that may stand between those and the number, or a number and a rank.
+SPANS = "last past posljednjih every once maximum up under over within valid period duration including uključujući which čega combination plus additional"
+BETWEEN = "a an at least minimum najmanje of must have the to for in with"
+AT_RANK = "of at in as a an the on na experience additional position"
 NO_EXPERIENCE = {"lead": "no", "between": "prior previous work professional", "end": "required needed necessary"}
 #: Facts that are read from a first mention.
 MENTIONS = {
     "licence": "driving licence, driving license, driver licence, driver license, drivers licence, drivers license, driver s licence, driver s license, driving permit, vozačk* dozvol*",
-    "bih": "must be citizens of the country, must be citizens of bosnia, must be nationals of the country, must be nationals of bosnia, only citizens of the country, "
-    "only citizens of bosnia, only nationals of the country, only nationals of bosnia, are citizens of the country, are citizens of bosnia, are nationals of the country, "
-    "are nationals of bosnia, nationals or residents of bosnia, nationals and residents of bosnia, nationals or permanent residents of bosnia, nationals and permanent residents of bosnia, "
-    "nationals or legal residents of bosnia, nationals and legal residents of bosnia, open to bih citizens, open to bih nationals, open to bosnian citizens, open to bosnian nationals, "
-    "open to local citizens, open to local nationals, državljan* bih, državljan* bosne, državljanstvo bih",
-    "eu": "citizen of a member state of the european union, eu citizen only, eu citizens only, national of a member state, nationals of member states, nationals of a member state, "
-    "national of an eu member state, nationals of an eu member state, nationals of eu member states, državljan* eu, državljan* države članice eu, državljan* neke države članice eu",
+    "citizen": "citizen, citizens, national, nationals, državljan*",
     "remote": "remote first, remote based, remote work*, remote position, remote with travel, remotely, fully remote, home based, work from home, working from home, rad od kuće, rad na daljinu",
     "hybrid": "hybrid, hibridn*",
     "full": "full time, puno radno vrijeme, punim radnim vremenom",
     "part_time": "part time, nepuno radno vrijeme, nepunim radnim vremenom",
 }
+#: Citizenship: what ties it to the country or the union, and what makes it a condition.
+OF_COUNTRY, OF_UNION = "country bosnia bosnian bosne bih local", "eu member države"
+CONDITION = "must only are open residents"
 #: Pay: what a passage about it says, that it is not told, currencies, spans, and what a sum is for.
 PAY = {
     "pay": "salary, compensation, remuneration, pay, fee, plat*, naknad*, primanj*, zarad*",

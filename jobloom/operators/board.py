@@ -34,11 +34,14 @@ def unique(jobs: DataFrame, shown: Column) -> DataFrame:
     found = jobs.where(shown)
     if not set(jobs.columns) >= IDENTITY:
         return found
-    rows = jobs.withColumns({c: F.lit(None).cast("string") for c in ("canonical_url", "application_url") if c not in jobs.columns})
-    rows = rows.withColumn("shown", F.coalesce(shown, F.lit(False))).where("shown or not aggregator")
-    pairs = dedup._cut(dedup.same_vacancy(dedup.identity_keys(rows)))
-    blocked = dedup.official_duplicates(rows.where("aggregator or not shown"), pairs)
-    return found.join(dedup.winners(rows.where("shown"), pairs, blocked), "job_id", "left_semi")
+    rows = jobs.withColumn("shown", F.coalesce(shown, F.lit(False)))
+    on = dedup._cut(rows.where("shown").select("job_id", "first_seen", "deadline", *IDENTITY, *[c for c in dedup.ADDRESSES if c in jobs.columns]))
+    blocked = dedup.copies_of_official(on, rows.where("not shown"))
+    keys = dedup._cut(dedup.identity_keys(on))
+    winners = dedup._cut(dedup.winners(on, dedup.same_vacancy(keys), blocked))
+    for df in (on, blocked, keys):
+        dedup._drop(df)
+    return found.join(winners, "job_id", "left_semi")
 
 
 def public_history(jobs: DataFrame) -> DataFrame:

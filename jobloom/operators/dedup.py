@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import employer_key, normalized, url_key
 
 ROUND_DAYS = 45
+ADDRESSES = ("canonical_url", "application_url")
 
 
 def _shared(spark: SparkSession, name: str) -> str:
@@ -29,38 +30,89 @@ def _cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so that rounds do not pile up lineage."""
     path = _shared(df.sparkSession, "rounds")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete a table that _cut() wrote and that nothing reads any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def identity_keys(jobs: DataFrame) -> DataFrame:
     """(job_id, source_id, published_on, key) for each key of a job: its URLs, and employer, city, deadline and title together.
 
-    jobs: job_id, source_id, published_on, canonical_url, application_url, employer, city, deadline, title.
+    jobs: job_id, source_id, published_on, employer, city, deadline, title, and, where there are any, canonical_url and application_url.
     """
     exact = F.when(
         F.col("deadline").isNotNull() & (F.coalesce("city", F.lit("")) != ""),
         F.concat_ws("\x1f", F.lit("exact"), employer_key(F.col("employer")), normalized(F.col("city")), F.col("deadline").cast("string"), normalized(F.col("title"))),
     )
-    urls = [F.when(url_key(F.col(c)) != "", F.concat(F.lit("url\x1f"), url_key(F.col(c)))) for c in ("canonical_url", "application_url")]
-    keys = F.array_distinct(F.array_compact(F.array(*urls, exact)))
-    return jobs.select("job_id", "source_id", "published_on", F.explode(keys).alias("key"))
+    urls = [c for c in ADDRESSES if c in jobs.columns]
+    # Each key is made in a column of its own, so that its long expression stands in the plan once.
+    made = jobs.select("job_id", "source_id", "published_on", exact.alias("exact"), *[url_key(F.col(c)).alias(c) for c in urls])
+    keys = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(c) != "", F.concat(F.lit("url\x1f"), F.col(c))) for c in urls], F.col("exact"))))
+    return made.select("job_id", "source_id", "published_on", F.explode(keys).alias("key"))
 
 
-def same_vacancy(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: jobs of different sources that share a key and were not published far apart.
+def _span() -> Column:
+    return F.floor(F.datediff("published_on", F.lit("1970-01-01")) / ROUND_DAYS)
+
+
+def matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), with repeats: jobs of left and of right, of different sources, that share a key and were not published far apart. Both: as of identity_keys().
 
     Jobs with a date meet by key and span of ROUND_DAYS days, one side in its own and both spans next to it, so that a key that comes
-    again and again is met in pieces; those without a date meet all of their key. Every key says what kind it is.
+    again and again is met in pieces; those without a date meet all of their key.
     """
-    span = F.floor(F.datediff("published_on", F.lit("1970-01-01")) / ROUND_DAYS)
-    dated, undated = keys.where("published_on is not null"), keys.where("published_on is null")
-    left = dated.withColumn("span", span).alias("l")
-    right = dated.withColumn("span", F.explode(F.array(span - 1, span, span + 1))).alias("r")
+    own = left.where("published_on is not null").withColumn("span", _span()).alias("l")
+    around = right.where("published_on is not null").withColumn("span", F.explode(F.array(_span() - 1, _span(), _span() + 1))).alias("r")
     near = F.abs(F.datediff("l.published_on", "r.published_on")) <= ROUND_DAYS
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.span") == F.col("r.span"))).where(near & (F.col("l.job_id") < F.col("r.job_id")))
-    without = undated.alias("l").join(keys.alias("r"), F.col("l.key") == F.col("r.key")).where("l.job_id != r.job_id")
-    ids = [F.least("l.job_id", "r.job_id").alias("a"), F.greatest("l.job_id", "r.job_id").alias("b")]
-    return met.where("l.source_id != r.source_id").select(*ids).unionByName(without.where("l.source_id != r.source_id").select(*ids)).distinct()
+    other = (F.col("l.source_id") != F.col("r.source_id")) & (F.col("l.job_id") != F.col("r.job_id"))
+    same = F.col("l.key") == F.col("r.key")
+    ids = [F.col("l.job_id").alias("a"), F.col("r.job_id").alias("b")]
+    found = own.join(around, same & (F.col("l.span") == F.col("r.span"))).where(near & other).select(*ids)
+    for one, two in (("published_on is null", "true"), ("published_on is not null", "published_on is null")):
+        found = found.unionByName(left.where(one).alias("l").join(right.where(two).alias("r"), same).where(other).select(*ids))
+    return found
+
+
+def same_vacancy(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of jobs that matches() finds within one table."""
+    return matches(keys, keys).where("a < b").distinct()
+
+
+def copies_of_official(jobs: DataFrame, official: DataFrame | None = None) -> DataFrame:
+    """(job_id, duplicate_of): the official record of smallest id that each aggregator copy matches. jobs: as identity_keys() has them, and aggregator.
+
+    Official records are looked at only if they share a deadline with a copy, or have an address, as no other can match.
+    """
+    copies = jobs.where("aggregator")
+    known = (jobs if official is None else official).where("not aggregator")
+    days = copies.select(F.col("deadline").alias("__day")).where("__day is not null").distinct()
+    addressed = reduce(Column.__or__, [F.col(c).isNotNull() for c in ADDRESSES if c in known.columns], F.lit(False))
+    maybe = known.where(addressed).unionByName(known.where(~addressed).join(days, F.col("deadline") == F.col("__day"), "left_semi"))
+    # Keys are long expressions over few columns: made once, then met three times.
+    left, right = _cut(identity_keys(copies)), _cut(identity_keys(maybe))
+    found = _cut(matches(left, right).groupBy(F.col("a").alias("job_id")).agg(F.min("b").alias("duplicate_of")))
+    _drop(left)
+    _drop(right)
+    return found
+
+
+def closed_copies(jobs: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """jobs after copies of official records left the queue and the board: closed as duplicates, with the record that each is a copy of.
+
+    jobs: job_id, status, closed_reason; duplicates: of copies_of_official(). What is closed already stays as it is, for its own reason.
+    """
+    both = jobs.join(duplicates, "job_id", "left")
+    now = F.col("duplicate_of").isNotNull() & F.col("status").isin("review", "published")
+    return both.withColumns(
+        {"closed_reason": F.when(now, "duplicate").otherwise(F.col("closed_reason")), "status": F.when(now, "closed").otherwise(F.col("status")), "duplicate_of": F.when(now, F.col("duplicate_of"))}
+    )
 
 
 def official_duplicates(jobs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -76,8 +128,8 @@ def winners(jobs: DataFrame, pairs: DataFrame, blocked: DataFrame | None = None)
     """job_ids that show: in order of precedence each job unless it matches one that shows already.
 
     Matching is not transitive, so a job that matches only losers shows. jobs: job_id, aggregator, first_seen; official records come
-    first, then older ones, then smaller ids. blocked: aggregator copies to leave out before. In each round those without an open
-    earlier match win, what matches them loses, and both leave with their matches; at last all that is left wins.
+    first, then older ones, then smaller ids. blocked: aggregator copies to leave out before. In each round what matches a job without an
+    open earlier match loses, and leaves with its matches; at last all that has not lost wins.
     """
     if blocked is not None:
         jobs = jobs.join(blocked.select("job_id"), "job_id", "left_anti")
@@ -86,14 +138,17 @@ def winners(jobs: DataFrame, pairs: DataFrame, blocked: DataFrame | None = None)
     two = pairs.join(ranked.select(F.col("job_id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("job_id").alias("b"), F.col("rank").alias("rb")), "b")
     earlier = F.when(F.col("ra") < F.col("rb"), F.struct(F.col("b").alias("job_id"), F.col("a").alias("before"))).otherwise(F.struct(F.col("a").alias("job_id"), F.col("b").alias("before")))
     edges = _cut(two.select(earlier.alias("e")).select("e.*").distinct())
-    left, won = ranked.select("job_id"), []
+    lost = []
     while edges.limit(1).count():
-        now = _cut(left.join(edges, "job_id", "left_anti"))
-        lost = _cut(edges.join(now.withColumnRenamed("job_id", "before"), "before", "left_semi").select("job_id").distinct())
-        won.append(now)
-        left = _cut(left.join(now, "job_id", "left_anti").join(lost, "job_id", "left_anti"))
-        edges = _cut(edges.join(lost, "job_id", "left_anti").join(lost.withColumnRenamed("job_id", "before"), "before", "left_anti").select("job_id", "before"))
-    return reduce(DataFrame.unionByName, won, left)
+        first = edges.select("before").join(edges.select(F.col("job_id").alias("before")), "before", "left_anti").distinct()
+        lost.append(_cut(edges.join(first, "before", "left_semi").select("job_id").distinct()))
+        gone = lost[-1].withColumnRenamed("job_id", "before")
+        rest = _cut(edges.join(lost[-1], "job_id", "left_anti").join(gone, "before", "left_anti").select("job_id", "before"))
+        _drop(edges)
+        edges = rest
+    _drop(edges)
+    shown = ranked.select("job_id")
+    return shown.join(reduce(DataFrame.unionByName, lost), "job_id", "left_anti") if lost else shown
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:

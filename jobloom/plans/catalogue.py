@@ -10,7 +10,7 @@ from jobloom.functions import text as T
 from jobloom.operators import admission, board, coverage, dedup, editing, exchange, lifecycle, ranking, registry
 from jobloom.plans import fixtures
 from jobloom.plans.registered import ORACLES, QUERIES, query  # noqa: F401
-from jobloom.plans.standins import AS_OF, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
+from jobloom.plans.standins import AS_OF, DUPLICATES, JOBS, NOW, PARTS, RUNS, SNAPSHOTS, SOURCES, VISIBLE, jobs, parts, runs, snapshots, sources, table
 from jobloom.sources import payloads
 
 def fold_sql(x: str) -> str:
@@ -265,12 +265,27 @@ def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("job_key", "title", d("deadline"), "status", "closed_reason", "misses")
 
 
-@query(f"SELECT class, count(*) AS jobs FROM (SELECT CASE WHEN job_id % 37 = 0 THEN 'duplicate' WHEN deadline < DATE '{AS_OF}' THEN 'expired' WHEN NOT enabled THEN 'source_disabled' WHEN status = 'published' THEN 'already' ELSE 'published' END AS class FROM ({JOBS})) GROUP BY class")
+def _copies(rows: DataFrame) -> DataFrame:
+    """The copies of official records among the stand-in's jobs, which state no addresses."""
+    return dedup.copies_of_official(rows)
+
+
+@query(f"""SELECT class, count(*) AS jobs FROM (SELECT CASE WHEN job_id IN (SELECT job_id FROM ({DUPLICATES})) THEN 'duplicate' WHEN deadline < DATE '{AS_OF}' THEN 'expired' WHEN NOT enabled THEN 'source_disabled'
+    WHEN status = 'published' THEN 'already' ELSE 'published' END AS class FROM ({JOBS})) GROUP BY class""")
 def bulk_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jobs(spark, sf_dir).withColumn("duplicate", F.col("job_id") % 37 == 0)
+    rows = jobs(spark, sf_dir)
+    rows = rows.join(_copies(rows).select("job_id", F.lit(True).alias("duplicate")), "job_id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
     return lifecycle.publish_classes(rows, AS_OF).groupBy("class").agg(F.count(F.lit(1)).alias("jobs"))
 
 
+@query(f"""SELECT job_id, CASE WHEN now THEN 'closed' ELSE status END AS status, CASE WHEN now THEN 'duplicate' ELSE closed_reason END AS closed_reason, CASE WHEN now THEN duplicate_of END AS duplicate_of
+    FROM (SELECT j.*, d.duplicate_of, d.job_id IS NOT NULL AND status IN ('review', 'published') AS now FROM ({JOBS}) j LEFT JOIN ({DUPLICATES}) d USING (job_id))""")
+def reconciled_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All jobs after copies of official records were closed."""
+    rows = jobs(spark, sf_dir)
+    return dedup.closed_copies(rows, _copies(rows)).select("job_id", "status", "closed_reason", "duplicate_of")
+
+
 @query("SELECT DISTINCT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE event_type = 'view' EXCEPT SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) FROM events WHERE event_type = 'purchase'")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "event_type")
@@ -508,23 +523,14 @@ def admin_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-#: Copies as aggregators have them: the next order of the same customer stands for the official record.
-_COPIES = f"WITH jobs AS ({JOBS}), copies AS (SELECT job_id, lead(job_id) OVER (PARTITION BY o_custkey ORDER BY job_id) AS duplicate_of FROM jobs WHERE job_id % 6 = 0 OR job_id % 10 = 0)"
-
-
-def _copies(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("job_id")
-    return rows.where("job_id % 6 = 0 or job_id % 10 = 0").select("job_id", F.lead("job_id").over(order).alias("duplicate_of")).where("duplicate_of is not null")
-
-
-@query(f"{_COPIES} SELECT job_id FROM jobs WHERE status = 'review' AND job_id NOT IN (SELECT job_id FROM copies WHERE duplicate_of IS NOT NULL)")
+@query(f"SELECT job_id FROM ({JOBS}) WHERE status = 'review' AND job_id NOT IN (SELECT job_id FROM ({DUPLICATES}))")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs(spark, sf_dir)
     return editing.review_queue(rows, _copies(rows)).select("job_id")
 
 
-@query(f"""{_COPIES} SELECT j.job_id, CASE WHEN status <> 'published' THEN NULL WHEN NOT enabled THEN 'source is disabled' WHEN deadline < DATE '{AS_OF}' THEN 'deadline has passed' WHEN duplicate_of IS NOT NULL THEN 'copy of an official record' END AS error
-    FROM jobs j LEFT JOIN copies c USING (job_id)""")
+@query(f"""SELECT j.job_id, CASE WHEN status <> 'published' THEN NULL WHEN NOT enabled THEN 'source is disabled' WHEN deadline < DATE '{AS_OF}' THEN 'deadline has passed' WHEN duplicate_of IS NOT NULL THEN 'copy of an official record' END AS error
+    FROM ({JOBS}) j LEFT JOIN ({DUPLICATES}) c USING (job_id)""")
 def publish_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs(spark, sf_dir)
     return editing.publish_errors(rows, _copies(rows), AS_OF).select("job_id", "error")

@@ -40,10 +40,21 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 != 0, F.get(levels, (k % 5).cast("int"))).otherwise("").alias("education_level"),
         F.when(k % 3 != 0, (k % 12).cast("int")).alias("experience_years"),
     )
-    return own.join(c, "o_custkey").join(F.broadcast(n), "c_nationkey").drop("c_nationkey")
-
-
-JOBS = """
+    own = own.join(c, "o_custkey").join(F.broadcast(n), "c_nationkey").drop("c_nationkey")
+    k, later = F.col("job_id"), lambda c, n: F.date_add(c, n.cast("int"))
+    copies = own.where(k % 4 == 1).withColumns(
+        {
+            "job_id": k + COPY, "source_id": 53 + k % 2, "enabled": F.lit(True), "aggregator": F.lit(True), "title": F.when(k % 3 == 0, F.upper("title")).otherwise(F.col("title")), "status": F.lit("published"),
+            "closed_reason": F.lit(""), "first_seen": later("first_seen", F.lit(1)), "published_on": F.when(k % 8 != 5, later("published_on", F.lit(3))),
+        }
+    )
+    again = own.where(k % 6 == 2).withColumns({"job_id": k + 2 * COPY, "source_id": F.lit(60).cast("long"), "aggregator": F.lit(False), "first_seen": later("first_seen", F.lit(2)), "published_on": later("published_on", k % 90)})
+    return own.unionByName(copies).unionByName(again)
+
+
+#: What the ids of copies are greater by.
+COPY = 10_000_000_000
+OWN_JOBS = """
     SELECT o_orderkey AS job_id, o_custkey, 'Order ' || substr(o_orderpriority, 3, 20) AS title,
       CASE o_orderstatus WHEN 'O' THEN 'published' WHEN 'P' THEN 'review' ELSE 'closed' END AS status,
       CASE WHEN o_orderstatus = 'F' THEN ['deadline', 'missing', 'manual', 'duplicate'][o_orderkey % 4 + 1] ELSE '' END AS closed_reason,
@@ -56,8 +67,30 @@ JOBS = """
       CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 12 AS INTEGER) END AS experience_years,
       c_name AS employer, c_mktsegment AS kind, n_name AS city
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey"""
-VISIBLE = f"""status = 'published' AND enabled AND (deadline >= DATE '{AS_OF}' OR deadline IS NULL AND
-      (first_seen >= DATE '{AS_OF}' - 30 OR last_reviewed >= DATE '{AS_OF}' - 30))"""
+#: Copies of every fourth job by aggregators, and of every sixth by another official source, some of them long after.
+JOBS = f"""
+    WITH own AS ({OWN_JOBS})
+    SELECT * FROM own
+    UNION ALL BY NAME SELECT * REPLACE (job_id + {COPY} AS job_id, 53 + job_id % 2 AS source_id, true AS enabled, true AS aggregator, CASE WHEN job_id % 3 = 0 THEN upper(title) ELSE title END AS title, 'published' AS status,
+      '' AS closed_reason, first_seen + 1 AS first_seen, CASE WHEN job_id % 8 <> 5 THEN published_on + 3 END AS published_on) FROM own WHERE job_id % 4 = 1
+    UNION ALL BY NAME SELECT * REPLACE (job_id + 2 * {COPY} AS job_id, 60 AS source_id, false AS aggregator, first_seen + 2 AS first_seen, published_on + CAST(job_id % 90 AS INTEGER) AS published_on) FROM own WHERE job_id % 6 = 2"""
+OPEN = f"""coalesce(status = 'published' AND enabled AND (deadline >= DATE '{AS_OF}' OR deadline IS NULL AND
+      (first_seen >= DATE '{AS_OF}' - 30 OR last_reviewed >= DATE '{AS_OF}' - 30)), false)"""
+KEYED = f"SELECT *, {OPEN} AS is_open, lower(title) || '|' || employer || '|' || city || '|' || deadline AS vacancy FROM ({JOBS})"
+NEAR = "a.vacancy = b.vacancy AND a.source_id <> b.source_id AND coalesce(abs(date_diff('day', a.published_on, b.published_on)) <= 45, true)"
+#: The official record that each aggregator copy is one of.
+DUPLICATES = f"SELECT a.job_id, min(b.job_id) AS duplicate_of FROM ({KEYED}) a JOIN ({KEYED}) b ON {NEAR} WHERE a.aggregator AND NOT b.aggregator GROUP BY a.job_id"
+#: What shows: copies of official records that do not show are left out, then of each vacancy one after the other in order of precedence.
+SHOWN = f"""
+    WITH RECURSIVE j AS MATERIALIZED ({KEYED}),
+    blocked AS (SELECT a.job_id FROM j a JOIN j b ON {NEAR} WHERE a.is_open AND a.aggregator AND NOT b.is_open AND NOT b.aggregator),
+    g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vacancy ORDER BY aggregator, first_seen, job_id) AS n FROM j WHERE is_open AND vacancy IS NOT NULL AND job_id NOT IN (SELECT job_id FROM blocked)),
+    w AS (
+      SELECT vacancy, n, [struct_pack(s := source_id, p := published_on, id := job_id)] AS won FROM g WHERE n = 1
+      UNION ALL SELECT g.vacancy, g.n, CASE WHEN len(list_filter(won, lambda x: x.s <> g.source_id AND coalesce(abs(date_diff('day', x.p, g.published_on)) <= 45, true))) > 0 THEN won
+        ELSE list_append(won, struct_pack(s := g.source_id, p := g.published_on, id := g.job_id)) END FROM w JOIN g ON g.vacancy = w.vacancy AND g.n = w.n + 1)
+    SELECT job_id FROM j WHERE is_open AND vacancy IS NULL UNION ALL SELECT x.id FROM (SELECT unnest(arg_max(won, n)) AS x FROM w GROUP BY vacancy)"""
+VISIBLE = f"job_id IN ({SHOWN})"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,24 @@ def test_lines_written_and_read(spark, tmp_path):
     payloads.write_lines(payloads.exchange_lines(jobs, 1).unionByName(spark.createDataFrame([("{bad",), ("",)], "value string")), str(tmp_path / "lines"))
     got = payloads.read_lines(spark, str(tmp_path / "lines"), "job_id long, title string, hash string")
     assert {(r.record and r.record.job_id) for r in got.collect()} == {1, None} and got.count() == 2
+
+
+def test_copies_leave_queue_and_board(spark):
+    """A copy is closed with its record's id; what is closed for another reason keeps it, and what matches no official record stays."""
+    rows = [(1, 1, False, "closed", "manual", "Role"), (2, 9, True, "published", "", "role"), (3, 9, True, "review", "", "Role"), (4, 9, True, "closed", "deadline", "Role"), (5, 9, True, "published", "", "Other"), (6, 2, False, "published", "", "ROLE")]
+    df = spark.createDataFrame(
+        [(i, s, a, st, why, OPEN, DAY, "Employer", "City", t) for i, s, a, st, why, t in rows],
+        "job_id long, source_id long, aggregator boolean, status string, closed_reason string, deadline date, published_on date, employer string, city string, title string",
+    )
+    found = dedup.copies_of_official(df)
+    assert {(r.job_id, r.duplicate_of) for r in found.collect()} == {(2, 1), (3, 1), (4, 1)}
+    got = {r.job_id: (r.status, r.closed_reason, r.duplicate_of) for r in dedup.closed_copies(df, found).collect()}
+    assert got == {1: ("closed", "manual", None), 2: ("closed", "duplicate", 1), 3: ("closed", "duplicate", 1), 4: ("closed", "deadline", None), 5: ("published", "", None), 6: ("published", "", None)}
+
+
+def test_standins_have_copies(spark):
+    """The board's queries would show more rows without the rule."""
+    from jobloom.plans import standins
+
+    rows = standins.jobs(spark, "/root/testdata/sf0.01")
+    assert board.visible(rows, standins.AS_OF).count() < rows.where(board.is_open(standins.AS_OF)).count()

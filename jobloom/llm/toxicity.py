@@ -33,7 +33,7 @@ LOOKS = {
 }
 #: Costs, in natural logarithms: of a look-alike, of dropping it, of a letter held down, of reading through a separator or keeping it.
 LOOK_COST, DROP_COST, HELD_COST, THROUGH_COST, APART_COST = 0.5, 6.0, 0.7, 0.5, 3.0
-#: Runs of equal characters of a stretch that are read together; bytes of text taken together; readings that a worker keeps before it forgets them.
+#: Steps of a stretch after which what is settled of it is written out; bytes of text taken together; readings that a worker keeps before it forgets them.
 PIECE, BATCH_BYTES, CACHE = 512, 4 << 20, 30_000
 
 #: Letters stay, all else is a word's end. Look-alikes and separators are only read within suspicious stretches.
@@ -96,32 +96,13 @@ def lattice(token: bytes) -> list[list[tuple[str, float]]]:
 def decode(token: bytes, model: np.ndarray) -> str:
     """The most likely reading of a stretch, by Viterbi over its lattice; states are the last two letters.
 
-    A stretch longer than any word (PIECE runs) is read in pieces, each going on from the letters before it, so that memory stays bounded.
+    Ways are chains of [way before, text], of which states share the older part. From time to time, what all of them share is
+    written out and cut off: no later step can change it, so the reading is the best one of the whole stretch however long it is.
     """
-    steps, states, out = lattice(token), {(0, 0): (0.0, ())}, []
-    for start in range(0, len(steps), PIECE):
-        states = read(steps[start : start + PIECE], states, model)
-        if start + PIECE < len(steps):
-            (a, b), (_, path) = max(states.items(), key=lambda s: s[1][0])
-            out.append(spelled(path))
-            states = {(a, b): (0.0, ())}
-    _, path = max(((p + model[a][b][0], path) for (a, b), (p, path) in states.items()), key=lambda s: s[0])
-    return "".join([*out, spelled(path)])
-
-
-def spelled(path: tuple) -> str:
-    out = []
-    while path:
-        path, text = path
-        out.append(text)
-    return "".join(reversed(out))
-
-
-def read(steps: list[list[tuple[str, float]]], states: dict, model: np.ndarray) -> dict:
-    """For each state after the steps, the likelihood of the best way there and the way."""
-    for step in steps:
-        new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (p, path) in states.items():
+    states, out, look = {(0, 0): (0.0, [None, ""])}, [], PIECE
+    for k, step in enumerate(lattice(token), 1):
+        new: dict[tuple[int, int], tuple[float, list]] = {}
+        for (a, b), (p, way) in states.items():
             for text, cost in step:
                 x, y, q = a, b, p - cost
                 for c in text:
@@ -129,9 +110,42 @@ def read(steps: list[list[tuple[str, float]]], states: dict, model: np.ndarray)
                     q += model[x][y][z]
                     x, y = y, z
                 if (x, y) not in new or q > new[x, y][0]:
-                    new[x, y] = (q, (path, text))
+                    new[x, y] = (q, [way, text])
         states = new
-    return states
+        if k >= look:
+            found = settled([way for _, way in states.values()])
+            out.append(found)
+            # Looking back costs as much as what is not settled is long, so the next look is as far away.
+            look = k + max(PIECE, 0 if found else k)
+    _, way = max(((p + model[a][b][0], way) for (a, b), (p, way) in states.items()), key=lambda s: s[0])
+    return "".join([*out, spelled(way)])
+
+
+def spelled(way: list | None) -> str:
+    out = []
+    while way:
+        way, text = way
+        out.append(text)
+    return "".join(reversed(out))
+
+
+def settled(ways: list[list]) -> str:
+    """The text that all ways begin with, which is cut off them."""
+    places, way = {}, ways[0]
+    while way:
+        places[id(way)] = (len(places), way)
+        way = way[0]
+    depth, shared = 0, ways[0]
+    for way in ways[1:]:
+        while way and id(way) not in places:
+            way = way[0]
+        if not way:
+            return ""
+        if places[id(way)][0] > depth:
+            depth, shared = places[id(way)]
+    text = spelled(shared)
+    shared[:] = [None, ""]
+    return text
 
 
 def suspicious(text: bytes) -> list[bytes]:

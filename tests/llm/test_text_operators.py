@@ -356,3 +356,17 @@ def test_pipeline(spark, tmp_path):
     near = [(i, t) for i, t in kept if t and t.lower() == own[4]]
     assert near == [(2010, own[4])]
     assert os.path.exists(tmp_path)
+
+
+def test_long_stretches_are_read_as_a_whole(monkeypatch):
+    """Writing out what is settled changes no reading: stretches of 2,000 runs, with letters that make ways differ for long."""
+    rng = random.Random(17)
+    for trial in range(40):
+        counts = np.array([[[rng.choice([0, 0, 1, 40]) for _ in range(28)] for _ in range(28)] for _ in range(28)], np.int64)
+        model = toxicity.letter_model(counts).tolist()
+        token = "".join(rng.choice(["a", "b", "1", "0", "$", "!!", "|", "aaa", "e", ". ", "5"]) for _ in range(2000 if trial < 8 else 300)).encode()
+        monkeypatch.setattr(toxicity, "PIECE", 1 << 40)
+        whole = toxicity.decode(token, model)
+        for piece in (1, 7, 64, 512):
+            monkeypatch.setattr(toxicity, "PIECE", piece)
+            assert toxicity.decode(token, model) == whole

@@ -477,13 +477,6 @@ def agency_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.attributed(s, r).select("s_suppkey", "employer")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'SN' WHEN n_nationkey % 3 = 1 THEN 'ABC' ELSE 'FS' END AS monogram FROM nation")
-def monograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    name = F.when(k % 3 == 1, "Embassy of ABC in BIH").otherwise("Ambasada first second third")
-    return table(spark, sf_dir, "nation").select("n_nationkey", registry.monogram(name, F.when(k % 3 == 0, "SN")).alias("monogram"))
-
-
 @query(f"""WITH jobs AS (SELECT * FROM ({JOBS}) WHERE {VISIBLE}) SELECT job_id, '{{"@context":"https://schema.org/","@type":"JobPosting","title":"' || title || '","datePosted":"' || CAST(first_seen AS VARCHAR) || '",' ||
     CASE WHEN deadline IS NULL THEN '' ELSE '"validThrough":"' || CAST(deadline AS VARCHAR) || '",' END || '"hiringOrganization":{{"@type":"Organization","name":"' || employer || '"}}}}' AS data FROM jobs""")
 def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -619,13 +612,6 @@ def portal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", admission.local_day(F.col("ts"), 12).cast("string").alias("day"), admission.us_date(F.date_format("ts", "M/d/yyyy")).cast("string").alias("us"))
 
 
-@query("SELECT page_id, page_id % 4 = 3 AS safe FROM pages")
-def safe_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id")
-    url = F.when(k % 4 == 0, "ftp://a.test/x").when(k % 4 == 1, "https://user:word@a.test/").when(k % 4 == 2, "https://a.test/" + "y" * 1000).otherwise("https://a.test/x?y=1")
-    return table(spark, sf_dir, "pages").select("page_id", admission.safe_url(url).alias("safe"))
-
-
 # --- display
 
 
@@ -637,14 +623,6 @@ def job_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("job_id", F.array_join(display.tags(), ", ").alias("tags"))
 
 
-@query()
-def advert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a page shows of the stated adverts: rows of requirements and of terms."""
-    from jobloom.functions.extract import requirements
-
-    return requirements(fixtures.adverts(spark)).select("id", display.requirement_rows().alias("requirements"), display.term_rows().alias("terms"))
-
-
 @query(f"""WITH s AS (SELECT *, source_id % 10 AS organization_id, 'https://s.test/' || CAST(source_id AS VARCHAR) AS url, CASE WHEN NOT enabled THEN 'https://s.test/' || CAST(source_id + 10 AS VARCHAR) END AS superseded_by FROM ({SOURCES}))
     SELECT source_id FROM s WHERE enabled OR NOT EXISTS (SELECT 1 FROM s t WHERE t.organization_id = s.organization_id AND t.url = s.superseded_by AND t.enabled AND t.has_adapter)""")
 def superseded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -744,20 +722,6 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.page_texts(table(spark, sf_dir, "pages"))
 
 
-@query()
-def requirements_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from jobloom.functions.extract import requirements
-
-    return requirements(fixtures.adverts(spark))
-
-
-@query()
-def deadline_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from jobloom.functions.extract import deadlines
-
-    return deadlines(fixtures.date_texts(spark))
-
-
 @query()
 def document_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts of all texts: the advert rules at scale."""
@@ -774,42 +738,6 @@ def document_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadlines(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", d("deadline"), d("published"))
 
 
-@query()
-def candidate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from jobloom.functions.extract import candidates
-
-    return candidates(fixtures.leads(spark), fixtures.TODAY, 2026)
-
-
-_VALUE, _QUOTE = "json_extract_string(value, '$.proposed.{0}')", "json_extract_string(value, '$.evidence.{0}')"
-_RULES = " ".join(
-    f"WHEN {_VALUE.format(f)} IS NOT NULL AND NOT coalesce(contains(lower(text), lower({_QUOTE.format(f)})), false) THEN '{f} evidence not in text' "
-    f"WHEN {_VALUE.format(f)} IS NOT NULL AND NOT coalesce(contains(lower({_QUOTE.format(f)}), lower({_VALUE.format(f)})), false) THEN '{f} not in its evidence'" for f in exchange.FIELDS
-)
-_CONFLICTS = " ".join(f"WHEN {_VALUE.format(f)} IS NOT NULL AND coalesce({f}, '') <> '' AND {f} <> {_VALUE.format(f)} THEN 'conflicting {f}'" for f in ("city", "title"))
-
-
-@query(f"""WITH l(line, value) AS (VALUES {", ".join(f"({k}, '{x.replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(fixtures.PROPOSALS, 1))}),
-    j(id, content_hash, text, city, title) AS (VALUES {", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in fixtures.STORED)}),
-    p AS (SELECT line, CASE WHEN json_valid(value) THEN value END AS value FROM l), b AS (SELECT line, CAST(json_extract(value, '$.id') AS BIGINT) AS id, value FROM p)
-    SELECT CAST(line AS BIGINT) AS line, b.id, CASE WHEN b.id IS NULL OR json_extract(value, '$.proposed') IS NULL THEN 'bad line' WHEN j.id IS NULL THEN 'unknown job'
-      WHEN content_hash <> json_extract_string(value, '$.content_hash') THEN 'stale source content' {_RULES} {_CONFLICTS}
-      WHEN len(list_filter(json_keys(value, '$.proposed'), lambda k: NOT list_contains({list(exchange.FIELDS)}, k))) > 0 THEN 'unknown field' END AS error
-    FROM b LEFT JOIN j ON j.id = b.id""")
-def enrichment_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exchange.checked(fixtures.proposals(spark), fixtures.stored(spark)).select("line", "id", "error")
-
-
-@query()
-def adapter_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.listings(fixtures.bronze(spark))
-
-
-@query()
-def adapter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads.complete(payloads.listings(fixtures.bronze(spark)), fixtures.stated(spark))
-
-
 @query(f"WITH jobs AS ({JOBS}) SELECT job_id, title, md5(title) AS hash FROM jobs ORDER BY first_seen DESC, job_id DESC LIMIT 200")
 def exchange_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest jobs written as JSON lines and read again."""

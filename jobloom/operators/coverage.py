@@ -7,9 +7,12 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobloom.functions.text import fold
 from jobloom.operators.board import visible
 
 STALE_HOURS, REVIEW_DAYS, FAILING, PER_HOUR, RECHECK_DAYS = 48, 60, 3, 5, 90
+#: What the cards of the page take together.
+BUCKETS = {"covered": ("available", "review", "empty"), "partial": ("partial",), "unavailable": ("unavailable",), "untracked": ("integration", "pending", "not_found")}
 STATES = ["available", "partial", "review", "empty", "unavailable", "not_found", "integration", "pending"]
 
 
@@ -62,6 +65,45 @@ def coverage_status(sources: DataFrame, now: datetime) -> DataFrame:
     return sources.withColumn("state", state)
 
 
+def coverage_rows(organizations: DataFrame, sources: DataFrame, now: datetime) -> DataFrame:
+    """A row for each source of each organization, and one for each organization without any, with its state, counts, address and domain.
+
+    organizations: organization_id, name, website, audit, checked_on, evidence_url, notes; sources: as of coverage_status() and without_superseded(), without an audit of their
+    own. Disabled sources that another active one of their organization replaced do not count twice. Where there is no healthy source, the organization's audit
+    tells the state while it is current; without a source nothing else does.
+    """
+    kept = without_superseded(sources).drop("audit", "checked_on", "evidence_url", "notes")
+    both = organizations.join(kept.withColumn("__there", F.lit(True)), "organization_id", "left")
+    rows = coverage_status(both.withColumn("enabled", F.coalesce("enabled", F.lit(False))), now)
+    address = F.when(F.col("__there"), F.col("url")).otherwise(F.coalesce(F.nullif("website", F.lit("")), "evidence_url"))
+    return rows.select(
+        "organization_id", "name", "source_id", "state", F.coalesce("open_jobs", F.lit(0)).alias("open_jobs"), F.coalesce("review_jobs", F.lit(0)).alias("review_jobs"), address.alias("url"),
+        F.lower(F.try_parse_url(address, F.lit("HOST"))).alias("domain"), audit_current(now).alias("audit_current"),
+    )
+
+
+def coverage_groups(rows: DataFrame, preview: int | None = 5, bucket: str | None = None, search: str = "") -> DataFrame:
+    """rows of coverage_rows() as a page groups them, with `place` in their group, its `total` and how many are `hidden` of it.
+
+    Available sources are in order of their open jobs, others of their organization; the full list shows the first few of each group. A bucket (BUCKETS), a state or a search for
+    words in names chooses rows, and then all are shown; an unknown bucket filters nothing.
+    """
+    chosen = bucket in BUCKETS or bucket in STATES
+    if chosen:
+        rows = rows.where(F.col("state").isin(*BUCKETS.get(bucket, (bucket,))))
+    if search.strip():
+        rows = rows.where(F.contains(fold(F.col("name")), fold(F.lit(search.strip()[:100]))))
+    order = [F.when(F.col("state") == "available", -F.col("open_jobs")).otherwise(0), "organization_id", "source_id"]
+    totals = rows.groupBy("state").agg(F.count(F.lit(1)).alias("total"))
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("state").orderBy(*order)))
+    trimmed = None if chosen or search.strip() else preview
+    if trimmed is not None:
+        # With the limit in the plan, no more than so many rows of a group leave a task.
+        placed = placed.where(F.col("place") <= trimmed)
+    hidden = F.greatest(F.col("total") - F.lit(trimmed), F.lit(0)) if trimmed is not None else F.lit(0).cast("long")
+    return placed.join(F.broadcast(totals), "state").withColumn("hidden", hidden)
+
+
 def state_totals(covered: DataFrame) -> DataFrame:
     """(state, n) for every state, zero-filled."""
     states = covered.sparkSession.createDataFrame([(s,) for s in STATES], "state string")

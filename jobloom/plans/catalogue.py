@@ -122,6 +122,49 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.coverage_status(sources(spark, sf_dir), NOW).select("source_id", "state")
 
 
+REGISTERED = f"""
+    SELECT s_suppkey - 1 AS organization_id, s_name AS name, CASE WHEN s_suppkey % 3 <> 0 THEN 'https://www.org-' || s_suppkey || '.Example.org/x' ELSE '' END AS website, ['', 'not_found', 'integration', 'blocked'][s_suppkey % 4 + 1] AS audit,
+      DATE '{NOW:%Y-%m-%d}' + CASE WHEN s_suppkey % 13 = 0 THEN 1 ELSE CAST(-(s_suppkey % 120) AS INTEGER) END AS checked_on, CASE WHEN s_suppkey % 7 <> 0 THEN 'https://proof.test/' || s_suppkey END AS evidence_url, CASE WHEN s_suppkey % 11 <> 0 THEN 'looked' ELSE '' END AS notes
+    FROM supplier"""
+OF_ORGANIZATIONS = f"SELECT *, source_id // 2 AS organization_id, 'https://s.test/' || source_id AS url, CASE WHEN NOT enabled THEN 'https://s.test/' || (source_id + 1) END AS superseded_by FROM ({SOURCES})"
+COVERAGE = f"""
+    SELECT organization_id, name, source_id, state, coalesce(open_jobs, 0) AS open_jobs, coalesce(review_jobs, 0) AS review_jobs, address AS url, lower(regexp_extract(address, '://([^/]*)', 1)) AS domain, current AS audit_current
+    FROM (SELECT o.*, s.* EXCLUDE (organization_id, audit), CASE WHEN s.source_id IS NULL THEN coalesce(nullif(website, ''), evidence_url) ELSE s.url END AS address,
+        CASE WHEN s.status IN ('blocked', 'failing') OR last_attempt IS NOT NULL AND (last_success IS NULL OR last_attempt > last_success) OR s.enabled AND last_success < TIMESTAMP '{NOW}' - INTERVAL 48 HOUR THEN 'unavailable'
+          WHEN s.enabled AND s.status = 'verified' AND last_success IS NOT NULL THEN CASE WHEN partial THEN 'partial' WHEN open_jobs > 0 THEN 'available' WHEN review_jobs > 0 THEN 'review' ELSE 'empty' END
+          WHEN current AND o.audit = 'blocked' THEN 'unavailable' WHEN current AND o.audit <> '' THEN o.audit ELSE 'pending' END AS state
+      FROM (SELECT *, checked_on BETWEEN DATE '{NOW:%Y-%m-%d}' - 90 AND DATE '{NOW:%Y-%m-%d}' AND evidence_url IS NOT NULL AND notes <> '' AS current FROM ({REGISTERED})) o
+      LEFT JOIN (SELECT * FROM ({OF_ORGANIZATIONS}) a WHERE enabled OR NOT EXISTS (SELECT 1 FROM ({OF_ORGANIZATIONS}) b WHERE b.organization_id = a.organization_id AND b.url = a.superseded_by AND b.enabled AND b.has_adapter)) s
+        ON s.organization_id = o.organization_id)"""
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, day = F.col("s_suppkey"), F.to_date(F.lit(NOW))
+    organizations = table(spark, sf_dir, "supplier").select(
+        (k - 1).alias("organization_id"), F.col("s_name").alias("name"), F.when(k % 3 != 0, F.concat(F.lit("https://www.org-"), k, F.lit(".Example.org/x"))).otherwise("").alias("website"),
+        F.element_at(F.array(*[F.lit(x) for x in ("", "not_found", "integration", "blocked")]), (k % 4 + 1).cast("int")).alias("audit"), F.date_add(day, F.when(k % 13 == 0, 1).otherwise(-(k % 120)).cast("int")).alias("checked_on"),
+        F.when(k % 7 != 0, F.concat(F.lit("https://proof.test/"), k)).alias("evidence_url"), F.when(k % 11 != 0, "looked").otherwise("").alias("notes"),
+    )
+    url = lambda n: F.concat(F.lit("https://s.test/"), n.cast("string"))
+    s = F.col("source_id")
+    found = sources(spark, sf_dir).withColumns({"organization_id": F.expr("source_id div 2"), "url": url(s), "superseded_by": F.when(~F.col("enabled"), url(s + 1))})
+    return coverage.coverage_rows(organizations, found, NOW)
+
+
+@query(COVERAGE)
+def coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every organization's sources, and organizations without any, with what replaced sources and audits say."""
+    return _coverage(spark, sf_dir)
+
+
+@query(f"""SELECT state, organization_id, source_id, place, total, greatest(total - 5, 0) AS hidden FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY state ORDER BY CASE WHEN state = 'available' THEN -open_jobs ELSE 0 END, organization_id, source_id NULLS FIRST) AS INTEGER) AS place, count(*) OVER (PARTITION BY state) AS total FROM ({COVERAGE}))
+    WHERE place <= 5""")
+def coverage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each group as the page shows them."""
+    return coverage.coverage_groups(_coverage(spark, sf_dir)).select("state", "organization_id", "source_id", "place", "total", "hidden")
+
+
 @query(f"SELECT s.state, count(source_id) AS n FROM (VALUES {', '.join(f'({x!r})' for x in coverage.STATES)}) s(state) LEFT JOIN ({COVERED}) c ON s.state = c.state GROUP BY s.state")
 def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.state_totals(coverage.coverage_status(sources(spark, sf_dir), NOW))

@@ -105,6 +105,22 @@ def us_date(text: Column) -> Column:
     return F.try_to_date(F.regexp_extract(text, r"\d{1,2}/\d{1,2}/\d{4}", 0), "M/d/y")
 
 
+#: Months in Spanish.
+SPANISH_MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+
+
+def spanish_date(text: Column) -> Column:
+    """The first date written out in Spanish; null where its month is none or the day does not exist."""
+    part = lambda k: F.regexp_extract(text, r"(?i)(\d{1,2})\s+de\s+(\w+)\s+(?:de|del)?\s*(20\d{2})", k)
+    month = F.array_position(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.lower(part(2)))
+    return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), month.cast("string"), part(1)), "y-M-d"))
+
+
+def worded_date(text: Column) -> Column:
+    """A date with an English month's short name: month first with a comma, or day first with slashes."""
+    return F.coalesce(F.try_to_date(F.trim(text), "MMM d, y"), F.try_to_date(F.trim(text), "d/MMM/y"))
+
+
 def local_day(stamp: Column, turns_at_hour: int) -> Column:
     """The day of a UTC stamp of a portal whose day turns at that hour: earlier hours belong to the day before."""
     return F.when(F.hour(stamp) < turns_at_hour, F.date_sub(F.to_date(stamp), 1)).otherwise(F.to_date(stamp))

@@ -150,11 +150,35 @@ def first_seen_union(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def proven_dates(copies: DataFrame, own: DataFrame) -> DataFrame:
-    """copies with the publication date of the employer's own record of the same requisition, if title and deadline agree; else null."""
-    joined = copies.alias("c").join(own.alias("o"), (F.col("c.requisition") == F.col("o.requisition")) & (F.col("c.title") == F.col("o.title")) & F.col("c.deadline").eqNullSafe(F.col("o.deadline")), "left")
+    """copies with the publication date of the employer's own record of the same requisition; null unless title, deadline and place bear it out.
+
+    copies: job_id, requisition, title, deadline; own: requisition, title, deadline, published_on, located (whether its place is in the country). Titles are compared
+    by their letters and figures; a record without a place that is known to be in the country proves nothing.
+    """
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
+    same = (F.col("c.requisition") == F.col("o.requisition")) & (letters(F.col("c.title")) == letters(F.col("o.title"))) & F.col("c.deadline").eqNullSafe(F.col("o.deadline"))
+    joined = copies.alias("c").join(own.where("located").alias("o"), same, "left")
     return joined.groupBy("c.job_id").agg(F.min("o.published_on").alias("published_on"))
 
 
+def evidence_merged(old: Column, new: Column) -> Column:
+    """Two maps as one: what the new one has counts, nulls too; the rest of the old one stays. A null map is an empty one."""
+    empty = F.create_map().cast("map<string,string>")
+    a, b = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_zip_with(a, b, lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x))
+
+
+def menu_entries(pages: DataFrame) -> DataFrame:
+    """(page_id, title, slug, verification): the entries of directory menus that pages carry in their scripts, once a page; all wait for verification.
+
+    A page without entries has one row of nulls, as its structure has changed then. Quotes in the script may be escaped.
+    """
+    found = F.regexp_extract_all(F.replace("html", F.lit('\\"'), F.lit('"')), F.lit(r'\{"title":"[^"]+","slug":"[^"]+"\}'), F.lit(0))
+    each = pages.select("page_id", F.explode_outer(F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))).alias("e"))
+    part = lambda name: F.get_json_object("e", f"$.{name}").alias(name)
+    return each.select("page_id", part("title"), part("slug"), F.when(F.col("e").isNotNull(), "pending").alias("verification"))
+
+
 def attributed(rows: DataFrame, organizations: DataFrame) -> DataFrame:
     """rows with the employer that an agency code names, or the code itself. organizations: org_id, short_name, name; the first id counts."""
     named = organizations.groupBy(F.lower("short_name").alias("code")).agg(F.min_by("name", "org_id").alias("employer"))

@@ -112,6 +112,13 @@ def adapter_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.complete(payloads.listings(bronze(spark, sf_dir)), stated)
 
 
+@query(f"""SELECT source_id, NOT any_value(broken) AS reachable, CASE WHEN any_value(broken) THEN 0 ELSE count(DISTINCT doc_id) END AS leads, CASE WHEN any_value(broken) THEN 0 ELSE count(DISTINCT doc_id) END AS in_scope
+    FROM ({LISTED}) GROUP BY source_id""")
+def dry_run_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over the listings would find."""
+    return payloads.dry_run(payloads.listings(bronze(spark, sf_dir)), YEAR).drop("error")
+
+
 # --- proposals
 
 

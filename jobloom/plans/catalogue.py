@@ -502,15 +502,16 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a.o_orderkey AS job_id, CAST(min(CASE WHEN a.o_orderpriority = b.o_orderpriority AND b.o_orderstatus <> 'P' THEN CAST(b.o_orderdate AS DATE) END) AS VARCHAR) AS published_on
-    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_custkey % 53 % 9 <> 0 AND a.o_orderdate = b.o_orderdate WHERE a.o_custkey % 53 % 9 = 0 OR a.o_orderstatus = 'P' GROUP BY 1""")
+    FROM orders a LEFT JOIN orders b ON a.o_custkey = b.o_custkey AND b.o_custkey % 53 % 9 <> 0 AND a.o_orderdate = b.o_orderdate AND b.o_orderkey % 4 <> 3 WHERE a.o_custkey % 53 % 9 = 0 OR a.o_orderstatus = 'P' GROUP BY 1""")
 def proven_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of aggregators, and those without a date of their own, against all employers' own records of the customer and day."""
+    """Orders of aggregators, and those without a date of their own, against all employers' own records of the customer and day, as far as their place is known."""
     c = F.col("o_custkey")
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.concat_ws("/", c.cast("string"), F.col("o_orderdate").cast("string")).alias("requisition"), F.col("o_orderpriority").alias("title"),
-        F.lit(None).cast("date").alias("deadline"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("published_on"), (c % 53 % 9 == 0).alias("aggregator"), "o_orderstatus",
+        F.lit(None).cast("date").alias("deadline"), F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")).alias("published_on"), (c % 53 % 9 == 0).alias("aggregator"), "o_orderstatus", (F.col("o_orderkey") % 4 != 3).alias("located"),
     )
-    return registry.proven_dates(o.where("aggregator or o_orderstatus = 'P'"), o.where("not aggregator")).withColumn("published_on", F.col("published_on").cast("string"))
+    copies = o.where("aggregator or o_orderstatus = 'P'").withColumn("title", F.upper(F.replace("title", F.lit("-"), F.lit(" - "))))
+    return registry.proven_dates(copies, o.where("not aggregator")).withColumn("published_on", F.col("published_on").cast("string"))
 
 
 @query("SELECT s_suppkey, coalesce(r_name, 'code ' || CAST(s_suppkey % 7 AS VARCHAR)) AS employer FROM supplier LEFT JOIN region ON s_suppkey % 7 = r_regionkey")
@@ -655,6 +656,43 @@ def portal_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", admission.local_day(F.col("ts"), 12).cast("string").alias("day"), admission.us_date(F.date_format("ts", "M/d/yyyy")).cast("string").alias("us"))
 
 
+@query("SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS spanish, CASE WHEN event_id % 3 <> 2 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS worded FROM events")
+def portal_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as portals write them, read again."""
+    ts, k = F.col("ts"), F.col("event_id")
+    month = F.element_at(F.array(*[F.lit(m) for m in admission.SPANISH_MONTHS]), F.month(ts))
+    spanish = F.concat(F.lit("Sarajevo, "), F.dayofmonth(ts), F.lit(" de "), F.when(k % 2 == 0, F.initcap(month)).otherwise(month), F.when(k % 5 == 0, " del ").otherwise(" de "), F.year(ts))
+    worded = F.when(k % 3 == 0, F.date_format(ts, "MMM d, yyyy")).when(k % 3 == 1, F.date_format(ts, "d/MMM/yyyy")).otherwise("soon")
+    return table(spark, sf_dir, "events").select("event_id", admission.spanish_date(spanish).cast("string").alias("spanish"), admission.worded_date(worded).cast("string").alias("worded"))
+
+
+@query(f"""SELECT job_id, concat_ws('|', CASE WHEN job_id % 5 = 0 THEN 'duplicate_of=' || (job_id + 1) END, 'location=' || upper(city), CASE WHEN job_id % 3 = 0 THEN 'note=' || title END,
+      'review_reason=' || CASE WHEN job_id % 2 = 0 THEN 'new' ELSE 'none' END) AS evidence FROM ({JOBS})""")
+def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of all jobs after a run: what it states replaces what was there, what it does not state stays."""
+    k = F.col("job_id")
+    def pairs(*entries):
+        there = F.filter(F.array(*[F.struct(F.lit(n).alias("k"), v.cast("string").alias("v"), when.alias("there")) for n, v, when in entries]), lambda x: x["there"])
+        return F.map_from_entries(F.transform(there, lambda x: F.struct(x["k"], x["v"])))
+
+    always = F.lit(True)
+    old = pairs(("location", F.col("city"), always), ("review_reason", F.lit("old"), always), ("note", F.col("title"), k % 3 == 0))
+    new = pairs(("location", F.upper("city"), always), ("review_reason", F.when(k % 2 == 0, "new"), always), ("duplicate_of", k + 1, k % 5 == 0))
+    entries = F.array_sort(F.map_entries(registry.evidence_merged(old, new)))
+    return jobs(spark, sf_dir).select("job_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("none")))), "|").alias("evidence"))
+
+
+@query("""WITH e AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="/([^"]+)">', 1))) AS slug FROM pages)
+    SELECT page_id, 'Embassy ' || slug AS title, slug, 'pending' AS verification FROM e WHERE page_id % 4 <> 3
+    UNION ALL SELECT page_id, NULL, NULL, NULL FROM pages WHERE page_id % 4 = 3 OR len(regexp_extract_all(html, '<a href="/([^"]+)">', 1)) = 0""")
+def menu_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus of scripts made of the pages' navigation, with escaped quotes and repeats."""
+    slugs = F.regexp_extract_all("html", F.lit('<a href="/([^"]+)">'), F.lit(1))
+    entries = F.transform(F.concat(slugs, slugs), lambda x: F.concat(F.lit('{\\"title\\":\\"Embassy '), x, F.lit('\\",\\"slug\\":\\"'), x, F.lit('\\"}')))
+    script = F.when(F.col("page_id") % 4 == 3, "<p>moved").otherwise(F.concat(F.lit("<script>push(["), F.array_join(entries, ","), F.lit("])</script>")))
+    return registry.menu_entries(table(spark, sf_dir, "pages").select("page_id", script.alias("html")))
+
+
 # --- display
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import vocabulary as V
 from jobloom.functions.extract import says
-from jobloom.operators.admission import same_host
+from jobloom.operators.admission import in_scope, same_host
 
 MOST_LINKS = 100
 SKIPPED = {"script", "style", "noscript", "nav", "footer"}
@@ -192,6 +192,16 @@ def complete(found: DataFrame, stated: DataFrame) -> DataFrame:
     return stated.join(listed, "source_id", "left").select("source_id", F.coalesce("listed", F.lit(0)).alias("listed"), "total", ok.alias("complete"))
 
 
+def dry_run(found: DataFrame, year: int) -> DataFrame:
+    """(source_id, reachable, leads, in_scope, error) of each source of listings(): what a run would find, without writing anything. One error makes a source fail, and hides no other."""
+    lead = F.col("error").isNull()
+    per = found.groupBy("source_id").agg(
+        F.count_distinct(F.when(lead, F.col("url"))).alias("leads"), F.count_distinct(F.when(lead & in_scope(F.col("url"), year), F.col("url"))).alias("in_scope"), F.min(F.substring("error", 1, 200)).alias("error")
+    )
+    ok = F.col("error").isNull()
+    return per.select("source_id", ok.alias("reachable"), F.when(ok, F.col("leads")).otherwise(0).alias("leads"), F.when(ok, F.col("in_scope")).otherwise(0).alias("in_scope"), "error")
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """(page_id, text) of raw pages."""
 

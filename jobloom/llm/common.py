@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -133,6 +134,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most:
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return to the system what this worker has freed: it lives on between tasks and stages, beside others that need memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node of the undirected edges, root being the smallest node reachable.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes
+from jobloom.llm.common import as_bytes, give_back
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -214,6 +214,11 @@ class Codec:
             part = new[i : i + 20_000]
             self.cache.update(zip(part, self.best_many(part), strict=True))
 
+    def forget(self) -> None:
+        """Empty the cache at a task's end: the worker goes on to other stages, where it would only take memory."""
+        self.cache.clear()
+        give_back()
+
     def encode_many(self, texts: list[bytes]) -> list[np.ndarray]:
         """encode() of texts, a few at a time, so that their new stretches are worked out together."""
         out, i = [], 0
@@ -259,12 +264,16 @@ def encoded(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> Data
     make = codec(docs.sparkSession, path)
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        use, valid = make(), texts.is_valid().to_numpy(zero_copy_only=False)
-        found = use.encode_many(as_bytes(texts))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), flat)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        use = make()
+        try:
+            for texts in batches:
+                valid, found = texts.is_valid().to_numpy(zero_copy_only=False), use.encode_many(as_bytes(texts))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
+                yield pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)), flat)
+        finally:
+            use.forget()
 
     return docs.withColumn("ids", encode(F.col(text)))
 

@@ -18,6 +18,17 @@ def changed_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("hash", digest).withColumn("before", F.lag("hash").over(order)).where(~F.col("hash").eqNullSafe(F.col("before"))).drop("before")
 
 
+def to_store(found: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(page_id, scan, text, hash) of what a scan found and its page's latest snapshot does not hold yet: a snapshot is kept per change, not per scan.
+
+    found, snapshots: page_id, scan, text. The latest hash is looked up by a maximum that is taken before the shuffle; a page without
+    snapshots is stored; a null text counts as an empty one.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    latest = snapshots.groupBy("page_id").agg(F.max_by(digest, "scan").alias("latest"))
+    return found.withColumn("hash", digest).join(latest, "page_id", "left").where(~F.col("hash").eqNullSafe(F.col("latest"))).select("page_id", "scan", "text", "hash")
+
+
 def last_two(snapshots: DataFrame) -> DataFrame:
     """The last two texts of each page, newest first, and the words that came and went."""
     order = Window.partitionBy("page_id").orderBy(F.desc("scan"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.operators import revisions
+from jobloom.operators import lifecycle, revisions
 from jobloom.plans.registered import query
 from jobloom.plans.standins import JOBS, jobs, table
 from jobloom.operators.dedup import _shared
@@ -53,6 +53,20 @@ def revision_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.hunks(revisions.with_edits(revisions.last_two(talks(spark, sf_dir))))
 
 
+@query(f"""
+    WITH t AS ({TALKS}), l AS (SELECT page_id, arg_max(text, scan) AS text FROM t GROUP BY page_id),
+    f AS (SELECT page_id, 9999 AS scan, CASE page_id % 3 WHEN 0 THEN text WHEN 1 THEN text || ' More.' END AS text FROM l UNION ALL SELECT DISTINCT -conv_id - 1, 9999, 'first' FROM conversations)
+    SELECT f.page_id, CAST(f.scan AS BIGINT) AS scan, sha256(coalesce(f.text, '')) AS hash FROM f LEFT JOIN l USING (page_id) WHERE l.page_id IS NULL OR coalesce(f.text, '') <> l.text""")
+def snapshots_to_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of all pages, of which some changed, some are empty now and some are new."""
+    old = talks(spark, sf_dir)
+    last = old.groupBy("page_id").agg(F.max_by("text", "scan").alias("text"))
+    text = F.when(F.col("page_id") % 3 == 0, F.col("text")).when(F.col("page_id") % 3 == 1, F.concat("text", F.lit(" More.")))
+    new = table(spark, sf_dir, "conversations").select((-F.col("conv_id") - 1).alias("page_id"), F.lit("first").alias("text")).distinct()
+    found = last.select("page_id", text.alias("text")).unionByName(new).withColumn("scan", F.lit(9999).cast("long"))
+    return lifecycle.to_store(found, old).select("page_id", "scan", "hash")
+
+
 # --- sections
 
 LANGUAGES = ("de", "en", "es", "fr")

@@ -2,7 +2,7 @@
 
 import random
 
-from jobloom.operators import revisions
+from jobloom.operators import lifecycle, revisions
 
 
 def lcs(a, b):
@@ -60,3 +60,10 @@ def test_pages(spark):
     seen = revisions.shown(found).where("page_id = 6").collect()
     assert len(seen) == 60 and max(len(r.text) for r in seen) == 600
     assert revisions.counted(compared.where("false")).collect() == []
+
+
+def test_only_changes_are_stored(spark):
+    schema = "page_id long, scan long, text string"
+    old = spark.createDataFrame([(1, 1, "A"), (1, 2, "B"), (2, 1, "A"), (3, 1, None)], schema)
+    found = spark.createDataFrame([(1, 3, "A"), (2, 2, "A"), (3, 2, ""), (4, 1, None)], schema)
+    assert sorted((r.page_id, r.text) for r in lifecycle.to_store(found, old).collect()) == [(1, "A"), (4, None)]

@@ -38,7 +38,7 @@ def unique(jobs: DataFrame, shown: Column) -> DataFrame:
     on = dedup._cut(rows.where("shown").select("job_id", "first_seen", "deadline", *IDENTITY, *[c for c in dedup.ADDRESSES if c in jobs.columns]))
     blocked = dedup.copies_of_official(on, rows.where("not shown"))
     keys = dedup._cut(dedup.identity_keys(on))
-    winners = dedup._cut(dedup.winners(on, dedup.same_vacancy(keys), blocked))
+    winners = dedup._cut(dedup.shown(on, keys, blocked))
     for df in (on, blocked, keys):
         dedup._drop(df)
     return found.join(winners, "job_id", "left_semi")

@@ -1,6 +1,6 @@
 """Lifecycle, coverage, identity, ranking, exchange and payload operators against stated cases."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +112,53 @@ def test_same_vacancy(spark, right, same):
     assert [(r.a, r.b) for r in got] == ([(1, 2)] if same else [])
 
 
+def many_vacancies():
+    """Jobs of few keys, days and sources, some without a day, so that many match by one key or by several."""
+    import random
+
+    rng = random.Random(11)
+    days = [None, *[DAY + timedelta(days=k) for k in (0, 1, 44, 45, 46, 90, 91, 200)]]
+    urls = ["", "", "https://e.test/job/1", "https://e.test/job/2"]
+    rows = [(i, rng.randint(1, 4), rng.choice(days), rng.choice(urls), rng.choice(urls), rng.choice("EF"), "City", OPEN if rng.random() < 0.8 else None, rng.choice("TU")) for i in range(160)]
+    return [(*r, r[1] > 2, r[2] or DAY) for r in rows]
+
+
+MANY = "job_id long, source_id long, published_on date, canonical_url string, application_url string, employer string, city string, deadline date, title string, aggregator boolean, first_seen date"
+
+
+def test_links_and_winners_equal_those_of_all_pairs(spark):
+    jobs = spark.createDataFrame(many_vacancies(), MANY)
+    keys = dedup.identity_keys(jobs).localCheckpoint()
+    pairs = dedup.same_vacancy(keys).localCheckpoint()
+    both = [(r.a, r.b) for r in pairs.collect()]
+    links = {r.job_id: 0 for r in jobs.collect()}
+    for pair in both:
+        for i in pair:
+            links[i] += 1
+    got = dedup.vacancy_links(jobs, keys).collect()
+    assert {r.job_id: r.links for r in got} == links and max(links.values()) > 40
+    near = {i: {b if a == i else a for a, b in both if i in (a, b)} for i in links}
+    of = {r.job_id: r.class_id for r in got}
+    assert len(set(of.values())) < len(of) and all(c <= i and near[c] == near[i] and of[c] == c for i, c in of.items())
+    blocked = spark.createDataFrame([(3,), (10,)], "job_id long")
+    for left_out in (None, blocked):
+        assert sorted(r.job_id for r in dedup.shown(jobs, keys, left_out).collect()) == sorted(r.job_id for r in dedup.winners(jobs, pairs, left_out).collect())
+    kind = {r.job_id: r.aggregator for r in jobs.collect()}
+    want = {i: min(k for k in near[i] if not kind[k]) for i in links if kind[i] and any(not kind[k] for k in near[i])}
+    assert {r.job_id: r.duplicate_of for r in dedup.official_duplicates(jobs, keys).collect()} == want
+    assert {r.job_id: r.duplicate_of for r in dedup.copies_of_official(jobs).collect()} == want
+
+
+def test_no_pairs_are_made(spark):
+    """Two hundred copies of one vacancy and day: no join of theirs makes more rows than there are jobs."""
+    rows = [(i, i % 4, DAY, "", "", "E", "City", OPEN, "T", i % 4 > 1, DAY) for i in range(200)]
+    keys = dedup.identity_keys(spark.createDataFrame(rows, MANY))
+    offered = keys.withColumnRenamed("job_id", "v")
+    assert dedup.best_matches(keys, offered).count() == 4
+    got = dedup.vacancy_links(spark.createDataFrame(rows, MANY), keys).collect()
+    assert {r.links for r in got} == {150} and {r.class_id for r in got} == {0, 1, 2, 3}
+
+
 def test_streaks_and_waits(spark):
     rows = [(k, 1, datetime(2026, 1, 1, k), s) for k, s in enumerate([True, False, False, True, False])] + [(9, 2, datetime(2026, 1, 1), False)]
     runs = spark.createDataFrame(rows, "run_id long, source_id long, started_at timestamp_ntz, success boolean")

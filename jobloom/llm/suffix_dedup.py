@@ -331,7 +331,9 @@ def compare_by_hash(segments: DataFrame) -> DataFrame:
     open_ = meet(kinds, mixed, ["t", "u"], ["d", "k", "p"], "among").select("m", "c", "d", "k", "p", "n", "bytes").repartition("d", "k", "p")
     single = strings(open_)
     twice = cut(single.groupBy("x", "y").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "strings")
-    found = meet(single.where("c = 1 and m = 1"), twice, ["x", "y"], ["d", "k", "start"], "seen")
+    # Most strings of near copies are their own: those that cannot be among the repeated ones stay out of the join.
+    maybe = maybe_among(single.where("c = 1 and m = 1"), twice, ("x", "y")).where("maybe").drop("maybe")
+    found = meet(maybe, twice, ["x", "y"], ["d", "k", "start"], "seen")
     return whole.unionByName(found.select("d", "k", "start", (F.col("start") + LENGTH).alias("end")))
 
 

@@ -10,70 +10,51 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.operators.lifecycle import MISSES, STALE_PUBLISHED, STALE_REVIEW
 
 KEPT_DAYS, DAY = 90, 86_400_000_000
 #: What is known of a listing, times in microseconds: first sighting, last sign of being fresh, misses in a row, when closed and why.
 LIFE = "first long, fresh long, misses int, closed long, reason string, status string, deadline long"
-SIGHTING = "at long, seq long, seen boolean, reviewed boolean, status string, deadline long"
+SIGHTING = "at: long, seq: long, seen: boolean, reviewed: boolean, status: string, deadline: long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Lives(StatefulProcessor):
+class Lives:
     """Holds sightings until the watermark has passed them, so that they count in the order of their times whatever order they come in."""
 
     def __init__(self, published_days: int, review_days: int, misses: int, kept_days: int):
         self.stale = {"published": published_days * DAY, "review": review_days * DAY}
         self.misses, self.kept = misses, kept_days * DAY
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.life = handle.getValueState("life", LIFE)
-        self.waiting = handle.getListState("waiting", SIGHTING)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [
-            (int(at), int(seq), bool(seen), bool(reviewed), str(status), None if pd.isna(deadline) else int(deadline))
-            for chunk in rows
-            for at, seq, seen, reviewed, status, deadline in chunk[["at_us", "seq", "seen", "reviewed", "status", "deadline"]].itertuples(index=False)
-        ]
-        if new:
-            self.waiting.appendList(new)
-            self.wake(min(r[0] for r in new))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+    def turn(self, key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """What new sightings or a timer bring to one listing. Its state comes and goes with the rows, many listings at a time."""
+        *known, waiting = state.get if state.exists else (None, [])
+        life = list(known) if known[0] is not None else None
+        rows = [tuple(r) for r in waiting]
+        for chunk in chunks:
+            for text in chunk["sighting"].tolist():
+                at, seq, seen, reviewed, deadline, status = text.split(",", 5)
+                rows.append((int(at), int(seq), seen == "true", reviewed == "true", status, int(deadline) if deadline else None))
+        now = state.getCurrentWatermarkMs()
+        until, out = now * 1000, []
         due, rest = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
-        life = list(self.life.get()) if self.life.exists() else None
-        out = []
-        for r in due:
+        for r in sorted(due, key=lambda r: (*r[:5], r[5] is None, r[5] or 0)):
             life = self.passed(life, r[0] + 1, out)
             life = self.sighted(life, r, out)
         life = self.passed(life, until, out)
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        self.life.update(tuple(life)) if life else self.life.clear()
-        ends = [e for e in ([r[0] for r in rest[:1]] + ([self.end(life)[0]] if life else [])) if e is not None]
-        if ends:
-            self.wake(min(ends), after=expiredTimerInfo.getExpiryTimeInMs())
+        if life or rest:
+            state.update((*(life or [None] * 7), rest))
+            ends = [e for e in (min((r[0] for r in rest), default=None), self.end(life)[0] if life else None) if e is not None]
+            if ends:
+                # It goes off when the watermark is past its millisecond, and has to be later than the watermark is.
+                state.setTimeoutTimestamp(max(min(ends) // 1000, now + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame({"job_id": [key[0]] * len(out), "at_us": [at for at, _ in out], "reason": [reason for _, reason in out]})
 
-    def close(self) -> None:
-        pass
-
-    def wake(self, at: int, after: int = -1) -> None:
-        """One timer a key: the earliest time at which something may happen. The one that is being handled is still listed, and does not count."""
-        timer, known = at // 1000 + 1, [t for t in self.handle.listTimers() if t > after]
-        if not known or timer < min(known):
-            for t in known:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(timer)
-
     def end(self, life: list) -> tuple[int | None, str]:
         """When a listing ends by itself, and why: forgotten if it is closed, else past its deadline or, without one, stale."""
         first, fresh, _, closed, _, status, deadline = life
@@ -116,14 +97,16 @@ def endings(
     """(job_id, at, reason) of each listing that ends, as soon as the watermark is past it: missing, deadline, stale, and in the end forgotten.
 
     sightings, a stream: job_id, at, seq (order at one time), seen, reviewed, status, deadline. Sightings later than `late` are left
-    out, as are those without a job or a time. State needs Spark's RocksDB store; run_available sets it.
+    out, as are those without a job or a time. A listing's state is one row, with the sightings that wait: it is rewritten when any come.
+    run_available keeps state in Spark's RocksDB store.
     """
-    rows = sightings.where("job_id is not null and at is not null").select(
-        "job_id", "at", F.unix_micros("at").alias("at_us"), "seq", "seen", F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.coalesce("status", F.lit("")).alias("status"),
-        F.unix_date("deadline").cast("long").alias("deadline"),
-    )
-    made = rows.withWatermark("at", late).groupBy("job_id").transformWithStateInPandas(
-        Lives(published_days, review_days, misses, kept_days), "job_id long, at_us long, reason string", "append", "eventtime"
+    none = lambda c, x: F.coalesce(F.col(c).cast("string"), F.lit(x))
+    # One text a sighting: each column would be turned into a pandas one for each listing, which takes longer than all else.
+    fields = [F.unix_micros("at"), none("seq", "0"), none("seen", "false"), none("reviewed", "false"), F.coalesce(F.unix_date("deadline").cast("string"), F.lit("")), none("status", "")]
+    rows = sightings.where("job_id is not null and at is not null").select("job_id", "at", F.concat_ws(",", *fields).alias("sighting"))
+    lives = Lives(published_days, review_days, misses, kept_days)
+    made = rows.withWatermark("at", late).groupBy("job_id").applyInPandasWithState(
+        lives.turn, "job_id long, at_us long, reason string", f"{LIFE}, waiting array<struct<{SIGHTING}>>", "append", GroupStateTimeout.EventTimeTimeout
     )
     return made.select("job_id", F.timestamp_micros("at_us").alias("at"), "reason")
 

@@ -78,3 +78,10 @@ def test_stale_as_the_batch_rule(spark, tmp_path):
     assert not got[0]
     later = run(spark, tmp_path, [[clock(moment + 90)]], "90 days", kept_days=1000)[0]
     assert {(j, reason) for j, _, reason in later} == want
+
+
+def test_alike_but_for_a_deadline(spark, tmp_path):
+    """Two sightings of one moment that differ in a null only have an order, the one without a deadline being the later; a status may hold commas, and a missing order counts as none."""
+    rows = [(1, day(0), 1, True, False, "published", None), (1, day(0), 1, True, False, "published", date(2026, 1, 5)), (2, day(0), None, True, None, "other, status", date(2026, 1, 5))]
+    got = set().union(*run(spark, tmp_path, [rows, [clock(9)], [clock(10)], [clock(45)], [clock(46)]]))
+    assert got == {(1, day(30), "stale"), (2, datetime(2026, 1, 6), "deadline")}

@@ -39,7 +39,8 @@ def followed(pages: DataFrame, starts: DataFrame, most_pages: int = MOST_PAGES,
     )
     done = []
     for _ in range(most_pages):
-        step = front.join(known, ["source_id", "url"], "left").withColumn("before", F.size("links"))
+        # The files of known pages are small for what they hold: without the hint, all of it went through the driver in each round.
+        step = front.join(known.hint("merge"), ["source_id", "url"], "left").withColumn("before", F.size("links"))
         items = F.coalesce(F.col("page.items"), nothing)
         step = step.withColumns({"links": F.array_union("links", items), "pages": F.col("pages") + 1, "seen": F.array_append("seen", F.col("url")), "next": F.col("page.next_url"), "said": F.col("page.total").cast("long")})
         n, later = F.size("links"), F.col("pages") > 1

@@ -74,3 +74,12 @@ def test_more_pages_than_may_be(spark):
     rows = [(1, f"https://a.org/j/{k}" if k else "https://a.org/j", f"https://a.org/j/{k + 1}", None, [f"x{k}"], False) for k in range(30)]
     got = paging.followed(spark.createDataFrame(rows, PAGE), spark.createDataFrame([(1, "https://a.org/j")], "source_id long, url string")).first()
     assert (got.pages, got.error, got.links) == (10, "too many pages", [])
+
+
+def test_pages_do_not_pass_the_driver(spark, monkeypatch):
+    plans, cut = [], paging._cut
+    monkeypatch.setattr(paging, "_cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [(1, f"https://a.org/j/{k}" if k else "https://a.org/j", f"https://a.org/j/{k + 1}" if k < 2 else None, None, [f"x{k}"], False) for k in range(3)]
+    got = paging.followed(spark.createDataFrame(rows, PAGE), spark.createDataFrame([(1, "https://a.org/j")], "source_id long, url string")).first()
+    assert (got.pages, got.end, len(got.links)) == (3, "last page", 3)
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)

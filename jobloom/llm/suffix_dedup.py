@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column
+from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column, tidied
 
 LENGTH, GRAM = 200, 40
 WINDOW = LENGTH - GRAM + 1
@@ -114,7 +114,7 @@ def all_anchors(rows: DataFrame) -> DataFrame:
                     ["d", "k", "a", "s", "p", "n"],
                 )
 
-    return rows.select("d", "k", "text").mapInArrow(each, "d long, k long, a long, s long, p long, n int")
+    return rows.select("d", "k", "text").mapInArrow(tidied(each), "d long, k long, a long, s long, p long, n int")
 
 
 def suffix_array(text: bytes) -> np.ndarray:
@@ -133,10 +133,14 @@ def suffix_array(text: bytes) -> np.ndarray:
     rises[:-1] = t[turn[:-1]] < t[turn[:-1] + 1]
     direct = np.repeat(rises, np.diff(np.concatenate([[-1], turn])))
     starts = np.flatnonzero(direct)
-    keys = [text[i : i + DEPTH] for i in starts.tolist()]
-    starts = starts[sorted(range(len(keys)), key=keys.__getitem__)]
     first = t[starts]
-    edges = np.searchsorted(first, np.arange(257))
+    starts = starts[np.argsort(first, kind="stable")]
+    edges = np.searchsorted(np.sort(first), np.arange(257))
+    # A bucket after the other: the keys of all suffixes would take more than two hundred times the text.
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if b - a > 1:
+            keys = [text[i : i + DEPTH] for i in starts[a:b].tolist()]
+            starts[a:b] = starts[a:b][sorted(range(len(keys)), key=keys.__getitem__)]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     if not direct[n - 1]:
         waiting[t[n - 1]].append(np.array([n - 1]))
@@ -242,7 +246,7 @@ def compare(segments: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return segments.repartition("a").sortWithinPartitions("a", "s").mapInArrow(each, SPAN)
+    return segments.repartition("a").sortWithinPartitions("a", "s").mapInArrow(tidied(each), SPAN)
 
 
 def least_places(gram: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -297,7 +301,7 @@ def runs(segments: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 8 + [pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), z) for c, z in zip(columns, kinds, strict=True)], [c.split()[0] for c in RUN.split(", ")])
 
-    return segments.mapInArrow(each, RUN)
+    return segments.mapInArrow(tidied(each), RUN)
 
 
 def strings(kinds: DataFrame) -> DataFrame:
@@ -312,7 +316,7 @@ def strings(kinds: DataFrame) -> DataFrame:
                 same = [pa.array(np.full(len(at), r[v], np.int64)) for v in ("m", "c", "d", "k")]
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *same, pa.array(at + r["p"])], ["x", "y", "m", "c", "d", "k", "start"])
 
-    return kinds.mapInArrow(each, "x long, y long, m long, c long, d long, k long, start long")
+    return kinds.mapInArrow(tidied(each), "x long, y long, m long, c long, d long, k long, start long")
 
 
 def compare_by_hash(segments: DataFrame) -> DataFrame:
@@ -353,7 +357,7 @@ def with_bytes(rows: DataFrame, segments: DataFrame) -> DataFrame:
                     ["a", "s", "c", "d", "k", "p", "n", "bytes"],
                 )
 
-    return texts.mapInArrow(each, SEGMENT)
+    return texts.mapInArrow(tidied(each), SEGMENT)
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -413,7 +417,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 kept.append(b"".join([*left, t[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(runs, run), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    changed = touched.mapInArrow(each, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    changed = touched.mapInArrow(tidied(each), f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     same = split.where("not maybe").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),

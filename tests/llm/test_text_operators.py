@@ -370,3 +370,22 @@ def test_long_stretches_are_read_as_a_whole(monkeypatch):
         for piece in (1, 7, 64, 512):
             monkeypatch.setattr(toxicity, "PIECE", piece)
             assert toxicity.decode(token, model) == whole
+
+
+def test_suffixes_are_sorted_in_bounded_memory():
+    """What is held while suffixes are sorted is less than 130 times the text, whose order is that of its suffixes."""
+    import random
+    import tracemalloc
+
+    from jobloom.llm.suffix_dedup import DEPTH, suffix_array
+
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"etaoinshrdlu", k=rng.randrange(1, 9))) for _ in range(2000)]
+    text = b" ".join(rng.choice(words) for _ in range(40_000))[: 1 << 17]
+    tracemalloc.start()
+    order = suffix_array(text).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys = [text[i : i + DEPTH] for i in order]
+    assert sorted(order) == list(range(len(text))) and all(a <= b for a, b in zip(keys, keys[1:], strict=False))
+    assert peak < 130 * len(text)

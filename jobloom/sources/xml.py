@@ -68,14 +68,17 @@ def feed_items(bronze: DataFrame) -> DataFrame:
     complete: the feed says itself that it holds all there is. An entry's link is the one that is no other kind of link, or its only
     one. An entry without title or link is an error, as the feed has changed then. bronze: source_id, url, payload.
     """
-    read = bronze.withColumns({"r": F.from_xml("payload", RSS, OPTIONS), "a": F.from_xml("payload", ATOM, OPTIONS)})
     rss, atom = rooted(F.col("payload"), "rss"), rooted(F.col("payload"), "feed")
+    # Each document is read once, as the one or the other.
+    read = bronze.withColumns({"r": F.from_xml(F.when(rss, F.col("payload")), RSS, OPTIONS), "a": F.from_xml(F.when(~rss, F.col("payload")), ATOM, OPTIONS)})
     link = lambda x: F.trim(F.coalesce(F.get(F.filter(x["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(F.filter(x["link"], lambda k: k["_VALUE"].isNotNull()), F.lit(0))["_VALUE"]))
     day = lambda x: F.try_to_date(F.substring(F.trim(x), 1, 10))
     of_rss = F.transform("r.channel.item", lambda x: F.struct(link(x).alias("url"), F.trim(x["title"]).alias("title"), F.coalesce(x["encoded"], x["description"]).alias("body"), mail_date(x["pubDate"]).alias("published")))
     of_atom = F.transform("a.entry", lambda x: F.struct(link(x).alias("url"), F.trim(x["title"]["_VALUE"]).alias("title"), F.coalesce(x["content"]["_VALUE"], x["summary"]["_VALUE"]).alias("body"), F.coalesce(day(x["published"]), day(x["updated"])).alias("published")))
     broken = F.when(~rss & ~atom, "no feed").when(F.coalesce(F.when(rss, F.col("r.bad")), F.when(atom, F.col("a.bad"))).isNotNull(), "broken XML")
     whole = F.when(rss, F.col("r.channel.complete").isNotNull() | F.col("payload").rlike(r"<([\w.-]+:)?complete\s*/>")).otherwise(F.col("a.complete").isNotNull() | F.col("payload").rlike(r"<([\w.-]+:)?complete\s*/>"))
-    each = read.select("source_id", F.col("url").alias("page"), F.coalesce(whole, F.lit(False)).alias("complete"), broken.alias("broken"), F.posexplode_outer(F.when(broken.isNull(), F.when(rss, of_rss).otherwise(of_atom))).alias("n", "e"))
+    # What holds for a feed is found before its entries are dealt out, or the whole document would be searched for each of them.
+    whole_feed = read.select("source_id", F.col("url").alias("page"), F.coalesce(whole, F.lit(False)).alias("complete"), broken.alias("broken"), F.when(broken.isNull(), F.when(rss, of_rss).otherwise(of_atom)).alias("entries"))
+    each = whole_feed.select("source_id", "page", "complete", "broken", F.posexplode_outer("entries").alias("n", "e"))
     lacks = F.when(F.col("e").isNotNull() & (F.coalesce("e.url", F.lit("")) == ""), "entry without link").when(F.col("e").isNotNull() & (F.coalesce("e.title", F.lit("")) == ""), "entry without title")
     return each.where("broken is not null or e is not null").select("source_id", "page", "n", "e.url", "e.title", F.coalesce("e.body", F.lit("")).alias("body"), "e.published", "complete", F.coalesce("broken", lacks).alias("error"))

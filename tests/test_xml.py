@@ -61,3 +61,10 @@ def test_feeds(spark):
         (2, "https://x.org/1", "One", "s", "2026-02-03", True, None), (2, "https://x.org/2", "Two", "", "2026-01-01", True, None),
         (3, None, None, "", "None", False, "no feed"), (4, None, None, "", "None", False, "no feed"), (6, None, None, "", "None", False, "broken XML"),
     ]
+
+
+def test_feeds_are_not_searched_for_each_entry(spark):
+    """Nothing above the step that deals out entries looks at a document."""
+    bronze = spark.createDataFrame([(1, "u", "<rss><channel/></rss>")], "source_id long, url string, payload string")
+    plan = xml.feed_items(bronze)._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload" not in plan[: plan.index("Generate")]

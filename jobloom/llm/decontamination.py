@@ -1,23 +1,23 @@
 """Benchmark decontamination by a distributed positional index (operator 7).
 
 Of each 13-word window of a benchmark item the term that is rarest in the documents is its anchor. Only anchors
-are indexed: a posting is a document, a position and the words around it. Postings meet the anchors of their term,
-offsets are lined up, and the lists around both are intersected outwards from the anchor. For nearness a window has as
-many anchors, its rarest terms that occur, that NEAR_PERCENT of its terms cannot stand anywhere without one of them.
+are indexed: a posting is a document, a position and the benchmark's terms around it, stored where enough of these stand
+around the term in an item too. Postings meet the anchors of their term, offsets are lined up, and the lists
+around both are intersected outwards from the anchor. For nearness a window has as many anchors, its rarest terms that
+occur, that NEAR_PERCENT of its terms cannot stand anywhere without one of them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import WORD_OR_SPACE, as_bytes, cut, small_batches, text_column
+from jobloom.llm.common import WORD_OR_SPACE, as_bytes, cut, small_batches, text_column, tidied
 
 WINDOW, NEAR_PERCENT, SHARE = 13, 75, 20
 SIDE = WINDOW - 1
@@ -27,19 +27,22 @@ BLOCK_BYTES = 16 << 20
 BROADCAST_ROWS = 100_000
 #: Postings of one term that one task may get where the anchors are joined by shuffle.
 POSTINGS = 1_000_000
-#: Bytes of text whose postings are made together; words that a worker's cache of terms holds before it is emptied.
-POSTING_BYTES, CACHE = 4 << 20, 200_000
-#: Stands for what lies outside a document and outside an item: never equal.
-OUTSIDE_DOC, OUTSIDE_ITEM = 0, 1
+#: Bytes of text whose postings are made together, and postings whose surroundings are looked at together.
+POSTING_BYTES, TOGETHER = 4 << 20, 1 << 14
+#: Bits of the filter of terms that stand around an anchor's term, as a power of two, and what a pair's place in it follows from.
+PAIR_BITS, PAIR = 24, (0x9E3779B1, 0x85EBCA6B)
+#: Stands for what is no term of the benchmark or lies outside a document, and for what lies outside an item: never equal. Terms follow.
+NO_TERM, OUTSIDE_ITEM = 0, 1
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_OR_SPACE).split()
 
 
-def term(word: bytes) -> int:
-    x = xxhash.xxh64_intdigest(word)
-    return x - (1 << 64) if x >> 63 else x
+def terms_of(text: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The terms of a text's words; NO_TERM for words that are none of the vocabulary."""
+    words = words_of(text)
+    return np.fromiter(map(vocabulary.get, words, repeat(NO_TERM)), np.int32, len(words))
 
 
 def item_words(bench: DataFrame, item: str, text: str) -> DataFrame:
@@ -55,38 +58,41 @@ def item_words(bench: DataFrame, item: str, text: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    """(word, n): how often each word of the broadcast vocabulary stands in docs.text."""
+    """(term, n): how often each term of the broadcast vocabulary stands in docs.text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, found = vocabulary.value, Counter()
+        known = vocabulary.value
+        found = np.zeros(len(known) + OUTSIDE_ITEM + 1, np.int64)
         for batch in small_batches(batches, most=POSTING_BYTES):
-            for t in as_bytes(batch.column(0)):
-                found.update(filter(known.__contains__, words_of(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            at = [terms_of(t, known) for t in as_bytes(batch.column(0))]
+            found += np.bincount(np.concatenate(at), minlength=len(found))
+        found[NO_TERM] = 0
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(found[seen])], ["term", "n"])
 
-    return docs.select("text").mapInArrow(each, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(each), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def anchors_of(words: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, int, int, int, int, list[int]]]:
-    """(word, position, first and last window start, window's length, surrounding terms) of an item's anchors."""
+def anchors_of(words: list[bytes], terms: list[int], counts: list[int]) -> Iterator[tuple[int, int, int, int, int, list[int]]]:
+    """(term, position, first and last window start, window's length, surrounding terms) of an item's anchors."""
     n, size = len(words), min(WINDOW, len(words))
     if not n:
         return
-    terms = [OUTSIDE_ITEM] * SIDE + [term(w) for w in words] + [OUTSIDE_ITEM] * SIDE
+    around = [OUTSIDE_ITEM] * SIDE + terms + [OUTSIDE_ITEM] * SIDE
     ranked = list(zip(counts, words, range(n), strict=True))
     start = 0
     least = [min(ranked[s : s + size])[2] for s in range(n - size + 1)]
     for s in range(1, len(least) + 1):
         if s == len(least) or least[s] != least[start]:
             q = least[start]
-            yield words[q], q, start, s - 1, size, terms[q : q + WINDOW + SIDE]
+            yield terms[q], q, start, s - 1, size, around[q : q + WINDOW + SIDE]
             start = s
 
 
-def near_anchors_of(words: list[bytes], counts: list[int]) -> Iterator[tuple[bytes, int, int, int, int, list[int], int]]:
-    """(word, position, first and last window start, window's length, surrounding terms, least terms needed) of an item's anchors for nearness."""
+def near_anchors_of(words: list[bytes], terms: list[int], counts: list[int]) -> Iterator[tuple[int, int, int, int, int, list[int], int]]:
+    """(term, position, first and last window start, window's length, surrounding terms, least terms needed) of an item's anchors for nearness."""
     n, size = len(words), min(WINDOW, len(words))
-    terms = [OUTSIDE_ITEM] * SIDE + [term(w) for w in words] + [OUTSIDE_ITEM] * SIDE
+    around = [OUTSIDE_ITEM] * SIDE + terms + [OUTSIDE_ITEM] * SIDE
     found: dict[int, list[tuple[int, int]]] = {}
     for s in range(n - size + 1 if n else 0):
         known = dict(zip(words[s : s + size], counts[s : s + size], strict=True))
@@ -98,69 +104,94 @@ def near_anchors_of(words: list[bytes], counts: list[int]) -> Iterator[tuple[byt
         start = 0
         for k in range(1, len(at) + 1):
             if k == len(at) or at[k][0] != at[k - 1][0] + 1:
-                yield words[q], q, at[start][0], at[k - 1][0], size, terms[q : q + WINDOW + SIDE], min(x for _, x in at[start:k])
+                yield terms[q], q, at[start][0], at[k - 1][0], size, around[q : q + WINDOW + SIDE], min(x for _, x in at[start:k])
                 start = k
 
 
-def item_anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, word, item_id, q, s0, s1, size, around, needed) of all items' anchors; needed is null for those of exact matches."""
+def item_anchors(items: DataFrame, counts: DataFrame, vocabulary) -> DataFrame:
+    """(item_id, term, q, s0, s1, size, around, needed) of all items' anchors; needed is null for those of exact matches."""
     kind = items.schema["item_id"].dataType.simpleString()
-    keyed = items.withColumn("row", F.monotonically_increasing_id())
-    spread = keyed.select("row", "item_id", F.posexplode("words").alias("pos", "word")).join(counts, "word", "left")
-    gathered = spread.groupBy("row", "item_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", F.coalesce("n", F.lit(0)).alias("n")))).alias("at"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(map(vocabulary.value.__getitem__, words)) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], ["row", "item_id", "words", "terms"])
+
+    keyed = items.select(F.monotonically_increasing_id().alias("row"), "item_id", "words")
+    keyed = keyed.mapInArrow(named, f"row long, item_id {kind}, words array<binary>, terms array<int>")
+    spread = keyed.select("row", "item_id", F.posexplode(F.arrays_zip("words", "terms")).alias("pos", "w"))
+    spread = spread.select("row", "item_id", "pos", F.col("w.words").alias("word"), F.col("w.terms").alias("term")).join(counts, "term", "left")
+    at = F.struct("pos", "word", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    gathered = spread.groupBy("row", "item_id").agg(F.sort_array(F.collect_list(at)).alias("at"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for item, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, n = [x["word"] for x in at], [x["n"] for x in at]
-                out += [(item, term(a[0]), *a, None) for a in anchors_of(words, n)] + [(item, term(a[0]), *a) for a in near_anchors_of(words, n)]
-            columns = list(zip(*out, strict=True)) or [[]] * 9
+                words, terms, n = ([x[name] for x in at] for name in ("word", "term", "n"))
+                out += [(item, *a, None) for a in anchors_of(words, terms, n)] + [(item, *a) for a in near_anchors_of(words, terms, n)]
+            columns = list(zip(*out, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (batch.column(0).type, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32()), strict=True)],
-                ["item_id", "term", "word", "q", "s0", "s1", "size", "around", "needed"],
+                [pa.array(list(c), t) for c, t in zip(columns, (batch.column(0).type, *[pa.int32()] * 5, pa.list_(pa.int32()), pa.int32()), strict=True)],
+                ["item_id", "term", "q", "s0", "s1", "size", "around", "needed"],
             )
 
-    return gathered.select("item_id", "at").mapInArrow(
-        each, f"item_id {kind}, term long, word binary, q int, s0 int, s1 int, size int, around array<long>, needed int"
-    )
+    return gathered.select("item_id", "at").mapInArrow(each, f"item_id {kind}, term int, q int, s0 int, s1 int, size int, around array<int>, needed int")
 
 
-class Terms(dict):
-    """Word to its term, made when first asked for."""
+def pair_place(term, other):
+    """The place in the filter of an anchor's term and one around it: numbers below 2^31, or columns or arrays of them."""
+    x = term * PAIR[0] + other * PAIR[1]
+    return x.bitwiseAND(F.lit((1 << PAIR_BITS) - 1)) if isinstance(x, Column) else x & ((1 << PAIR_BITS) - 1)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[word] = term(word)
-        return found
 
+def pair_filter(anchors: DataFrame) -> np.ndarray:
+    """The bits of pair_place of all terms around all anchors; of a fixed size."""
+    pairs = anchors.select("term", F.explode(F.array_distinct("around")).alias("other")).where(F.col("other") != OUTSIDE_ITEM)
+    at = pairs.select(pair_place(F.col("term").cast("long"), F.col("other").cast("long")).alias("at"))
+    found = at.groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (PAIR_BITS - 5), "<u4")
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return bits.view(np.uint8)
 
-def postings(docs: DataFrame, kind: str, anchors) -> DataFrame:
-    """(doc_id, d, k, n_words, postings) for each row; a posting is an anchor's term, its part of those, its position and the terms around it."""
+
+def postings(docs: DataFrame, kind: str, vocabulary, anchors) -> DataFrame:
+    """(doc_id, d, k, n_words, postings) for each row; a posting is an anchor's term, its part of those, its position and the terms around it.
+
+    anchors: by term, the parts that its postings are dealt out in (0: no anchor), and the least number of terms that a window
+    of it needs; and a filter of the pairs of terms of which one is an anchor's and one stands around it. Where fewer of the
+    latter stand, no window can match, and no posting is stored. The filter may let through too much, never too little.
+    """
     width = WINDOW + SIDE
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, terms, sides = anchors.value, Terms(), np.full(SIDE, OUTSIDE_DOC, np.int64)
+        known, (parts, least), pairs = vocabulary.value, *anchors.value
         for batch in small_batches(batches, most=POSTING_BYTES):
-            sizes, ends, places, parts, around = [], [0], [np.empty(0, np.int64)], [], [np.empty((0, width), np.int64)]
-            for t, k in zip(as_bytes(batch.column(1)), batch.column(3).to_pylist(), strict=True):
-                words = words_of(t)
-                sizes.append(len(words))
-                found = [i for i, w in enumerate(words) if w in known]
-                ends.append(ends[-1] + len(found))
-                if found:
-                    padded = np.concatenate([sides, np.fromiter(map(terms.__getitem__, words), np.int64, len(words)), sides])
-                    places.append(np.array(found))
-                    around.append(np.lib.stride_tricks.sliding_window_view(padded, width)[found])
-                    parts += [(k + i) % known[words[i]] for i in found]
-            near, at = np.concatenate(around), np.concatenate(places)
+            # The texts' terms lie behind one another with SIDE places between them.
+            found = [terms_of(t, known) for t in as_bytes(batch.column(1))]
+            sizes = np.array([len(x) for x in found])
+            starts = SIDE + np.concatenate([[0], np.cumsum(sizes + SIDE)])
+            padded = np.full(starts[-1] + 1, NO_TERM, np.int32)
+            for x, at in zip(found, starts.tolist(), strict=False):
+                padded[at : at + len(x)] = x
+            around = np.lib.stride_tricks.sliding_window_view(padded, width)
+            places = np.flatnonzero(parts[padded])
+            stay = [np.empty(0, places.dtype)]
+            for some in (places[i : i + TOGETHER] for i in range(0, len(places), TOGETHER)):
+                bits = pair_place(padded[some].astype(np.int64)[:, None], around[some - SIDE].astype(np.int64))
+                stand = (pairs[bits >> 3] >> (bits & 7).astype(np.uint8) & np.uint8(1)).sum(axis=1, dtype=np.int32)
+                stay.append(some[stand >= least[padded[some]]])
+            places = np.concatenate(stay)
+            ends = np.searchsorted(places, starts)
+            term, pos = padded[places], places - np.repeat(starts[:-1], np.diff(ends))
+            part = (np.repeat(batch.column(3).to_numpy(), np.diff(ends)) + pos) % parts[term]
+            near = around[places - SIDE]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, width), pa.int32()), pa.array(near.ravel()))
-            columns = [pa.array(np.ascontiguousarray(near[:, SIDE])), pa.array(parts, pa.int32()), pa.array(at), lists]
+            columns = [pa.array(term), pa.array(part.astype(np.int32)), pa.array(pos.astype(np.int64)), lists]
             held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["term", "part", "pos", "around"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), held], ["doc_id", "d", "k", "n_words", "postings"])
 
-    return docs.mapInArrow(each, f"doc_id {kind}, d long, k long, n_words long, postings array<struct<term:long,part:int,pos:long,around:array<long>>>")
+    return docs.mapInArrow(tidied(each), f"doc_id {kind}, d long, k long, n_words long, postings array<struct<term:int,part:int,pos:long,around:array<int>>>")
 
 
 def run_length(step: int):
@@ -176,19 +207,24 @@ def run_length(step: int):
 def block_matches(docs: DataFrame, items: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """The documents' rows, and the matches of their texts with one block of items."""
     context = docs.sparkSession.sparkContext
-    vocabulary = context.broadcast({bytes(r[0]) for r in items.select(F.explode("words")).distinct().toLocalIterator()})
+    terms = {bytes(r[0]): k for k, r in enumerate(items.select(F.explode("words")).distinct().toLocalIterator(), OUTSIDE_ITEM + 1)}
+    vocabulary = context.broadcast(terms)
     counts = cut(term_counts(docs, vocabulary), "terms")
-    anchors = cut(item_anchors(items, counts), "anchors")
+    anchors = cut(item_anchors(items, counts, vocabulary), "anchors")
     side = anchors.withColumnRenamed("around", "item_around")
     # A frequent term's postings are dealt out in parts where they are shuffled; its anchors go to each part.
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(1)) / POSTINGS)).cast("int")
+    # An exact window needs all of its words, one for nearness its least number of terms.
+    named = anchors.groupBy("term").agg(F.min(F.coalesce("needed", "size")).alias("least"))
     if anchors.count() <= BROADCAST_ROWS:
-        named, side = anchors.select("word").distinct().withColumn("parts", F.lit(1)), F.broadcast(side.drop("word").withColumn("part", F.lit(0)))
+        named, side = named.withColumn("parts", F.lit(1)), F.broadcast(side.withColumn("part", F.lit(0)))
     else:
-        named = anchors.select("word").distinct().join(counts, "word", "left").select("word", parts.alias("parts"))
-        side = side.join(named, "word").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("word", "parts")
-    rare = context.broadcast({bytes(r[0]): r[1] for r in named.toLocalIterator()})
-    index = cut(postings(docs, kind, rare), "postings")
+        named = named.join(counts, "term", "left").select("term", "least", parts.alias("parts"))
+        side = side.join(named.drop("least"), "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    by_term = np.zeros((2, len(terms) + OUTSIDE_ITEM + 1), np.int32)
+    for r in named.toLocalIterator():
+        by_term[:, r["term"]] = r["parts"], r["least"]
+    index = cut(postings(docs, kind, vocabulary, context.broadcast((by_term, pair_filter(anchors)))), "postings")
     met = index.select("d", "k", F.explode("postings").alias("p")).select("d", "k", "p.*").join(side, ["term", "part"])
     met = met.withColumns({"left": run_length(-1), "right": run_length(1)})
     met = met.withColumns(
@@ -237,10 +273,10 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
         if blocks > 1:
             found = cut(found, "matches")
         rows, out = rows or now, found if out is None else out.unionByName(found)
-    spans = out.where("exact").select("d", "k", "start", "end").distinct().groupBy("d", "k").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")
-    )
-    names = out.select("d", "k", "item_id", "exact", "near").groupBy("d", "k").agg(
+    # What is not named has a null item, which collect_set passes over, as it does null spans.
+    exact = F.when(F.col("exact"), F.struct("start", "end"))
+    matches = out.groupBy("d", "k").agg(
+        F.sort_array(F.collect_set(exact)).alias("spans"),
         F.collect_set(F.when(F.col("exact"), F.col("item_id").cast("string"))).alias("items"),
         F.collect_set(F.when(F.col("near"), F.col("item_id").cast("string"))).alias("near_items"),
     )
@@ -257,8 +293,7 @@ def search(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "
     )
     none = F.array().cast("array<string>")
     return (
-        rows.join(spans, ["d", "k"], "left")
-        .join(names, ["d", "k"], "left")
+        rows.join(matches, ["d", "k"], "left")
         .select(
             "doc_id",
             "d",

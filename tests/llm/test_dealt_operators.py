@@ -373,6 +373,21 @@ def test_near_items(spark):
     assert sum(map(bool, got.values())) > 20
 
 
+def test_postings_are_places_that_can_match(spark, monkeypatch):
+    """A posting is stored only where an anchor's neighbours stand around it: a benchmark's words alone, however frequent, leave none."""
+    kept, real = {}, decontamination.cut
+    monkeypatch.setattr(decontamination, "cut", lambda df, name: kept.setdefault(name, real(df, name)))
+    words = [f"b{k}" for k in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[30:]))], "item_id long, text string")
+    loose = [(k, " ".join(f"{words[(7 * k + i) % 60]} or so" for i in range(200))) for k in range(50)]  # too few of the neighbours are an item's
+    rows_ = [*loose, (100, "so " + " ".join(words[5:18]) + " it goes"), (101, " ".join(words[30:45])), (102, ""), (103, None)]
+    found = {r.doc_id: (r.n_words, [tuple(x) for x in r.spans], r.items) for r in decontamination.search(spark.createDataFrame(rows_, "doc_id long, text string"), items).collect()}
+    assert found[100] == (16, [(1, 14)], ["1"]) and found[101] == (15, [(0, 15)], ["2"]) and found[102] == found[103] == (0, [], [])
+    assert all(not spans for k, (_, spans, _) in found.items() if k < 100)
+    stored = {r.doc_id: r.n for r in kept["postings"].selectExpr("doc_id", "size(postings) as n").collect()}
+    assert stored[100] and stored[101] and not any(n for k, n in stored.items() if k < 100)
+
+
 # --- operator 8
 
 

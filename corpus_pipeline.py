@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontamination, line_dedup, pieces, simhash, toxicity
-from jobloom.llm.common import cut, drop, maybe_among, scratch, table, text_column
+from jobloom.llm.common import bound_batches, cut, drop, maybe_among, scratch, table, text_column
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 10 does not reject. A null text is scored as an empty one."""
+    bound_batches(spark)
     judged = toxicity.judged(docs, table(spark, sf_dir, "labels"))
     return judged.where("predicted = 0").select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the runs of lines that stand earlier already; n_chars follows the text."""
+    bound_batches(spark)
     cleaned = line_dedup.remove(docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -30,6 +32,7 @@ def row_keys(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, once: of smallest id, then of smallest text hash; without an id only if none has one."""
+    bound_batches(spark)
     found = simhash.near_duplicates(docs).select(F.xxhash64("doc_id").alias("__d"), F.col("k").alias("__k"), "doc_id", "root")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__k")
     rows = cut(found.groupBy("root", "__d", "__k").agg(F.min(rank).alias("rank"), F.count(F.lit(1)).alias("n")), "groups")
@@ -46,6 +49,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 7 does not call contaminated."""
+    bound_batches(spark)
     found = decontamination.digest(decontamination.search(docs, table(spark, sf_dir, "benchmark")))
     bad = cut(found.where("contaminated").select(F.col("d").alias("__d"), F.col("k").alias("__k")).distinct(), "contaminated")
     split = maybe_among(row_keys(docs), bad, ("__d", "__k"))
@@ -55,6 +59,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and its text as decoded from them."""
+    bound_batches(spark)
     out = pieces.decoded(pieces.encoded(docs))
     return out.select(
         "doc_id",

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column
+from jobloom.llm.common import as_bytes, cut, drop, maybe_among, meet, small_batches, text_column, tidied
 
 WORDS = 30
 SEEDS = (11, 29)
@@ -87,7 +87,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
                 [batch.column(0).take(i), batch.column(1).take(i), pa.array(fps, pa.int64()), pa.array(lists, pa.list_(kind))], ["d", "k", "fp", "windows"]
             )
 
-    return rows.select("d", "k", "text").mapInArrow(each, f"d long, k long, fp long, windows array<{WINDOW}>")
+    return rows.select("d", "k", "text").mapInArrow(tidied(each), f"d long, k long, fp long, windows array<{WINDOW}>")
 
 
 PLACE = ("d", "k", "start")
@@ -144,14 +144,18 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     runs = repeated_runs(rows).groupBy("d", "k").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     runs = cut(runs.select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("runs").alias("__runs")), "runs")
 
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, found in batches:
+            out, counts = [], []
+            for t, r in zip(as_bytes(texts), found.to_pylist(), strict=True):
+                x, n = without(t, r) if r else (t, 0)
+                out.append(x)
+                counts.append(n)
+            yield pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
+
     @F.arrow_udf("struct<text:string,n:int>")
-    def cleaned(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out, counts = [], []
-        for t, r in zip(as_bytes(texts), found.to_pylist(), strict=True):
-            x, n = without(t, r) if r else (t, 0)
-            out.append(x)
-            counts.append(n)
-        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(counts, pa.int32())], ["text", "n"])
+    def cleaned(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from tidied(each)(batches)
 
     named = docs.drop("n_lines_removed").withColumns(
         {"__d": F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), "__k": F.xxhash64(text_column(text))}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import as_bytes, give_back
+from jobloom.llm.common import as_bytes, give_back, tidied
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -28,7 +28,7 @@ UNKNOWN_PENALTY = 10.0
 #: A stretch that no piece can leave: white space, and what follows it.
 STRETCH = re.compile(rb" *[^ ]+| +")
 #: Stretches in a worker's cache before it is emptied; the longest that it takes; bytes of text that are cut up together.
-CACHE, SHORT, TOGETHER = 600_000, 48, 2 << 20
+CACHE, SHORT, TOGETHER = 100_000, 48, 2 << 20
 #: Bytes of a character, by its first.
 CHARACTER = np.array([1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4 for c in range(256)])
 
@@ -282,11 +282,15 @@ def decoded(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str = VO
     """df with the texts of its ids in column `to` (replaced if it exists); null ids give null."""
     make = codec(df.sparkSession, path)
 
-    @F.arrow_udf("string")
-    def decode(lists: pa.Array) -> pa.Array:
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         use = make()
-        out = [use.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
-        return pa.array(out, pa.binary()).cast(pa.string())
+        for lists in batches:
+            out = [use.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
+            yield pa.array(out, pa.binary()).cast(pa.string())
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(each)(batches)
 
     return df.withColumn(to, decode(F.col(ids)))
 

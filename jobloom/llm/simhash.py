@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, as_bytes, components, cut, small_batches, text_column
+from jobloom.llm.common import LOWER, as_bytes, components, cut, small_batches, text_column, tidied
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Segments (of two bits each) of the blocks; one block more than DISTANCE must agree besides the first.
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "k", "fp"])
 
     chosen = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("k", F.xxhash64(text_column("text")))
-    return chosen.mapInArrow(each, f"doc_id {docs.schema[key].dataType.simpleString()}, k long, fp long")
+    return chosen.mapInArrow(tidied(each), f"doc_id {docs.schema[key].dataType.simpleString()}, k long, fp long")
 
 
 def unary(fp):
@@ -181,7 +181,7 @@ def links(prints: DataFrame) -> DataFrame:
                 yield out
 
     ordered = cells.select("fp", "code", *keys).repartition(*keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(each, "a long, b long")
+    return ordered.mapInArrow(tidied(each), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import LOWER, as_bytes, cut, small_batches, text_column
+from jobloom.llm.common import LOWER, as_bytes, cut, small_batches, text_column, tidied
 
 FOLDS, TEST_FOLD, THRESHOLD = 4, 2, 0.3
 #: Labelled documents of a class that the classifier is fitted on, about: the bound of its sample.
@@ -63,7 +63,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["gram", "n"])
 
-    sums = docs.select("text").mapInArrow(each, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    sums = docs.select("text").mapInArrow(tidied(each), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SIZE**3, np.int64)
     out[sums["gram"]] = sums["n"]
     return out.reshape(SIZE, SIZE, SIZE)
@@ -236,7 +236,7 @@ def learn(labelled: DataFrame, restore_model: np.ndarray) -> dict[str, float]:
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return {}
-    found = labelled.mapInArrow(each, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = labelled.mapInArrow(tidied(each), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 0.5) / sizes[0])
     best = found.where(F.col("toxic") >= LEAST_TEXTS).select("f", F.log(ratio).alias("w")).where(F.col("w") >= math.log(LEAST_RATIO))
     return {r["f"]: r["w"] for r in best.orderBy(F.desc("w"), "f").limit(FEATURES).collect()}
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [evidence(restore(t), found) for t in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1), batch.column(2)], ["x", "toxic", "weight"])
 
-    seen = labelled.mapInArrow(each, "x double, toxic int, weight double").toPandas()
+    seen = labelled.mapInArrow(tidied(each), "x double, toxic int, weight double").toPandas()
     if not len(seen) or not seen["toxic"].any():
         return Model(letters, {}, 0.0, -30.0)
     slope, intercept = calibrate(seen["x"].to_numpy(), seen["toxic"].to_numpy(float), seen["weight"].to_numpy())
@@ -313,13 +313,16 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     plain = docs.select(F.col(key).alias("doc_id"), text_column(text).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(plain, labels))
 
-    @F.arrow_udf("double")
-    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def each(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.value.scorer()
         for texts in arrays:  # a few texts at a time become bytes
             found = [of(t) for i in range(0, len(texts), 500) for t in as_bytes(texts.slice(i, 500))]
             yield pa.array(found, pa.float64())
 
+    @F.arrow_udf("double")
+    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(each)(arrays)
+
     held = F.coalesce(F.crc32(F.col(key).cast("string")) % FOLDS == TEST_FOLD, F.lit(False))
     out = docs.withColumns({"held_out": held, "score": score(F.col(text))})
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

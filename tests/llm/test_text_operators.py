@@ -305,6 +305,35 @@ def test_toxicity_without_labels(spark):
     assert toxicity.judged(docs.where("false"), none).collect() == []
 
 
+# --- memory of the pipeline's workers
+
+
+def test_pipeline_bounds_what_workers_hold(spark):
+    """A stage bounds the batches that go to workers by their bytes, unless the session does; a worker's stretches are bounded too, with the same ids."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from jobloom.llm import common
+
+    before = spark.conf.get(common.BATCH_BOUND, None)
+    try:
+        spark.conf.unset(common.BATCH_BOUND)
+        wide = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('wide ', 400) as text", "'en' as lang", "'s' as source")
+        corpus_pipeline.encoded(spark, wide, "")
+        sizes = wide.select("text").mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n long")
+        sizes = [r.n for r in sizes.collect()]
+        assert len(sizes) > 1 and max(sizes) < common.ARROW_BYTES + (1 << 16)
+        spark.conf.set(common.BATCH_BOUND, "1m")
+        corpus_pipeline.encoded(spark, wide, "")
+        assert spark.conf.get(common.BATCH_BOUND) in ("1m", "1048576", "1048576b")
+    finally:
+        spark.conf.unset(common.BATCH_BOUND) if before is None else spark.conf.set(common.BATCH_BOUND, before)
+    codec = pieces.Codec(*pieces.read())
+    texts = [" ".join(f"n{i}" for i in range(k, k + 50_000)).encode() for k in range(0, 200_000, 50_000)]
+    ids = [codec.encode(t) for t in texts]
+    assert len(codec.cache) <= 120_000
+    assert [codec.decode(x) for x in ids] == texts
+
+
 # --- all operators
 
 
